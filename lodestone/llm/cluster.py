@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,12 @@ def uniform(*columns: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], bin_of: Column, name: str) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], bin_of: Column, name: str, bounded: bool = False) -> DataFrame:
     """Adds a gapless rank from 0 within the groups `by` in the order `order`.
 
     A group may hold most rows: it is split by `bin_of`, which must not decrease in the order given, ranks
     are taken within bins, and sums of the bins' counts (a table of groups times bins) give each bin's base.
+    bounded: the caller has proven that groups times bins is small, so that table is broadcast.
     """
     cut = df.withColumn("_bin", bin_of)
     counts = cut.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
@@ -58,7 +60,7 @@ def ranked(df: DataFrame, by: list[str], order: list[str], bin_of: Column, name:
     bases = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_base_bin"), F.coalesce(F.sum("_in_bin").over(over), F.lit(0)).alias("_base"))
     inner = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order)) - 1
     on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_bin") == F.col("_base_bin")]
-    joined = cut.withColumn("_inner", inner).join(bases, on, "left")
+    joined = cut.withColumn("_inner", inner).join(F.broadcast(bases) if bounded else bases, on, "left")
     return joined.withColumn(name, (F.col("_base") + F.col("_inner")).cast("bigint")).drop("_bin", "_inner", "_base", "_base_bin", *[f"_by_{c}" for c in by])
 
 
@@ -88,3 +90,57 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot, pivot_n."""
+    buckets = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("high")).where("p.id < high")
+    buckets = buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    return scratch.save(entries.join(buckets, "key"))
+
+
+def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -> DataFrame:
+    """The frame with the component of a column's nodes; a node without links is its own."""
+    named = found.select(F.col("node").alias("_node"), F.col("component").alias(name))
+    return frame.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce(name, column)).drop("_node")
+
+
+def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """Components (node, component) of the links among ids that share a bucket.
+
+    alike gives SQL for whether sizes n and m let two ids link at all; verified keeps of pairs a, b the links.
+    Every id is first held against the smallest id of the bucket where it shares most keys with it; then against the
+    smallest ids of its other buckets, if that would join components; then, bucket by bucket, against an id of the
+    bucket's largest component; at last all pairs of different components that still share a bucket are verified, so
+    no link between components is missed. A group of copies costs a few comparisons for each member.
+    """
+    stars = shared.where("id <> pivot").where(alike("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
+    stars = scratch.save(stars.withColumn("turn", best))
+    links = scratch.save(verified(stars.where("turn = 1").select("a", "b")))
+    found = scratch.save(components(links, scratch))
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, found
+        more = scratch.save(verified(pairs))
+        if not more.isEmpty():
+            links = links.union(more)
+            found = scratch.save(components(links, scratch))
+
+    others = with_component(found, stars.where("turn > 1").select("a", "b"), "a", "ca")
+    add(with_component(found, others, "b", "cb").where("ca <> cb").select("a", "b"))
+    for turn in range(rounds + 1):
+        labelled = with_component(found, shared.select("key", "id", "n").distinct(), "id", "c")
+        own = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("one"))
+        top = own.groupBy("key").agg(F.max(F.struct("k", "c", F.col("one.id").alias("id"), F.col("one.n").alias("n"))).alias("t"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        top = scratch.save(top.select("key", F.col("t.c").alias("tc"), F.col("t.id").alias("tid"), F.col("t.n").alias("tn")))
+        if top.isEmpty():
+            break
+        minor = labelled.join(top, "key").where("c <> tc")
+        if turn < rounds:
+            pairs = minor.where(alike("n", "tn")).select(F.col("tid").alias("a"), F.col("id").alias("b"))
+        else:
+            minor = minor.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+            pairs = labelled.join(minor, "key").where("c <> d").where(alike("n", "m")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+        add(pairs.distinct())
+    return found

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import counts, licences, media, packing, sharding, toxicity
+from lodestone.llm import counts, licences, media, mixing, near, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "samples", "sample_rate")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(_table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -47,16 +51,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", F.col("_position").alias("position"), F.col("_place").alias("place"), F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_due").alias("due"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_media": op1,
+    "op2_near_duplicates": op2,
     "op3_power_of_two_packing": op3,
     "op4_toxicity": op4,
     "op5_token_counts": op5,
     "op6_stratified_sharding": op6,
+    "op7_pfair_mixing": op7,
     "op8_license_scan": op8,
 }
 

@@ -29,7 +29,7 @@ def shards(df: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "doc
     own = ranked(slim, ["source"], ["dice", "id", "text_crc32"], F.floor(F.col("dice") / F.lit(float(2**52) / BINS)), "place")
     of = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "s")
     rows = own.join(of, own["source"].eqNullSafe(F.col("s")), "left").withColumn("fraction", (F.col("place") + F.lit(0.5)) / F.col("n")).drop("s", "n", "place", "dice")
-    out = ranked(rows, [], ["fraction", "source", "id", "text_crc32"], F.floor(F.col("fraction") * BINS), "position")
+    out = ranked(rows, [], ["fraction", "source", "id", "text_crc32"], F.floor(F.col("fraction") * BINS), "position", bounded=True)
     out = out.withColumn("shard", F.expr(f"cast((position * {n_shards}) div {max(total, 1)} as int)"))
     out = out.withColumn("slot", F.expr(f"position - (cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}"))
     return out.withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)
