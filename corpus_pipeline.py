@@ -1,5 +1,59 @@
-"""The corpus pipeline (part of subpackage llm)."""
-STAGES = []
+"""The corpus pipeline, part of subpackage llm: toxicity, line dedup, MinHash near-dedup, mixing, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import lines, mixing, near, packing, toxicity
+from lodestone.llm.cluster import Scratch
+from lodestone.llm.queries import public_file
+from lodestone.shipping import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
+    ship(spark)
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand elsewhere before; those of which no word is left go."""
+    ship(spark)
+    out = lines.dedup_lines(docs).where("n_removed = 0 or text rlike '[^\\\\s]'")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", length).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (that of the smallest id) of each group of near duplicates."""
+    ship(spark)
+    gone = near.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in an order in which every prefix holds the sources at their target weights."""
+    ship(spark)
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents: sequences of power-of-two lengths."""
+    ship(spark)
+    return packing.pack(docs, public_file("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("mixing", mix), ("packing", pack)]
+
+#: The classifier is fitted outside SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again."""
+    scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = scratch.save(docs) if k < len(STAGES) - 1 else docs
+    return docs

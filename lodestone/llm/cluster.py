@@ -93,10 +93,14 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
 
 
 def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot, pivot_n."""
-    buckets = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("high")).where("p.id < high")
-    buckets = buckets.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    return scratch.save(entries.join(buckets, "key"))
+    """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot.
+
+    With a column `probe`, a key needs an entry that is none.
+    """
+    probes = "probe" in entries.columns
+    buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), *[F.min("probe").alias("only_probes")] * probes)
+    buckets = buckets.where("pivot < high and only_probes = 0" if probes else "pivot < high").select("key", "pivot")
+    return scratch.save(entries.select("key", "id", "n").join(buckets, "key"))
 
 
 def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -> DataFrame:
@@ -114,7 +118,7 @@ def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verif
     bucket's largest component; at last all pairs of different components that still share a bucket are verified, so
     no link between components is missed. A group of copies costs a few comparisons for each member.
     """
-    stars = shared.where("id <> pivot").where(alike("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    stars = shared.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
     stars = scratch.save(stars.withColumn("turn", best))
     links = scratch.save(verified(stars.where("turn = 1").select("a", "b")))
