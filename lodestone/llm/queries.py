@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import counts, licences, lines, media, mixing, near, packing, sharding, toxicity
+from lodestone.llm import counts, graphs, licences, lines, media, mixing, near, packing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_stratified_sharding": op6,
     "op7_pfair_mixing": op7,
     "op8_license_scan": op8,
+    "op9_embedding_graphs": op9,
     "op10_line_dedup": op10,
 }
 
