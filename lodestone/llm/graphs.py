@@ -307,9 +307,9 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shards: int | None
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
     dealt = classes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(rep), {shards}) as int)"))
     graphs = scratch.save(dealt.groupBy("dim", "shard").applyInArrow(build, GRAPH))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     asked = classes.select("rep", "v", "dim", F.expr(f"cast(pmod(xxhash64(rep, 1), {blocks}) as int)").alias("block"), every.alias("shard"))
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("int"))
+    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = asked.groupBy("dim", "shard", "block").cogroup(held.groupBy("dim", "shard", "block"))
     found = scratch.save(pairs.applyInArrow(_query(threshold), "a bigint, b bigint, links bigint"))
     links = found.groupBy(F.col("a").alias("_rep")).agg(F.sum("links").alias("links"))
