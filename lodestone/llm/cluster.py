@@ -109,14 +109,15 @@ def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -
     return frame.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce(name, column)).drop("_node")
 
 
-def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 2) -> DataFrame:
+def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 2, profile: DataFrame | None = None, close: str = "true") -> DataFrame:
     """Components (node, component) of the links among ids that share a bucket.
 
     alike gives SQL for whether sizes n and m let two ids link at all; verified keeps of pairs a, b the links.
     Every id is first held against the smallest id of the bucket where it shares most keys with it; then against the
     smallest ids of its other buckets, if that would join components; then, bucket by bucket, against an id of the
     bucket's largest component; at last all pairs of different components that still share a bucket are verified, so
-    no link between components is missed. A group of copies costs a few comparisons for each member.
+    no link between components is missed. A group of copies costs a few comparisons for each member. close is SQL for
+    whether rows p and m of the profile (columns by id) could link; it is tested where pairs meet, before they are made.
     """
     stars = shared.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
@@ -140,11 +141,12 @@ def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verif
         top = scratch.save(top.select("key", F.col("t.c").alias("tc"), F.col("t.id").alias("tid"), F.col("t.n").alias("tn")))
         if top.isEmpty():
             break
-        minor = labelled.join(top, "key").where("c <> tc")
+        mixed = labelled.join(top, "key")
         if turn < rounds:
-            pairs = minor.where(alike("n", "tn")).select(F.col("tid").alias("a"), F.col("id").alias("b"))
+            pairs = mixed.where("c <> tc").where(alike("n", "tn")).select(F.col("tid").alias("a"), F.col("id").alias("b"))
         else:
-            minor = minor.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = labelled.join(minor, "key").where("c <> d").where(alike("n", "m")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+            mixed = scratch.save(mixed.join(profile, "id") if profile is not None else mixed)
+            met = mixed.alias("p").join(mixed.where("c <> tc").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and {alike('p.n', 'm.n')} and ({close})"))
+            pairs = met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
         add(pairs.distinct())
     return found
