@@ -6,11 +6,10 @@ the class's smallest id stands for it from there on. In a SuperMinHash signature
 j + r_j at places of its own random permutation; rounds j go on only while a slot could still fall, so that most
 elements cost one round, and the correlated ranks lower the variance.
 
-32 bands of 4 of the 128 slots give buckets; at a similarity of 0.75 two sets share none with a chance of 5e-6. A set
-with so many shingles that no other set of a shared bucket has that it can reach 0.75 with none goes. In a bucket all
-are first held against its smallest id, then against others of its largest component, and at last every two
-of different components that a bucket still holds and whose shared shingles and signatures allow a link (at 0.75, signatures agree in fewer than
-LEAST_SLOTS of the 128 slots with a chance below 1e-6). So no link between components is lost, while groups of copies
+32 bands of 4 of the 128 slots give buckets; at a similarity of 0.75 two sets share none with a chance of 5e-6. In a bucket all are first
+held against its smallest id, then against others of its largest component, and at last every two
+of different components that a bucket still holds and whose parity bitmaps allow a link: each shingle flips one of PARITY_BITS bits, so two bitmaps
+differ in no more bits than the sets differ in shingles. So no link between components is lost, while groups of copies
 cost a few comparisons for each member. Every link is confirmed on the full sets.
 
 A null text counts as empty. Rows that repeat an id are returned each; an id names one text (with several texts, one of
@@ -33,7 +32,7 @@ WORDS = 5
 SLOTS = 128
 BANDS = 32
 PERCENT = 75
-LEAST_SLOTS = 74
+PARITY_BITS = 2048
 _NONE = np.iinfo(np.int64).max
 _LIVE = 1 << 16
 
@@ -112,19 +111,14 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def slot_bits(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each slot, sixteen slots a number."""
-    low = (signature.astype(np.uint64) & np.uint64(15)).reshape(len(signature), SLOTS // 16, 16)
-    return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-
-
-def _agreeing(p: str, m: str) -> str:
-    """SQL of how many slots two arrays of slot_bits agree in, unequal slots counting by chance one time in sixteen."""
-    parts = []
-    for i in range(SLOTS // 16):
-        x = f"({p}[{i}] ^ {m}[{i}])"
-        parts.append(f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441)")
-    return f"({SLOTS} - ({' + '.join(parts)}))"
+def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each set's bitmap, of which every element flips one bit: PARITY_BITS / 64 numbers a row."""
+    width = PARITY_BITS // 64
+    out = np.zeros(len(sizes) * width, np.uint64)
+    at = mix(flat, 13)
+    rows = np.repeat(np.arange(len(sizes)), sizes) * width + ((at >> np.uint64(6)) % np.uint64(width)).astype(np.int64)
+    np.bitwise_xor.at(out, rows, np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, width)
 
 
 def sketches(df: DataFrame) -> DataFrame:
@@ -133,8 +127,7 @@ def sketches(df: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             flat, sizes = shingle_sets(Texts(batch.column("text")))
-            signature = signatures(flat, sizes)[sizes > 0]
-            keys, bits = band_keys(signature), slot_bits(signature)
+            keys = band_keys(signatures(flat, sizes))[sizes > 0]
             some, sums = np.flatnonzero(sizes), np.zeros((2, len(sizes)), np.uint64)
             if len(some):
                 starts = (np.cumsum(sizes) - sizes)[some]
@@ -143,20 +136,22 @@ def sketches(df: DataFrame) -> DataFrame:
                 sums[1, some] = np.bitwise_xor.reduceat(mix(flat, 12), starts)
             ends = np.concatenate(([0], np.cumsum((sizes > 0) * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-            bits = pa.ListArray.from_arrays(pa.array(ends // BANDS * bits.shape[1]), pa.array(bits.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, bits], names=["id", "n_shingles", "h1", "h2", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands], names=["id", "n_shingles", "h1", "h2", "bands"])
 
-    return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, bits array<bigint>")
+    return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def full_sets(df: DataFrame) -> DataFrame:
+    """Of rows id, text: id, the set, its parity bitmap."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             flat, sizes = shingle_sets(Texts(batch.column("text")))
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "grams"])
+            parity = parities(flat, sizes)
+            lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x)) for e, x in ((np.concatenate(([0], np.cumsum(sizes))), flat.view(np.int64)), (np.arange(len(sizes) + 1) * parity.shape[1], parity.reshape(-1)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "grams", "parity"])
 
-    return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, grams array<bigint>")
+    return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, grams array<bigint>, parity array<bigint>")
 
 
 def _alike(n: str, m: str) -> str:
@@ -171,7 +166,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = nodes.where("n_shingles > 0 and id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"))
     classes = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "rep")
     joined = nodes.alias("x").join(classes.alias("c"), F.expr("x.h1 = c.h1 and x.h2 = c.h2 and x.n_shingles = c.n and x.id is not null"), "left")
-    member = scratch.save(joined.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), *[F.expr(f"case when id = rep then {x} end").alias(x) for x in ("bands", "bits")]))
+    member = scratch.save(joined.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.expr("case when id = rep then bands end").alias("bands")))
     scratch.drop(nodes)
 
     entries = member.where("bands is not null").select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
@@ -185,14 +180,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
         return both.where(f"100 * both >= {PERCENT} * (size(x) + size(y) - both)").select("a", "b")
 
-    # Shingles that one set alone has: in a link with another set they are in the union only.
-    lone = sets.select("id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
-    lone = lone.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    profile = member.where("bands is not null").dropDuplicates(["id"]).select("id", "bits").join(sets.select("id", F.size("grams").alias("size")), "id").join(lone, "id", "left")
-    profile = scratch.save(profile.select("id", "bits", F.coalesce("u", F.lit(0)).alias("u"), (F.col("size") - F.coalesce("u", F.lit(0))).alias("common")).where(f"100 * common >= {PERCENT} * (common + u)"))
-    shared = scratch.save(shared.join(profile.select("id"), "id", "left_semi"))
-    close = f"100 * least(p.common, m.common) >= {PERCENT} * (least(p.common, m.common) + p.u + m.u) and {_agreeing('p.bits', 'm.bits')} >= {LEAST_SLOTS}"
+    differ = " + ".join(f"bit_count(p.parity[{i}] ^ m.parity[{i}])" for i in range(PARITY_BITS // 64))
+    close = f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (p.n + m.n)"
+    profile = sets.select("id", "parity")
     found = linked_components(shared, _alike, verified, scratch, profile=profile, close=close)
-    out = with_component(found, member.drop("bands", "bits"), "rep", "component_id")
+    out = with_component(found, member.drop("bands"), "rep", "component_id")
     out = out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     return out.withColumnRenamed("id", id_col)
