@@ -92,6 +92,24 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     return nodes.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+BITMAP_BITS = 1 << 24
+
+
+def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is among the wanted ones, and a few others, without moving the rows.
+
+    The wanted keys' hashes set bits of a map of BITMAP_BITS bits, a table of 2 MB whatever their number, which is
+    broadcast. An exact join must follow; this one keeps most rows that it would drop off the network.
+    """
+    bit = lambda c: f"(pmod(xxhash64({c}), {BITMAP_BITS}) + 1)"
+    marks = wanted.select(F.expr(f"bitmap_bucket_number({bit(name)})").alias("_bucket"), F.expr(f"bitmap_bit_position({bit(name)})").alias("_at"))
+    maps = marks.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    asked = df.withColumn("_b", F.expr(f"bitmap_bucket_number({bit(key)})")).withColumn("_p", F.expr(f"cast(bitmap_bit_position({bit(key)}) as int)"))
+    met = asked.join(F.broadcast(maps), F.col("_b") == F.col("_bucket"))
+    byte = "cast(conv(hex(substring(_map, _p div 8 + 1, 1)), 16, 10) as int)"
+    return met.where(f"(shiftright({byte}, cast(_p % 8 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot.
 
@@ -99,8 +117,8 @@ def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """
     probes = "probe" in entries.columns
     buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), *[F.min("probe").alias("only_probes")] * probes)
-    buckets = buckets.where("pivot < high and only_probes = 0" if probes else "pivot < high").select("key", "pivot")
-    return scratch.save(entries.select("key", "id", "n").join(buckets, "key"))
+    buckets = scratch.save(buckets.where("pivot < high and only_probes = 0" if probes else "pivot < high").select("key", "pivot"))
+    return scratch.save(likely_in(entries.select("key", "id", "n"), "key", buckets, "key").join(buckets, "key"))
 
 
 def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -> DataFrame:

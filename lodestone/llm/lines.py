@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import Scratch, linked_components, shared_buckets, with_component
+from lodestone.llm.cluster import Scratch, likely_in, linked_components, shared_buckets, with_component
 
 MIN_BYTES = 40
 EDITS = 1
@@ -71,29 +71,34 @@ def dedup_lines(df: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, i
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     split = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = split.where(F.octet_length("line") >= min_bytes).withColumn("line", F.col("line").cast("binary"))
-    slim = lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-
     keys = segment_keys("line", edits)
-    every = F.expr(f"inline(array({', '.join(f'named_struct("key", {k}, "probe", {p})' for k, p in keys)}))")
-    entries = lines.select(F.xxhash64("line").alias("id"), every).where("key is not null").withColumn("n", F.lit(0))
+    base = scratch.save(lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.expr(f"array({', '.join(k for k, _ in keys)})").alias("keys")))
+    slim = base.drop("keys")
+    flags = F.array(*[F.lit(p) for _, p in keys])
+    entries = base.select(F.col("h").alias("id"), F.posexplode("keys").alias("i", "key")).where("key is not null")
+    entries = entries.select("key", "id", F.element_at(flags, F.col("i") + 1).alias("probe"), F.lit(0).alias("n"))
     shared = shared_buckets(entries, scratch)
-    wanted = shared.select("id").distinct()
-    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    texts = scratch.save(texts)
+    wanted = scratch.save(shared.select("id").distinct())
+    texts = likely_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # An edit changes the parity of at most two bytes' counts; those of 64 classes of bytes are the bits of one number.
+    parity = "aggregate(sequence(1, cast(octet_length(line) as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, 1)) & 63 as int)))"
+    texts = scratch.save(texts.withColumn("parity", F.expr(parity)))
+    close = f"bit_count(p.parity ^ m.parity) <= {2 * edits}"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-        both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("parity").alias("px")), "a")
+        both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("parity").alias("py")), "b")
+        both = both.where(f"bit_count(px ^ py) <= {2 * edits}")
         return both.where(banded_distance("x", "y", edits) <= edits).select("a", "b")
 
-    found = linked_components(shared, lambda n, m: "true", verified, scratch)
+    found = linked_components(shared, lambda n, m: "true", verified, scratch, profile=texts.select("id", "parity"), close=close)
     classes = slim.groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k"))
     classes = with_component(found, classes, "h", "c")
     classes = scratch.save(classes)
     # Groups with more than one occurrence: by component, as linked classes have several lines at least.
     groups = classes.groupBy("c").agg(F.sum("k").alias("k"), F.min("id").alias("first_id")).where("k > 1")
     of = scratch.save(classes.select("h", "g", "c").join(groups.select("c", "first_id"), "c"))
-    held = scratch.save(slim.join(of, ["h", "g"]).select("id", "th", "pos", "c", "first_id"))
+    held = scratch.save(likely_in(slim, "h", of, "h").join(of, ["h", "g"]).select("id", "th", "pos", "c", "first_id"))
     first = held.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("c").agg(F.min("th").alias("first_th"))
     first = held.join(first, "c").where("id <=> first_id and th = first_th").groupBy("c", "first_th").agg(F.min("pos").alias("first_pos"))
     gone = held.join(first, "c").where("not (id <=> first_id and th = first_th and pos = first_pos)")
