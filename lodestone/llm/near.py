@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import Scratch, linked_components, shared_buckets, with_component
+from lodestone.llm.cluster import Scratch, likely_in, linked_components, shared_buckets, with_component
 from lodestone.llm.words import SPACES, Texts, gram_hashes, mix, pieces, runs, span_hashes, word_spans
 
 WORDS = 5
@@ -171,7 +171,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     entries = member.where("bands is not null").select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = shared_buckets(entries, scratch)
-    sets = rows.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    wanted = scratch.save(shared.select("id").distinct())
+    sets = likely_in(rows, "id", wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sets = scratch.save(full_sets(sets))
 
     def verified(pairs: DataFrame) -> DataFrame:
