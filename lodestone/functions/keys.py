@@ -6,6 +6,8 @@ skeleton key that of its letters only, cut to 14 characters. Features are hashed
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,21 @@ def keys_for(df: DataFrame, cache: DataFrame | None, id_col: str = "compound", t
 
 
 def hashed_ngrams(text: Column, dim: int = 64, n: int = 3) -> Column:
-    """Counts of character n-grams by hash bucket, as array<double>."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(n - 1), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(dim)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
+    """Counts of character n-grams by hash bucket, as array<double>: one pass over a batch's code points."""
+
+    @F.pandas_udf("array<double>")
+    def count(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            grams = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
+            for i in range(n):
+                grams = grams * np.uint64(1099511628211) + codes[i : i + len(grams)]
+            grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+            out.append(np.bincount((grams % np.uint64(dim)).astype(np.int64), minlength=dim).astype(float))
+        return pd.Series(out)
+
+    return count(text)
 
 
 def descriptors(text: Column) -> dict[str, Column]:

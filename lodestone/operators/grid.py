@@ -48,7 +48,7 @@ def sdf_records(df: DataFrame, fields: list[str], block: str = "block") -> DataF
 
 def live_runs(runs: DataFrame, now: Column, ttl_seconds: float, most: int, time: str = "ts") -> DataFrame:
     """The newest runs that are young enough. Only `most` rows are ever gathered."""
-    young = runs.where((now.cast("double") - F.col(time).cast("double")) <= F.lit(float(ttl_seconds)))
+    young = runs.where((now.cast("timestamp").cast("double") - F.col(time).cast("timestamp").cast("double")) <= F.lit(float(ttl_seconds)))
     return young.orderBy(F.desc(time), "run_id").limit(most)
 
 

@@ -52,7 +52,7 @@ def _trees(model: RandomForestRegressionModel, spark, path: str) -> list[tuple[n
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
     nodes = nodes.select("treeID", "nodeData.*") if "nodeData" in nodes.columns else nodes
-    table = nodes.select("treeID", "id", "prediction", "leftChild", "rightChild", F.col("split.featureIndex").alias("f"), F.expr("split.leftCategoriesOrThreshold[0]").alias("t")).toPandas().sort_values(["treeID", "id"])
+    table = nodes.select("treeID", "id", "prediction", "leftChild", "rightChild", F.col("split.featureIndex").alias("f"), F.expr("get(split.leftCategoriesOrThreshold, 0)").alias("t")).toPandas().sort_values(["treeID", "id"])
     return [(g["f"].to_numpy(np.int64), g["t"].fillna(0).to_numpy(), g["leftChild"].to_numpy(np.int64), g["rightChild"].to_numpy(np.int64), g["prediction"].to_numpy()) for _, g in table.groupby("treeID")]
 
 
