@@ -43,7 +43,7 @@ def csv_field(c: Column) -> Column:
 def sdf_records(df: DataFrame, fields: list[str], block: str = "block") -> DataFrame:
     """Each record's text: its block, then the fields that are there and finite."""
     parts = [F.when(F.col(f).isNotNull() & ~F.coalesce(F.isnan(F.col(f).cast("double")), F.lit(False)), F.concat(F.lit(f"> <{f}>\n"), F.col(f).cast("string"), F.lit("\n\n"))) for f in fields]
-    return df.withColumn("record", F.concat(F.rtrim(F.col(block)), F.lit("\n"), F.concat_ws("", *parts), F.lit("$$$$\n")))
+    return df.withColumn("record", F.concat(F.regexp_replace(F.col(block), r"\s+$", ""), F.lit("\n"), F.concat_ws("", *parts), F.lit("$$$$\n")))
 
 
 def live_runs(runs: DataFrame, now: Column, ttl_seconds: float, most: int, time: str = "ts") -> DataFrame:

@@ -165,7 +165,7 @@ def half_split_rmse(s, d):
     return rounded(m.half_split(with_conf(s, d), ["endpoint"], "conf", "residual"), "rmse")
 
 
-@query("quadrant_share", f"{P}, x AS (SELECT endpoint, CASE WHEN real_raw >= 40000 THEN CASE WHEN pred_raw >= 30000 THEN 'hit' ELSE 'missed' END ELSE CASE WHEN pred_raw >= 30000 THEN 'false' ELSE 'clear' END END AS quadrant FROM p) SELECT endpoint, quadrant, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY endpoint), 6) + 0.0 AS share FROM x GROUP BY ALL")
+@query("quadrant_share", f"{P}, x AS (SELECT endpoint, CASE WHEN real_raw >= 40000 THEN CASE WHEN pred_raw >= 30000 THEN 'hit' ELSE 'missed' END ELSE CASE WHEN pred_raw >= 30000 THEN 'false' ELSE 'clear' END END AS quadrant FROM p), y AS (SELECT endpoint, quadrant, count(*) AS n FROM x GROUP BY ALL) SELECT endpoint, quadrant, n, round(100 * n / sum(n) OVER (PARTITION BY endpoint), 6) + 0.0 AS share FROM y")
 def quadrant_share(s, d):
     high, call = F.col("real_raw") >= 40000, F.col("pred_raw") >= 30000
     name = F.when(high & call, "hit").when(high, "missed").when(call, "false").otherwise("clear")
