@@ -5,7 +5,7 @@ differ by at most `edits`, one of edits + 1 even segments of the shorter (or equ
 other, at a place that the two lengths and the segment's number bound: every line indexes its segments under its
 length, and probes the substrings that the index of each length up to `edits` less could hold. What meets there is
 verified by banded bit-parallel edit distance (a band of 2 edits + 1 diagonals held in the bits of one number). Of each
-connected group of lines the first occurrence by id and line number stays, all others go.
+connected group of lines the first occurrence by id and line number stays (null ids come last), all others go.
 
 A null text stays null, an empty one empty; shorter lines stay. Rows that repeat an id and text are one document, each
 returned alike. A text loses lines only; all columns are kept, whatever their names (new ones must not clash). An empty

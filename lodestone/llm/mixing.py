@@ -83,19 +83,20 @@ def mix_sources(df: DataFrame, weights: dict | None = None, seed: int = 23, bloc
         for at, (s, j) in enumerate(period(active)):
             e = active[s]
             table.append((k, s, gone[s], gone[s] + n * e, e, j, place + at, total, j * total // e, -(-(j + 1) * total // e), place))
-    schema = f"phase int, s {df.schema[source_col].dataType.simpleString()}, low bigint, high bigint, e bigint, j bigint, at bigint, total bigint, release bigint, due bigint, base bigint"
+    made = ["_phase", "_s", "_low", "_high", "_e", "_j", "_at", "_total", "_free", "_end", "_base"]
+    kinds = ["int", df.schema[source_col].dataType.simpleString(), *["bigint"] * 9]
     # At most MOST_SOURCES sources times two phases of about PERIOD places each.
-    plan = F.broadcast(spark.createDataFrame(table, schema))
-    names = {"_dice", "_rank", "_block", "_place", "_position", "_release", "_due"}
+    plan = F.broadcast(spark.createDataFrame(table, ", ".join(f"{n} {k}" for n, k in zip(made, kinds, strict=True))))
+    names = {"_dice", "_rank", "_block", "_place", "_position", "_release", "_due", *made}
     if clash := names & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} are made here")
     order = ["_dice", id_col]
     rows = df.withColumn("_dice", uniform(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed))
     slim = ranked(rows, [source_col], order, F.floor(F.col("_dice") / F.lit(float(2**52) / BINS)), "_rank", bounded=True).withColumn("_block", F.expr(f"_rank div {block}"))
-    on = F.col(source_col).eqNullSafe(F.col("s")) & (F.col("_block") >= F.col("low")) & (F.col("_block") < F.col("high")) & (F.expr("(_block - low) % e") == F.col("j"))
+    on = F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") >= F.col("_low")) & (F.col("_block") < F.col("_high")) & (F.expr("(_block - _low) % _e") == F.col("_j"))
     out = slim.join(plan, on)
-    turn = "((_block - low) div e) * total"
-    out = out.withColumn("_place", F.expr(f"at + {turn}")).withColumn("_release", F.expr(f"base + release + {turn}")).withColumn("_due", F.expr(f"base + due + {turn}"))
+    turn = "((_block - _low) div _e) * _total"
+    out = out.withColumn("_place", F.expr(f"_at + {turn}")).withColumn("_release", F.expr(f"_base + _free + {turn}")).withColumn("_due", F.expr(f"_base + _end + {turn}"))
     out = out.withColumn("_position", F.expr(f"_place * {block} + _rank % {block}"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "_position", "_place", "_block", "_release", "_due")
 

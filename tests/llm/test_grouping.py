@@ -143,14 +143,14 @@ def test_line_dedup(spark, edits):
     for i, text in dict.fromkeys(docs):
         for k, line in enumerate((text or "").split("\n")):
             if len(line.encode()) >= lines.MIN_BYTES:
-                places.setdefault(line.encode(), []).append((-1 if i is None else i, k))
+                places.setdefault(line.encode(), []).append((10**9 if i is None else i, k))
     kinds = sorted(places)
     links = [(a, b) for k, a in enumerate(kinds) for b in kinds[:k] if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits]
     root, gone = groups(kinds, links), set()
     for c in set(root.values()):
         gone |= set(sorted(p for k in kinds if root[k] == c for p in places[k])[1:])
     for r in got:
-        i = -1 if r.doc_id is None else r.doc_id
+        i = 10**9 if r.doc_id is None else r.doc_id
         text = dict(docs)[r.doc_id]
         kept = [x for k, x in enumerate((text or "").split("\n")) if (i, k) not in gone]
         assert r.text == (None if text is None else "\n".join(kept)), r.doc_id
