@@ -25,6 +25,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.kept: list[DataFrame] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -32,6 +33,7 @@ class Scratch:
         df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch = at
+        self.kept.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -39,6 +41,11 @@ class Scratch:
             if at := getattr(df, "_scratch", None):
                 path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.kept = [x for x in self.kept if not any(x is df for df in frames)]
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Drops all tables but these; what is still to be read must stand on them alone."""
+        self.drop(*[x for x in self.kept if not any(x is df for df in frames)])
 
 
 def uniform(*columns: Column, seed: int = 0) -> Column:
@@ -127,33 +134,29 @@ def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -
     return frame.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce(name, column)).drop("_node")
 
 
-def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 2, profile: DataFrame | None = None, close: str = "true") -> DataFrame:
+def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 1, profile: DataFrame | None = None, close: str = "true") -> DataFrame:
     """Components (node, component) of the links among ids that share a bucket.
 
     alike gives SQL for whether sizes n and m let two ids link at all; verified keeps of pairs a, b the links.
-    Every id is first held against the smallest id of the bucket where it shares most keys with it; then against the
-    smallest ids of its other buckets, if that would join components; then, bucket by bucket, against an id of the
-    bucket's largest component; at last all pairs of different components that still share a bucket are verified, so
-    no link between components is missed. A group of copies costs a few comparisons for each member. close is SQL for
-    whether rows p and m of the profile (columns by id) could link; it is tested where pairs meet, before they are made.
+    Every id is first held against the smallest id of the bucket where it shares most keys with it; then, bucket by
+    bucket, against an id of the bucket's largest component; at last all pairs of different components that still share
+    a bucket are verified, so no link between components is missed. A group of copies costs a few comparisons for each
+    member. close is SQL for whether rows p and m of the profile (columns by id) could link; it is tested where pairs
+    meet, before they are made.
     """
     stars = shared.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
-    stars = scratch.save(stars.withColumn("turn", best))
-    links = scratch.save(verified(stars.where("turn = 1").select("a", "b")))
+    links = scratch.save(verified(stars.withColumn("turn", best).where("turn = 1").select("a", "b")))
     found = scratch.save(components(links, scratch))
 
     def add(pairs: DataFrame) -> None:
-        nonlocal links, found
+        nonlocal found
         more = scratch.save(verified(pairs))
         if not more.isEmpty():
-            links = links.union(more)
-            found = scratch.save(components(links, scratch))
+            found = scratch.save(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch))
 
-    others = with_component(found, stars.where("turn > 1").select("a", "b"), "a", "ca")
-    add(with_component(found, others, "b", "cb").where("ca <> cb").select("a", "b"))
     for turn in range(rounds + 1):
-        labelled = with_component(found, shared.select("key", "id", "n").distinct(), "id", "c")
+        labelled = with_component(found, shared.select("key", "id", "n"), "id", "c")
         own = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("one"))
         top = own.groupBy("key").agg(F.max(F.struct("k", "c", F.col("one.id").alias("id"), F.col("one.n").alias("n"))).alias("t"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         top = scratch.save(top.select("key", F.col("t.c").alias("tc"), F.col("t.id").alias("tid"), F.col("t.n").alias("tn")))

@@ -99,6 +99,7 @@ def dedup_lines(df: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, i
     groups = classes.groupBy("c").agg(F.sum("k").alias("k"), F.min("id").alias("first_id")).where("k > 1")
     of = scratch.save(classes.select("h", "g", "c").join(groups.select("c", "first_id"), "c"))
     held = scratch.save(likely_in(slim, "h", of, "h").join(of, ["h", "g"]).select("id", "th", "pos", "c", "first_id"))
+    scratch.keep_only(held)
     first = held.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("c").agg(F.min("th").alias("first_th"))
     first = held.join(first, "c").where("id <=> first_id and th = first_th").groupBy("c", "first_th").agg(F.min("pos").alias("first_pos"))
     gone = held.join(first, "c").where("not (id <=> first_id and th = first_th and pos = first_pos)")

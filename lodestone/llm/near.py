@@ -185,6 +185,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     close = f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (p.n + m.n)"
     profile = sets.select("id", "parity")
     found = linked_components(shared, _alike, verified, scratch, profile=profile, close=close)
+    scratch.keep_only(member, found)
     out = with_component(found, member.drop("bands"), "rep", "component_id")
     out = out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     return out.withColumnRenamed("id", id_col)
