@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_stratified_sharding": sharding.ORACLE, "op10_line_dedup": lines.ORACLE}

@@ -33,3 +33,15 @@ def shards(df: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "doc
     out = out.withColumn("shard", F.expr(f"cast((position * {n_shards}) div {max(total, 1)} as int)"))
     out = out.withColumn("slot", F.expr(f"position - (cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}"))
     return out.withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)
+
+
+#: SQL of the query over `documents` with 16 shards; the checksum is built from its polynomial.
+ORACLE = """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+x AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes FROM documents),
+y AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32 FROM x, t),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('17|' || doc_id || '|' || text_crc32), 1, 13))::BIGINT, doc_id) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM y),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source, doc_id) - 1 AS position, count(*) OVER () AS n FROM r),
+q AS (SELECT *, (position * 16 // n)::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (position - (shard::BIGINT * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q
+"""
