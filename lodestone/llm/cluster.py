@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        _OWN[app] = at
     return at.rstrip("/")
 
 
