@@ -1,102 +1,114 @@
 """Operator 7: mixing sources to target weights by Pfair scheduling, with SQL functions only.
 
-Rows of a source are shuffled and cut into blocks; the source's weight is e of P blocks. Its j-th block is released at
-floor(j P / e) and due at ceil((j + 1) P / e); in each place the released block that is due first goes. Whole-number
-weights make that schedule repeat after P places, so one period (P is a parameter's size, not the data's) is scheduled
-when the plan is made, and block b of a source takes the period's place of its (b mod e)-th block, b div e periods on.
-Every prefix holds each source's share to less than one block as long as all sources last. Once a source has less than
-e blocks left, one closing period with those blocks ends it, and the others go on with their weights among themselves;
-so all rows are placed, none is dropped or repeated.
+Rows of a source are shuffled and cut into blocks. The targets are a fluid that gives each source its exact weight's
+share of every place; once a source is used up, the others share its places by their weights. A block is released at the
+floor of the place where the fluid reaches its start and due at the ceiling of that where it reaches its end; in each
+place the released block that is due first goes. Every block keeps its window, so every prefix holds each source's
+share of the given weights to less than one block, at any size; all rows are placed, none is dropped or repeated.
+
+The windows come from whole numbers (weights are scaled to such without rounding). Placing them is a walk over blocks,
+not rows, made on the driver with the plan; it holds a number of sources and a table of blocks.
 
 A source without a positive weight gets the smallest one. Without weights, a source's target is the square root of its row count. A null source is a source of its own. Ties are ordered
-by id, then the text's checksum. An empty table gives no rows. At most MOST_SOURCES sources.
+by id, then the text's checksum. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.cluster import ranked, uniform
 
-PERIOD = 256
 BLOCK = 16
-MOST_SOURCES = 256
 BINS = 1024
+#: Up to so many sources or blocks a table of them is broadcast.
+MOST_SOURCES = 256
+MOST_BLOCKS = 1 << 18
+
+
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block, release, due) place by place: earliest deadline first among released blocks."""
+    exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
+    scale = lcm(*[w.denominator for w in exact.values()])
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    # Sources by where the fluid ends them; blocks ended before and weight left after each end.
+    ends = sorted((Fraction(blocks[s], w), w, blocks[s]) for s, w in whole.items())
+    spots, ended, live = [float(e[0]) for e in ends], [0], [sum(whole.values())]
+    for _, w, n in ends:
+        ended.append(ended[-1] + n)
+        live.append(live[-1] - w)
+
+    def reached(s: object, j: int) -> tuple[int, int]:
+        """Floor and ceiling of the place where the fluid has given j blocks of s."""
+        w = whole[s]
+        k = bisect_right(spots, j / w)
+        while k and j * ends[k - 1][1] < ends[k - 1][2] * w:
+            k -= 1
+        while k < len(ends) and j * ends[k][1] >= ends[k][2] * w:
+            k += 1
+        place, rest = divmod(j * live[k], w)
+        return ended[k] + place, ended[k] + place + (rest > 0)
+
+    names = {s: (s is None, str(s)) for s in whole}
+    order = {s: k for k, s in enumerate(sorted(whole, key=names.__getitem__))}
+    by = list(order)
+    waiting, ready = [], []
+    for s, k in order.items():
+        free, due = reached(s, 1)
+        waiting.append((0, due, k, 0, free))
+    heapq.heapify(waiting)
+    for place in range(sum(blocks[s] for s in whole)):
+        while waiting and waiting[0][0] <= place:
+            release, due, k, j, free = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, k, j, release, free))
+        due, k, j, release, free = heapq.heappop(ready)
+        s = by[k]
+        yield s, j, release, due
+        if j + 1 < blocks[s]:
+            then, due = reached(s, j + 2)
+            heapq.heappush(waiting, (free, due, k, j + 1, then))
 
 
 def period(shares: dict) -> list[tuple]:
-    """The places 0..P-1 of one period: (source, block), earliest deadline first among released blocks."""
-    total = sum(shares.values())
-    waiting = sorted((0, -(-total // e), (s is None, str(s)), 0, s) for s, e in shares.items() if e)
-    ready: list[tuple] = []
-    out = []
-    for place in range(total):
-        while waiting and waiting[0][0] <= place:
-            _, due, name, j, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, name, j, s))
-        _, name, j, s = heapq.heappop(ready)
-        out.append((s, j))
-        if j + 1 < shares[s]:
-            e = shares[s]
-            heapq.heappush(waiting, ((j + 1) * total // e, -(-(j + 2) * total // e), name, j + 1, s))
-    return out
-
-
-def phases(blocks: dict, shares: dict) -> list[tuple[dict, dict, int, int]]:
-    """(shares, blocks gone before by source, first place, periods) until all blocks are placed."""
-    left, gone, place, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while any(left.values()):
-        active = {s: shares[s] for s in blocks if left[s]}
-        n = min(left[s] // e for s, e in active.items())
-        if not n:
-            n, active = 1, {s: min(e, left[s]) for s, e in active.items()}
-        out.append((active, {s: gone[s] for s in active}, place, n))
-        place += n * sum(active.values())
-        for s, e in active.items():
-            left[s] -= n * e
-            gone[s] += n * e
-    return out
-
-
-def whole_shares(weights: dict, size: int = PERIOD) -> dict:
-    """Weights as whole numbers of at least 1 whose sum is about size."""
-    total = sum(weights.values())
-    return {s: max(1, round(w * size / total)) for s, w in weights.items()}
+    """The places 0..P-1 of whole shares: (source, block)."""
+    return [(s, j) for s, j, _, _ in schedule(shares, shares)]
 
 
 def mix_sources(df: DataFrame, weights: dict | None = None, seed: int = 23, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows with _position (the block's place times the block's size, plus the place in the block), _place, _block, _release and _due."""
     spark = df.sparkSession
-    counts = {r[0]: r[1] for r in df.groupBy(source_col).count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    weights = {s: float(weights.get(s, 0) or 0) for s in counts} if weights else {s: n**0.5 for s, n in counts.items()}
-    small = min([w for w in weights.values() if w > 0], default=1.0)
-    shares = whole_shares({s: w or small for s, w in weights.items()}) if counts else {}
-    blocks = {s: -(-n // block) for s, n in counts.items()}
-    table = []
-    for k, (active, gone, place, n) in enumerate(phases(blocks, shares)):
-        total = sum(active.values())
-        for at, (s, j) in enumerate(period(active)):
-            e = active[s]
-            table.append((k, s, gone[s], gone[s] + n * e, e, j, place + at, total, j * total // e, -(-(j + 1) * total // e), place))
-    made = ["_phase", "_s", "_low", "_high", "_e", "_j", "_at", "_total", "_free", "_end", "_base"]
-    kinds = ["int", df.schema[source_col].dataType.simpleString(), *["bigint"] * 9]
-    # At most MOST_SOURCES sources times two phases of about PERIOD places each.
-    plan = F.broadcast(spark.createDataFrame(table, ", ".join(f"{n} {k}" for n, k in zip(made, kinds, strict=True))))
-    names = {"_dice", "_rank", "_block", "_place", "_position", "_release", "_due", *made}
+    made = ["_s", "_b", "_place", "_release", "_due"]
+    names = {"_dice", "_rank", "_block", "_position", *made}
     if clash := names & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} are made here")
+    counts = {r[0]: r[1] for r in df.groupBy(source_col).count().collect()}
+    weights = {s: float(weights.get(s, 0) or 0) for s in counts} if weights else {s: n**0.5 for s, n in counts.items()}
+    small = min([w for w in weights.values() if w > 0], default=1.0)
+    weights = {s: w if w > 0 else small for s, w in weights.items()}
+    number, columns = {s: k for k, s in enumerate(counts)}, [array("q") for _ in made]
+    for place, (s, j, release, due) in enumerate(schedule({s: -(-n // block) for s, n in counts.items()}, weights)):
+        for c, v in zip(columns, (number[s], j, place, release, due)):
+            c.append(v)
+    kind = df.schema[source_col].dataType
+    sources = pa.array(list(counts), to_arrow_type(kind)).take(pa.array(columns[0], pa.int64()))
+    table = pa.table([sources, *[pa.array(c, pa.int64()) for c in columns[1:]]], names=made)
+    plan = spark.createDataFrame(table, StructType([StructField(n, LongType() if k else kind) for k, n in enumerate(made)]))
     order = ["_dice", id_col]
     rows = df.withColumn("_dice", uniform(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed))
-    slim = ranked(rows, [source_col], order, F.floor(F.col("_dice") / F.lit(float(2**52) / BINS)), "_rank", bounded=True).withColumn("_block", F.expr(f"_rank div {block}"))
-    on = F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") >= F.col("_low")) & (F.col("_block") < F.col("_high")) & (F.expr("(_block - _low) % _e") == F.col("_j"))
-    out = slim.join(plan, on)
-    turn = "((_block - _low) div _e) * _total"
-    out = out.withColumn("_place", F.expr(f"_at + {turn}")).withColumn("_release", F.expr(f"_base + _free + {turn}")).withColumn("_due", F.expr(f"_base + _end + {turn}"))
+    slim = ranked(rows, [source_col], order, F.floor(F.col("_dice") / F.lit(float(2**52) / BINS)), "_rank", bounded=len(counts) <= MOST_SOURCES).withColumn("_block", F.expr(f"_rank div {block}"))
+    on = F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
+    out = slim.join(F.broadcast(plan) if table.num_rows <= MOST_BLOCKS else plan, on)
     out = out.withColumn("_position", F.expr(f"_place * {block} + _rank % {block}"))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "_position", "_place", "_block", "_release", "_due")
 
