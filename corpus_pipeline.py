@@ -39,9 +39,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents: sequences of power-of-two lengths."""
+    """The pieces of all documents: sequences of power-of-two lengths, numbered in the mixture's order.
+
+    A scan of files keeps no order, so the order is made again here from the documents' own columns.
+    """
     ship(spark)
-    return packing.pack(docs, public_file("word_bpe_49k.json"))
+    return packing.pack(mixing.mixed(docs), public_file("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("mixing", mix), ("packing", pack)]

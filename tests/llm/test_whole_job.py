@@ -1,9 +1,12 @@
 """Jobs that were once cut short: each test fails where the cut comes back."""
 
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import mixing
+import corpus_pipeline
+from lodestone.llm import cluster, mixing
 
 
 def deviation(order, blocks, weights):
@@ -42,3 +45,27 @@ def test_mixing_takes_any_number_of_sources(spark, monkeypatch):
     assert len(want) == 1500 and sorted({r[4] for r in want}) == list(range(900))
     monkeypatch.setattr(mixing, "MOST_BLOCKS", 0)
     assert sorted(map(tuple, mixing.mix_sources(docs, block=2).collect())) == want
+
+
+def test_packed_prefixes_hold_the_target_weights(spark):
+    source = {i: "hot" if i % 4 else f"s{i % 5}" for i in range(4000)}
+    docs = spark.createDataFrame([(i, f"{i} word " * (60 if s == "hot" else 2), s) for i, s in source.items()], "doc_id bigint, text string, source string")
+    scratch, at = cluster.Scratch(spark), docs
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            at = scratch.save(stage(spark, at, ""))
+        assert len(at.inputFiles()) > 1
+        rows = at.select("doc_id", "sequence_id").orderBy("sequence_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = list(dict.fromkeys(r.doc_id for r in rows))
+    assert sorted(order) == sorted(source)
+    sizes = Counter(source.values())
+    total, seen = sum(n**0.5 for n in sizes.values()), Counter()
+    for t, i in enumerate(order, 1):
+        seen[source[i]] += 1
+        # A block of the source and the one being filled.
+        assert all(abs(seen[s] - t * n**0.5 / total) < 2 * mixing.BLOCK for s, n in sizes.items())
+        if seen[source[i]] == sizes[source[i]]:
+            break
