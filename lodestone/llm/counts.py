@@ -1,12 +1,14 @@
 """Operator 5: token counts by dynamic programming over a trie.
 
-Texts are cut at ASCII white space into pre-tokens, each with the word mark in front (a chunk of over LONGEST bytes is
-cut into runs of so many bytes, the first with the mark). The distinct pre-tokens of a batch that the worker hasn't met
+Texts are cut at ASCII white space into pre-tokens, each with the word mark in front. The distinct pre-tokens of a batch that the worker hasn't met
 go into a trie, depth by depth; a node's best unigram score is computed once from the scores of the nodes above it,
 over all vocabulary pieces that end there, so a prefix that words share costs once. The count stored at a word's last
 node is the number of pieces on its best way (ties: fewer pieces). Pieces are those of a public SentencePiece file;
 a piece of rank r scores -ln(r + 10), a single byte that is no piece BYTE.
 
+With whole, as the query has it, a pre-token of over LONGEST bytes is scored as one by the same recurrence along its
+bytes, without the trie. Otherwise it is cut into runs of so many bytes, the first with the mark, that are scored alone.
+
 Null or empty texts have 0 tokens; repeated rows are counted each; only the named columns are read.
 """
 
@@ -24,7 +26,7 @@ from lodestone.llm.words import _BASE, SPACES, Texts, mix, pieces, span_hashes,
 MARK = "▁".encode()
 LONGEST = 256
 BYTE = -40.0
-_READY: dict[str, Unigram] = {}
+_READY: dict[tuple[str, bool], Unigram] = {}
 
 
 def pieces_of(path: str) -> dict[bytes, float]:
@@ -43,7 +45,8 @@ def pieces_of(path: str) -> dict[bytes, float]:
 class Unigram:
     """The trie's programme for one vocabulary."""
 
-    def __init__(self, scores: dict[bytes, float]):
+    def __init__(self, scores: dict[bytes, float], whole: bool = False):
+        self.whole, self.pieces = whole, scores
         self.table = WordTable(self._fill)
         keys = list(scores)
         texts = Texts(pa.array(keys, pa.binary()))
@@ -117,7 +120,29 @@ class Unigram:
             out[done] = count[node[done]]
         return out
 
-    def _fill(self, words: list[bytes]) -> np.ndarray:
+    def long_count(self, word: bytes) -> int:
+        """Pieces on the best way through one string, byte by byte; the last len(longest piece) places are needed."""
+        keep = self.lengths[-1] + 1
+        best, count = [0.0] * keep, [0] * keep
+        for d in range(1, len(word) + 1):
+            top, least = -np.inf, 0
+            for size in self.lengths:
+                if size > d:
+                    break
+                score = self.pieces.get(word[d - size : d], BYTE if size == 1 else None)
+                if score is None:
+                    continue
+                total, n = best[(d - size) % keep] + score, count[(d - size) % keep] + 1
+                if total > top + 1e-9 or abs(total - top) <= 1e-9 and n < least:
+                    top, least = total, n
+            best[d % keep], count[d % keep] = top, least
+        return count[len(word) % keep]
+
+    def _fill(self, words: list[bytes]) -> list[list[int]]:
+        if self.whole:
+            short = [MARK + w for w in words if len(w) <= LONGEST]
+            known = iter(self.counts(short).tolist())
+            return [[next(known) if len(w) <= LONGEST else self.long_count(MARK + w)] for w in words]
         cut = [[MARK + w[:LONGEST]] + [w[i : i + LONGEST] for i in range(LONGEST, len(w), LONGEST)] for w in words]
         flat = [x for c in cut for x in c]
         kinds = list(dict.fromkeys(flat))
@@ -134,14 +159,14 @@ class Unigram:
         return total[first[1:]] - total[first[:-1]], np.diff(first)
 
 
-def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """id, n_pretokens, n_tokens; vocabulary is a SentencePiece file that each executor has."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _READY:
-            _READY[vocabulary] = Unigram(pieces_of(vocabulary))
+        if (vocabulary, whole) not in _READY:
+            _READY[vocabulary, whole] = Unigram(pieces_of(vocabulary), whole)
         for batch in pieces(batches, limit=4 << 20):
-            tokens, words = _READY[vocabulary].totals(Texts(batch.column("text")))
+            tokens, words = _READY[vocabulary, whole].totals(Texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words), pa.array(tokens)], names=["id", "n_pretokens", "n_tokens"])
 
     rows = df.selectExpr(f"`{id_col}` id", f"`{text_col}` text")

@@ -43,7 +43,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.token_counts(_table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
+    return counts.token_counts(_table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"), whole=True)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

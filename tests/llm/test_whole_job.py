@@ -1,12 +1,13 @@
 """Jobs that were once cut short: each test fails where the cut comes back."""
 
+import random
 from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lodestone.llm import cluster, mixing
+from lodestone.llm import cluster, counts, mixing, queries
 
 
 def deviation(order, blocks, weights):
@@ -69,3 +70,27 @@ def test_packed_prefixes_hold_the_target_weights(spark):
         assert all(abs(seen[s] - t * n**0.5 / total) < 2 * mixing.BLOCK for s, n in sizes.items())
         if seen[source[i]] == sizes[source[i]]:
             break
+
+
+def whole_count(scores, longest, w):
+    """Pieces on the best way through the whole string, ties to fewer."""
+    best = [(0.0, 0)]
+    for j in range(1, len(w) + 1):
+        ways = [(best[i][0] + s, best[i][1] + 1) for i in range(max(0, j - longest), j) if (s := scores.get(w[i:j], counts.BYTE if j - i == 1 else None)) is not None]
+        top = max(s for s, _ in ways)
+        best.append((top, min(n for s, n in ways if s >= top - 1e-9)))
+    return best[-1][1]
+
+
+def test_long_pretokens_are_scored_whole(spark, tmp_path):
+    random.seed(5)
+    scores = counts.pieces_of(queries.public_file("piece_bpe_32k.model"))
+    longest = max(map(len, scores))
+    sizes = (85, 86, 253, 256, 257, 700)
+    words = ["x" * 9000, "日本語の文章" * 200, "https://example.org/" + "some/path-" * 90, *["".join(random.choice("theinrsé") for _ in range(n)) for n in sizes]]
+    texts = [*words, " ".join(words), "short words", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in queries.QUERIES["op5_token_counts"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        own = (text or "").encode().split()
+        assert got[i] == (len(own), sum(whole_count(scores, longest, counts.MARK + w) for w in own)), i
