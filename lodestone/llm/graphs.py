@@ -4,8 +4,9 @@ Equal vectors are one class, named by its smallest id. Classes are dealt to shar
 hierarchical graph (upper layers hold a sixteenth of the layer below; neighbours are chosen so that none is closer to
 another chosen one than to the node). Every class, in blocks, then queries every shard: it descends greedily to the
 lowest layer and searches it with a beam. A query whose beam holds links only is searched again with a wider beam, beyond
-WIDEST over the whole shard; and of each block AUDIT queries are held against all vectors of the shard: while they miss more than
-one link in a hundred the block is searched again with a beam twice as wide. Cosines are computed in double precision
+WIDEST over the whole shard; and of each block AUDIT queries, and AUDIT more made just inside the threshold around vectors of the
+shard, are held against all vectors of the shard: while either miss more than one link in a hundred the block is searched
+again with a beam twice as wide. Cosines are computed in double precision
 for all that the beams found, and only pairs of at least THRESHOLD link. A task gives link counts and a spanning forest
 of its links, so a group of k copies costs k rows, not k squared; union-find joins the forests.
 
@@ -224,14 +225,22 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, b
     return out
 
 
+def planted(exact: np.ndarray, threshold: float) -> np.ndarray:
+    """Up to AUDIT queries that link with a vector of the shard, by a tenth of the way from the threshold to 1."""
+    x = exact[np.unique(np.linspace(0, len(exact) - 1, min(AUDIT, len(exact))).astype(int))]
+    side = np.random.default_rng(22).normal(size=x.shape)
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    side /= np.maximum(np.sqrt(np.einsum("ij,ij->i", side, side)), 1e-9)[:, None]
+    cosine = threshold + (1 - threshold) / 10
+    return _unit(cosine * x + math.sqrt(1 - cosine * cosine) * side)
+
+
 def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """links_of, with beams widened until a sample of queries finds RECALL of its links."""
-    beam, sample = BEAM, np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = [np.flatnonzero(exact @ q[k] >= threshold) for k in sample]
-    total = sum(map(len, truth))
+    """links_of, with beams widened until a sample of queries and the planted ones each find RECALL of their links."""
+    beam, samples = BEAM, [q[np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))], planted(exact, threshold)]
+    totals = [sum(int((exact @ v >= threshold).sum()) for v in s) for s in samples]
     while True:
-        found = links_of(graph, exact, q[sample], threshold, beam)
-        if beam >= len(graph.x) or sum(map(len, found)) >= RECALL * total:
+        if beam >= len(graph.x) or all(sum(map(len, links_of(graph, exact, s, threshold, beam))) >= RECALL * n for s, n in zip(samples, totals, strict=True)):
             return links_of(graph, exact, q, threshold, beam)
         beam *= 2
 

@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lodestone.llm import cluster, counts, mixing, queries
+from lodestone.llm import cluster, counts, graphs, mixing, queries
 
 
 def deviation(order, blocks, weights):
@@ -94,3 +95,26 @@ def test_long_pretokens_are_scored_whole(spark, tmp_path):
     for i, text in enumerate(texts):
         own = (text or "").encode().split()
         assert got[i] == (len(own), sum(whole_count(scores, longest, counts.MARK + w) for w in own)), i
+
+
+def test_audit_has_links_to_find():
+    """No sampled query links; one between them does, in a graph whose beams find nothing."""
+
+    class Blind:
+        def __init__(self, x):
+            self.x = x.astype(np.float32)
+
+        def search(self, q, beam):
+            return np.full((len(q), beam), -1), np.full((len(q), beam), -2.0)
+
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact, q = unit(rng.normal(size=(400, 32))), unit(rng.normal(size=(200, 32)))
+    q[5] = exact[7]
+    assert all((exact @ v < 0.95).all() for v in np.delete(q, 5, 0))
+    found = graphs.audited(Blind(exact), exact, q, 0.95)
+    assert [k for k, at in enumerate(found) if len(at)] == [5] and found[5].tolist() == [7]
+    p = graphs.planted(exact, 0.95)
+    assert len(p) == graphs.AUDIT and ((p @ exact.T).max(1) >= 0.95).all()
+    one = graphs.planted(np.ones((3, 1)), 0.95)
+    assert np.allclose(one, 1)
