@@ -225,8 +225,15 @@ def alpha(t: Column, low: float, span: float, around_half: bool = False) -> Colu
     return num(low) + num(span) * x
 
 
+def favourable_place(kind: str, sign: str, raw: Column, cutoff: float | None, slope: float = 2.0, sharpness: float = 1.0) -> Column:
+    """0..1 along the favourable axis, a half at the cutoff; null without a cutoff or where a value has no place in modelling space."""
+    if cutoff is None or not sign:
+        return F.lit(None).cast("double")
+    return finite_or_null(desirability(kind, sign, raw, cutoff, slope * sharpness))
+
+
 def short_number(v: Column) -> Column:
-    """Fewer decimals for larger numbers; a dash for none."""
+    """Fewer decimals for larger numbers; a dash for none. Halves of the shortest decimal form go up."""
     text = lambda n: F.format_string(f"%.{n}f", v)
     return F.when(~finite(v), "—").when(F.abs(v) >= 100, text(0)).when(F.abs(v) >= 10, text(1)).when(F.abs(v) >= 1, text(2)).otherwise(text(3))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import num
+from lodestone.operators.ranks import prefix_sums
 
 _SUMS = {"n": lambda s, r: F.count(F.lit(1)).cast("double"), "ss": lambda s, r: F.sum(s), "sr": lambda s, r: F.sum(r), "sss": lambda s, r: F.sum(s * s), "ssr": lambda s, r: F.sum(s * r), "srr": lambda s, r: F.sum(r * r)}
 
@@ -52,14 +53,58 @@ def confidence_columns(std: str = "uq_std", rmse: str = "rmse_cv", label_std: st
 def conformal(df: DataFrame, by: list[str], real: str = "real_y", pred: str = "pred_y", std: str = "uq_std", rmse: str = "rmse_cv") -> DataFrame:
     """The rows with conf_conformal: the share of the group's |residual| / std at most rmse / std of the row.
 
-    Scores and thresholds are merged in one order by group and counted by a running sum, not a join of all pairs.
+    Scores and thresholds are counted by distinct value and merged in one order by group; counts come from running sums.
     """
     rows = df.withColumn("_t", F.try_divide(F.col(rmse), F.col(std))).withColumn("_s", F.try_divide(F.abs(F.col(real) - F.col(pred)), F.col(std)))
-    rows = rows.withColumn("_e", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("_s").alias("v")), F.struct(F.lit(1).alias("k"), F.col("_t").alias("v")))))
-    w = Window.partitionBy(*by).orderBy(F.col("_e.v"), F.col("_e.k"))
-    scored = F.count_if((F.col("_e.k") == 0) & F.col("_s").isNotNull())
-    rows = rows.withColumn("_c", scored.over(w)).withColumn("_n", scored.over(Window.partitionBy(*by)))
-    return rows.where("_e.k = 1").withColumn("conf_conformal", F.when(F.col("_t").isNotNull(), F.try_divide(F.col("_c").cast("double"), F.col("_n").cast("double")))).drop("_t", "_s", "_e", "_c", "_n")
+    keys = [F.col(c).alias(f"_g_{c}") for c in by]
+    names = [f"_g_{c}" for c in by]
+    scores = rows.where("_s is not null").groupBy(*keys, F.col("_s").alias("_v"), F.lit(0).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    limits = rows.where("_t is not null").groupBy(*keys, F.col("_t").alias("_v"), F.lit(1).alias("_k")).agg(F.lit(0).cast("bigint").alias("_n"))
+    merged = prefix_sums(scores.unionByName(limits), names, [F.col("_v"), F.col("_k")], {"_c": F.col("_n")}).where("_k = 1").drop("_k", "_n")
+    if by:
+        totals = scores.groupBy(*[F.col(c).alias(f"_o{c}") for c in names]).agg(F.sum("_n").alias("_all"))
+        merged = merged.join(totals, [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in names]).drop(*[f"_o{c}" for c in names])
+    else:
+        merged = merged.withColumn("_all", F.lit(scores.agg(F.sum("_n")).first()[0]).cast("bigint"))
+    out = rows.join(merged, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)] + [F.col("_t") == F.col("_v")], "left")
+    return out.withColumn("conf_conformal", F.try_divide(F.col("_c").cast("double"), F.col("_all").cast("double"))).drop("_t", "_s", "_v", "_c", "_all", *names)
+
+
+LEAST_ROWS = 30
+
+
+def arm_calibration(predictions: DataFrame, by: list[str], cv: str = "augmented_cv", cv_arms: tuple[str, ...] = ("internal_cv", "augmented_cv"), least: int = LEAST_ROWS) -> DataFrame:
+    """Parameters for each group, arm and fold (null for single-block arms), with `n` rows behind them and which rows those are.
+
+    Cross-validated arms: each fold by the other folds, by the pooled `cv` arm where there is one fold. Other arms: the
+    `cv` arm without the compounds that this arm tests, or pooled where fewer than `least` rows are left.
+    """
+    base = predictions.where(F.col("arm") == cv)
+    names = ["n", "rmse_cv", "label_std", "recal_a", "recal_b"]
+    pooled = parameters(base, by)
+    own = parameters_without_fold(predictions.where(F.col("arm").isin(*cv_arms)), [*by, "arm"]).withColumn("rows", F.lit("other folds"))
+    folds = predictions.where(F.col("arm").isin(*cv_arms)).select(*by, "arm", "fold").distinct()
+    lone = folds.join(own.select(*by, "arm", "fold"), [*by, "arm", "fold"], "left_anti").join(pooled, by, "left").withColumn("rows", F.lit("pooled"))
+    tested = predictions.where(~F.col("arm").isin(*cv_arms)).select(*by, "arm", F.col("compound").alias("_tested")).distinct()
+    arms = tested.select(*by, "arm").distinct()
+    each = base.join(arms.withColumnRenamed("arm", "_arm"), by)
+    match = [each[c] == F.col(f"_t_{c}") for c in by] + [F.col("_arm") == F.col("_in"), F.col("compound") == F.col("_tested")]
+    rest = each.join(tested.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("arm").alias("_in"), "_tested"), match, "left_anti")
+    rest = parameters(rest.drop("arm").withColumnRenamed("_arm", "arm"), [*by, "arm"])
+    single = arms.join(rest, [*by, "arm"], "left").withColumn("_few", F.coalesce(F.col("n"), F.lit(0)) < least)
+    single = single.join(pooled.select(*by, *[F.col(c).alias(f"_p_{c}") for c in names]), by, "left")
+    single = single.withColumns({c: F.when(F.col("_few"), F.col(f"_p_{c}")).otherwise(F.col(c)) for c in names})
+    single = single.withColumn("rows", F.when(F.col("_few"), "pooled").otherwise("without tested")).withColumn("fold", F.lit(None).cast(predictions.schema["fold"].dataType))
+    columns = [*by, "arm", "fold", *names, "rows"]
+    return own.select(*columns).unionByName(lone.select(*columns)).unionByName(single.select(*columns))
+
+
+def with_arm_confidence(predictions: DataFrame, by: list[str], std: str = "uq_std", **options) -> DataFrame:
+    """The rows with the confidences of their arm's calibration, and which rows that stands on."""
+    table = arm_calibration(predictions, by, **options)
+    table = table.select(*[F.col(c).alias(f"_c_{c}") for c in (*by, "arm", "fold")], *[c for c in table.columns if c not in (*by, "arm", "fold", "n")])
+    on = [F.col(c) == F.col(f"_c_{c}") for c in (*by, "arm")] + [F.col("_c_fold").isNull() | (F.col("fold") == F.col("_c_fold"))]
+    return predictions.join(table, on, "left").withColumns(confidence_columns(std)).withColumnRenamed("rows", "calibrated_on").drop(*[f"_c_{c}" for c in (*by, "arm", "fold")])
 
 
 def calibrated(df: DataFrame, by: list[str], fold: str | None = None, **names: str) -> DataFrame:

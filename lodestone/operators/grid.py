@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.transforms import compare, finite_or_null
+from lodestone.functions.transforms import compare, finite, finite_or_null
 
 
 def term_filter(terms: list[tuple[str | None, str | None, float | None]], mode: str = "all") -> Column:
@@ -40,10 +40,16 @@ def csv_field(c: Column) -> Column:
     return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def sdf_records(df: DataFrame, fields: list[str], block: str = "block") -> DataFrame:
-    """Each record's text: its block, then the fields that are there and finite."""
-    parts = [F.when(F.col(f).isNotNull() & ~F.coalesce(F.isnan(F.col(f).cast("double")), F.lit(False)), F.concat(F.lit(f"> <{f}>\n"), F.col(f).cast("string"), F.lit("\n\n"))) for f in fields]
-    return df.withColumn("record", F.concat(F.regexp_replace(F.col(block), r"\s+$", ""), F.lit("\n"), F.concat_ws("", *parts), F.lit("$$$$\n")))
+def sdf_records(df: DataFrame, fields: list[str], block: str = "block", total: int | None = None, index: str = "idx") -> DataFrame:
+    """Each record's text: its block as it was, with a line end if it lacks one, then the fields that are there and finite.
+
+    With `total`, rows whose number isn't below it raise when they are computed.
+    """
+    there = lambda f: F.col(f).isNotNull() & (finite(F.col(f).cast("double")) if dict(df.dtypes)[f] in ("double", "float") else F.lit(True))
+    parts = [F.when(there(f), F.concat(F.lit(f"> <{f}>\n"), F.col(f).cast("string"), F.lit("\n\n"))) for f in fields]
+    if total is not None:
+        df = df.where(F.when((F.col(index) >= 0) & (F.col(index) < total), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("row index "), F.col(index).cast("string"), F.lit(" is outside this run"))).cast("boolean")))
+    return df.withColumn("record", F.concat(F.col(block), F.when(F.col(block).endswith("\n"), "").otherwise("\n"), F.concat_ws("", *parts), F.lit("$$$$\n")))
 
 
 def live_runs(runs: DataFrame, now: Column, ttl_seconds: float, most: int, time: str = "ts") -> DataFrame:

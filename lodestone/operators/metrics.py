@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import finite, num
+from lodestone.operators.ranks import average_ranks, percentiles, prefix_sums
 
 
 def correlation(a: str, b: str) -> Column:
@@ -33,14 +34,31 @@ def regression(df: DataFrame, by: list[str], real: str = "real_y", pred: str = "
     return finite_pairs(df, real, pred).groupBy(*by).agg(*[c.alias(k) for k, c in aggregates.items()])
 
 
-def average_rank(column: str, by: list[str]) -> Column:
-    """Ranks with ties at their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / num(2)
+def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "spearman_rho") -> DataFrame:
+    rows = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
+    ranked = weighted_ranks(weighted_ranks(rows, by, a, "_a"), by, b, "_b")
+    mean = lambda c: F.sum(F.col("_w") * c) / F.sum("_w")
+    x, y = F.col("_a"), F.col("_b")
+    spread = F.sqrt((mean(x * x) - mean(x) * mean(x)) * (mean(y * y) - mean(y) * mean(y)))
+    return ranked.groupBy(*by).agg(F.sum("_w").alias("n"), F.try_divide(mean(x * y) - mean(x) * mean(y), spread).alias(name))
 
 
-def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "spearman_rho") -> DataFrame:
-    ranked = df.withColumn("_a", average_rank(a, by)).withColumn("_b", average_rank(b, by))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_a", "_b").alias(name))
+def weighted_ranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Rows that stand for `_w` rows each, with their value's rank, ties at their mean."""
+    counts = df.groupBy(*[F.col(c).alias(f"_key_{c}") for c in by], F.col(column).alias("_value")).agg(F.sum("_w").alias("_n"))
+    ranked = prefix_sums(counts, [f"_key_{c}" for c in by], [F.col("_value")], {"_before": F.col("_n")})
+    table = ranked.select(*[f"_key_{c}" for c in by], "_value", (F.col("_before") + (F.col("_n") + 1) / num(2)).alias(name))
+    on = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by] + [F.col(column).eqNullSafe(F.col("_value"))]
+    return df.join(table, on).drop("_value", *[f"_key_{c}" for c in by])
+
+
+def rank_association(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with n and, for each pair of columns, their rank correlation."""
+    ranked = df
+    for c in columns:
+        ranked = average_ranks(ranked, [], c, f"_rank_{c}")
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    return ranked.agg(F.count(F.lit(1)).alias("n"), *[correlation(f"_rank_{x}", f"_rank_{y}").alias(f"{x}{y}") for x, y in pairs])
 
 
 def calibration_line(real: str = "real_y", pred: str = "pred_y") -> dict[str, Column]:
@@ -70,9 +88,10 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
 
 
 def roc_auc(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame:
-    """Area under the ROC curve by rank sums; null with one class."""
-    ranked = df.withColumn("_y", real.cast("int")).withColumn("_r", average_rank(score, by))
-    out = ranked.groupBy(*by).agg(F.sum("_y").alias("pos"), (F.count(F.lit(1)) - F.sum("_y")).alias("neg"), F.sum(F.when(F.col("_y") == 1, F.col("_r")).otherwise(0.0)).alias("_s"))
+    """Area under the ROC curve by rank sums of counts by distinct score; null with one class."""
+    counts = df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    ranked = prefix_sums(counts, by, [F.col(score)], {"_before": F.col("_n")}).withColumn("_r", F.col("_before") + (F.col("_n") + 1) / num(2))
+    out = ranked.groupBy(*by).agg(F.sum("_p").alias("pos"), (F.sum("_n") - F.sum("_p")).alias("neg"), F.sum(F.col("_p") * F.col("_r")).alias("_s"))
     p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
     return out.withColumn("roc_auc", F.try_divide(F.col("_s") - p * (p + 1) / 2, p * n)).drop("_s")
 
@@ -80,11 +99,18 @@ def roc_auc(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame
 def average_precision(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame:
     """Area under the precision-recall curve as a sum over score steps, from counts by distinct score."""
     steps = df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    steps = steps.withColumn("_precision", F.sum("_p").over(w) / F.sum("_n").over(w))
+    steps = prefix_sums(steps, by, [F.desc(score)], {"_bp": F.col("_p"), "_bn": F.col("_n")})
+    steps = steps.withColumn("_precision", (F.col("_bp") + F.col("_p")) / (F.col("_bn") + F.col("_n")))
     return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_precision")), F.sum("_p").cast("double")).alias("pr_auc"))
 
 
+def balanced_accuracy(df: DataFrame, by: list[str], real: Column, call: Column) -> DataFrame:
+    """The mean of both classes' recall; null where a class has no row."""
+    counts = df.withColumn("_r", real).withColumn("_c", call).groupBy(*by).agg(*[c.alias(k) for k, c in confusion(F.col("_r"), F.col("_c")).items()])
+    recall = lambda a, b: F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double"))
+    return counts.select(*by, ((recall("tp", "fn") + recall("tn", "fp")) / num(2)).alias("balanced_accuracy"))
+
+
 def ppv_curve(df: DataFrame, real: Column, score: str, points: int = 30) -> DataFrame:
     """(proba, n, ppv) at evenly spaced thresholds: rows are counted by the highest threshold they reach, then summed."""
     step = F.floor(F.col(score) * F.lit(float(points))).cast("bigint")
@@ -101,21 +127,51 @@ def fixed_bins(conf: Column, width: int = 5) -> Column:
 
 def quantile_bins(df: DataFrame, column: str, by: list[str], n: int = 5, name: str = "bin") -> DataFrame:
     """Bins between distinct quantiles, as many as there are; the lowest value belongs to the first."""
-    shares = F.array(*[num(i / n) for i in range(n + 1)])
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(column, shares)).alias("_edges"))
+    edges = percentiles(df, by, column, [i / n for i in range(n + 1)], "_edges").withColumn("_edges", F.array_distinct("_edges"))
+    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in by], "_edges")
     place = F.size(F.filter(F.slice("_edges", 2, n + 1), lambda e: e < F.col(column))) + 1
-    joined = df.join(F.broadcast(edges), by) if by else df.withColumn("_one", F.lit(1)).join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return joined.withColumn(name, place.cast("bigint")).drop("_edges")
+    if by:
+        joined = df.join(edges, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by])
+    else:
+        joined = df.withColumn("_edges", F.array(*[num(x) for x in (edges.first() or [[]])[0]]).cast("array<double>"))
+    return joined.withColumn(name, place.cast("bigint")).drop("_edges", *[f"_e_{c}" for c in by])
 
 
 def half_split(df: DataFrame, by: list[str], conf: str, residual: str, split: float = 0.5) -> DataFrame:
     return df.withColumn("confident", F.col(conf) >= num(split)).groupBy(*by, "confident").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col(residual) * F.col(residual))).alias("rmse"))
 
 
-def block_flags(df: DataFrame, block: str, columns: list[str]) -> DataFrame:
-    """For each metric whether a row has the block's best or worst value."""
-    w = Window.partitionBy(block)
-    return df.withColumns({f"{c}_{k}": F.col(c) == f(c).over(w) for c in columns for k, f in (("best", F.max), ("worst", F.min))})
+#: Columns of the metrics table of which the smallest value is the best.
+LOWER_IS_BETTER = ("rmse", "mae")
+
+
+def block_flags(df: DataFrame, block: str, columns: list[str], lower: tuple[str, ...] = LOWER_IS_BETTER) -> DataFrame:
+    """For each metric whether a row has the block's best or worst value; where all are equal none is the worst, and a missing value is neither."""
+    w, out = Window.partitionBy(block), {}
+    for c in columns:
+        best, worst = (F.min, F.max) if c in lower else (F.max, F.min)
+        out[f"{c}_best"] = F.coalesce(F.col(c) == best(c).over(w), F.lit(False))
+        out[f"{c}_worst"] = F.coalesce((F.col(c) == worst(c).over(w)) & (worst(c).over(w) != best(c).over(w)), F.lit(False))
+    return df.withColumns(out)
+
+
+def arm_block(arm: Column) -> Column:
+    """The metrics table's block of an arm: 2 for a temporal one, whose name holds 'temp', else 1."""
+    return F.when(F.lower(arm).contains("temp"), 2).otherwise(1)
+
+
+def metrics_table(predictions: DataFrame, by: list[str], cutoff: Column, sign: str = ">=") -> DataFrame:
+    """A row an arm: regression metrics, triage at the cutoff (in modelling space), block, and place by block and falling r2det.
+
+    predictions: rows of `by`, arm, real_y, pred_y; a sign '>=' or '>' makes high values the favourable ones.
+    """
+    compare = {">=": lambda c: c >= cutoff, ">": lambda c: c > cutoff, "<=": lambda c: c <= cutoff, "<": lambda c: c < cutoff}[sign]
+    keys = [*by, "arm"]
+    numbers = regression(predictions, keys)
+    calls = triage(finite_pairs(predictions), keys, compare(F.col("real_y")), compare(F.col("pred_y")))
+    out = numbers.join(calls, keys).withColumn("block", arm_block(F.col("arm")))
+    order = Window.partitionBy(*by).orderBy("block", F.col("r2det").desc_nulls_last(), "arm")  # a row an arm
+    return out.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
 def winners(df: DataFrame, by: list[str], metric: str, order: str) -> DataFrame:

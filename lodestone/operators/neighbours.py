@@ -1,17 +1,24 @@
-"""Similarity joins between a large pool and a small internal set, and what is built on them.
+"""Similarity joins between a large pool and an internal query set, and what is built on them.
 
-The internal side is broadcast only while it is below a checked row count; beyond that pairs come from locality-sensitive
-hashing of random projections and are verified exactly.
+Pool and internal rows are dealt into parts and groups of bounded size; each meeting of a part and a group is one matrix
+product that gives the nearest ones only, so no pair of all is ever a row. Exact at any size.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import num
+from lodestone.operators.ranks import percentiles
 
-MOST_BROADCAST = 20_000
+PART_ROWS = 16_384
+GROUP_ROWS = 32_768
+DIGITS = 12
 
 
 def norm(v: Column) -> Column:
@@ -32,48 +39,93 @@ def tanimoto_distance(a: Column, b: Column) -> Column:
     return num(1) - F.try_divide(both, F.size(a) + F.size(b) - both)
 
 
-def distances(pool: DataFrame, internal: DataFrame, pool_id: str, internal_id: str, vector: str = "v", distance=cosine_distance) -> DataFrame:
-    """(pool id, internal id, dist) of a stated internal set against all pool rows; raises where that set isn't small."""
-    if internal.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} internal rows: use near_pairs")
-    small = F.broadcast(internal.select(F.col(internal_id).alias("internal"), F.col(vector).alias("_v")))
-    return pool.select(F.col(pool_id).alias("pool"), F.col(vector).alias("_u")).join(small).select("pool", "internal", distance(F.col("_u"), F.col("_v")).alias("dist"))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    n = len(column)
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def _distances(u: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    both = u @ v.T
+    a, b = np.einsum("ij,ij->i", u, u)[:, None], np.einsum("ij,ij->i", v, v)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - both / (np.sqrt(a) * np.sqrt(b) if metric == "cosine" else a + b - both)
+
+
+def _meetings(pool: DataFrame, internal: DataFrame, pool_id: str, internal_id: str, vector: str, work) -> DataFrame:
+    """work over the tables (id, v) of every part of the pool and group of the internal rows."""
+    kinds = pool.schema[pool_id].dataType.simpleString(), internal.schema[internal_id].dataType.simpleString()
+    v = F.col(vector).cast("array<double>").alias("v")
+    a, b = pool.where(F.col(vector).isNotNull()).select(F.col(pool_id).alias("id"), v), internal.where(F.col(vector).isNotNull()).select(F.col(internal_id).alias("id"), v)
+    parts, groups = max(1, math.ceil(a.count() / PART_ROWS)), max(1, math.ceil(b.count() / GROUP_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("group", every(groups))
+    b = b.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("part", every(parts))
+    return a.groupBy("part", "group").cogroup(b.groupBy("part", "group")).applyInArrow(work, f"pool {kinds[0]}, internal {kinds[1]}, dist double")
+
+
+def _table(left: pa.Table, right: pa.Table, rows: np.ndarray, columns: np.ndarray, dist: np.ndarray) -> pa.Table:
+    return pa.table({"pool": left["id"].combine_chunks().take(pa.array(rows)), "internal": right["id"].combine_chunks().take(pa.array(columns)), "dist": pa.array(dist)})
+
+
+def within(pool: DataFrame, internal: DataFrame, limit: float, pool_id: str = "id", internal_id: str = "id", vector: str = "v", metric: str = "cosine", digits: int = DIGITS) -> DataFrame:
+    """(pool, internal, dist) of all pairs within the distance, rounded to `digits`; null vectors are near none."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(left, right, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        d = np.round(_distances(_matrix(left["v"]), _matrix(right["v"]), metric), digits) + 0.0
+        rows, columns = np.nonzero(d <= limit)
+        return _table(left, right, rows, columns, d[rows, columns])
+
+    return _meetings(pool, internal, pool_id, internal_id, vector, work)
 
 
-def near_pairs(pool: DataFrame, internal: DataFrame, pool_id: str, internal_id: str, limit: float, vector: str = "v", tables: int = 8, bucket: float = 1.0) -> DataFrame:
-    """Pairs within a Euclidean distance, by random projections (approximate) and exact verification."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def nearest(pool: DataFrame, internal: DataFrame, k: int, of: str = "pool", pool_id: str = "id", internal_id: str = "id", vector: str = "v", metric: str = "cosine", digits: int = DIGITS) -> DataFrame:
+    """(pool, internal, dist, rank): for each row of one side (`of`) its k nearest of the other.
 
-    vec = lambda df, i, name: df.select(F.col(i).alias(name), array_to_vector(F.col(vector)).alias("vec"))
-    a, b = vec(pool, pool_id, "pool"), vec(internal, internal_id, "internal")
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=7).fit(a)
-    found = model.approxSimilarityJoin(a, b, limit, "dist")
-    return found.select(F.col("datasetA.pool").alias("pool"), F.col("datasetB.internal").alias("internal"), "dist")
+    Distances are rounded to `digits`; ties go to the smaller id. Vectors without a direction are near none.
+    """
+    other = "internal" if of == "pool" else "pool"
 
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(left, right, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        u, v, out = _matrix(left["v"]), _matrix(right["v"]), []
+        order_left, order_right = np.argsort(np.asarray(left["id"]), kind="stable"), np.argsort(np.asarray(right["id"]), kind="stable")
+        mine, theirs, x, y = (order_left, order_right, u, v) if of == "pool" else (order_right, order_left, v, u)
+        for i in range(0, len(mine), 2048):
+            some = mine[i : i + 2048]
+            d = _distances(x[some], y[theirs], metric)
+            d = np.where(np.isnan(d), np.inf, np.round(d, digits) + 0.0)
+            top = np.argsort(d, axis=1, kind="stable")[:, :k]
+            rows, dist = np.repeat(some, top.shape[1]), np.take_along_axis(d, top, 1).reshape(-1)
+            out.append((rows, theirs[top].reshape(-1), dist))
+        rows, columns, dist = (np.concatenate(x) for x in zip(*out, strict=True))
+        sound = np.isfinite(dist)
+        a, b = (rows, columns) if of == "pool" else (columns, rows)
+        return _table(left, right, a[sound], b[sound], dist[sound])
 
-def shell(dist: DataFrame, limit: float) -> DataFrame:
-    """Pool rows within the limit of any internal row, with the nearest distance."""
-    return dist.groupBy("pool").agg(F.min("dist").alias("nearest")).where(F.col("nearest") <= num(limit))
+    found = _meetings(pool, internal, pool_id, internal_id, vector, work)
+    w = Window.partitionBy(of).orderBy("dist", other)
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def knn(dist: DataFrame, k: int, of: str = "internal", to: str = "pool") -> DataFrame:
-    """The k nearest of `to` for each of `of`, with their rank."""
-    w = Window.partitionBy(of).orderBy("dist", to)
-    return dist.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+def shell(near: DataFrame, limit: float) -> DataFrame:
+    """Of pool rows' nearest distances: those within the limit."""
+    return near.groupBy("pool").agg(F.min("dist").alias("nearest")).where(F.col("nearest") <= num(limit))
 
 
-def mutual_knn(dist: DataFrame, k: int) -> DataFrame:
+def mutual_nearest(pool: DataFrame, internal: DataFrame, k: int, **options) -> DataFrame:
     """Pairs of which each is among the other's k nearest."""
-    a = knn(dist, k, "internal", "pool").select("internal", "pool", "dist")
-    b = knn(dist, k, "pool", "internal").select("internal", "pool")
+    a = nearest(pool, internal, k, "internal", **options).select("internal", "pool", "dist")
+    b = nearest(pool, internal, k, "pool", **options).select("internal", "pool")
     return a.join(b, ["internal", "pool"])
 
 
-def edited(dist: DataFrame, pool_labels: DataFrame, internal_labels: DataFrame, k: int, most: float) -> DataFrame:
-    """Pool rows whose label is within `most` of the mean label of their k nearest internal rows (columns id, label)."""
-    near = knn(dist, k, "pool", "internal").join(internal_labels.select(F.col("id").alias("internal"), F.col("label").alias("_l")), "internal")
-    means = near.groupBy("pool").agg(F.avg("_l").alias("neighbour_label"))
+def edited(near: DataFrame, pool_labels: DataFrame, internal_labels: DataFrame, most: float) -> DataFrame:
+    """Of pool rows' nearest internal rows: pool rows whose label is within `most` of the mean label of those (columns id, label)."""
+    labelled = near.join(internal_labels.select(F.col("id").alias("internal"), F.col("label").alias("_l")), "internal")
+    means = labelled.groupBy("pool").agg(F.avg("_l").alias("neighbour_label"))
     return means.join(pool_labels.select(F.col("id").alias("pool"), "label"), "pool").where(F.abs(F.col("label") - F.col("neighbour_label")) <= num(most))
 
 
@@ -81,15 +133,17 @@ def distance_weights(dist: DataFrame, scale: float) -> DataFrame:
     return dist.groupBy("pool").agg(F.exp(-F.min("dist") / num(scale)).alias("weight"))
 
 
-def correct_bias(pool: DataFrame, internal: DataFrame, mode: str, label: str = "label") -> DataFrame:
-    """Pool labels moved to the internal median (shift), and scaled to its interquartile range (affine)."""
-    if mode not in ("shift", "affine"):
+def correct_bias(pool: DataFrame, internal: DataFrame, mode: str, label: str = "label", anchors: DataFrame | None = None) -> DataFrame:
+    """Pool labels moved to the internal median (shift), also scaled to its interquartile range (affine), or moved by the
+    median difference of measured anchors (anchor: rows pool_label, internal_label of structures that both sides have)."""
+    if mode not in ("shift", "affine", "anchor"):
         raise ValueError(f"unknown correction {mode!r}")
-    stats = lambda df, p: df.agg(F.median(label).alias(f"{p}m"), (F.percentile(label, num(0.75)) - F.percentile(label, num(0.25))).alias(f"{p}q"), F.lit(1).alias("_one"))
-    both = stats(pool, "_p").join(stats(internal, "_i").withColumnRenamed("_one", "_two"), F.col("_one") == F.col("_two"))
-    scale = F.coalesce(F.try_divide(F.col("_iq"), F.col("_pq")), num(1)) if mode == "affine" else num(1)
-    out = pool.withColumn("_one", F.lit(1)).join(F.broadcast(both), "_one")
-    return out.withColumn("corrected", (F.col(label) - F.col("_pm")) * scale + F.col("_im")).drop("_one", "_two", "_pm", "_pq", "_im", "_iq")
+    if mode == "anchor":
+        shift = percentiles(anchors.select((F.col("internal_label") - F.col("pool_label")).alias("_d")), [], "_d", [0.5]).first()
+        return pool.withColumn("corrected", F.col(label) + num(shift[0][0] if shift and shift[0][0] is not None else 0.0))
+    (pl, pm, ph), (il, im, ih) = (percentiles(df, [], label, [0.25, 0.5, 0.75]).first()[0] for df in (pool, internal))
+    scale = (ih - il) / (ph - pl) if mode == "affine" and ph > pl else 1.0
+    return pool.withColumn("corrected", (F.col(label) - num(pm)) * num(scale) + num(im))
 
 
 def keep_bits(bits: DataFrame, least: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import text_key
+from lodestone.operators.ranks import numbered, percentiles
+from lodestone.shared import free_names
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -50,26 +52,37 @@ def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(right, on, how).drop(*[f"_r_{c}" for c in shared])
 
 
-def check_cardinality(left: DataFrame, joined: DataFrame) -> None:
-    """Raises unless every left row was matched exactly once."""
-    n, m = left.count(), joined.count()
-    if n != m:
-        raise ValueError(f"the join made {m} rows of {n}")
+def check_cardinality(left: DataFrame, joined: DataFrame, keys: list[str]) -> None:
+    """Raises unless every left row was matched exactly once: counts by the left rows' keys, held against each other."""
+    count = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    names = [f"_k{i}" for i in range(len(keys))]
+    have = count(joined, "_have").select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], "_have")
+    both = count(left, "_want").join(have, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "full")
+    bad = both.agg(F.count_if(F.coalesce("_have", F.lit(0)) < F.coalesce("_want", F.lit(0))).alias("lost"), F.count_if(F.coalesce("_have", F.lit(0)) > F.coalesce("_want", F.lit(0))).alias("more")).first()
+    if bad["lost"] or bad["more"]:
+        raise ValueError(f"the join lost rows of {bad['lost']} keys and repeated rows of {bad['more']}")
+
+
+def key_level(key: Column, level: str) -> Column:
+    if level not in ("exact", "skeleton"):
+        raise ValueError(f"unknown level {level!r}")
+    return F.substring(key, 1, 14) if level == "skeleton" else key
 
 
 def drop_twins(public: DataFrame, internal: DataFrame, key: str = "_ik", level: str = "exact") -> DataFrame:
     """Public rows whose molecule key no internal row has; rows without a key stay."""
     if level == "none":
         return public
-    cut = (lambda c: F.substring(c, 1, 14)) if level == "skeleton" else (lambda c: c)
-    keys = internal.select(cut(F.col(key)).alias("_twin")).where("_twin is not null").distinct()
-    return public.join(keys, cut(public[key]) == F.col("_twin"), "left_anti")
+    keys = internal.select(key_level(F.col(key), level).alias("_twin")).where("_twin is not null").distinct()
+    return public.join(keys, key_level(public[key], level) == F.col("_twin"), "left_anti")
 
 
-def twin_mask(public: DataFrame, internal: DataFrame, key: str = "_ik", name: str = "is_twin") -> DataFrame:
-    """All public rows with whether an internal row has their key."""
-    keys = internal.select(F.col(key).alias("_twin")).where("_twin is not null").distinct()
-    return public.join(keys, public[key] == F.col("_twin"), "left").withColumn(name, F.col("_twin").isNotNull()).drop("_twin")
+def twin_mask(public: DataFrame, internal: DataFrame, key: str = "_ik", name: str = "is_twin", level: str = "exact") -> DataFrame:
+    """All public rows with whether an internal row has their key at this level: the rows that drop_twins leaves out."""
+    if level == "none":
+        return public.withColumn(name, F.lit(False))
+    keys = internal.select(key_level(F.col(key), level).alias("_twin")).where("_twin is not null").distinct()
+    return public.join(keys, key_level(public[key], level) == F.col("_twin"), "left").withColumn(name, F.col("_twin").isNotNull()).drop("_twin")
 
 
 def fill_from(df: DataFrame, lookup: DataFrame, key: str, column: str, value: str, where: Column, order: list[Column]) -> DataFrame:
@@ -116,14 +129,10 @@ def power_set(items: DataFrame, item: str, order: str) -> DataFrame:
 
 
 def sequential_ids(df: DataFrame, order: list[Column], prefix: str = "", name: str = "compound") -> DataFrame:
-    """PREFIX_<i> numbered from 0 in the order, without one task sorting all rows: ranks within range partitions plus the counts before them."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = ranged.groupBy(F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_c")).select("_q", before.alias("_b"))
-    out = ranged.withColumn("_n", local).join(F.broadcast(counts), F.col("_p") == F.col("_q"))
-    i = F.col("_b") + F.col("_n") - 1
-    return out.withColumn(name, F.concat(F.lit(prefix), i.cast("string")) if prefix else i).drop("_p", "_n", "_q", "_b")
+    """PREFIX_<i> numbered from 0 in the order, which must be total."""
+    (at,) = free_names(df.columns, "_number")
+    out = numbered(df, order, at)
+    return out.withColumn(name, F.concat(F.lit(prefix), F.col(at).cast("string")) if prefix else F.col(at)).drop(*[at] if at != name else [])
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -148,10 +157,34 @@ def funnel(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.agg(*counts).select(F.inline(steps))
 
 
+def collapse(df: DataFrame, keys: list[str], how: dict[str, str]) -> DataFrame:
+    """A row a key with each column's mean, median, min, max or first by value, as configured; medians are exact."""
+    simple = {"mean": F.avg, "min": F.min, "max": F.max, "first": F.min, "sum": F.sum, "count": F.count}
+    if bad := {x for x in how.values() if x not in simple and x != "median"}:
+        raise ValueError(f"unknown aggregates {sorted(bad)}")
+    plain = [simple[h](F.col(f"`{c}`")).alias(c) for c, h in how.items() if h != "median"]
+    out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
+    for c in [c for c, h in how.items() if h == "median"]:
+        mid = percentiles(df, keys, c, [0.5]).select(*[F.col(f"`{k}`").alias(f"_m_{k}") for k in keys], F.col("q")[0].alias(c))
+        out = out.join(mid, [F.col(f"`{k}`").eqNullSafe(F.col(f"_m_{k}")) for k in keys], "left").drop(*[f"_m_{k}" for k in keys])
+    return out.select(*keys, *how)
+
+
 def with_keys(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_ik", text_key(F.col(text_col)))
 
 
+def prefixed(columns: list[str], prefix: str, leave_out: tuple[str, ...] = ()) -> list[str]:
+    """The columns that start with a prefix (an empty one: all), without those left out, in their order."""
+    return [c for c in columns if c.startswith(prefix) and c not in leave_out]
+
+
+def conform(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in a given order as doubles: what does not parse, and columns that are not there, become null."""
+    have = {c.lower() for c in df.columns}
+    return df.select(*[(F.col(f"`{c}`").cast("string").try_cast("double") if c.lower() in have else F.lit(None).cast("double")).alias(c) for c in columns])
+
+
 def display_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Rows in a configured order of a column's values, the others after them by name."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))

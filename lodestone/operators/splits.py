@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import digits
+from lodestone.operators.ranks import even_parts, hash_bin, numbered
+from lodestone.shared import Scratch
 
 
 def dice(seed: int, group: Column) -> Column:
@@ -15,12 +17,13 @@ def dice(seed: int, group: Column) -> Column:
 def group_folds(df: DataFrame, id_col: str, group: Column | None = None, k: int = 5, seed: int = 42) -> DataFrame:
     """The rows with fold 1..k; rows of a group share it; a row without a group is one of its own.
 
-    Groups are numbered by a seeded hash. Only distinct groups are sorted, and their table is joined back.
+    Groups are numbered by a seeded hash, in bins of it, and cut into k even parts; only distinct groups are sorted.
     """
     key = F.coalesce(group.cast("string"), F.concat(F.lit("id:"), F.col(id_col).cast("string"))) if group is not None else F.col(id_col).cast("string")
     rows = df.withColumn("_group", key)
-    groups = rows.select("_group").distinct()
-    folds = groups.select(F.col("_group").alias("_g"), F.ntile(k).over(Window.orderBy(dice(seed, F.col("_group")), "_group")).cast("bigint").alias("fold"))
+    groups = Scratch(df.sparkSession).save(rows.select("_group").distinct().withColumn("_dice", dice(seed, F.col("_group"))))
+    placed = numbered(groups, [F.col("_dice"), F.col("_group")], "_at", bins=hash_bin(F.col("_dice")))
+    folds = placed.select(F.col("_group").alias("_g"), even_parts(F.col("_at"), groups.count(), k).alias("fold"))
     return rows.join(folds, F.col("_group") == F.col("_g")).drop("_group", "_g")
 
 
@@ -36,32 +39,35 @@ def roles(folded: DataFrame, id_col: str, k: int = 5, public: DataFrame | None =
 
 def temporal(df: DataFrame, id_col: str, share: float = 0.7) -> DataFrame:
     """role by the number in the id: the oldest floor(share * n) rows train, the newest test; ids without one are newest."""
-    w = Window.orderBy(F.col("_d").asc_nulls_last(), F.col(id_col))
     n = df.count()
-    ranked = df.withColumn("_d", digits(F.col(id_col).cast("string"))).withColumn("_r", F.row_number().over(w))
-    return ranked.withColumn("role", F.when(F.col("_r") <= int(n * share), "train").otherwise("test")).drop("_d", "_r")
+    ranked = numbered(df.withColumn("_d", digits(F.col(id_col).cast("string"))), [F.col("_d").asc_nulls_last(), F.col(id_col)], "_r")
+    return ranked.withColumn("role", F.when(F.col("_r") < int(n * share), "train").otherwise("test")).drop("_d", "_r")
+
+
+def time_blocks(df: DataFrame, order: list[Column], blocks: int = 10) -> DataFrame:
+    """The rows with their block 1..blocks of the order."""
+    placed = numbered(df, order, "_at")
+    return placed.withColumn("block", even_parts(F.col("_at"), df.count(), blocks)).drop("_at")
 
 
 def rolling_blocks(df: DataFrame, order: list[Column], blocks: int = 10, start: float = 0.5) -> DataFrame:
     """(block, n_train, n_test): expanding windows over time blocks, tested from the given share on."""
-    sized = df.withColumn("block", F.ntile(blocks).over(Window.orderBy(*order)).cast("bigint")).groupBy("block").agg(F.count(F.lit(1)).alias("n_test"))
-    before = F.sum("n_test").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sized = time_blocks(df, order, blocks).groupBy("block").agg(F.count(F.lit(1)).alias("n_test"))
+    before = F.sum("n_test").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # `blocks` rows
     return sized.withColumn("n_train", before.cast("bigint")).where(F.col("block") > F.lit(int(blocks * start))).select("block", "n_train", "n_test")
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
     """The rows with fold = the group's number."""
-    groups = df.select(group).distinct()
-    numbered = groups.select(F.col(group).alias("_g"), F.row_number().over(Window.orderBy(group)).cast("bigint").alias("fold"))
-    return df.join(numbered, df[group].eqNullSafe(F.col("_g"))).drop("_g")
+    groups = numbered(df.select(F.col(group).alias("_g")).distinct(), [F.col("_g")], "_at")
+    return df.join(groups.select("_g", (F.col("_at") + 1).alias("fold")), df[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Folds that keep groups whole and the groups' majority labels spread evenly."""
-    majority = df.groupBy(group).agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("_major"))
-    w = Window.partitionBy("_major").orderBy(dice(seed, F.col(group)), group)
-    folds = majority.select(F.col(group).alias("_g"), ((F.row_number().over(w) - 1) % k + 1).cast("bigint").alias("fold"))
-    return df.join(folds, df[group].eqNullSafe(F.col("_g"))).drop("_g")
+    majority = df.groupBy(F.col(group).alias("_g")).agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("_major")).withColumn("_dice", dice(seed, F.col("_g")))
+    placed = numbered(Scratch(df.sparkSession).save(majority), [F.col("_dice"), F.col("_g")], "_at", ["_major"], hash_bin(F.col("_dice")))
+    return df.join(placed.select("_g", (F.col("_at") % k + 1).cast("bigint").alias("fold")), df[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def stored_folds(df: DataFrame, stored: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:

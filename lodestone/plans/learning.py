@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lodestone.functions.keys import featurise
@@ -11,6 +9,7 @@ from lodestone.operators import arms, learners
 from lodestone.operators import metrics as m
 from lodestone.operators import splits as sp
 from lodestone.plans.catalog import compounds, query, rounded, table
+from lodestone.shared import shared_dir
 from lodestone.streaming import events as ev
 
 
@@ -18,8 +17,7 @@ def folder(s) -> str:
     """A folder that all executors share, for models."""
     import uuid
 
-    at = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="models-")
-    return f"{at.rstrip('/')}/models-{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/models-{uuid.uuid4().hex}"
 
 
 def vectors(s, d):

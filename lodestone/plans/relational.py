@@ -10,6 +10,7 @@ from lodestone.operators import assembly
 from lodestone.operators import metrics as m
 from lodestone.operators import registry as reg
 from lodestone.operators import relational as rel
+from lodestone.operators.ranks import percentiles
 from lodestone.plans.catalog import COMPOUNDS_SQL, PREDICTIONS_SQL, big, compounds, predictions, query, r6, rounded, table
 from lodestone.sources import readers
 
@@ -150,12 +151,14 @@ def non_null_counts(s, d):
 @query("distribution_summary", "SELECT event_type, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS sd, min(value) AS low, median(value) AS p50, max(value) AS high FROM events GROUP BY event_type")
 def distribution_summary(s, d):
     v = "value"
-    return table(s, d, "events").groupBy("event_type").agg(r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("sd"), F.min(v).alias("low"), F.median(v).alias("p50"), F.max(v).alias("high"))
+    rows = table(s, d, "events")
+    mid = percentiles(rows, ["event_type"], v, [0.5]).select("event_type", F.col("q")[0].alias("p50"))
+    return rows.groupBy("event_type").agg(r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high")).join(mid, "event_type")
 
 
 @query("source_audit_percentiles", "SELECT l_returnflag, l_linestatus, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 4) + 0.0 AS p{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM lineitem GROUP BY ALL")
 def source_audit_percentiles(s, d):
-    rows = table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.percentile("l_extendedprice", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"))
+    rows = percentiles(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.05, 0.25, 0.5, 0.75, 0.95])
     return rows.select("l_returnflag", "l_linestatus", *[(F.round(F.col("q")[i], 4) + F.lit(0.0)).alias(f"p{k}") for i, k in enumerate((5, 25, 50, 75, 95))])
 
 
@@ -167,7 +170,9 @@ def collapse_median(s, d):
 
 @query("dedup_aggregate", "SELECT p_name, round(avg(p_size), 6) + 0.0 AS mean, median(p_size) AS mid, max(p_size) AS high FROM part GROUP BY p_name")
 def dedup_aggregate(s, d):
-    return table(s, d, "part").groupBy("p_name").agg(r6(F.avg("p_size")).alias("mean"), F.median("p_size").alias("mid"), F.max("p_size").alias("high"))
+    size = F.col("p_size")
+    rows = table(s, d, "part").select("p_name", size.alias("mean"), size.alias("mid"), size.alias("high"))
+    return rounded(rel.collapse(rows, ["p_name"], {"mean": "mean", "mid": "median", "high": "max"}), "mean")
 
 
 @query("union_align", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")

@@ -263,9 +263,12 @@ def colour_alpha(s, d):
     return grid_rows(s, d).select("compound", r6(t.alpha(c, 0.18, 0.82)).alias("conf_alpha"), r6(t.alpha(c, 0.10, 0.80, True)).alias("pred_alpha"), r6(t.alpha(c, 0.12, 0.78)).alias("mpo_alpha"))
 
 
-@query("short_number", "SELECT event_id, CASE WHEN value >= 100 THEN printf('%.0f', value) WHEN value >= 10 THEN printf('%.1f', value) WHEN value >= 1 THEN printf('%.2f', value) ELSE printf('%.3f', value) END AS shown FROM events WHERE round(value * 1000) % 5 <> 0")
+SHORT = " ".join(f"WHEN v {cond} THEN printf('%.{n}f', round(value::DECIMAL(18, 6), {n})::DOUBLE)" for cond, n in ((">= 100", 0), (">= 10", 1), (">= 1", 2), ("IS NOT NULL", 3)))
+
+
+@query("short_number", f"SELECT event_id, CASE {SHORT} ELSE '—' END AS shown FROM (SELECT event_id, value, abs(value) AS v FROM events)")
 def short_number(s, d):
-    return table(s, d, "events").where("round(value * 1000) % 5 <> 0").select("event_id", t.short_number(F.col("value")).alias("shown"))
+    return table(s, d, "events").select("event_id", t.short_number(F.col("value")).alias("shown"))
 
 
 @query("run_store_cap", "SELECT event_id AS run_id, ts FROM events WHERE epoch(TIMESTAMP '2024-01-30 00:00:00') - epoch(ts) <= 864000 ORDER BY ts DESC, event_id LIMIT 50")

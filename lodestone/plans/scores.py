@@ -78,8 +78,7 @@ def spearman_by_group(s, d):
   SELECT count(*) AS n, round(covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)), 6) + 0.0 AS ab, round(covar_pop(ra, rc) / (stddev_pop(ra) * stddev_pop(rc)), 6) + 0.0 AS ac, round(covar_pop(rb, rc) / (stddev_pop(rb) * stddev_pop(rc)), 6) + 0.0 AS bc FROM k""")
 def task_association(s, d):
     v = table(s, d, "part").select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), F.length("p_name").cast("double").alias("c"))
-    ranked = v.withColumns({f"r{x}": m.average_rank(x, []) for x in "abc"})
-    return ranked.agg(F.count(F.lit(1)).alias("n"), *[r6(m.correlation(f"r{x}", f"r{y}")).alias(x + y) for x, y in ("ab", "ac", "bc")])
+    return rounded(m.rank_association(v, ["a", "b", "c"]), "ab", "ac", "bc")
 
 
 @query("triage_metrics", f"{P}, y AS (SELECT endpoint, arm, real_raw >= 40000 AS r, pred_raw >= 30000 AS c FROM p), b AS (SELECT endpoint, arm, {COUNTS} FROM y GROUP BY ALL) SELECT endpoint, arm, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, {TRIAGE} FROM b")
@@ -133,10 +132,10 @@ def confidence_variants(s, d):
     return out.groupBy("endpoint", "arm").agg(F.count(F.lit(1)).alias("n"), *mean, r6(F.min("conf_rmse")).alias("low"))
 
 
-@query("conformal_confidence", f"""{P}, x AS (SELECT p_type AS g, compound, round(uq_std, 2) AS u, floor(abs(real_y - pred_y) * 1000) AS e FROM p WHERE compound % 40 = 0), n AS (SELECT g, e / u AS s FROM x), r AS (SELECT DISTINCT g, u FROM x)
-  SELECT r.g, round(r.u, 2) AS u, round(avg((s <= 400 / u)::INT), 6) + 0.0 AS conf FROM r JOIN n ON r.g = n.g GROUP BY r.g, r.u""")
+@query("conformal_confidence", f"""{P}, x AS (SELECT p_type AS g, round(uq_std, 2) AS u, floor(abs(real_y - pred_y) * 1000) AS e FROM p), n AS (SELECT g, e / u AS s FROM x), v AS (SELECT g, s, count(*) AS k FROM n GROUP BY ALL), r AS (SELECT DISTINCT g, u FROM x)
+  SELECT r.g, r.u, round(sum(k) FILTER (s <= 400 / u) / sum(k), 6) + 0.0 AS conf FROM r JOIN v ON r.g = v.g GROUP BY r.g, r.u""")
 def conformal_confidence(s, d):
-    rows = predictions(s, d).where("compound % 40 = 0").select(F.col("p_type").alias("g"), F.round("uq_std", 2).alias("uq_std"), t.num(0).alias("real_y"), F.floor(F.abs(F.col("real_y") - F.col("pred_y")) * 1000).cast("double").alias("pred_y"), t.num(400).alias("rmse_cv"))
+    rows = predictions(s, d).select(F.col("p_type").alias("g"), F.round("uq_std", 2).alias("uq_std"), t.num(0).alias("real_y"), F.floor(F.abs(F.col("real_y") - F.col("pred_y")) * 1000).cast("double").alias("pred_y"), t.num(400).alias("rmse_cv"))
     return cal.conformal(rows, ["g"]).select("g", F.round("uq_std", 2).alias("u"), r6("conf_conformal").alias("conf")).distinct()
 
 
@@ -200,10 +199,15 @@ def metrics_table_blocks(s, d):
     return rows.select("endpoint", "arm", "r2det", "rmse", big(F.row_number().over(order)).alias("place"))
 
 
-@query("best_worst_flags", f"{P}, x AS (SELECT endpoint, arm, round(sqrt(avg((pred_y - real_y) ** 2)), 6) + 0.0 AS rmse FROM p GROUP BY ALL) SELECT endpoint, arm, rmse, rmse = max(rmse) OVER (PARTITION BY arm) AS rmse_best, rmse = min(rmse) OVER (PARTITION BY arm) AS rmse_worst FROM x")
+FLAGS_SQL = ", ".join(f"coalesce({c} = {best}({c}) OVER w, false) AS {c}_best, coalesce({c} = {worst}({c}) OVER w AND {best}({c}) OVER w <> {worst}({c}) OVER w, false) AS {c}_worst" for c, best, worst in (("rmse", "min", "max"), ("mae", "min", "max"), ("r2det", "max", "min")))
+
+
+@query("best_worst_flags", f"{P}, x AS (SELECT endpoint, CASE arm WHEN 'F' THEN 'internal_cv' ELSE 'internal_temp' END AS arm, round(sqrt(avg((pred_y - real_y) ** 2)), 6) + 0.0 AS rmse, round(avg(abs(pred_y - real_y)), 6) + 0.0 AS mae, round({R2DET}, 6) + 0.0 AS r2det FROM p GROUP BY ALL), y AS (SELECT *, CASE WHEN arm LIKE '%temp%' THEN 2 ELSE 1 END::INTEGER AS block FROM x) SELECT *, {FLAGS_SQL} FROM y WINDOW w AS (PARTITION BY block)")
 def best_worst_flags(s, d):
-    rows = rounded(m.regression(predictions(s, d), ["endpoint", "arm"]), "rmse").select("endpoint", "arm", "rmse")
-    return m.block_flags(rows, "arm", ["rmse"])
+    rows = rounded(m.regression(predictions(s, d), ["endpoint", "arm"]), "rmse", "mae", "r2det")
+    rows = rows.withColumn("arm", F.when(F.col("arm") == "F", "internal_cv").otherwise("internal_temp")).select("endpoint", "arm", "rmse", "mae", "r2det")
+    rows = rows.withColumn("block", m.arm_block(F.col("arm")))
+    return m.block_flags(rows, "block", ["rmse", "mae", "r2det"])
 
 
 @query("arm_summary", f"{P}, x AS (SELECT endpoint, arm, {R2DET} AS v FROM p GROUP BY ALL) SELECT endpoint, round(max(v) FILTER (arm = 'F'), 6) + 0.0 AS f, round(max(v) FILTER (arm = 'O'), 6) + 0.0 AS o, round(greatest(max(v), 0), 6) + 0.0 AS shown FROM x GROUP BY endpoint")
@@ -256,9 +260,9 @@ def stratified_group_kfold(s, d):
     return sp.stratified_group_folds(part, "p_name", "y").select("p_partkey", "fold")
 
 
-@query("stored_fold_reuse", "SELECT 'found' AS part, count(*) AS n, sum(o_custkey % 5)::BIGINT AS folds FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey < 900 UNION ALL SELECT 'missing', count(*), NULL FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey >= 900")
+@query("stored_fold_reuse", "SELECT 'found' AS part, count(*) AS n, sum(o_custkey % 5)::BIGINT AS folds FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') UNION ALL SELECT 'missing', count(*), NULL FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def stored_fold_reuse(s, d):
-    stored = table(s, d, "customer").where("c_custkey < 900").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 5).alias("fold"))
+    stored = table(s, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 5).alias("fold"))
     found, missing = sp.stored_folds(table(s, d, "orders").select("o_custkey").distinct(), stored, "o_custkey")
     return found.agg(F.lit("found").alias("part"), F.count(F.lit(1)).alias("n"), F.sum("fold").alias("folds")).union(missing.agg(F.lit("missing"), F.count(F.lit(1)), F.lit(None).cast("bigint")))
 
@@ -269,44 +273,54 @@ def best_combo(s, d):
     return counts.where(F.col("origin").isin(sp.best_combo(counts, ["src1", "src2", "src3", "src99"])))
 
 
+#: The internal side is every fiftieth vector, a query set against all others.
 V = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-x AS (SELECT a.vec_id AS pool, b.vec_id AS internal, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0 AS dist FROM v a, v b WHERE a.vec_id >= 60 AND b.vec_id < 60)"""
+x AS (SELECT a.vec_id AS pool, b.vec_id AS internal, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0 AS dist FROM v a, v b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 0)"""
+
 
+def vector_sides(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return v.where("id % 50 <> 0"), v.where("id % 50 = 0")
 
-def vector_distances(s, d):
-    v = table(s, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    return rounded(nb.distances(v.where("vec_id >= 60"), v.where("vec_id < 60"), "vec_id", "vec_id"), "dist")
+
+def nearest_one(s, d, k=1):
+    return nb.nearest(*vector_sides(s, d), k, digits=6)
 
 
 @query("distance_shell", f"WITH {V} SELECT pool, min(dist) AS nearest FROM x GROUP BY pool HAVING min(dist) <= 0.7")
 def distance_shell(s, d):
-    return nb.shell(vector_distances(s, d), 0.7)
+    return nb.shell(nearest_one(s, d), 0.7)
+
+
+@query("pairs_within", f"WITH {V} SELECT pool, internal, dist FROM x WHERE dist <= 0.6")
+def pairs_within(s, d):
+    return nb.within(*vector_sides(s, d), 0.6, digits=6)
 
 
 @query("knn_join", f"WITH {V} SELECT internal, pool, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY internal ORDER BY dist, pool) AS rank FROM x) WHERE rank <= 5")
 def knn_join(s, d):
-    return nb.knn(vector_distances(s, d), 5).select("internal", "pool", "dist", "rank")
+    return nb.nearest(*vector_sides(s, d), 5, "internal", digits=6).select("internal", "pool", "dist", "rank")
 
 
 @query("mutual_knn", f"WITH {V} SELECT internal, pool, dist FROM (SELECT *, row_number() OVER (PARTITION BY internal ORDER BY dist, pool) AS a, row_number() OVER (PARTITION BY pool ORDER BY dist, internal) AS b FROM x) WHERE a <= 5 AND b <= 5")
 def mutual_knn(s, d):
-    return nb.mutual_knn(vector_distances(s, d), 5)
+    return nb.mutual_nearest(*vector_sides(s, d), 5, digits=6)
 
 
 @query("enn_filter", f"WITH {V}, k AS (SELECT pool, avg(b.label) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY dist, internal) AS r FROM x) JOIN v b ON b.vec_id = internal WHERE r <= 3 GROUP BY pool) SELECT pool, round(mean, 6) + 0.0 AS neighbour_label, label FROM k JOIN v ON vec_id = pool WHERE abs(label - mean) <= 2")
 def enn_filter(s, d):
-    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return rounded(nb.edited(vector_distances(s, d), v, v, 3, 2.0).select("pool", "neighbour_label", "label"), "neighbour_label")
+    pool, internal = vector_sides(s, d)
+    return rounded(nb.edited(nearest_one(s, d, 3), pool, internal, 2.0).select("pool", "neighbour_label", "label"), "neighbour_label")
 
 
 @query("nearest_distance", f"WITH {V} SELECT pool, min(dist) AS nn_dist, min(dist) > 0.7 AS novel FROM x GROUP BY pool")
 def nearest_distance(s, d):
-    return vector_distances(s, d).groupBy("pool").agg(F.min("dist").alias("nn_dist")).withColumn("novel", F.col("nn_dist") > 0.7)
+    return nearest_one(s, d).select("pool", F.col("dist").alias("nn_dist"), (F.col("dist") > 0.7).alias("novel"))
 
 
 @query("distance_weights", f"WITH {V} SELECT pool, round(exp(-min(dist) / 0.5), 6) + 0.0 AS weight FROM x GROUP BY pool")
 def distance_weights(s, d):
-    return rounded(nb.distance_weights(vector_distances(s, d), 0.5), "weight")
+    return rounded(nb.distance_weights(nearest_one(s, d), 0.5), "weight")
 
 
 @query("affine_bias_correction", f"{C}, a AS (SELECT median(label) AS m, quantile_cont(label, 0.75) - quantile_cont(label, 0.25) AS q FROM c WHERE source <> 'internal'), b AS (SELECT median(label) AS m, quantile_cont(label, 0.75) - quantile_cont(label, 0.25) AS q FROM c WHERE source = 'internal') SELECT doc_id, round((label - a.m) * (b.q / a.q) + b.m, 6) + 0.0 AS affine FROM c, a, b WHERE source <> 'internal'")
@@ -316,11 +330,10 @@ def affine_bias_correction(s, d):
     return out.select("doc_id", r6("corrected").alias("affine"))
 
 
-@query("kept_bits", """WITH b AS (SELECT DISTINCT o_custkey AS compound, (o_orderkey % 12)::BIGINT AS bit FROM orders WHERE o_custkey < 40 UNION SELECT DISTINCT o_custkey, 100 + o_orderkey % 12 FROM orders WHERE o_custkey < 40),
+@query("kept_bits", """WITH b AS (SELECT DISTINCT o_custkey AS compound, (o_orderkey % 12)::BIGINT AS bit FROM orders UNION SELECT DISTINCT o_custkey, 100 + o_orderkey % 12 FROM orders),
   k AS (SELECT bit, count(*) AS n_compounds, md5(string_agg(compound::VARCHAR, ',' ORDER BY compound)) AS sig FROM b GROUP BY bit HAVING count(*) >= 5) SELECT bit, n_compounds, bit = min(bit) OVER (PARTITION BY sig) AS kept, min(bit) OVER (PARTITION BY sig) AS duplicate_of FROM k""")
 def kept_bits(s, d):
-    o = table(s, d, "orders").where("o_custkey < 40")
-    one = o.select(F.col("o_custkey").alias("compound"), (F.col("o_orderkey") % 12).alias("bit"))
+    one = table(s, d, "orders").select(F.col("o_custkey").alias("compound"), (F.col("o_orderkey") % 12).alias("bit"))
     return nb.keep_bits(one.union(one.withColumn("bit", F.col("bit") + 100)), 5)
 
 

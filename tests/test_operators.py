@@ -49,6 +49,11 @@ def test_anti_join_keeps_missing_keys(spark):
     own = frame(spark, [("x", "k1"), ("y", None)], "compound string, _ik string")
     assert {r.compound for r in relational.drop_twins(pub, own).collect()} == {"b", "c"}
     assert {r.compound: r.is_twin for r in relational.twin_mask(pub, own).collect()} == {"a": True, "b": False, "c": False}
+    pub = frame(spark, [("a", "ABCDEFGHIJKLMN-XX"), ("b", "OTHER")], "compound string, _ik string")
+    own = frame(spark, [("x", "ABCDEFGHIJKLMN-YY")], "compound string, _ik string")
+    for level, gone in (("exact", set()), ("skeleton", {"a"}), ("none", set())):
+        assert {r.compound for r in relational.twin_mask(pub, own, level=level).where("is_twin").collect()} == gone
+        assert {r.compound for r in relational.drop_twins(pub, own, level=level).collect()} == {"a", "b"} - gone
 
 
 def test_natural_join_matches_missing_keys(spark):
@@ -65,7 +70,11 @@ def test_checks_raise(spark):
     with pytest.raises(ValueError):
         relational.check_columns(["a"], ["b"], "f")
     with pytest.raises(ValueError):
-        relational.check_cardinality(a, a.union(a))
+        relational.check_cardinality(a, a.union(a), ["compound"])
+    two = frame(spark, [("x",), ("y",), (None,)], "compound string")
+    relational.check_cardinality(two, two, ["compound"])
+    with pytest.raises(ValueError, match="lost rows of 1 keys and repeated rows of 1"):
+        relational.check_cardinality(two, frame(spark, [("x",), ("x",), (None,)], "compound string"), ["compound"])
     with pytest.raises(ValueError):
         sinks.check_contract(frame(spark, [("a", "s", float("nan"), "o")], "compound string, smiles string, value double, origin string"))
 
@@ -118,13 +127,38 @@ def test_degenerate_metrics_do_not_raise(spark):
     assert one.accuracy == 1 and one.ppv == 1 and one.npv == 0 and one.mcc is None
 
 
-def test_mutual_and_edited_neighbours(spark):
-    pool = frame(spark, [(i, [1.0, i / 10]) for i in range(1, 5)], "id int, v array<double>")
-    own = frame(spark, [(10, [1.0, 0.0]), (11, [0.0, 1.0])], "id int, v array<double>")
-    dist = neighbours.distances(pool, own, "id", "id")
-    assert dist.count() == 8 and {r.pool for r in neighbours.knn(dist, 1).collect()} == {1, 4}
-    assert {(r.internal, r.pool) for r in neighbours.mutual_knn(dist, 1).collect()} == {(10, 1)}
-    assert neighbours.near_pairs(pool, own, "id", "id", 0.5).where("internal = 10").count() >= 4
+def test_neighbours_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(70, 6)), rng.normal(size=(30, 6))
+    x[5], x[6] = x[4], 0.0
+    pool = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id int, v array<double>")
+    own = frame(spark, [(100 + i, v.tolist()) for i, v in enumerate(y)], "id int, v array<double>")
+    with np.errstate(invalid="ignore"):
+        d = np.round(1 - x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)), 12)
+    want = {(100 + j, int(i), r + 1) for j in range(30) for r, i in enumerate(sorted((i for i in range(70) if i != 6), key=lambda i: (d[i, j], i))[:3])}
+    small, neighbours.PART_ROWS, neighbours.GROUP_ROWS = (neighbours.PART_ROWS, neighbours.GROUP_ROWS), 16, 8
+    try:
+        got = neighbours.nearest(pool, own, 3, "internal")
+        assert {(r.internal, r.pool, r["rank"]) for r in got.collect()} == want
+        a = {(100 + j, i) for j, i, _ in ((j - 100, i, r) for j, i, r in want)}
+        b = {(100 + int(j), i) for i in range(70) if i != 6 for j in sorted(range(30), key=lambda j: (d[i, j], j))[:3]}
+        assert {(r.internal, r.pool) for r in neighbours.mutual_nearest(pool, own, 3).collect()} == a & b
+        pairs = {(r.pool, r.internal) for r in neighbours.within(pool, own, 0.4).collect()}
+        assert pairs == {(i, 100 + j) for i in range(70) for j in range(30) if d[i, j] <= 0.4}
+    finally:
+        neighbours.PART_ROWS, neighbours.GROUP_ROWS = small
+    assert neighbours.nearest(pool.limit(0), own, 2).count() == 0
+
+
+def test_bias_correction(spark):
+    pool = frame(spark, [(float(i),) for i in range(11)], "label double")
+    own = frame(spark, [(100.0 + 2 * i,) for i in range(11)], "label double")
+    mid = lambda mode, **k: sorted(r.corrected for r in neighbours.correct_bias(pool, own, mode, **k).collect())
+    assert mid("shift")[5] == 110 and mid("affine") == [100.0 + 2 * i for i in range(11)]
+    assert mid("anchor", anchors=frame(spark, [(1.0, 4.0), (2.0, 4.0), (3.0, 4.0)], "pool_label double, internal_label double"))[0] == 2.0
+    assert mid("anchor", anchors=frame(spark, [], "pool_label double, internal_label double"))[0] == 0.0
 
 
 def test_registry(spark, tmp_path):
@@ -163,7 +197,14 @@ def test_records_and_export(spark):
     assert [r.compound for r in got] == ["mol1", "2"]
     out = grid.sdf_records(frame(spark, [("m\nM  END\n", 1.5, None)], "block string, a double, b double"), ["a", "b"]).first().record
     assert out == "m\nM  END\n> <a>\n1.5\n\n$$$$\n"
-    assert readers.sniff_columns(["Name", "SMILES", "my_id"]) == ("SMILES", "my_id")
+    assert readers.sniff_columns(["Name", "SMILES", "my_id"]) == ("SMILES", "Name")
+    assert readers.sniff_columns(["smiles", "x"]) == ("smiles", None)
+    data = "m\nM  END\n> <a>\n1\n\n"
+    row = frame(spark, [(0, data, float("inf"), float("nan"), None, "t"), (7, "n", 1.0, 2.0, 3, None)], "idx int, block string, a double, b double, c int, d string")
+    texts = [r.record for r in grid.sdf_records(row, ["a", "b", "c", "d"]).orderBy("idx").collect()]
+    assert texts == [data + "> <d>\nt\n\n$$$$\n", "n\n> <a>\n1.0\n\n> <b>\n2.0\n\n> <c>\n3\n\n$$$$\n"]
+    with pytest.raises(Exception, match="outside this run"):
+        grid.sdf_records(row, ["a"], total=5).collect()
     with pytest.raises(ValueError):
         readers.sniff_columns(["a"])
 
