@@ -1,55 +1,21 @@
-"""What the operators share on a cluster: scratch tables, distributed ranks, connected components."""
+"""What the operators share on a cluster: distributed ranks, shared buckets, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodestone.shared import Scratch, free_names
 
-_OWN: dict[str, str] = {}
+BIN_ROWS = 1 << 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        app = spark.sparkContext.applicationId
-        at = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        _OWN[app] = at
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables, written in the shared folder so that a lost executor costs no earlier step."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
-        self.kept: list[DataFrame] = []
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        at = f"{self.top}/{self.n}"
-        df.write.parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        out._scratch = at
-        self.kept.append(out)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            if at := getattr(df, "_scratch", None):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.kept = [x for x in self.kept if not any(x is df for df in frames)]
-
-    def keep_only(self, *frames: DataFrame) -> None:
-        """Drops all tables but these; what is still to be read must stand on them alone."""
-        self.drop(*[x for x in self.kept if not any(x is df for df in frames)])
+def bins_for(rows: int, least: int = 1024) -> int:
+    """Bins for so many rows: a power of two that grows with them, so that a bin doesn't."""
+    return max(least, 1 << max(0, rows // BIN_ROWS).bit_length())
 
 
 def uniform(*columns: Column, seed: int = 0) -> Column:
@@ -65,14 +31,16 @@ def ranked(df: DataFrame, by: list[str], order: list[str], bin_of: Column, name:
     are taken within bins, and sums of the bins' counts (a table of groups times bins) give each bin's base.
     bounded: the caller has proven that groups times bins is small, so that table is broadcast.
     """
-    cut = df.withColumn("_bin", bin_of)
-    counts = cut.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
-    over = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_base_bin"), F.coalesce(F.sum("_in_bin").over(over), F.lit(0)).alias("_base"))
-    inner = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order)) - 1
-    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_bin") == F.col("_base_bin")]
-    joined = cut.withColumn("_inner", inner).join(F.broadcast(bases) if bounded else bases, on, "left")
-    return joined.withColumn(name, (F.col("_base") + F.col("_inner")).cast("bigint")).drop("_bin", "_inner", "_base", "_base_bin", *[f"_by_{c}" for c in by])
+    cut_at, base_at, base, inside, in_bin, *keys = free_names([*df.columns, name], "_bin", "_base_bin", "_base", "_inner", "_in_bin", *[f"_by_{c}" for c in by])
+    groups = [F.col(f"`{c}`") for c in by]
+    cut = df.withColumn(cut_at, bin_of)
+    counts = cut.groupBy(*groups, cut_at).agg(F.count(F.lit(1)).alias(in_bin))
+    over = Window.partitionBy(*groups).orderBy(cut_at).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[c.alias(k) for c, k in zip(groups, keys, strict=True)], F.col(cut_at).alias(base_at), F.coalesce(F.sum(in_bin).over(over), F.lit(0)).alias(base))
+    inner = F.row_number().over(Window.partitionBy(*groups, cut_at).orderBy(*order)) - 1
+    on = [c.eqNullSafe(F.col(k)) for c, k in zip(groups, keys, strict=True)] + [F.col(cut_at) == F.col(base_at)]
+    joined = cut.withColumn(inside, inner).join(F.broadcast(bases) if bounded else bases, on, "left")
+    return joined.withColumn(name, (F.col(base) + F.col(inside)).cast("bigint")).drop(cut_at, inside, base, base_at, *keys)
 
 
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -112,30 +80,35 @@ def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFram
     The wanted keys' hashes set bits of a map of BITMAP_BITS bits, a table of 2 MB whatever their number, which is
     broadcast. An exact join must follow; this one keeps most rows that it would drop off the network.
     """
+    bucket, at, bits, b, p = free_names(df.columns, "_bucket", "_at", "_map", "_b", "_p")
     bit = lambda c: f"(pmod(xxhash64({c}), {BITMAP_BITS}) + 1)"
-    marks = wanted.select(F.expr(f"bitmap_bucket_number({bit(name)})").alias("_bucket"), F.expr(f"bitmap_bit_position({bit(name)})").alias("_at"))
-    maps = marks.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
-    asked = df.withColumn("_b", F.expr(f"bitmap_bucket_number({bit(key)})")).withColumn("_p", F.expr(f"cast(bitmap_bit_position({bit(key)}) as int)"))
-    met = asked.join(F.broadcast(maps), F.col("_b") == F.col("_bucket"))
-    byte = "cast(conv(hex(substring(_map, _p div 8 + 1, 1)), 16, 10) as int)"
-    return met.where(f"(shiftright({byte}, cast(_p % 8 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    marks = wanted.select(F.expr(f"bitmap_bucket_number({bit(name)})").alias(bucket), F.expr(f"bitmap_bit_position({bit(name)})").alias(at))
+    maps = marks.groupBy(bucket).agg(F.bitmap_construct_agg(at).alias(bits))
+    asked = df.withColumn(b, F.expr(f"bitmap_bucket_number({bit(key)})")).withColumn(p, F.expr(f"cast(bitmap_bit_position({bit(key)}) as int)"))
+    met = asked.join(F.broadcast(maps), F.col(b) == F.col(bucket))
+    byte = f"cast(conv(hex(substring({bits}, {p} div 8 + 1, 1)), 16, 10) as int)"
+    return met.where(f"(shiftright({byte}, cast({p} % 8 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot.
 
-    With a column `probe`, a key needs an entry that is none.
+    With a column `probe`, a key needs an entry that is none. Keys are counted first, as few of them come up twice.
     """
-    probes = "probe" in entries.columns
-    buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), *[F.min("probe").alias("only_probes")] * probes)
-    buckets = scratch.save(buckets.where("pivot < high and only_probes = 0" if probes else "pivot < high").select("key", "pivot"))
-    return scratch.save(likely_in(entries.select("key", "id", "n"), "key", buckets, "key").join(buckets, "key"))
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.min("probe").alias("only_probes")] * ("probe" in entries.columns))
+    keys = scratch.save(counts.where("k > 1 and only_probes = 0" if "probe" in entries.columns else "k > 1").select("key"))
+    some = scratch.save(likely_in(entries.select("key", "id", "n"), "key", keys, "key").join(keys, "key"))
+    pivots = some.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot < high").select("key", "pivot")
+    out = scratch.save(some.join(pivots, "key"))
+    scratch.drop(keys, some)
+    return out
 
 
 def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -> DataFrame:
     """The frame with the component of a column's nodes; a node without links is its own."""
-    named = found.select(F.col("node").alias("_node"), F.col("component").alias(name))
-    return frame.join(named, F.col(column) == F.col("_node"), "left").withColumn(name, F.coalesce(name, column)).drop("_node")
+    (node,) = free_names([*frame.columns, name], "_node")
+    named = found.select(F.col("node").alias(node), F.col("component").alias(name))
+    return frame.join(named, F.col(column) == F.col(node), "left").withColumn(name, F.coalesce(name, column)).drop(node)
 
 
 def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 1, profile: DataFrame | None = None, close: str = "true") -> DataFrame:

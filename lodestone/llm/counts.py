@@ -3,22 +3,25 @@
 Texts are cut at ASCII white space into pre-tokens, each with the word mark in front. The distinct pre-tokens of a batch that the worker hasn't met
 go into a trie, depth by depth; a node's best unigram score is computed once from the scores of the nodes above it,
 over all vocabulary pieces that end there, so a prefix that words share costs once. The count stored at a word's last
-node is the number of pieces on its best way (ties: fewer pieces). Pieces are those of a public SentencePiece file;
-a piece of rank r scores -ln(r + 10), a single byte that is no piece BYTE.
+node is the number of pieces on its best way (ties: fewer pieces). Pieces are those of a public SentencePiece file,
+whose own numbers are ranks of merges and no probabilities; fit_scores gives unigram scores: a piece's score is
+ln((n + 1) / (N + V)), n being how often it comes when the file's own merges cut all pre-tokens of all texts, N the sum
+of these and V the vocabulary's size. A single byte that is no piece scores BYTE.
 
-With whole, as the query has it, a pre-token of over LONGEST bytes is scored as one by the same recurrence along its
-bytes, without the trie. Otherwise it is cut into runs of so many bytes, the first with the mark, that are scored alone.
+A pre-token of over LONGEST bytes is scored whole by the same recurrence along its bytes, without the trie.
 
 Null or empty texts have 0 tokens; repeated rows are counted each; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.llm.vocab import WordTable
 from lodestone.llm.words import _BASE, SPACES, Texts, mix, pieces, span_hashes, word_spans
@@ -26,27 +29,69 @@ from lodestone.llm.words import _BASE, SPACES, Texts, mix, pieces, span_hashes,
 MARK = "▁".encode()
 LONGEST = 256
 BYTE = -40.0
-_READY: dict[tuple[str, bool], Unigram] = {}
+_READY: dict[str, Unigram] = {}
+_CUTS: dict[str, Merges] = {}
 
 
-def pieces_of(path: str) -> dict[bytes, float]:
-    """The ordinary pieces of a SentencePiece file with their scores by rank."""
+def ordinary_pieces(path: str) -> dict[int, bytes]:
+    """The ordinary pieces of a SentencePiece file by id."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    out, rank = {}, 0
-    for i in range(model.vocab_size()):
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
-            out[model.id_to_piece(i).encode()] = -float(np.log(rank + 10))
-            rank += 1
-    return out
+    return {i: model.id_to_piece(i).encode() for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+
+
+class Merges:
+    """The file's own cuts of words, met once a worker."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.table = WordTable(lambda words: self.model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1))
+
+    def tally(self, texts: Texts) -> np.ndarray:
+        """How often each id comes in these texts."""
+        out = np.zeros(self.model.vocab_size(), np.int64)
+        starts, ends, _ = word_spans(texts, SPACES)
+        if len(starts):
+            at, size = self.table.look(texts, starts, ends, span_hashes(texts, starts, ends, lower=False))
+            total = np.concatenate(([0], np.cumsum(size)))
+            out += np.bincount(self.table.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])], minlength=len(out))
+        return out
+
+
+def fit_scores(df: DataFrame, vocabulary: str, text_col: str = "text") -> dict[bytes, float]:
+    """The unigram score of each ordinary piece, from all texts; the driver gets one number a piece."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if vocabulary not in _CUTS:
+            _CUTS[vocabulary] = Merges(vocabulary)
+        cuts = _CUTS[vocabulary]
+        tally = np.zeros(cuts.model.vocab_size(), np.int64)
+        for batch in pieces(batches, limit=4 << 20):
+            tally += cuts.tally(Texts(batch.column("text")))
+        at = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(tally[at])], names=["piece", "n"])
+
+    known = ordinary_pieces(vocabulary)
+    rows = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(work, "piece bigint, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    seen = {r["piece"]: r["n"] for r in rows.collect()}
+    total = sum(seen.values()) + _size(vocabulary)
+    return {piece: float(np.log((seen.get(i, 0) + 1) / total)) for i, piece in known.items()}
+
+
+def _size(path: str) -> int:
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
 
 
 class Unigram:
     """The trie's programme for one vocabulary."""
 
-    def __init__(self, scores: dict[bytes, float], whole: bool = False):
-        self.whole, self.pieces = whole, scores
+    def __init__(self, scores: dict[bytes, float]):
+        self.pieces = scores
         self.table = WordTable(self._fill)
         keys = list(scores)
         texts = Texts(pa.array(keys, pa.binary()))
@@ -139,15 +184,9 @@ class Unigram:
         return count[len(word) % keep]
 
     def _fill(self, words: list[bytes]) -> list[list[int]]:
-        if self.whole:
-            short = [MARK + w for w in words if len(w) <= LONGEST]
-            known = iter(self.counts(short).tolist())
-            return [[next(known) if len(w) <= LONGEST else self.long_count(MARK + w)] for w in words]
-        cut = [[MARK + w[:LONGEST]] + [w[i : i + LONGEST] for i in range(LONGEST, len(w), LONGEST)] for w in words]
-        flat = [x for c in cut for x in c]
-        kinds = list(dict.fromkeys(flat))
-        counts = dict(zip(kinds, self.counts(kinds).tolist(), strict=True))
-        return [[sum(counts[x] for x in c)] for c in cut]
+        short = [MARK + w for w in words if len(w) <= LONGEST]
+        known = iter(self.counts(short).tolist())
+        return [[next(known) if len(w) <= LONGEST else self.long_count(MARK + w)] for w in words]
 
     def totals(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and pre-tokens of each text."""
@@ -159,14 +198,19 @@ class Unigram:
         return total[first[1:]] - total[first[:-1]], np.diff(first)
 
 
-def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """id, n_pretokens, n_tokens; vocabulary is a SentencePiece file that each executor has."""
+def token_counts(df: DataFrame, vocabulary: str, scores: dict[bytes, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_pretokens, n_tokens; vocabulary is a SentencePiece file that each executor has, scores are fit_scores(df) unless given."""
+    scores = fit_scores(df, vocabulary, text_col) if scores is None else scores
+    # One number a piece of the vocabulary.
+    held = df.sparkSession.sparkContext.broadcast(scores)
+    key = hashlib.md5(repr(sorted(scores.items())).encode()).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (vocabulary, whole) not in _READY:
-            _READY[vocabulary, whole] = Unigram(pieces_of(vocabulary), whole)
+        if key not in _READY:
+            _READY.clear()
+            _READY[key] = Unigram(held.value)
         for batch in pieces(batches, limit=4 << 20):
-            tokens, words = _READY[vocabulary, whole].totals(Texts(batch.column("text")))
+            tokens, words = _READY[key].totals(Texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words), pa.array(tokens)], names=["id", "n_pretokens", "n_tokens"])
 
     rows = df.selectExpr(f"`{id_col}` id", f"`{text_col}` text")

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import Scratch, components, with_component
+from lodestone.llm.cluster import components, with_component
 from lodestone.llm.words import mix
+from lodestone.shared import Scratch
 
 THRESHOLD = 0.95
 SHARDS = 8

@@ -1,15 +1,17 @@
 """Operator 10: line dedup by a segment-partition edit join, with SQL functions only.
 
-Lines of at least MIN_BYTES bytes are compared; edits count UTF-8 bytes. Equal lines are one class. For lines that
-differ by at most `edits`, one of edits + 1 even segments of the shorter (or equally long) line stands unchanged in the
-other, at a place that the two lengths and the segment's number bound: every line indexes its segments under its
-length, and probes the substrings that the index of each length up to `edits` less could hold. What meets there is
-verified by banded bit-parallel edit distance (a band of 2 edits + 1 diagonals held in the bits of one number). Of each
+Equal lines of any length are one class, but for blank ones (ASCII white space alone), which all stay. Lines that are
+near each other link too: LEVELS say from which length on (UTF-8 bytes of the shorter line) how many edits (of bytes)
+are allowed. For lines that differ by at most e, one of e + 1 even segments of the shorter (or equally long) line stands
+unchanged in the other, at a place that the two lengths and the segment's number bound: every line indexes its segments
+under its length, and probes the substrings that the index of each length up to e less could hold. What meets there is
+verified by banded bit-parallel edit distance (a band of 2 e + 1 diagonals held in the bits of one number). Of each
 connected group of lines the first occurrence by id and line number stays (null ids come last), all others go.
 
-A null text stays null, an empty one empty; shorter lines stay. Rows that repeat an id and text are one document, each
-returned alike. A text loses lines only; all columns are kept, whatever their names (new ones must not clash). An empty
-table gives no rows.
+A null text stays null, an empty one empty. Rows that repeat an id and text are one document, each returned alike. A
+text loses lines only; all columns are kept, whatever their names: a made column whose name is taken gets underscores
+behind it. An empty table gives no rows. Lines are equal where two 64-bit hashes are; numbers made with the table of
+distinct lines tell them apart in links.
 """
 
 from __future__ import annotations
@@ -17,15 +19,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import Scratch, likely_in, linked_components, shared_buckets, with_component
+from lodestone.llm.cluster import likely_in, linked_components, shared_buckets, with_component
+from lodestone.shared import Scratch, free_names
 
-MIN_BYTES = 40
-EDITS = 1
-_MADE = ("n_lines", "n_removed")
+#: (bytes of the shorter line from which on, edits)
+LEVELS = ((40, 1), (80, 2), (160, 3))
+#: Fixed value: a line that has this is not blank.
+INK = r"[^\x09-\x0D\x20]"
 
 
-def segment_keys(line: str, edits: int) -> list[tuple[str, int]]:
-    """SQL of the key of each segment and probe of a binary column, and whether it is a probe only."""
+def edits_sql(n: str, levels: tuple = LEVELS) -> str:
+    """SQL of the edits allowed at a length."""
+    whens = " ".join(f"WHEN {n} >= {low} THEN {e}" for low, e in sorted(levels, reverse=True))
+    return f"(CASE {whens} ELSE 0 END)" if levels else "0"
+
+
+def segment_keys(line: str, edits: int, low: int = 0, high: int | None = None) -> list[tuple[str, int]]:
+    """SQL of the key of each segment and probe of a binary column, and whether it is a probe only.
+
+    low and high bound the lengths (high is left out) of the lines that are looked for.
+    """
     out = []
     for shorter in range(edits + 1):
         size = f"(octet_length({line}) - {shorter})"
@@ -38,9 +51,9 @@ def segment_keys(line: str, edits: int) -> list[tuple[str, int]]:
             left, right = max(-(i - 1), shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i))
             for shift in range(left, right + 1):
                 key = f"xxhash64({size}, {i}, substring({line}, cast({start} + {shift} as int), cast({length} as int)))"
-                probe = int(shorter > 0 or shift != 0)
                 at = f"{start} + {shift}"
-                out.append((f"if({at} >= 1 and {at} + {length} - 1 <= octet_length({line}), {key}, null)", probe))
+                fits = f"{at} >= 1 and {at} + {length} - 1 <= octet_length({line}) and {size} >= {low}" + (f" and {size} < {high}" if high else "")
+                out.append((f"if({fits}, {key}, null)", int(shorter > 0 or shift != 0)))
     return out
 
 
@@ -63,65 +76,93 @@ def banded_distance(x: str, y: str, edits: int) -> Column:
     return F.expr(f"if(abs(octet_length({x}) - octet_length({y})) > {edits}, {edits + 1}, {walk})")
 
 
-def dedup_lines(df: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with text rid of lines that stand elsewhere before, and n_lines, n_removed."""
-    if clash := set(_MADE) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    scratch = Scratch(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    split = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = split.where(F.octet_length("line") >= min_bytes).withColumn("line", F.col("line").cast("binary"))
-    keys = segment_keys("line", edits)
-    base = scratch.save(lines.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.expr(f"array({', '.join(k for k, _ in keys)})").alias("keys")))
-    slim = base.drop("keys")
-    flags = F.array(*[F.lit(p) for _, p in keys])
-    entries = base.select(F.col("h").alias("id"), F.posexplode("keys").alias("i", "key")).where("key is not null")
-    entries = entries.select("key", "id", F.element_at(flags, F.col("i") + 1).alias("probe"), F.lit(0).alias("n"))
+def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
+    """Components (node, component) of the links among distinct lines (node, line binary)."""
+    levels, parts = tuple(sorted(levels)), []
+    for k, (low, e) in enumerate(levels):
+        high = levels[k + 1][0] if k + 1 < len(levels) else None
+        keys = segment_keys("line", e, low, high)
+        flags = F.array(*[F.lit(p) for _, p in keys])
+        some = kinds.where(f"octet_length(line) >= {low}" + (f" and octet_length(line) < {high + e}" if high else ""))
+        some = some.select("node", F.octet_length("line").alias("n"), F.posexplode(F.expr(f"array({', '.join(x for x, _ in keys)})")).alias("i", "key")).where("key is not null")
+        parts.append(some.select("key", F.col("node").alias("id"), F.element_at(flags, F.col("i") + 1).alias("probe"), "n"))
+    entries = parts[0]
+    for p in parts[1:]:
+        entries = entries.unionByName(p)
     shared = shared_buckets(entries, scratch)
     wanted = scratch.save(shared.select("id").distinct())
-    texts = likely_in(lines.select(F.xxhash64("line").alias("id"), "line"), "id", wanted, "id").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = likely_in(kinds.select(F.col("node").alias("id"), "line"), "id", wanted, "id").join(wanted, "id", "left_semi")
     # An edit changes the parity of at most two bytes' counts; those of 64 classes of bytes are the bits of one number.
     parity = "aggregate(sequence(1, cast(octet_length(line) as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, 1)) & 63 as int)))"
     texts = scratch.save(texts.withColumn("parity", F.expr(parity)))
-    close = f"bit_count(p.parity ^ m.parity) <= {2 * edits}"
+    alike = lambda n, m: f"abs({n} - {m}) <= {edits_sql(f'least({n}, {m})', levels)}"
+    close = f"bit_count(p.parity ^ m.parity) <= 2 * {edits_sql('least(p.n, m.n)', levels)}"
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("parity").alias("px")), "a")
         both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("parity").alias("py")), "b")
-        both = both.where(f"bit_count(px ^ py) <= {2 * edits}")
-        return both.where(banded_distance("x", "y", edits) <= edits).select("a", "b")
+        both = both.withColumn("e", F.expr(edits_sql("least(octet_length(x), octet_length(y))", levels)))
+        both = both.where("abs(octet_length(x) - octet_length(y)) <= e and bit_count(px ^ py) <= 2 * e")
+        near = F.lit(False)
+        for e in sorted({e for _, e in levels}):
+            near = F.when(F.col("e") == e, banded_distance("x", "y", e) <= e).otherwise(near)
+        return both.where(near).select("a", "b")
 
-    found = linked_components(shared, lambda n, m: "true", verified, scratch, profile=texts.select("id", "parity"), close=close)
+    return linked_components(shared, alike, verified, scratch, profile=texts.select("id", "parity"), close=close)
+
+
+def dedup_lines(df: DataFrame, levels: tuple = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with text rid of lines that stand elsewhere before, and n_lines, n_removed."""
+    scratch = Scratch(df.sparkSession)
+    n_lines, n_removed, of_id, of_text, gone_at = free_names(df.columns, "n_lines", "n_removed", "_id", "_th", "_gone")
+    own_id, own_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = df.select(own_id.alias("id"), own_text.alias("text"))
+    split = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = split.where(F.col("line").rlike(INK)).withColumn("line", F.col("line").cast("binary"))
+    lines = lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line"))
+    slim = scratch.save(lines.select("id", "th", "pos", "h", "g"))
     classes = slim.groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k"))
-    classes = with_component(found, classes, "h", "c")
-    classes = scratch.save(classes)
+    if levels:
+        long = lines.where(F.octet_length("line") >= min(low for low, _ in levels)).select("h", "g", "line").dropDuplicates(["h", "g"])
+        kinds = scratch.save(long.withColumn("node", F.monotonically_increasing_id()))
+        found = near_lines(kinds, levels, scratch)
+        named = kinds.select("h", "g", "node").join(found, "node").select("h", "g", "component")
+        classes = classes.join(named, ["h", "g"], "left")
+    else:
+        classes = classes.withColumn("component", F.lit(None).cast("bigint"))
+    # A class is named by its component, or by its two hashes.
+    linked = F.col("component").isNotNull()
+    classes = classes.select("h", "g", "id", "k", linked.alias("c0"), F.when(linked, F.col("component")).otherwise(F.col("h")).alias("c1"), F.when(linked, 0).otherwise(F.col("g")).alias("c2"))
+    classes, c = scratch.save(classes), ["c0", "c1", "c2"]
     # Groups with more than one occurrence: by component, as linked classes have several lines at least.
-    groups = classes.groupBy("c").agg(F.sum("k").alias("k"), F.min("id").alias("first_id")).where("k > 1")
-    of = scratch.save(classes.select("h", "g", "c").join(groups.select("c", "first_id"), "c"))
-    held = scratch.save(likely_in(slim, "h", of, "h").join(of, ["h", "g"]).select("id", "th", "pos", "c", "first_id"))
+    groups = classes.groupBy(*c).agg(F.sum("k").alias("k"), F.min("id").alias("first_id")).where("k > 1")
+    of = scratch.save(classes.select("h", "g", *c).join(groups.select(*c, "first_id"), c))
+    held = scratch.save(likely_in(slim, "h", of, "h").join(of, ["h", "g"]).select("id", "th", "pos", *c, "first_id"))
     scratch.keep_only(held)
-    first = held.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("c").agg(F.min("th").alias("first_th"))
-    first = held.join(first, "c").where("id <=> first_id and th = first_th").groupBy("c", "first_th").agg(F.min("pos").alias("first_pos"))
-    gone = held.join(first, "c").where("not (id <=> first_id and th = first_th and pos = first_pos)")
-    gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias("_gone")).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_gone")
-    out = df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_th")), "left")
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    n_lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("bigint")
+    first = held.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy(*c).agg(F.min("th").alias("first_th"))
+    first = held.join(first, c).where("id <=> first_id and th = first_th").groupBy(*c, "first_th").agg(F.min("pos").alias("first_pos"))
+    gone = held.join(first, c).where("not (id <=> first_id and th = first_th and pos = first_pos)")
+    gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias(gone_at)).select(F.col("id").alias(of_id), F.col("th").alias(of_text), gone_at)
+    out = df.join(gone, own_id.eqNullSafe(F.col(of_id)) & (F.xxhash64(own_text) == F.col(of_text)), "left")
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains({gone_at}, i)), '\\n')")
+    text = F.when(F.col(gone_at).isNull(), own_text).otherwise(kept)
+    count = F.when(F.coalesce(own_text, F.lit("")) == "", 0).otherwise(F.size(F.split(own_text, "\n", -1))).cast("bigint")
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return out.select(*columns, count.alias(n_lines), F.coalesce(F.size(gone_at), F.lit(0)).cast("bigint").alias(n_removed))
 
 
 ORACLE = f"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, text, line, pos FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos FROM documents)),
-long AS (SELECT * FROM lines WHERE octet_length(encode(line)) >= {MIN_BYTES}),
-kinds AS (SELECT line, octet_length(encode(line)) n, row_number() OVER (ORDER BY line) k FROM (SELECT DISTINCT line FROM long)),
-links AS (SELECT a.k x, b.k y FROM kinds a JOIN kinds b ON b.n BETWEEN a.n AND a.n + {EDITS} AND a.k <> b.k AND levenshtein(a.line, b.line) <= {EDITS}),
+inked AS (SELECT * FROM lines WHERE regexp_matches(line, '{INK}')),
+kinds AS (SELECT line, n, k, {edits_sql('n')} AS e FROM (SELECT line, octet_length(encode(line)) n, row_number() OVER (ORDER BY line) k FROM (SELECT DISTINCT line FROM inked))),
+-- One of e + 1 parts of the shorter line is unchanged; only lines that hold one are compared.
+parts AS (SELECT *, list_transform(range(e + 1), lambda i: substr(line, 1 + length(line) * i // (e + 1), length(line) * (i + 1) // (e + 1) - length(line) * i // (e + 1))) AS p FROM kinds WHERE e > 0),
+links AS (SELECT a.k x, b.k y FROM parts a JOIN kinds b ON b.n BETWEEN a.n AND a.n + a.e AND a.k <> b.k AND len(list_filter(a.p, lambda q: contains(b.line, q))) > 0 AND levenshtein(a.line, b.line) <= a.e),
 near AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT k a, k b FROM kinds UNION SELECT r.a, n.y FROM reach r JOIN near n ON n.x = r.b),
 groups AS (SELECT a k, min(b) c FROM reach GROUP BY a),
-ranked AS (SELECT l.doc_id, l.pos, row_number() OVER (PARTITION BY g.c ORDER BY l.doc_id, l.pos) r FROM long l JOIN kinds k USING (line) JOIN groups g USING (k))
+ranked AS (SELECT l.doc_id, l.pos, row_number() OVER (PARTITION BY g.c ORDER BY l.doc_id, l.pos) r FROM inked l JOIN kinds k USING (line) JOIN groups g USING (k))
 SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE r.r IS NULL OR r.r = 1), '') AS text,
   CASE WHEN any_value(l.text) = '' THEN 0 ELSE count(*) END::BIGINT AS n_lines, count(*) FILTER (WHERE r.r > 1)::BIGINT AS n_removed
 FROM lines l LEFT JOIN ranked r ON r.doc_id = l.doc_id AND r.pos = l.pos GROUP BY l.doc_id

@@ -3,7 +3,8 @@
 `store` keeps any bytes losslessly in an MPEG-1 Layer III stream (an ID3v2 tag, a Xing table of a
 variable-bitrate stream, then silent frames of checked side information that carry the bytes as ancillary
 data); `read` takes any column of MPEG audio bytes, skips tags, resynchronises frame headers, parses
-Xing/Info/VBRI tables, verifies Layer III checksums and gives exact durations and every frame's byte offset.
+Xing/Info/VBRI tables, verifies the checksums of all three layers and gives exact durations (samples over samples a second) and every
+frame's byte offset.
 
 Null or empty media: no frames, duration 0, sync_losses 0. Bytes without a frame: frames 0 and skipped_bytes their
 number. Repeated rows give repeated rows. Other columns of the input are not read, so their names can't clash.
@@ -64,14 +65,70 @@ def frame_crc(data: bytes) -> int:
     return c
 
 
+def _crc_bits(data: bytes, bits: int) -> int:
+    """The same over so many bits of data."""
+    c = frame_crc(data[: bits // 8])
+    for k in range(bits % 8):
+        bit = data[bits // 8] >> (7 - k) & 1
+        c = ((c << 1) ^ (0x8005 if c >> 15 ^ bit else 0)) & 0xFFFF
+    return c
+
+
+# Fixed values of the standards: runs of (subbands, bits of allocation) by Layer II table; the last one is MPEG-2's.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+
+
+def allocation_table(h: Header) -> list[int]:
+    """Bits of allocation of each subband of a Layer II frame."""
+    each = h.kbit // h.channels
+    if h.version != 1:
+        name = "low"
+    elif each in (32, 48):
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if h.rate == 48000 or 56 <= each <= 80 else "b"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def covered_bits(four: bytes, h: Header, body: bytes) -> int:
+    """Bits behind the checksum that it covers: side information, allocations, and in Layer II which scale factors come."""
+    if h.layer == 3:
+        return 8 * h.side
+    table = [4] * 32 if h.layer == 1 else allocation_table(h)
+    bound = min(len(table), 4 * ((four[3] >> 4 & 3) + 1)) if four[3] >> 6 == 1 else len(table)
+    if h.layer == 1:
+        return 4 * (bound * h.channels + 32 - bound)
+    bits = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    at, selections = 0, 0
+    for k, n in enumerate(table):
+        for _ in range(h.channels if k < bound else 1):
+            value = bits >> (512 - at - n) & (1 << n) - 1
+            selections += (value > 0) * (1 if k < bound else h.channels)
+            at += n
+    return at + 2 * selections
+
+
+def checksum_holds(data: bytes, at: int, h: Header) -> bool:
+    """Whether a protected frame's checksum is that of the header's last two bytes and what it covers."""
+    four, body = data[at : at + 4], data[at + 6 : at + h.length]
+    bits = covered_bits(four, h, body)
+    return bits <= 8 * len(body) and _crc_bits(four[2:] + body[: bits // 8 + 1], 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 class Header:
     """What four bytes of a frame header say."""
 
-    __slots__ = ("channels", "layer", "length", "protected", "rate", "samples", "side", "version")
+    __slots__ = ("channels", "kbit", "layer", "length", "protected", "rate", "samples", "side", "version")
 
-    def __init__(self, version, layer, protected, rate, length, samples, channels, side):
+    def __init__(self, version, layer, protected, rate, length, samples, channels, side, kbit):
         self.version, self.layer, self.protected, self.rate = version, layer, protected, rate
-        self.length, self.samples, self.channels, self.side = length, samples, channels, side
+        self.length, self.samples, self.channels, self.side, self.kbit = length, samples, channels, side, kbit
 
     def like(self, other: Header) -> bool:
         return (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
@@ -93,7 +150,7 @@ def header(four: bytes) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     length = (12000 * kbit // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbit // rate + padding
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(version, layer, not four[1] & 1, rate, length, samples, 1 if mono else 2, side)
+    return Header(version, layer, not four[1] & 1, rate, length, samples, 1 if mono else 2, side, kbit)
 
 
 def _syncsafe(b: bytes) -> int:
@@ -164,9 +221,9 @@ def parse(data: bytes) -> dict:
             out["sync_losses"] += last is not None and at == out.get("next")
             at = nearest
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             out["crc_checked"] += 1
-            out["crc_bad"] += frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out["crc_bad"] += not checksum_holds(data, at, h)
         table = vbr_table(data, at, h) if last is None else None
         if table:
             out["vbr"] = table
@@ -222,17 +279,16 @@ def encode(payload: bytes) -> bytes:
 
 
 def payload_of(data: bytes, parsed: dict) -> bytes:
-    """The bytes that `encode` has put into these frames."""
-    n, out = int(parsed["tags"].get("payload_bytes", 0)), []
-    flat, offsets, lengths = np.frombuffer(data, np.uint8), parsed["offsets"], parsed["lengths"]
-    i = 0
+    """The bytes that `encode` has put into these frames, wherever they stand."""
+    n, flat = int(parsed["tags"].get("payload_bytes", 0)), np.frombuffer(data, np.uint8)
+    offsets, room = np.array(parsed["offsets"], np.int64), (np.array(parsed["lengths"], np.int64) - _LEAD) // UNIT * UNIT
+    out, i = [], 0
     while i < len(offsets) and n > 0:
-        j = i
-        while j < len(offsets) and lengths[j] == lengths[i]:
+        j = i + 1
+        while j < len(offsets) and room[j] == room[i]:
             j += 1
-        room = (lengths[i] - _LEAD) // UNIT * UNIT
-        block = flat[offsets[i] : offsets[i] + (j - i) * lengths[i]].reshape(j - i, lengths[i])[:, _LEAD : _LEAD + room]
-        out.append(block.tobytes()[:n])
+        at = offsets[i:j, None] + _LEAD + np.arange(room[i])
+        out.append(flat[at].tobytes()[:n])
         n -= len(out[-1])
         i = j
     return b"".join(out)

@@ -9,8 +9,9 @@ share of the given weights to less than one block, at any size; all rows are pla
 The windows come from whole numbers (weights are scaled to such without rounding). Placing them is a walk over blocks,
 not rows, made on the driver with the plan; it holds a number of sources and a table of blocks.
 
-A source without a positive weight gets the smallest one. Without weights, a source's target is the square root of its row count. A null source is a source of its own. Ties are ordered
-by id, then the text's checksum. An empty table gives no rows.
+A source without a positive weight gets the smallest one. Without weights, a source's target is the square root of its row
+count. A null source is a source of its own. Ties are ordered by id, then the text's checksum. An empty table gives no
+rows. All columns are kept, whatever their names: a made column whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm.cluster import ranked, uniform
+from lodestone.llm.cluster import bins_for, ranked, uniform
+from lodestone.shared import free_names
 
 BLOCK = 16
-BINS = 1024
-#: Up to so many sources or blocks a table of them is broadcast.
-MOST_SOURCES = 256
+#: Up to so many source bins or blocks a table of them is broadcast.
+MOST_BINS = 1 << 18
 MOST_BLOCKS = 1 << 18
+#: What mix_sources adds.
+MADE = ("_position", "_place", "_block", "_release", "_due")
 
 
 def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
@@ -88,11 +91,10 @@ def period(shares: dict) -> list[tuple]:
 def mix_sources(df: DataFrame, weights: dict | None = None, seed: int = 23, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows with _position (the block's place times the block's size, plus the place in the block), _place, _block, _release and _due."""
     spark = df.sparkSession
-    made = ["_s", "_b", "_place", "_release", "_due"]
-    names = {"_dice", "_rank", "_block", "_position", *made}
-    if clash := names & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    counts = {r[0]: r[1] for r in df.groupBy(source_col).count().collect()}
+    position, place_at, block_at, release_at, due_at, dice, rank, of, number_of = free_names(df.columns, *MADE, "_dice", "_rank", "_s", "_b")
+    made = [of, number_of, place_at, release_at, due_at]
+    source, own_id = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
+    counts = {r[0]: r[1] for r in df.groupBy(source).count().collect()}
     weights = {s: float(weights.get(s, 0) or 0) for s in counts} if weights else {s: n**0.5 for s, n in counts.items()}
     small = min([w for w in weights.values() if w > 0], default=1.0)
     weights = {s: w if w > 0 else small for s, w in weights.items()}
@@ -104,15 +106,16 @@ def mix_sources(df: DataFrame, weights: dict | None = None, seed: int = 23, bloc
     sources = pa.array(list(counts), to_arrow_type(kind)).take(pa.array(columns[0], pa.int64()))
     table = pa.table([sources, *[pa.array(c, pa.int64()) for c in columns[1:]]], names=made)
     plan = spark.createDataFrame(table, StructType([StructField(n, LongType() if k else kind) for k, n in enumerate(made)]))
-    order = ["_dice", id_col]
-    rows = df.withColumn("_dice", uniform(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), seed=seed))
-    slim = ranked(rows, [source_col], order, F.floor(F.col("_dice") / F.lit(float(2**52) / BINS)), "_rank", bounded=len(counts) <= MOST_SOURCES).withColumn("_block", F.expr(f"_rank div {block}"))
-    on = F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))
+    bins = bins_for(sum(counts.values()))
+    rows = df.withColumn(dice, uniform(own_id, F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")), seed=seed))
+    slim = ranked(rows, [source_col], [F.col(dice), own_id], F.floor(F.col(dice) / F.lit(float(2**52) / bins)), rank, bounded=len(counts) * bins <= MOST_BINS).withColumn(block_at, F.expr(f"{rank} div {block}"))
+    on = source.eqNullSafe(F.col(of)) & (F.col(block_at) == F.col(number_of))
     out = slim.join(F.broadcast(plan) if table.num_rows <= MOST_BLOCKS else plan, on)
-    out = out.withColumn("_position", F.expr(f"_place * {block} + _rank % {block}"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], "_position", "_place", "_block", "_release", "_due")
+    out = out.withColumn(position, F.expr(f"{place_at} * {block} + {rank} % {block}"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], position, place_at, block_at, release_at, due_at)
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """The rows in the order of the mixture, with their own columns."""
-    return mix_sources(df, **options).orderBy("_position").select(*[F.col(f"`{c}`") for c in df.columns])
+    (position,) = free_names(df.columns, MADE[0])
+    return mix_sources(df, **options).orderBy(position).select(*[F.col(f"`{c}`") for c in df.columns])

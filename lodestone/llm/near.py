@@ -1,8 +1,8 @@
 """Operator 2: near duplicates by SuperMinHash, banding, verification and union-find.
 
 A text's set holds the 64-bit hashes of its distinct five-word shingles (words split at ASCII white space, A-Z in lower
-case; fewer words: the whole sequence; none: the empty set, linked with nothing). Texts with equal sets are one class;
-the class's smallest id stands for it from there on. In a SuperMinHash signature each element gives slot values
+case; fewer words: the whole sequence; none: the empty set, linked with nothing). Texts with equal sets (by size and a
+128-bit cryptographic digest of the whole ordered set) are one class; the class's smallest id stands for it from there on. In a SuperMinHash signature each element gives slot values
 j + r_j at places of its own random permutation; rounds j go on only while a slot could still fall, so that most
 elements cost one round, and the correlated ranks lower the variance.
 
@@ -18,6 +18,7 @@ them is compared). Rows with a null id are never linked and are kept.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import Scratch, likely_in, linked_components, shared_buckets, with_component
+from lodestone.llm.cluster import likely_in, linked_components, shared_buckets, with_component
 from lodestone.llm.words import SPACES, Texts, gram_hashes, mix, pieces, runs, span_hashes, word_spans
+from lodestone.shared import Scratch
 
 WORDS = 5
 SLOTS = 128
@@ -122,21 +124,19 @@ def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """Of rows id, text: id, n_shingles, two hashes of the set, and its band keys (none for the empty set)."""
+    """Of rows id, text: id, n_shingles, the set's digest as two numbers, and its band keys (none for the empty set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             flat, sizes = shingle_sets(Texts(batch.column("text")))
             keys = band_keys(signatures(flat, sizes))[sizes > 0]
-            some, sums = np.flatnonzero(sizes), np.zeros((2, len(sizes)), np.uint64)
-            if len(some):
-                starts = (np.cumsum(sizes) - sizes)[some]
-                with np.errstate(over="ignore"):
-                    sums[0, some] = np.add.reduceat(mix(flat, 11), starts)
-                sums[1, some] = np.bitwise_xor.reduceat(mix(flat, 12), starts)
+            cut = np.concatenate(([0], np.cumsum(sizes))) * 8
+            whole = memoryview(np.ascontiguousarray(flat)).cast("B")
+            digests = b"".join(hashlib.blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            digests = np.frombuffer(digests, np.int64).reshape(-1, 2)
             ends = np.concatenate(([0], np.cumsum((sizes > 0) * BANDS))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands], names=["id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bands], names=["id", "n_shingles", "h1", "h2", "bands"])
 
     return df.mapInArrow(work, f"id {df.schema['id'].dataType.simpleString()}, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
 

@@ -25,7 +25,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(_table(spark, sf_dir, "documents"))
     seen = media.read(stored, ["doc_id", "n_bytes"])
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("ms="), F.expr("samples * 1000 div sample_rate")), F.concat_ws("", F.lit("vbr="), "vbr", F.lit(":"), "vbr_frames"), F.concat(F.lit("crc="), F.expr("crc_checked - crc_bad"), F.lit("/"), "crc_checked"), F.concat(F.lit("lost="), "sync_losses"), F.concat_ws("", F.lit("seek="), F.md5(F.concat_ws(",", F.col("seek").cast("array<string>")))))
-    return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "samples", "sample_rate")
+    return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "samples", "sample_rate", "seek")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.token_counts(_table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"), whole=True)
+    return counts.token_counts(_table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

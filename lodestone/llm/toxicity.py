@@ -1,10 +1,11 @@
 """Operator 4: toxicity by cumulative-link ordinal regression.
 
-Severity grades 0..3 of labelled rows: 0 where the label is 0; where it is 1, 1 to 3 by how many distinct marker
-features the text has (one, two or three, more). Markers are found on the labelled rows: hashed words and word prefixes
-whose share of toxic texts exceeds that of the others by more than Z standard errors. P(grade <= j) is
+Labels say toxic or not; grades 0..3 of labelled rows come from them and from what models that haven't seen a row think of
+it: 0 where the label is 0; where it is 1, the third of the toxic rows into which the row falls by its probability under
+a two-grade regression fitted on the other two thirds of the rows (cross-fitting). P(grade <= j) is
 sigmoid(threshold_j - w.x) with one weight vector w for all thresholds, which are kept in order; x says which features
-a text has. The output is the grade's expectation and the probabilities.
+a text has. Features are hashed words and word prefixes whose share of the labelled toxic texts exceeds that of the others by more than Z
+standard errors, however many there are. The output is the grade's expectation and the probabilities.
 
 Fitting takes at most FIT_ROWS labelled rows (those of the smallest seeded hash of the id); all else covers all rows.
 Null or empty texts have no features: their severity is that of the thresholds alone and they are not toxic. Rows
@@ -30,7 +31,7 @@ BITS = 20
 PREFIXES = (5, 6, 7)
 Z = 5.0
 LEAST = 3
-MOST_FEATURES = 4096
+CROSS = 3
 GRADES = 4
 
 
@@ -79,13 +80,13 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def fit_link(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, ridge: float = 0.5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_link(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int, n_grades: int = GRADES, ridge: float = 0.5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by gradient ascent (Adam) of the penalised likelihood.
 
     Thresholds are the first one plus sums of exponentials, so they can't cross.
     """
     n = len(grades)
-    share = np.clip([np.mean(grades <= j) for j in range(GRADES - 1)], 1e-3, 1 - 1e-3)
+    share = np.clip([np.mean(grades <= j) for j in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     p = np.concatenate([np.zeros(n_features), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -99,7 +100,7 @@ def fit_link(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_featur
         slope = edges * (1 - edges)
         chance = np.maximum(edges[at, grades + 1] - edges[at, grades], 1e-12)
         g_z = -(slope[at, grades + 1] - slope[at, grades]) / chance
-        g_cut = np.array([np.sum(slope[at, j + 1] * ((grades == j) - 1.0 * (grades == j + 1)) / chance) for j in range(GRADES - 1)])
+        g_cut = np.array([np.sum(slope[at, j + 1] * ((grades == j) - 1.0 * (grades == j + 1)) / chance) for j in range(n_grades - 1)])
         g = np.empty_like(p)
         g[:n_features] = np.bincount(columns, g_z[rows], n_features) - ridge * w if len(rows) else -ridge * w
         g[n_features] = g_cut.sum()
@@ -115,7 +116,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     some = known.orderBy(uniform(F.col("id"), seed=seed), "id").limit(most)
     # At most `most` rows of two numbers.
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", "text")
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", "id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -129,23 +130,16 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at))), pa.array(np.concatenate((seen[:1], tally[0, at]))), pa.array(np.concatenate((seen[1:], tally[1, at])))], names=["number", "clean", "toxic"])
 
     sums = rows.mapInArrow(count, "number bigint, clean bigint, toxic bigint").groupBy("number").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # Only features that few texts by chance would show this often, and the totals (number -1).
-    high = sums.where((F.col("number") == -1) | ((F.col("toxic") >= LEAST) & (F.col("toxic") > 2 * F.sqrt(F.col("clean")))))
-    found = high.orderBy(F.col("number") != -1, F.desc("toxic"), "number").limit(8 * MOST_FEATURES).collect()
-    totals = next(((r["clean"], r["toxic"]) for r in found if r["number"] == -1), (0, 0))
+    totals = sums.where("number = -1").first()
+    totals = (totals["clean"], totals["toxic"]) if totals else (0, 0)
     if not all(totals):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 50.0))
-    ranked = []
-    for r in found:
-        if r["number"] >= 0:
-            a, b = r["toxic"] / totals[1], r["clean"] / totals[0]
-            pool = (r["toxic"] + r["clean"]) / sum(totals)
-            z = (a - b) / np.sqrt(max(pool * (1 - pool), 1e-12) * (1 / totals[0] + 1 / totals[1]))
-            if z > Z:
-                ranked.append((-z, r["number"], a / (a + b)))
-    ranked = sorted(ranked)[:MOST_FEATURES]
-    numbers = np.array(sorted(x[1] for x in ranked), np.int64)
-    sharp = {x[1] for x in ranked if x[2] > 0.9}
+    shares = F.col("toxic") / totals[1] - F.col("clean") / totals[0]
+    pool = (F.col("toxic") + F.col("clean")) / sum(totals)
+    error = F.sqrt(F.greatest(pool * (1 - pool), F.lit(1e-12)) * (1 / totals[0] + 1 / totals[1]))
+    # Features are at most 2 ** BITS, and come from at most `most` rows.
+    found = sums.where((F.col("number") >= 0) & (F.col("toxic") >= LEAST) & (shares > Z * error)).select("number").collect()
+    numbers = np.array(sorted(r["number"] for r in found), np.int64)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.full(1 << BITS, -1, np.int32)
@@ -156,17 +150,31 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             n, r = distinct(f[kept], r[kept])
             ends = np.concatenate(([0], np.cumsum(np.bincount(r, minlength=batch.num_rows))))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(table[n]))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), lists], names=["y", "has"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("id"), lists], names=["y", "id", "has"])
 
-    known_rows = rows.mapInArrow(present, "y int, has array<int>").toPandas()
+    known_rows = rows.mapInArrow(present, f"y int, id {rows.schema['id'].dataType.simpleString()}, has array<int>").toPandas().sort_values("id", kind="stable")
     own = [np.asarray(x, np.int64) for x in known_rows["has"]]
-    marks = np.array([sum(int(numbers[k]) in sharp for k in x) for x in own], np.int64)
-    grades = np.where(known_rows["y"].to_numpy() > 0, 1 + (marks > 1 + len(PREFIXES)) + (marks > 3 * (1 + len(PREFIXES))), 0)
-    at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    weights, thresholds = fit_link(at, np.concatenate(own) if own else np.zeros(0, np.int64), grades, len(numbers))
+    toxic = known_rows["y"].to_numpy() > 0
+    flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+    grades = cross_fitted_grades(own, toxic, len(numbers))
+    weights, thresholds = fit_link(np.repeat(np.arange(len(own)), [len(x) for x in own]), flat, grades, len(numbers))
     return Model(numbers, weights, thresholds)
 
 
+def cross_fitted_grades(own: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for clean rows; 1 to 3 for toxic ones, by thirds of the probability that models fitted without the row give it."""
+    score, fold = np.zeros(len(own)), np.arange(len(own)) % CROSS
+    for k in range(CROSS):
+        train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(train) and len(test):
+            rows = np.repeat(np.arange(len(train)), [len(own[i]) for i in train])
+            columns = np.concatenate([own[i] for i in train])
+            w, cut = fit_link(rows, columns, toxic[train].astype(int), n_features, 2, steps=150)
+            score[test] = [w[own[i]].sum() - cut[0] for i in test]
+    low, high = np.quantile(score[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + (score > low) + (score > high), 0)
+
+
 OUT = "severity double, p_toxic double, p_grade_1 double, p_grade_2 double, p_grade_3 double, toxic boolean"
 
 

@@ -1,4 +1,4 @@
-"""A worker's table of words it has met: values by word hash, bounded, kept over the tasks of the worker."""
+"""A worker's table of words it has met: values by word, bounded, kept over the tasks of the worker."""
 
 from __future__ import annotations
 
@@ -11,11 +11,24 @@ from lodestone.llm.words import Texts
 MOST = 1_500_000
 
 
+SHORT = 16
+
+
+def ends_of(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's first and last eight bytes as numbers: with its size they are the word itself up to SHORT bytes."""
+    data = np.concatenate([np.zeros(8, np.uint8), texts.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    size = ends - starts
+    less = (8 * np.maximum(8 - size, 0)).astype(np.uint64)
+    return eight[starts + 8] << less, eight[ends] >> less << less
+
+
 class WordTable:
     """Gives each word a place in the flat pool of integers that `fill` makes for new words.
 
     fill takes the words' bytes and gives one list (or array) of integers for each. Beyond MOST words the
-    table starts anew; results don't depend on that.
+    table starts anew; results don't depend on that. Words are found by a hash and then held against the
+    table's word byte by byte; those that only share a hash are filled on their own.
     """
 
     def __init__(self, fill: Callable[[list[bytes]], list]):
@@ -24,8 +37,10 @@ class WordTable:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.long: dict[int, bytes] = {}
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
+        self.head, self.tail, self.bytes = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.int32)
         self.used = 0
 
@@ -35,28 +50,48 @@ class WordTable:
             a = np.concatenate([a, np.zeros(len(a), a.dtype)])
         return a
 
+    def _put(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """New words' starts and sizes in the pool."""
+        values = self.fill(words)
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        flat = np.concatenate(values).astype(np.int32) if isinstance(values[0], np.ndarray) else np.fromiter((x for v in values for x in v), np.int32, int(sizes.sum()))
+        self.pool = self._room(self.pool, self.used + len(flat))
+        self.pool[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        return starts, sizes
+
     def look(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's start and size in the pool."""
         kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.place) > MOST:
             self.clear()
-        get = self.place.get
+        get, data = self.place.get, texts.data
+        word = lambda i: data[starts[i] : ends[i]].tobytes()
+        head, tail = ends_of(texts, starts, ends)
         at = np.array([get(x, -1) for x in kinds.tolist()], np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
             some = first[new]
-            data = texts.data
-            values = self.fill([data[a:b].tobytes() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, values), np.int64, len(values))
-            flat = np.concatenate(values).astype(np.int32) if isinstance(values[0], np.ndarray) else np.fromiter((x for v in values for x in v), np.int32, int(sizes.sum()))
-            n = len(self.place)
-            self.starts, self.sizes = self._room(self.starts, n + len(new)), self._room(self.sizes, n + len(new))
-            self.pool = self._room(self.pool, self.used + len(flat))
-            self.starts[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.sizes[n : n + len(new)] = sizes
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.place.update(zip(kinds[new].tolist(), range(n, n + len(new)), strict=True))
-            at[new] = np.arange(n, n + len(new))
+            n, m = len(self.place), len(self.place) + len(new)
+            at[new] = np.arange(n, m)
+            for name in ("starts", "sizes", "head", "tail", "bytes"):
+                setattr(self, name, self._room(getattr(self, name), m))
+            fresh = [word(i) for i in some.tolist()]
+            self.starts[n:m], self.sizes[n:m] = self._put(fresh)
+            self.head[n:m], self.tail[n:m], self.bytes[n:m] = head[some], tail[some], (ends - starts)[some]
+            self.place.update(zip(kinds[new].tolist(), range(n, m), strict=True))
+            self.long.update({n + k: w for k, w in enumerate(fresh) if len(w) > SHORT})
         at = at[back.reshape(-1)]
-        return self.starts[at], self.sizes[at]
+        size = ends - starts
+        other = (head != self.head[at]) | (tail != self.tail[at]) | (size != self.bytes[at])
+        for i in np.flatnonzero(~other & (size > SHORT)).tolist():
+            other[i] = word(i) != self.long[at[i]]
+        out_starts, out_sizes = self.starts[at], self.sizes[at]
+        if other.any():
+            odd: dict[bytes, list[int]] = {}
+            for i in np.flatnonzero(other).tolist():
+                odd.setdefault(word(i), []).append(i)
+            for (a, n), i in zip(zip(*self._put(list(odd)), strict=True), odd.values(), strict=True):
+                out_starts[i], out_sizes[i] = a, n
+        return out_starts, out_sizes

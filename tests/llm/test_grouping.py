@@ -110,9 +110,9 @@ def test_components(spark):
     assert cluster.components(spark.createDataFrame([], "a bigint, b bigint"), cluster.Scratch(spark)).count() == 0
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup(spark, edits):
-    random.seed(edits)
+@pytest.mark.parametrize("levels", [(), ((40, 1),), ((30, 1), (54, 2), (62, 3))])
+def test_line_dedup(spark, levels):
+    random.seed(len(levels))
     word = lambda: "".join(random.choice("abcdé") for _ in range(4))
     pool = [" ".join(word() for _ in range(random.randint(10, 14))) for _ in range(25)]
     docs = []
@@ -123,12 +123,13 @@ def test_line_dedup(spark, edits):
             for _ in range(random.choice([0, 0, 1, 1, 2, 3])):
                 p, o = random.randrange(len(line)), random.random()
                 line[p : p + 1] = [] if o < 0.3 else [line[p], "x"] if o < 0.6 else ["y"]
-            own.append("".join(line) if random.random() < 0.8 else "short line")
+            own.append("".join(line) if random.random() < 0.8 else random.choice(["short line", "  ", "}"]))
         docs.append((i, "\n".join(own)))
     docs += [(70, None), (71, ""), (72, "\n\n"), (73, docs[5][1]), (73, docs[5][1]), (74, "z" * 70000), (None, pool[0])]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("id", "th", "pos", "line")})
-    got = lines.dedup_lines(df, edits=edits).collect()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("id", "th", "pos", "line", "_id", "_th", "_gone", "n_lines", "n_removed", "_node", "c0")})
+    got = lines.dedup_lines(df, levels=levels).collect()
     assert len(got) == len(docs) and set(df.columns) < set(got[0].asDict())
+    edits = lambda n: max([e for low, e in levels if n >= low], default=0)
 
     def distance(a, b):
         prev = list(range(len(b) + 1))
@@ -142,10 +143,11 @@ def test_line_dedup(spark, edits):
     places = {}
     for i, text in dict.fromkeys(docs):
         for k, line in enumerate((text or "").split("\n")):
-            if len(line.encode()) >= lines.MIN_BYTES:
+            if line.strip():
                 places.setdefault(line.encode(), []).append((10**9 if i is None else i, k))
     kinds = sorted(places)
-    links = [(a, b) for k, a in enumerate(kinds) for b in kinds[:k] if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits]
+    links = [(a, b) for k, a in enumerate(kinds) for b in kinds[:k] if abs(len(a) - len(b)) <= (e := edits(min(len(a), len(b)))) and e and distance(a, b) <= e]
+    assert bool(links) == bool(levels)
     root, gone = groups(kinds, links), set()
     for c in set(root.values()):
         gone |= set(sorted(p for k in kinds if root[k] == c for p in places[k])[1:])
@@ -154,10 +156,8 @@ def test_line_dedup(spark, edits):
         text = dict(docs)[r.doc_id]
         kept = [x for k, x in enumerate((text or "").split("\n")) if (i, k) not in gone]
         assert r.text == (None if text is None else "\n".join(kept)), r.doc_id
-        assert r.n_removed == len((text or "").split("\n")) - len(kept)
+        assert r.n_removed_ == len((text or "").split("\n")) - len(kept) and r.n_removed == 1 and r._gone == 1
     assert lines.dedup_lines(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        lines.dedup_lines(df.withColumn("n_lines", F.lit(1)))
 
 
 def test_vectors(spark):

@@ -2,10 +2,13 @@
 
 import random
 from collections import Counter
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import cluster, counts, graphs, mixing, queries
@@ -41,11 +44,61 @@ def test_every_block_keeps_its_window(sources):
     assert seen == blocks and deviation([r[0] for r in rows], blocks, weights) < 1 + 1e-9
 
 
+def brute_schedule(blocks, weights):
+    """Place by place with exact fractions: a fluid that gives sources their weights' shares, and the released block due first."""
+    left, done, t, windows = {s: Fraction(n) for s, n in blocks.items()}, dict.fromkeys(blocks, Fraction(0)), Fraction(0), {s: [] for s in blocks}
+    while any(left.values()):
+        live = {s: Fraction(weights[s]) for s in left if left[s]}
+        rate = {s: w / sum(live.values()) for s, w in live.items()}
+        step = min(min((done[s] // 1 + 1 - done[s]) / r for s, r in rate.items()), min(left[s] / r for s, r in rate.items()))
+        for s, r in rate.items():
+            done[s] += r * step
+            left[s] -= r * step
+            if done[s].denominator == 1:
+                windows[s].append(t + step)
+        t += step
+    ends = {s: [Fraction(0), *w] for s, w in windows.items()}
+    made, out = dict.fromkeys(blocks, 0), []
+    for place in range(sum(blocks.values())):
+        ready = [(ceil(ends[s][made[s] + 1]), s) for s in sorted(blocks) if made[s] < blocks[s] and ends[s][made[s]] // 1 <= place]
+        s = min(ready)[1]
+        out.append((s, made[s]))
+        made[s] += 1
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcde"), st.tuples(st.integers(1, 25), st.integers(1, 97)), min_size=1))
+def test_schedule_equals_brute_force(sources):
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    assert [(s, j) for s, j, _, _ in mixing.schedule(blocks, weights)] == brute_schedule(blocks, weights)
+
+
+def test_mixing_holds_given_weights_over_many_blocks():
+    weights = {"a": 0.5, "b": 0.4, "c": 0.0985, "d": 0.0015}
+    blocks = {s: int(120_000 * w) for s, w in weights.items()}
+    assert deviation([r[0] for r in mixing.schedule(blocks, weights)], blocks, weights) < 1 + 1e-9  # in floating point
+
+
+def test_mixing_with_columns_of_its_own_names(spark):
+    rows = [(i, f"t{i}", f"s{i % 3}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    clash = docs.withColumns({c: F.lit("x") for c in (*mixing.MADE, "_bin", "_inner", "_base_bin", "_by_source", "_s", "_b", "_dice", "_rank")})
+    want = {r.doc_id: r._position for r in mixing.mix_sources(docs).collect()}
+    out = mixing.mix_sources(clash)
+    assert out.columns[: len(clash.columns)] == clash.columns and out.columns[-5:] == [c + "_" for c in mixing.MADE]
+    assert {r.doc_id: r._position_ for r in out.collect()} == want and out.where("_position <> 'x' or _by_source <> 'x'").count() == 0
+    assert [r.doc_id for r in mixing.mixed(clash).collect()] == sorted(want, key=want.get)
+    long = docs.where("doc_id < 3").withColumn("text", F.repeat(F.lit("long text "), 200000))
+    assert mixing.mixed(long).where("length(text) = 2000000").count() == 3
+
+
 def test_mixing_takes_any_number_of_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}", f"s{i % 300}" if i % 300 else None) for i in range(1500)], "doc_id bigint, text string, source string")
     want = sorted(map(tuple, mixing.mix_sources(docs, block=2).collect()))
     assert len(want) == 1500 and sorted({r[4] for r in want}) == list(range(900))
     monkeypatch.setattr(mixing, "MOST_BLOCKS", 0)
+    monkeypatch.setattr(mixing, "MOST_BINS", 0)
     assert sorted(map(tuple, mixing.mix_sources(docs, block=2).collect())) == want
 
 
@@ -85,12 +138,12 @@ def whole_count(scores, longest, w):
 
 def test_long_pretokens_are_scored_whole(spark, tmp_path):
     random.seed(5)
-    scores = counts.pieces_of(queries.public_file("piece_bpe_32k.model"))
-    longest = max(map(len, scores))
     sizes = (85, 86, 253, 256, 257, 700)
     words = ["x" * 9000, "日本語の文章" * 200, "https://example.org/" + "some/path-" * 90, *["".join(random.choice("theinrsé") for _ in range(n)) for n in sizes]]
     texts = [*words, " ".join(words), "short words", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = counts.fit_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), queries.public_file("piece_bpe_32k.model"))
+    longest = max(map(len, scores))
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in queries.QUERIES["op5_token_counts"](spark, str(tmp_path)).collect()}
     for i, text in enumerate(texts):
         own = (text or "").encode().split()
