@@ -2,21 +2,27 @@
 
 Equal vectors are one class, named by its smallest id. Classes are dealt to shards by hash; each shard builds a
 hierarchical graph (upper layers hold a sixteenth of the layer below; neighbours are chosen so that none is closer to
-another chosen one than to the node). Every class, in blocks, then queries every shard: it descends greedily to the
-lowest layer and searches it with a beam. A query whose beam holds links only is searched again with a wider beam, beyond
-WIDEST over the whole shard; and of each block AUDIT queries, and AUDIT more made just inside the threshold around vectors of the
-shard, are held against all vectors of the shard: while either miss more than one link in a hundred the block is searched
-again with a beam twice as wide. Cosines are computed in double precision
-for all that the beams found, and only pairs of at least THRESHOLD link. A task gives link counts and a spanning forest
-of its links, so a group of k copies costs k rows, not k squared; union-find joins the forests.
+another chosen one than to the node). Every class then queries every shard: it descends greedily to the lowest layer and
+searches it with a beam. A query whose beam holds links only is searched again with a wider beam, beyond WIDEST over the
+whole shard. Before a task asks a shard's graph, its beam is audited against brute force over the shard: vectors of
+the shard are drawn until they have AUDIT_LINKS links to others (or AUDIT_MOST are drawn), and AUDIT queries are made just
+inside the threshold around vectors; while either miss more than one link in a hundred the beam is doubled. The audits'
+links and those found come with the result.
+
+A shard's graph moves once for each of its tasks, of QUERY_ROWS queries, which stream past it. Vectors move in the width
+that they came in; cosines are computed in double precision for all that the beams found, and only pairs of at
+least THRESHOLD link. A task gives link counts and a spanning forest of its links, so a group of k copies costs k rows,
+not k squared; union-find joins the forests.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
-don't link. Repeated rows count as so many vectors. Rows with a null id are never linked and are kept.
+don't link. Repeated rows count as so many vectors; of an id with different vectors the one with the smallest hashes
+counts. Rows with a null id are never linked and are kept. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +36,16 @@ from lodestone.shared import Scratch
 THRESHOLD = 0.95
 SHARDS = 8
 SHARD_ROWS = 100_000
-BLOCK_ROWS = 8192
+SHARD_BYTES = 64 << 20
+QUERY_ROWS = 500_000
+TASKS = 2
 DEGREE = 16
 BUILD_BEAM = 40
 BEAM = 32
 WIDEST = 256
 AUDIT = 16
+AUDIT_LINKS = 32
+AUDIT_MOST = 256
 RECALL = 0.99
 BATCH = 256
 _SLACK = 1e-4
@@ -236,97 +246,140 @@ def planted(exact: np.ndarray, threshold: float) -> np.ndarray:
     return _unit(cosine * x + math.sqrt(1 - cosine * cosine) * side)
 
 
-def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """links_of, with beams widened until a sample of queries and the planted ones each find RECALL of their links."""
-    beam, samples = BEAM, [q[np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))], planted(exact, threshold)]
-    totals = [sum(int((exact @ v >= threshold).sum()) for v in s) for s in samples]
+def audit_beam(graph: Graph, exact: np.ndarray, threshold: float) -> tuple[int, int, int]:
+    """The beam with which drawn vectors of the shard, and planted ones, each find RECALL of their links to others; those links, and how many were found."""
+    n, step = len(exact), max(1, len(exact) // AUDIT_MOST)
+    drawn, links = [], 0
+    for i in range(0, n, step):
+        drawn.append(i)
+        links += int((exact @ exact[i] >= threshold).sum()) - 1
+        if links >= AUDIT_LINKS and len(drawn) >= AUDIT:
+            break
+    made = planted(exact, threshold)
+    own, totals, beam = exact[drawn], (links, sum(int((exact @ v >= threshold).sum()) for v in made)), BEAM
     while True:
-        if beam >= len(graph.x) or all(sum(map(len, links_of(graph, exact, s, threshold, beam))) >= RECALL * n for s, n in zip(samples, totals, strict=True)):
-            return links_of(graph, exact, q, threshold, beam)
+        # A drawn vector is a link of its own, which counts on neither side.
+        hits = sum(int((at != i).sum()) for i, at in zip(drawn, links_of(graph, exact, own, threshold, beam), strict=True)), sum(map(len, links_of(graph, exact, made, threshold, beam)))
+        if beam >= n or all(h >= RECALL * t for h, t in zip(hits, totals, strict=True)):
+            return beam, sum(totals), sum(hits)
         beam *= 2
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(-1, dim)
+def _flat(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+GRAPH = "ids binary, sizes binary, vectors binary, counts array<bigint>, layers array<binary>"
+
+
 def build(table: pa.Table) -> pa.Table:
-    """One row with a shard's graph: ids, sizes, exact unit vectors, layers."""
+    """One row with a shard's graph: ids, sizes, vectors as they came, layers."""
     dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
     ids = np.asarray(table["rep"])
     order = np.argsort(mix(ids.astype(np.uint64), 21), kind="stable")
-    exact = _unit(_matrix(table["v"], dim))[order]
-    graph = Graph.build(exact.astype(np.float32))
+    raw = np.ascontiguousarray(_flat(table["v"], dim)[order])
+    graph = Graph.build(_unit(raw).astype(np.float32))
     layers = [layer.links.tobytes() for layer in graph.layers]
-    return pa.table({"dim": [dim], "shard": [shard], "ids": [ids[order].tobytes()], "sizes": [np.asarray(table["size"])[order].tobytes()], "vectors": [exact.tobytes()], "counts": [graph.counts], "layers": pa.array([layers], pa.list_(pa.binary()))}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vectors", pa.binary()), ("counts", pa.list_(pa.int64())), ("layers", pa.list_(pa.binary()))]))
-
+    return pa.table({"dim": [dim], "shard": [shard], "ids": [ids[order].tobytes()], "sizes": [np.asarray(table["size"])[order].tobytes()], "vectors": [raw.tobytes()], "counts": [graph.counts], "layers": pa.array([layers], pa.list_(pa.binary()))}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vectors", pa.binary()), ("counts", pa.list_(pa.int64())), ("layers", pa.list_(pa.binary()))]))
 
-GRAPH = "dim int, shard int, ids binary, sizes binary, vectors binary, counts array<bigint>, layers array<binary>"
 
+class Shard:
+    """A shard's graph, its exact unit vectors, and what was asked of it."""
 
-def _query(threshold: float):
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        row = {k: right[k][0].as_py() for k in ("dim", "ids", "sizes", "vectors", "counts", "layers")}
-        ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-        exact = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
-        x = exact.astype(np.float32)
+    def __init__(self, row: dict, threshold: float, kind: type):
+        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+        self.exact = _unit(np.frombuffer(row["vectors"], kind).reshape(-1, row["dim"]))
+        x = self.exact.astype(np.float32)
         layers = [Layer(x[:n], 0, np.frombuffer(b, np.int32).reshape(n, -1)) for n, b in zip(row["counts"], row["layers"], strict=True)]
-        graph = Graph(x, layers, row["counts"])
-        reps, q = np.asarray(left["rep"]), _unit(_matrix(left["v"], row["dim"]))
-        names = np.concatenate([ids, reps])
-        kinds, same = np.unique(names, return_inverse=True)
-        forest, a, b, n = Forest(len(kinds)), [], [], []
-        step = 2048
-        for i in range(0, len(q), step):
-            for k, at in enumerate(audited(graph, exact, q[i : i + step], threshold), i):
-                at = at[ids[at] != reps[k]]
-                if len(at):
-                    a.append(reps[k])
-                    b.append(reps[k])
-                    n.append(int(sizes[at].sum()))
-                    for u, v in forest.union(np.concatenate([same[at], same[len(ids) + k : len(ids) + k + 1]])):
-                        a.append(kinds[u])
-                        b.append(kinds[v])
-                        n.append(0)
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+        self.graph, self.forest, self.threshold = Graph(x, layers, row["counts"]), Forest(len(x)), threshold
+        self.beam, self.asked, self.found = audit_beam(self.graph, self.exact, threshold)
+
+    def ask(self, reps: np.ndarray, q: np.ndarray) -> tuple[list, list, list]:
+        """Rows a, b, links: a class and itself with its links here, and edges that join it with them."""
+        a, b, n = [], [], []
+        for k, at in enumerate(links_of(self.graph, self.exact, q, self.threshold, self.beam)):
+            at = at[self.ids[at] != reps[k]]
+            if len(at):
+                a += [reps[k], reps[k]]
+                b += [reps[k], self.ids[at[0]]]
+                n += [int(self.sizes[at].sum()), 0]
+                for u, v in self.forest.union(at):
+                    a.append(self.ids[u])
+                    b.append(self.ids[v])
+                    n.append(0)
+        return a, b, n
+
+
+def _query(threshold: float, kind: type):
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "links", "asked", "found")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("dim", "shard", "task")], 1)
+            graph_row = np.asarray(batch.column("kind")) == 0
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1) | graph_row[:-1] | graph_row[1:], [True])))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if graph_row[i]:
+                    row = {c: batch.column(c)[i].as_py() for c in ("dim", "ids", "sizes", "vectors", "counts", "layers")}
+                    key, shard = tuple(keys[i]), Shard(row, threshold, kind)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, None, shard.asked, shard.found)], schema=schema)
+                    continue
+                if key != tuple(keys[i]):
+                    continue  # no vector of this length in this shard
+                reps, q = np.asarray(batch.column("rep").slice(i, j - i)), _unit(_flat(batch.column("v").slice(i, j - i), int(keys[i][0])))
+                a, b, n = shard.ask(reps, q)
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), none, none], schema=schema)
 
     return work
 
 
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, shards: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, n_links (other vectors linked directly), component_id, kept."""
+    """id, n_links (other vectors linked directly), component_id, kept, and of all audits the links that were there and those found."""
     scratch = Scratch(df.sparkSession)
-    v = F.col(vector_col).cast("array<double>")
+    raw = F.col(f"`{vector_col}`")
+    single = df.schema[vector_col].dataType.elementType.simpleString() == "float"
+    v = raw.cast("array<double>")
     sound = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    rows = df.select(F.col(id_col).alias("id"), v.alias("v"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), v.alias("v"))
     good = rows.where(F.coalesce(sound, F.lit(False)) & F.col("id").isNotNull()).withColumn("v", F.expr("transform(v, x -> x + 0.0D)"))
     good = good.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    # Single precision came in as such, and goes on as such without a loss.
+    good = scratch.save(good.withColumn("v", F.col("v").cast("array<float>")) if single else good)
+    kinds = good.select("id", "h1", "h2").distinct()
+    twice = kinds.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2")).alias("k")).where("n > 1").select("id", "k")
+    other = kinds.join(twice, "id").where("struct(h1, h2) <> k").select("id", "h1", "h2")
+    good = good.join(other, ["id", "h1", "h2"], "left_anti")
     keys = good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     member = scratch.save(good.join(keys, ["h1", "h2"]).select("id", "rep", "size", F.when(F.col("id") == F.col("rep"), F.col("v")).alias("v")))
     classes = scratch.save(member.where("v is not null").dropDuplicates(["rep"]).select("rep", "size", "v", F.size("v").alias("dim")))
-    n = classes.count()
-    shards = shards or max(SHARDS, math.ceil(n / SHARD_ROWS))
-    blocks = max(1, math.ceil(n / BLOCK_ROWS))
+    n, widest = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    shards = shards or max(SHARDS, math.ceil(n / SHARD_ROWS), math.ceil(n * (widest or 0) * 4 / SHARD_BYTES))
+    tasks = max(TASKS, math.ceil(n / QUERY_ROWS))
     dealt = classes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(rep), {shards}) as int)"))
-    graphs = scratch.save(dealt.groupBy("dim", "shard").applyInArrow(build, GRAPH))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = classes.select("rep", "v", "dim", F.expr(f"cast(pmod(xxhash64(rep, 1), {blocks}) as int)").alias("block"), every.alias("shard"))
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = asked.groupBy("dim", "shard", "block").cogroup(held.groupBy("dim", "shard", "block"))
-    found = scratch.save(pairs.applyInArrow(_query(threshold), "a bigint, b bigint, links bigint"))
-    links = found.groupBy(F.col("a").alias("_rep")).agg(F.sum("links").alias("links"))
+    graphs = scratch.save(dealt.groupBy("dim", "shard").applyInArrow(build, f"dim int, shard int, {GRAPH}"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    held = graphs.select("dim", "shard", every(tasks).alias("task"), F.lit(0).alias("kind"), "ids", "sizes", "vectors", "counts", "layers")
+    asked = classes.select("dim", every(shards).alias("shard"), F.expr(f"cast(pmod(xxhash64(rep, 1), {tasks}) as int)").alias("task"), F.lit(1).alias("kind"), "rep", "v")
+    # A partition a task: its graph comes first, and its queries stream past it.
+    both = held.unionByName(asked, allowMissingColumns=True).repartitionById(shards * tasks, F.expr(f"shard * {tasks} + task"))
+    found = scratch.save(both.sortWithinPartitions("dim", "shard", "task", "kind").mapInArrow(_query(threshold, np.float32 if single else np.float64), "a bigint, b bigint, links bigint, asked bigint, found bigint"))
+    scratch.drop(graphs)
+    audits = found.where("asked is not null").agg(F.coalesce(F.sum("asked"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
+    links = found.where("a = b").groupBy(F.col("a").alias("_rep")).agg(F.sum("links").alias("links"))
     joined = scratch.save(components(found.where("a <> b").select("a", "b"), scratch))
     named = member.select("id", "rep", "size").dropDuplicates(["id"])
     named = named.join(links, F.col("rep") == F.col("_rep"), "left").select("id", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("bigint").alias("n_links"))
     named = with_component(joined, named, "rep", "c").select(F.col("id").alias("_id"), "n_links", "c")
     out = rows.select("id").join(named, F.col("id") == F.col("_id"), "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("c", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    return out.withColumns({"audit_links": F.lit(audits[0]).cast("bigint"), "audit_found": F.lit(audits[1]).cast("bigint")})

@@ -151,7 +151,7 @@ def test_long_pretokens_are_scored_whole(spark, tmp_path):
 
 
 def test_audit_has_links_to_find():
-    """No sampled query links; one between them does, in a graph whose beams find nothing."""
+    """A graph whose beams find nothing is widened to the whole shard, though few vectors of it link."""
 
     class Blind:
         def __init__(self, x):
@@ -162,12 +162,27 @@ def test_audit_has_links_to_find():
 
     rng = np.random.default_rng(6)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    exact, q = unit(rng.normal(size=(400, 32))), unit(rng.normal(size=(200, 32)))
-    q[5] = exact[7]
-    assert all((exact @ v < 0.95).all() for v in np.delete(q, 5, 0))
-    found = graphs.audited(Blind(exact), exact, q, 0.95)
-    assert [k for k, at in enumerate(found) if len(at)] == [5] and found[5].tolist() == [7]
+    exact = unit(rng.normal(size=(400, 32)))
+    assert graphs.audit_beam(Blind(exact), exact, 0.95)[0] >= 400  # planted ones only
+    exact[1::2] = exact[::2]
+    beam, asked, found = graphs.audit_beam(Blind(exact), exact, 0.95)
+    assert beam >= 400 and asked == found > graphs.AUDIT_LINKS
     p = graphs.planted(exact, 0.95)
     assert len(p) == graphs.AUDIT and ((p @ exact.T).max(1) >= 0.95).all()
     one = graphs.planted(np.ones((3, 1)), 0.95)
     assert np.allclose(one, 1)
+
+
+def test_vectors_of_one_id_and_of_many_tasks(spark, monkeypatch):
+    """An id with two vectors counts once, whatever the rows' order; more tasks change nothing."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[150:] = x[:150] + rng.normal(size=(150, 8)).astype(np.float32) * 0.01
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.tolist())] + [(7, [float(v) for v in x[20]])]
+    frame = lambda r: spark.createDataFrame(r, "vec_id bigint, embedding array<float>")
+    want = sorted(map(tuple, graphs.near_vectors(frame(rows)).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert len(want) == 301 and sum(r[1] for r in want) >= 298
+    monkeypatch.setattr(graphs, "QUERY_ROWS", 70)
+    again = graphs.near_vectors(frame(rows[::-1])).collect()
+    assert sorted(tuple(r)[:4] for r in again) == want
+    assert again[0].audit_links > 0 and again[0].audit_found >= graphs.RECALL * again[0].audit_links
