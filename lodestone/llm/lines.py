@@ -16,7 +16,7 @@ distinct lines tell them apart in links.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.cluster import likely_in, linked_components, shared_buckets, with_component
@@ -34,31 +34,35 @@ def edits_sql(n: str, levels: tuple = LEVELS) -> str:
     return f"(CASE {whens} ELSE 0 END)" if levels else "0"
 
 
-def segment_keys(line: str, edits: int, low: int = 0, high: int | None = None) -> list[tuple[str, int]]:
-    """SQL of the key of each segment and probe of a binary column, and whether it is a probe only.
-
-    low and high bound the lengths (high is left out) of the lines that are looked for.
-    """
+def segment_places(edits: int) -> list[tuple[int, int, int, int]]:
+    """(bytes less, segment from 1, shift, whether it is a probe only) of every key of a line."""
     out = []
-    for shorter in range(edits + 1):
-        size = f"(octet_length({line}) - {shorter})"
+    for less in range(edits + 1):
         for i in range(1, edits + 2):
-            # Segments differ by one byte at most; the last (size mod (edits + 1)) ones have it.
-            base, extra = f"({size} div {edits + 1})", f"({size} % {edits + 1})"
-            before = f"greatest({i - 1} - ({edits + 1} - {extra}), 0)"
-            start = f"({i - 1} * {base} + {before} + 1)"
-            length = f"({base} + if({i} > {edits + 1} - {extra}, 1, 0))"
-            left, right = max(-(i - 1), shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i))
-            for shift in range(left, right + 1):
-                key = f"xxhash64({size}, {i}, substring({line}, cast({start} + {shift} as int), cast({length} as int)))"
-                at = f"{start} + {shift}"
-                fits = f"{at} >= 1 and {at} + {length} - 1 <= octet_length({line}) and {size} >= {low}" + (f" and {size} < {high}" if high else "")
-                out.append((f"if({fits}, {key}, null)", int(shorter > 0 or shift != 0)))
+            left, right = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
+            out += [(less, i, shift, int(less > 0 or shift != 0)) for shift in range(left, right + 1)]
     return out
 
 
-def banded_distance(x: str, y: str, edits: int) -> Column:
-    """Edit distance of two binary columns, exact up to `edits` and more than that beyond."""
+def segment_keys(kinds: DataFrame, edits: int, low: int = 0, high: int | None = None) -> DataFrame:
+    """key, id, probe, n: each line's segments and probes (rows of node, line binary), for lines of low to high - 1 bytes.
+
+    One short expression over a table of places, rather than a long one a place, so that it stays compiled.
+    """
+    parts = edits + 1
+    places = ", ".join(f"struct({less} as less, {i} as i, {shift} as shift, {probe} as probe)" for less, i, shift, probe in segment_places(edits))
+    rows = kinds.where(f"octet_length(line) >= {low}" + (f" and octet_length(line) < {high + edits}" if high else ""))
+    rows = rows.select("node", "line", F.expr(f"inline(array({places}))")).withColumn("n", F.octet_length("line")).withColumn("size", F.expr("n - less"))
+    # Segments differ by one byte at most; the last (size mod parts) ones have it.
+    rows = rows.where(f"size >= {low}" + (f" and size < {high}" if high else "")).withColumn("extra", F.expr(f"size % {parts}"))
+    rows = rows.withColumn("long", F.expr(f"cast(size div {parts} as int) + if(i > {parts} - extra, 1, 0)"))
+    rows = rows.withColumn("start", F.expr(f"(i - 1) * cast(size div {parts} as int) + greatest(i - 1 - ({parts} - extra), 0) + 1 + shift"))
+    rows = rows.where("start >= 1 and start + long - 1 <= n")
+    return rows.select(F.expr("xxhash64(size, i, substring(line, start, long))").alias("key"), F.col("node").alias("id"), "probe", "n")
+
+
+def banded_sql(x: str, y: str, edits: int) -> str:
+    """SQL of the edit distance of two binary columns, exact up to `edits` and more than that beyond; y is not empty."""
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 2 * edits
     start = full & ~((1 << edits) - 1)
@@ -73,19 +77,30 @@ def banded_distance(x: str, y: str, edits: int) -> Column:
     # Arrays of one element name p (the column's matches) and d (where the diagonal has no edit).
     body = f"transform(transform(array({match}), p -> {d0}), d -> {after})[0]"
     walk = f"aggregate(sequence(1, cast(octet_length({y}) as int)), named_struct('vp', {start}, 'vn', 0, 'e', {edits}), (s, j) -> {body}, s -> s.e)"
-    return F.expr(f"if(abs(octet_length({x}) - octet_length({y})) > {edits}, {edits + 1}, {walk})")
+    return f"if(abs(octet_length({x}) - octet_length({y})) > {edits}, {edits + 1}, {walk})"
+
+
+#: Powers of two, the largest first.
+_POWERS = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"
+
+
+def within_edits(x: str, y: str, edits: int) -> str:
+    """SQL of whether two binary columns differ by at most so many edits: what they have in common at both ends changes
+    nothing and is left out, the rest goes through the banded distance."""
+    nx, ny = f"octet_length({x})", f"octet_length({y})"
+    front = f"aggregate({_POWERS}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) and substring({x}, a + 1, k) = substring({y}, a + 1, k), a + k, a))"
+    back = f"aggregate({_POWERS}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) - f and substring({x}, {nx} - a - k + 1, k) = substring({y}, {ny} - a - k + 1, k), a + k, a))"
+    rest = f"named_struct('x', substring({x}, g.f + 1, {nx} - g.f - g.b), 'y', substring({y}, g.f + 1, {ny} - g.f - g.b))"
+    walk = banded_sql("w.x", "w.y", edits)
+    test = f"if(octet_length(w.x) = 0 or octet_length(w.y) = 0, abs({nx} - {ny}) <= {edits}, {walk} <= {edits})"
+    bound = f"transform(transform(transform(array({front}), f -> named_struct('f', f, 'b', {back})), g -> {rest}), w -> {test})[0]"
+    return f"(abs({nx} - {ny}) <= {edits} and {bound})"
 
 
 def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     """Components (node, component) of the links among distinct lines (node, line binary)."""
-    levels, parts = tuple(sorted(levels)), []
-    for k, (low, e) in enumerate(levels):
-        high = levels[k + 1][0] if k + 1 < len(levels) else None
-        keys = segment_keys("line", e, low, high)
-        flags = F.array(*[F.lit(p) for _, p in keys])
-        some = kinds.where(f"octet_length(line) >= {low}" + (f" and octet_length(line) < {high + e}" if high else ""))
-        some = some.select("node", F.octet_length("line").alias("n"), F.posexplode(F.expr(f"array({', '.join(x for x, _ in keys)})")).alias("i", "key")).where("key is not null")
-        parts.append(some.select("key", F.col("node").alias("id"), F.element_at(flags, F.col("i") + 1).alias("probe"), "n"))
+    levels = tuple(sorted(levels))
+    parts = [segment_keys(kinds, e, low, levels[k + 1][0] if k + 1 < len(levels) else None) for k, (low, e) in enumerate(levels)]
     entries = parts[0]
     for p in parts[1:]:
         entries = entries.unionByName(p)
@@ -96,19 +111,18 @@ def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     parity = "aggregate(sequence(1, cast(octet_length(line) as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, 1)) & 63 as int)))"
     texts = scratch.save(texts.withColumn("parity", F.expr(parity)))
     alike = lambda n, m: f"abs({n} - {m}) <= {edits_sql(f'least({n}, {m})', levels)}"
-    close = f"bit_count(p.parity ^ m.parity) <= 2 * {edits_sql('least(p.n, m.n)', levels)}"
+
+    def close(x: str, y: str) -> str:
+        """SQL of whether two rows of line and parity link."""
+        allowed = edits_sql(f"least(octet_length({x}.line), octet_length({y}.line))", levels)
+        tests = " ".join(f"WHEN {e} THEN {within_edits(f'{x}.line', f'{y}.line', e)}" for e in sorted({e for _, e in levels}))
+        return f"bit_count({x}.parity ^ {y}.parity) <= 2 * {allowed} and (CASE {allowed} {tests} ELSE false END)"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("parity").alias("px")), "a")
-        both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("parity").alias("py")), "b")
-        both = both.withColumn("e", F.expr(edits_sql("least(octet_length(x), octet_length(y))", levels)))
-        both = both.where("abs(octet_length(x) - octet_length(y)) <= e and bit_count(px ^ py) <= 2 * e")
-        near = F.lit(False)
-        for e in sorted({e for _, e in levels}):
-            near = F.when(F.col("e") == e, banded_distance("x", "y", e) <= e).otherwise(near)
-        return both.where(near).select("a", "b")
-
-    return linked_components(shared, alike, verified, scratch, profile=texts.select("id", "parity"), close=close)
+        side = lambda c, name: texts.select(F.col("id").alias(c), F.struct("line", "parity").alias(name))
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(close("x", "y")).select("a", "b")
+
+    return linked_components(shared, alike, verified, scratch, profile=texts.select("id", "line", "parity"), close=close("p", "m"))
 
 
 def dedup_lines(df: DataFrame, levels: tuple = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
