@@ -111,6 +111,10 @@ def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -
     return frame.join(named, F.col(column) == F.col(node), "left").withColumn(name, F.coalesce(name, column)).drop(node)
 
 
+def tasks_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 1, profile: DataFrame | None = None, close: str = "true") -> DataFrame:
     """Components (node, component) of the links among ids that share a bucket.
 
@@ -144,7 +148,9 @@ def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verif
             pairs = mixed.where("c <> tc").where(alike("n", "tn")).select(F.col("tid").alias("a"), F.col("id").alias("b"))
         else:
             mixed = scratch.save(mixed.join(profile, "id") if profile is not None else mixed)
-            met = mixed.alias("p").join(mixed.where("c <> tc").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and {alike('p.n', 'm.n')} and ({close})"))
+            # Few bytes and many tests: as many tasks as the session has partitions, not as few as the bytes would fill.
+            dealt = mixed.repartition(tasks_of(mixed), "key")
+            met = dealt.alias("p").join(mixed.where("c <> tc").repartition(tasks_of(mixed), "key").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and {alike('p.n', 'm.n')} and ({close})"))
             pairs = met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
         add(pairs.distinct())
     return found

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.cluster import likely_in, linked_components, shared_buckets, with_component
+from lodestone.llm.cluster import likely_in, linked_components, shared_buckets, tasks_of, with_component
 from lodestone.shared import Scratch, free_names
 
 #: (bytes of the shorter line from which on, edits)
@@ -97,6 +97,20 @@ def within_edits(x: str, y: str, edits: int) -> str:
     return f"(abs({nx} - {ny}) <= {edits} and {bound})"
 
 
+BLOCKS = 16
+
+
+def blocks_stand(x: str, y: str, edits: str) -> str:
+    """SQL of whether enough of x's even blocks stand in y near their places: an edit spoils one of them at most.
+
+    A loop over a short expression: a long one would make a join's method too large to be compiled.
+    """
+    block = f"substring({x}, k * v.z + 1, if(k < {BLOCKS - 1}, v.z, octet_length({x})))"
+    near = f"substring({y}, greatest(1, k * v.z + 1 - v.e), if(k < {BLOCKS - 1}, v.z, octet_length({x})) + 2 * v.e)"
+    walk = f"aggregate(array({', '.join(map(str, range(BLOCKS)))}), 0, (a, k) -> if(contains({near}, {block}), a + 1, a))"
+    return f"transform(array(named_struct('z', cast(octet_length({x}) div {BLOCKS} as int), 'e', {edits})), v -> {walk} >= {BLOCKS} - v.e)[0]"
+
+
 def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     """Components (node, component) of the links among distinct lines (node, line binary)."""
     levels = tuple(sorted(levels))
@@ -116,11 +130,12 @@ def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
         """SQL of whether two rows of line and parity link."""
         allowed = edits_sql(f"least(octet_length({x}.line), octet_length({y}.line))", levels)
         tests = " ".join(f"WHEN {e} THEN {within_edits(f'{x}.line', f'{y}.line', e)}" for e in sorted({e for _, e in levels}))
-        return f"bit_count({x}.parity ^ {y}.parity) <= 2 * {allowed} and (CASE {allowed} {tests} ELSE false END)"
+        return f"bit_count({x}.parity ^ {y}.parity) <= 2 * {allowed} and {blocks_stand(f'{x}.line', f'{y}.line', allowed)} and (CASE {allowed} {tests} ELSE false END)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c, name: texts.select(F.col("id").alias(c), F.struct("line", "parity").alias(name))
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(close("x", "y")).select("a", "b")
+        one = pairs.join(side("a", "x"), "a").repartition(tasks_of(pairs), "b")
+        return one.join(side("b", "y"), "b").where(close("x", "y")).select("a", "b")
 
     return linked_components(shared, alike, verified, scratch, profile=texts.select("id", "line", "parity"), close=close("p", "m"))
 
