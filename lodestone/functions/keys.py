@@ -73,3 +73,25 @@ def align_features(features: Column, have: list[str], want: list[str]) -> Column
     if missing := [n for n in want if n not in place]:
         raise ValueError(f"features lack {missing[:5]}")
     return F.transform(F.array(*[F.lit(place[n] + 1) for n in want]), lambda i: F.element_at(features, i))
+
+
+#: Providers of a chemistry toolkit: name -> (pandas function of a series of structures, Spark type). None ships here.
+PROVIDERS: dict[str, tuple] = {}
+
+
+def provide(name: str, function, kind: str) -> None:
+    """Registers a toolkit's function under a name such as weight, depiction or properties."""
+    PROVIDERS[name] = (function, kind)
+
+
+def provided(name: str, structure: Column) -> Column:
+    """A registered provider's result for a structure column, by Arrow batches; raises where none is registered."""
+    if name not in PROVIDERS:
+        raise LookupError(f"no provider of {name!r} is registered")
+    function, kind = PROVIDERS[name]
+
+    @F.pandas_udf(kind)
+    def run(structures: pd.Series) -> pd.Series:
+        return function(structures)
+
+    return run(structure)

@@ -81,16 +81,74 @@ def tree_spread(model: RandomForestRegressionModel, df: DataFrame, path: str, co
     return df.withColumn("_uq", spread(F.col(column).cast("array<double>"))).select(*df.columns, "_uq.*")
 
 
+class Transfer:
+    """A representation fitted on some rows (a boosted model's prediction beside principal components) and a linear head."""
+
+    def __init__(self, base: list, head=None):
+        self.base, self.head = base, head
+
+    @classmethod
+    def represent(cls, rows: DataFrame, seed: int = 42, k: int = 8) -> Transfer:
+        from pyspark.ml.feature import PCA, VectorAssembler
+
+        vectors = with_vector(rows)
+        k = min(k, len(vectors.select("_vector").first()[0]))
+        base = boosted(20, 4, seed).setPredictionCol("_base").fit(vectors)
+        return cls([PCA(k=k, inputCol="_vector", outputCol="_pc").fit(vectors), base, VectorAssembler(inputCols=["_pc", "_base"], outputCol="_head")])
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        out = with_vector(rows)
+        for stage in self.base:
+            out = stage.transform(out)
+        return out
+
+    def with_head(self, rows: DataFrame) -> Transfer:
+        """The representation as it is, under a head fitted on these rows."""
+        head = LinearRegression(featuresCol="_head", labelCol="label", predictionCol="pred_y", regParam=0.1)
+        return Transfer(self.base, head.fit(self.encode(rows)))
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return self.head.transform(self.encode(rows)).drop("_vector", "_pc", "_base", "_head")
+
+    def save(self, path: str) -> None:
+        from pyspark.ml import PipelineModel
+
+        PipelineModel([*self.base, self.head]).write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> Transfer:
+        from pyspark.ml import PipelineModel
+
+        *base, head = PipelineModel.load(path).stages
+        return cls(base, head)
+
+
 def transfer(public: DataFrame, train: DataFrame, test: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
-    """A representation fitted on public rows (a boosted model's prediction beside principal components), a linear head on internal ones."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-
-    base = boosted(20, 4, seed).fit(with_vector(public))
-    pca = PCA(k=k, inputCol="_vector", outputCol="_pc").fit(with_vector(public))
-    stack = VectorAssembler(inputCols=["_pc", "prediction"], outputCol="_head")
-    encode = lambda df: stack.transform(base.transform(pca.transform(with_vector(df)))).drop("prediction")
-    head = LinearRegression(featuresCol="_head", labelCol="label", regParam=0.1).fit(encode(train))
-    return head.transform(encode(test)).withColumnRenamed("prediction", "pred_y").drop("_vector", "_pc", "_head")
+    """test with pred_y of a representation fitted on public rows and a head on internal ones."""
+    return Transfer.represent(public, seed, k).with_head(train).predict(test)
+
+
+UNCERTAINTY = ("trees", "ensemble")
+
+
+def uncertain(mode: str, train: DataFrame, test: DataFrame, make_model, path: str, members: int = 5, seed: int = 42) -> DataFrame:
+    """test with pred_y and uq_std: of a forest's trees, or of models fitted on samples drawn with replacement (`ensemble`).
+
+    Modes of neural networks (dropout, evidential) have no counterpart here and raise.
+    """
+    if mode not in UNCERTAINTY:
+        raise ValueError(f"unknown uncertainty {mode!r}: one of {UNCERTAINTY}")
+    if mode == "trees":
+        return tree_spread(make_model().fit(with_vector(train)), test, path).drop("low", "up")
+    out = with_vector(test)
+    for i in range(members):
+        model = make_model().setPredictionCol(f"_p{i}").fit(with_vector(train.sample(True, 1.0, seed + i)))
+        out = model.transform(out)
+    p = F.array(*[F.col(f"_p{i}") for i in range(members)])
+    mean = F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / members
+    out = out.withColumn("pred_y", mean)
+    spread = F.sqrt(F.aggregate(p, F.lit(0.0), lambda a, x: a + (x - F.col("pred_y")) * (x - F.col("pred_y"))) / members)
+    return out.withColumn("uq_std", spread).drop("_vector", *[f"_p{i}" for i in range(members)])
 
 
 def probabilities(df: DataFrame, model) -> DataFrame:

@@ -23,8 +23,8 @@ class Registry:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v=*")
 
-    def add(self, name: str, framework: str, endpoint: str, metrics: dict[str, float], artifact: str, model_id: int | None = None) -> tuple[int, int]:
-        """A new model's first version, or (with an id) the next version; raises if its identity would change."""
+    def add(self, name: str, framework: str, endpoint: str, metrics: dict[str, float], artifact: str, model_id: int | None = None, training: DataFrame | None = None) -> tuple[int, int]:
+        """A new model's first version, or (with an id) the next version, with its training set; raises if its identity would change."""
         rows = self.table()
         if model_id is None:
             top = rows.agg(F.max("id")).first()[0]
@@ -40,6 +40,8 @@ class Registry:
         final = f"{self.path}/v={model_id}-{version}"
         if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(final)):
             raise FileExistsError(final)
+        if training is not None:
+            training.write.mode("overwrite").parquet(self._training(model_id, version))
         staged = f"{self.path}/_staged-{model_id}-{version}"
         one.coalesce(1).write.mode("overwrite").parquet(staged)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -47,9 +49,27 @@ class Registry:
             raise OSError(final)
         return model_id, version
 
+    def _training(self, model_id: int, version: int) -> str:
+        return f"{self.path}/_training/{model_id}-{version}"
+
+    def details(self, model_id: int):
+        """The newest version's row; raises for an unknown id."""
+        row = self.table().where(F.col("id") == model_id).orderBy(F.desc("version")).first()
+        if row is None:
+            raise KeyError(model_id)
+        return row
+
+    def trail(self, model_id: int) -> DataFrame:
+        return self.table().where(F.col("id") == model_id).orderBy("version")
+
+    def training_set(self, model_id: int, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(self._training(model_id, version or self.details(model_id)["version"]))
+
     def delete(self, model_id: int) -> None:
         for s in self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={model_id}-*")):
             self._fs.delete(s.getPath(), True)
+        for s in self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_training/{model_id}-*")) or []:
+            self._fs.delete(s.getPath(), True)
 
 
 def resolve(registry: DataFrame, name: str, pin: int | None = None) -> int | None:

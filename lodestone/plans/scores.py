@@ -119,6 +119,56 @@ def calibration_params(s, d):
     return rounded(cal.parameters(predictions(s, d), ["endpoint", "arm"]), *CALIB_COLUMNS)
 
 
+#: The arms of one line status: folds of all lines, a block that tests two of the folds, and one that tests every line.
+ARM_CALIBRATION = f"""{P}, x AS (SELECT endpoint, compound, fold, uq_std, real_y, abs(real_y - pred_y) AS e FROM p WHERE arm = 'F'),
+  s AS (SELECT a.endpoint, 'augmented_cv' AS arm, f.fold, 'other folds' AS "rows", a.e, a.uq_std, a.real_y FROM x a JOIN (SELECT DISTINCT endpoint, fold FROM x) f ON a.endpoint = f.endpoint AND a.fold <> f.fold
+    UNION ALL SELECT endpoint, 'internal_temp', NULL, 'without tested', e, uq_std, real_y FROM x WHERE compound NOT IN (SELECT compound FROM x WHERE fold <= 2)
+    UNION ALL SELECT endpoint, 'ext_to_internal', NULL, 'pooled', e, uq_std, real_y FROM x)
+  SELECT endpoint, arm, fold, "rows", count(*) AS n, round(sqrt(avg(e * e)), 6) + 0.0 AS rmse_cv, round(stddev_samp(real_y), 6) + 0.0 AS label_std, round(regr_intercept(e, uq_std), 6) + 0.0 AS recal_a, round(regr_slope(e, uq_std), 6) + 0.0 AS recal_b FROM s GROUP BY ALL"""
+
+
+@query("arm_calibration", ARM_CALIBRATION)
+def arm_calibration(s, d):
+    p = predictions(s, d).where("arm = 'F'").select("endpoint", "compound", "fold", "real_y", "pred_y", "uq_std")
+    rows = p.withColumn("arm", F.lit("augmented_cv")).unionByName(p.where("fold <= 2").withColumn("arm", F.lit("internal_temp"))).unionByName(p.withColumn("arm", F.lit("ext_to_internal")))
+    return rounded(cal.arm_calibration(rows, ["endpoint"]), *CALIB_COLUMNS)
+
+
+@query("winner_table", f"""{P}, x AS (SELECT endpoint, CASE arm WHEN 'F' THEN 'internal_cv' ELSE 'augmented_cv' END AS arm, CASE WHEN fold = 1 THEN 'rf' ELSE 'cp' END AS method, round({R2DET}, 6) + 0.0 AS r2det FROM p WHERE fold <= 2 GROUP BY ALL),
+  y AS (SELECT endpoint, arm, max(r2det) AS v, arg_min(method, (-r2det, method <> 'rf')) AS m FROM x GROUP BY ALL)
+  SELECT endpoint, max(v) FILTER (arm = 'internal_cv') AS internal_cv, max(m) FILTER (arm = 'internal_cv') AS internal_cv_by, max(v) FILTER (arm = 'augmented_cv') AS augmented_cv, max(m) FILTER (arm = 'augmented_cv') AS augmented_cv_by, CASE max(m) FILTER (arm = 'augmented_cv') WHEN 'rf' THEN 'all public' ELSE NULL END AS note FROM y GROUP BY endpoint""")
+def winner_table(s, d):
+    from lodestone.operators.arms import winner_table as table_of
+
+    p = predictions(s, d).withColumn("arm", F.when(F.col("arm") == "F", "internal_cv").otherwise("augmented_cv"))
+    store = lambda fold: rounded(m.regression(p.where(F.col("fold") == fold), ["endpoint", "arm"]), "r2det")
+    return table_of({"rf": store(1), "cp": store(2)}, ("internal_cv", "augmented_cv"), metric="r2det")
+
+
+@query("confidence_across_arms", f"{P} SELECT CASE arm WHEN 'F' THEN 'cv' ELSE 'round trip' END AS setting, endpoint, compound::VARCHAR AS compound, round(abs(real_y - pred_y), 6) + 0.0 AS residual, round(exp(-uq_std), 6) + 0.0 AS confidence FROM p")
+def confidence_across_arms(s, d):
+    from lodestone.operators.arms import confidence_across_arms as across
+
+    p = predictions(s, d).withColumn("conf_recal", F.exp(-F.col("uq_std")))
+    return rounded(across({"cv": p.where("arm = 'F'"), "round trip": p.where("arm = 'O'")}), "residual", "confidence")
+
+
+@query("metrics_table", f"{P}, x AS (SELECT endpoint, CASE arm WHEN 'F' THEN 'internal_cv' ELSE 'internal_temp' END AS arm, real_y, pred_y, real_y >= 4.6 AS r, pred_y >= 4.6 AS c FROM p), b AS (SELECT endpoint, arm, {REG}, {COUNTS} FROM x GROUP BY ALL) SELECT endpoint, arm, n, rmse, mae, pearson_r, r2, r2det, bias, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, {TRIAGE}, CASE WHEN arm LIKE '%temp%' THEN 2 ELSE 1 END::INTEGER AS block, row_number() OVER (PARTITION BY endpoint ORDER BY arm LIKE '%temp%', r2det DESC, arm) AS place FROM b")
+def metrics_table(s, d):
+    p = predictions(s, d).select("endpoint", F.when(F.col("arm") == "F", "internal_cv").otherwise("internal_temp").alias("arm"), "real_y", "pred_y")
+    return rounded(m.metrics_table(p, ["endpoint"], t.num(4.6)), *REG_COLUMNS, *TRIAGE_COLUMNS)
+
+
+@query("balanced_accuracy", f"{P}, y AS (SELECT endpoint, real_raw >= 40000 AS r, pred_raw >= 30000 AS c FROM p) SELECT endpoint, round((avg(c::INT) FILTER (r) + avg((NOT c)::INT) FILTER (NOT r)) / 2, 6) + 0.0 AS balanced_accuracy FROM y GROUP BY endpoint")
+def balanced_accuracy(s, d):
+    return rounded(m.balanced_accuracy(predictions(s, d), ["endpoint"], F.col("real_raw") >= 40000, F.col("pred_raw") >= 30000), "balanced_accuracy")
+
+
+@query("favourable_place", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(1 / (1 + exp(-(-1) * 2.0::DOUBLE * 1.5::DOUBLE * (log10(c_acctbal) - log10(5000::DOUBLE)))), 6) + 0.0 END AS place FROM customer")
+def favourable_place(s, d):
+    return table(s, d, "customer").select("c_custkey", r6(t.favourable_place("log10", "<=", F.col("c_acctbal"), 5000.0, 2.0, 1.5)).alias("place"))
+
+
 @query("confidence_lofo", f"{P} {CALIB.format(keys='a.endpoint, f.fold, ')} (SELECT *, abs(real_y - pred_y) AS e FROM p) a JOIN (SELECT DISTINCT fold FROM p) f ON a.fold <> f.fold GROUP BY a.endpoint, f.fold")
 def confidence_lofo(s, d):
     return rounded(cal.parameters_without_fold(predictions(s, d), ["endpoint"]).select("endpoint", "fold", "n", *CALIB_COLUMNS), *CALIB_COLUMNS)
