@@ -112,7 +112,9 @@ def with_component(found: DataFrame, frame: DataFrame, column: str, name: str) -
 
 
 def tasks_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks for much work on few bytes: some for each core, but no more than shuffles have."""
+    spark = df.sparkSession
+    return max(1, min(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 1, profile: DataFrame | None = None, close: str = "true") -> DataFrame:
