@@ -61,40 +61,36 @@ def segment_keys(kinds: DataFrame, edits: int, low: int = 0, high: int | None =
     return rows.select(F.expr("xxhash64(size, i, substring(line, start, long))").alias("key"), F.col("node").alias("id"), "probe", "n")
 
 
-def banded_sql(x: str, y: str, edits: int) -> str:
-    """SQL of the edit distance of two binary columns, exact up to `edits` and more than that beyond; y is not empty."""
-    width = 2 * edits + 1
-    full, top = (1 << width) - 1, 2 * edits
-    start = full & ~((1 << edits) - 1)
+def banded_sql(x: str, y: str, e: str, most: int) -> str:
+    """SQL of the edit distance of two binary columns, exact up to e (SQL, `most` or less) and more than that beyond; y is not empty."""
+    full, top = f"(shiftleft(1, 2 * {e} + 1) - 1)", f"(2 * {e})"
+    start = f"({full} & ~(shiftleft(1, {e}) - 1))"
     # Bytes that UTF-8 never has stand before x, so that no place in the band is negative.
-    pad = f"concat(unhex('{'FF' * edits}'), {x})"
-    match = " + ".join(f"if(substring({pad}, j + {b}, 1) = substring({y}, j, 1), {1 << b}, 0)" for b in range(width))
+    pad = f"concat(unhex('{'FF' * most}'), {x})"
+    match = " + ".join(f"if(substring({pad}, j + {b + most} - {e}, 1) = substring({y}, j, 1), {1 << b}, 0)" for b in range(2 * most + 1))
     d0 = f"((((p & s.vp) + s.vp) ^ s.vp) | p | s.vn) & {full}"
     hp, hn = f"((s.vn | ~(d | s.vp)) & {full})", "(d & s.vp)"
-    at = f"cast(octet_length({x}) - j + {edits} as int)"
-    step = f"if(j + {edits} <= octet_length({x}), 1 - (shiftright(d, {top}) & 1), if({at} < 0, 0, (shiftright({hp}, {at}) & 1) - (shiftright({hn}, {at}) & 1)))"
+    at = f"cast(octet_length({x}) - j + {e} as int)"
+    step = f"if(j + {e} <= octet_length({x}), 1 - (shiftright(d, {top}) & 1), if({at} < 0, 0, (shiftright({hp}, {at}) & 1) - (shiftright({hn}, {at}) & 1)))"
     after = f"named_struct('vp', (({hn}) | ~(shiftright(d, 1) | {hp})) & {full}, 'vn', shiftright(d, 1) & {hp}, 'e', s.e + {step})"
     # Arrays of one element name p (the column's matches) and d (where the diagonal has no edit).
-    body = f"transform(transform(array({match}), p -> {d0}), d -> {after})[0]"
-    walk = f"aggregate(sequence(1, cast(octet_length({y}) as int)), named_struct('vp', {start}, 'vn', 0, 'e', {edits}), (s, j) -> {body}, s -> s.e)"
-    return f"if(abs(octet_length({x}) - octet_length({y})) > {edits}, {edits + 1}, {walk})"
+    body = f"transform(transform(array(({match}) & {full}), p -> {d0}), d -> {after})[0]"
+    return f"aggregate(sequence(1, cast(octet_length({y}) as int)), named_struct('vp', {start}, 'vn', 0, 'e', {e}), (s, j) -> {body}, s -> s.e)"
 
 
-#: Powers of two, the largest first.
-_POWERS = "array(" + ", ".join(str(1 << k) for k in range(30, -1, -1)) + ")"
+#: Powers of two, the largest first.
+_POWERS = "transform(sequence(30, 0, -1), k -> shiftleft(1, k))"
 
 
-def within_edits(x: str, y: str, edits: int) -> str:
-    """SQL of whether two binary columns differ by at most so many edits: what they have in common at both ends changes
-    nothing and is left out, the rest goes through the banded distance."""
+def within_edits(x: str, y: str, e: str, most: int) -> str:
+    """SQL of whether two binary columns differ by at most e edits: what they have in common at both ends changes nothing
+    and is left out, the rest goes through the banded distance."""
     nx, ny = f"octet_length({x})", f"octet_length({y})"
     front = f"aggregate({_POWERS}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) and substring({x}, a + 1, k) = substring({y}, a + 1, k), a + k, a))"
     back = f"aggregate({_POWERS}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) - f and substring({x}, {nx} - a - k + 1, k) = substring({y}, {ny} - a - k + 1, k), a + k, a))"
-    rest = f"named_struct('x', substring({x}, g.f + 1, {nx} - g.f - g.b), 'y', substring({y}, g.f + 1, {ny} - g.f - g.b))"
-    walk = banded_sql("w.x", "w.y", edits)
-    test = f"if(octet_length(w.x) = 0 or octet_length(w.y) = 0, abs({nx} - {ny}) <= {edits}, {walk} <= {edits})"
-    bound = f"transform(transform(transform(array({front}), f -> named_struct('f', f, 'b', {back})), g -> {rest}), w -> {test})[0]"
-    return f"(abs({nx} - {ny}) <= {edits} and {bound})"
+    rest = f"named_struct('x', substring({x}, g.f + 1, {nx} - g.f - g.b), 'y', substring({y}, g.f + 1, {ny} - g.f - g.b), 'e', {e})"
+    test = f"if(abs({nx} - {ny}) > w.e, false, octet_length(w.x) = 0 or octet_length(w.y) = 0 or {banded_sql('w.x', 'w.y', 'w.e', most)} <= w.e)"
+    return f"transform(transform(transform(array({front}), f -> named_struct('f', f, 'b', {back})), g -> {rest}), w -> {test})[0]"
 
 
 BLOCKS = 16
@@ -129,8 +125,8 @@ def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     def close(x: str, y: str) -> str:
         """SQL of whether two rows of line and parity link."""
         allowed = edits_sql(f"least(octet_length({x}.line), octet_length({y}.line))", levels)
-        tests = " ".join(f"WHEN {e} THEN {within_edits(f'{x}.line', f'{y}.line', e)}" for e in sorted({e for _, e in levels}))
-        return f"bit_count({x}.parity ^ {y}.parity) <= 2 * {allowed} and {blocks_stand(f'{x}.line', f'{y}.line', allowed)} and (CASE {allowed} {tests} ELSE false END)"
+        test = within_edits(f"{x}.line", f"{y}.line", allowed, max(e for _, e in levels))
+        return f"bit_count({x}.parity ^ {y}.parity) <= 2 * {allowed} and {blocks_stand(f'{x}.line', f'{y}.line', allowed)} and {test}"
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c, name: texts.select(F.col("id").alias(c), F.struct("line", "parity").alias(name))
