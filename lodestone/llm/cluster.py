@@ -77,17 +77,16 @@ BITMAP_BITS = 1 << 24
 def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
     """The rows whose key is among the wanted ones, and a few others, without moving the rows.
 
-    The wanted keys' hashes set bits of a map of BITMAP_BITS bits, a table of 2 MB whatever their number, which is
-    broadcast. An exact join must follow; this one keeps most rows that it would drop off the network.
+    The wanted keys' hashes set bits of a map of BITMAP_BITS bits, a table of 64 bits a row and so of as many rows at
+    most whatever the number of keys, which is broadcast. An exact join must follow; this one keeps most rows that it
+    would drop off the network.
     """
-    bucket, at, bits, b, p = free_names(df.columns, "_bucket", "_at", "_map", "_b", "_p")
-    bit = lambda c: f"(pmod(xxhash64({c}), {BITMAP_BITS}) + 1)"
-    marks = wanted.select(F.expr(f"bitmap_bucket_number({bit(name)})").alias(bucket), F.expr(f"bitmap_bit_position({bit(name)})").alias(at))
-    maps = marks.groupBy(bucket).agg(F.bitmap_construct_agg(at).alias(bits))
-    asked = df.withColumn(b, F.expr(f"bitmap_bucket_number({bit(key)})")).withColumn(p, F.expr(f"cast(bitmap_bit_position({bit(key)}) as int)"))
-    met = asked.join(F.broadcast(maps), F.col(b) == F.col(bucket))
-    byte = f"cast(conv(hex(substring({bits}, {p} div 8 + 1, 1)), 16, 10) as int)"
-    return met.where(f"(shiftright({byte}, cast({p} % 8 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    word, bits, at = free_names(df.columns, "_word", "_bits", "_at")
+    bit = lambda c: f"pmod(xxhash64({c}), {BITMAP_BITS})"
+    mark = f"bit_or(shiftleft(1L, cast({bit(name)} & 63 as int)))"
+    words = wanted.groupBy(F.expr(f"shiftright({bit(name)}, 6)").alias(word)).agg(F.expr(mark).alias(bits))
+    met = df.withColumn(at, F.expr(bit(key))).join(F.broadcast(words), F.expr(f"shiftright({at}, 6)") == F.col(word))
+    return met.where(f"(shiftright({bits}, cast({at} & 63 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
