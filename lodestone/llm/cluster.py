@@ -151,7 +151,7 @@ def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verif
             mixed = scratch.save(mixed.join(profile, "id") if profile is not None else mixed)
             # Few bytes and many tests: as many tasks as the session has partitions, not as few as the bytes would fill.
             dealt = mixed.repartition(tasks_of(mixed), "key")
-            met = dealt.alias("p").join(mixed.where("c <> tc").repartition(tasks_of(mixed), "key").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and {alike('p.n', 'm.n')} and ({close})"))
+            met = dealt.alias("p").join(mixed.where("c <> tc").repartition(tasks_of(mixed), "key").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and (p.c = p.tc or p.id < m.id) and {alike('p.n', 'm.n')} and ({close})"))
             pairs = met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
         add(pairs.distinct())
     return found
