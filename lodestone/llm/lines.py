@@ -117,20 +117,20 @@ def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     shared = shared_buckets(entries, scratch)
     wanted = scratch.save(shared.select("id").distinct())
     texts = likely_in(kinds.select(F.col("node").alias("id"), "line"), "id", wanted, "id").join(wanted, "id", "left_semi")
-    # An edit changes at most four counts of byte pairs; the parities of 64 classes of pairs are the bits of one number.
-    parity = "aggregate(sequence(1, cast(octet_length(line) - 1 as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, 2)) & 63 as int)))"
+    # An edit changes at most two counts of bytes and four of byte pairs; the parities of 64 classes are the bits of a number.
+    parity = lambda q: f"aggregate(sequence(1, cast(octet_length(line) - {q - 1} as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, {q})) & 63 as int)))"
     # Lines stand in a structure, as a condition copies every plain binary column that it names for each pair.
-    texts = scratch.save(texts.select("id", F.octet_length("line").alias("n"), F.struct("line").alias("t"), F.expr(parity).alias("parity")))
+    texts = scratch.save(texts.select("id", F.octet_length("line").alias("n"), F.struct("line").alias("t"), F.expr(parity(1)).alias("ones"), F.expr(parity(2)).alias("twos")))
     alike = lambda n, m: f"abs({n} - {m}) <= {edits_sql(f'least({n}, {m})', levels)}"
 
     def close(x: str, y: str) -> str:
-        """SQL of whether two rows of n, t.line and parity link."""
+        """SQL of whether two rows of n, t.line, ones and twos link."""
         allowed = edits_sql(f"least({x}.n, {y}.n)", levels)
         test = within_edits(f"{x}.t.line", f"{y}.t.line", allowed, max(e for _, e in levels))
-        return f"bit_count({x}.parity ^ {y}.parity) <= 4 * {allowed} and {blocks_stand(f'{x}.t.line', f'{y}.t.line', allowed)} and {test}"
+        return f"bit_count({x}.ones ^ {y}.ones) <= 2 * {allowed} and bit_count({x}.twos ^ {y}.twos) <= 4 * {allowed} and {blocks_stand(f'{x}.t.line', f'{y}.t.line', allowed)} and {test}"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda c, name: texts.select(F.col("id").alias(c), F.struct("n", "t", "parity").alias(name))
+        side = lambda c, name: texts.select(F.col("id").alias(c), F.struct("n", "t", "ones", "twos").alias(name))
         one = pairs.join(side("a", "x"), "a").repartition(tasks_of(pairs), "b")
         return one.join(side("b", "y"), "b").where(close("x", "y")).select("a", "b")
 
