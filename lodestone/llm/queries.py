@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import counts, graphs, licences, lines, media, mixing, near, packing, sharding, toxicity
+from lodestone.llm import counts, exact, graphs, licences, lines, media, mixing, near, packing, phrases, sharding, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_media": op1,
     "op2_near_duplicates": op2,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8,
     "op9_embedding_graphs": op9,
     "op10_line_dedup": op10,
+    "op11_phrase_mining": op11,
+    "op12_embedding_whitening": op12,
+    "op13_exact_dedup": op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_stratified_sharding": sharding.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_stratified_sharding": sharding.ORACLE, "op10_line_dedup": lines.ORACLE, "op11_phrase_mining": phrases.ORACLE, "op13_exact_dedup": exact.ORACLE}
