@@ -40,7 +40,7 @@ MOST_CELLS = 1 << 24
 LEAST_CELLS = 1 << 16
 #: Cells of a row that travel together.
 CHUNK = 1 << 14
-WINDOW_BYTES = 4 << 20
+WINDOW_BYTES = 1 << 20
 PIECE_ENDS = separators([(0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F), (0x0A, 0x0D)])
 GAPS = PIECE_ENDS | separators([(0x20, 0x20), (0x09, 0x09)])
 
@@ -104,7 +104,7 @@ class Words:
         self.words, self.ids = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = Texts(self.words)
         self.hashes = span_hashes(known, known.offsets[:-1], known.offsets[1:], lower=False)[self.ids]
-        piece = np.cumsum(PIECE_ENDS[texts.data])[starts] if n else np.zeros(0, np.int64)
+        piece = np.cumsum(PIECE_ENDS[texts.data], dtype=np.int32)[starts] if n else np.zeros(0, np.int32)
         goes_on = np.zeros(n, bool)
         goes_on[:-1] = piece[:-1] == piece[1:]
         last = first[1:] - 1
