@@ -13,6 +13,7 @@ from lodestone.operators import metrics
 from lodestone.operators.calibration import with_arm_confidence
 from lodestone.operators.learners import Transfer, tree_spread, with_vector
 from lodestone.shared import Scratch
+from lodestone.sources.sinks import commit, committed
 
 
 @dataclass(frozen=True)
@@ -143,8 +144,12 @@ def transfer_score(public: DataFrame, internal: DataFrame, combo: list[str], mak
 
 
 def compute_or_load(spark, table: str, endpoint: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """An endpoint's part of a result table; computed and written (only that partition) where it is missing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/endpoint={endpoint}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        compute().write.parquet(str(path))
-    return spark.read.parquet(str(path)).withColumn("endpoint", F.lit(endpoint))
+    """An endpoint's part of a result table; computed and written (only that partition) where it is missing.
+
+    The part is written beside the table and moved in whole, so a run that ends halfway leaves nothing that a later one
+    takes for a result; a folder without the writer's mark of success is computed again.
+    """
+    path = f"{table}/endpoint={endpoint}"
+    if not committed(spark, path):
+        commit(compute(), path)
+    return spark.read.parquet(path).withColumn("endpoint", F.lit(endpoint))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import finite, num
-from lodestone.operators.ranks import average_ranks, percentiles, prefix_sums
+from lodestone.operators.ranks import percentiles, prefix_sums, value_bins
 
 
 def correlation(a: str, b: str) -> Column:
@@ -35,7 +35,9 @@ def regression(df: DataFrame, by: list[str], real: str = "real_y", pred: str = "
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "spearman_rho") -> DataFrame:
-    rows = df.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
+    """n and the rank correlation of each group's rows that have finite values on both sides; others have no rank."""
+    both = df.where(finite(F.col(a)) & finite(F.col(b)))
+    rows = both.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
     ranked = weighted_ranks(weighted_ranks(rows, by, a, "_a"), by, b, "_b")
     mean = lambda c: F.sum(F.col("_w") * c) / F.sum("_w")
     x, y = F.col("_a"), F.col("_b")
@@ -46,19 +48,20 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "spearman
 def weighted_ranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """Rows that stand for `_w` rows each, with their value's rank, ties at their mean."""
     counts = df.groupBy(*[F.col(c).alias(f"_key_{c}") for c in by], F.col(column).alias("_value")).agg(F.sum("_w").alias("_n"))
-    ranked = prefix_sums(counts, [f"_key_{c}" for c in by], [F.col("_value")], {"_before": F.col("_n")})
+    ranked = prefix_sums(counts, [f"_key_{c}" for c in by], [F.col("_value")], {"_before": F.col("_n")}, value_bins(counts, "_value"))
     table = ranked.select(*[f"_key_{c}" for c in by], "_value", (F.col("_before") + (F.col("_n") + 1) / num(2)).alias(name))
     on = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by] + [F.col(column).eqNullSafe(F.col("_value"))]
     return df.join(table, on).drop("_value", *[f"_key_{c}" for c in by])
 
 
-def rank_association(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with n and, for each pair of columns, their rank correlation."""
-    ranked = df
-    for c in columns:
-        ranked = average_ranks(ranked, [], c, f"_rank_{c}")
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
-    return ranked.agg(F.count(F.lit(1)).alias("n"), *[correlation(f"_rank_{x}", f"_rank_{y}").alias(f"{x}{y}") for x, y in pairs])
+def rank_association(df: DataFrame, columns: list[str], name: str = "rho") -> DataFrame:
+    """first, second, n, rho: each pair of columns over the rows that have finite values of both; a pair without any has no row.
+
+    One pass: each row stands under the pairs it has values of, and equal values are counted before any is ranked.
+    """
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    pairs = [F.struct(F.lit(x).alias("first"), F.lit(y).alias("second"), value(x).alias("a"), value(y).alias("b")) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    return spearman(df.select(F.inline(F.array(*pairs))), ["first", "second"], "a", "b", name)
 
 
 def calibration_line(real: str = "real_y", pred: str = "pred_y") -> dict[str, Column]:
@@ -90,7 +93,7 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
 def roc_auc(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums of counts by distinct score; null with one class."""
     counts = df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, by, [F.col(score)], {"_before": F.col("_n")}).withColumn("_r", F.col("_before") + (F.col("_n") + 1) / num(2))
+    ranked = prefix_sums(counts, by, [F.col(score)], {"_before": F.col("_n")}, value_bins(counts, score)).withColumn("_r", F.col("_before") + (F.col("_n") + 1) / num(2))
     out = ranked.groupBy(*by).agg(F.sum("_p").alias("pos"), (F.sum("_n") - F.sum("_p")).alias("neg"), F.sum(F.col("_p") * F.col("_r")).alias("_s"))
     p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
     return out.withColumn("roc_auc", F.try_divide(F.col("_s") - p * (p + 1) / 2, p * n)).drop("_s")
@@ -99,7 +102,7 @@ def roc_auc(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame
 def average_precision(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame:
     """Area under the precision-recall curve as a sum over score steps, from counts by distinct score."""
     steps = df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    steps = prefix_sums(steps, by, [F.desc(score)], {"_bp": F.col("_p"), "_bn": F.col("_n")})
+    steps = prefix_sums(steps, by, [F.desc(score)], {"_bp": F.col("_p"), "_bn": F.col("_n")}, -value_bins(steps, score))
     steps = steps.withColumn("_precision", (F.col("_bp") + F.col("_p")) / (F.col("_bn") + F.col("_n")))
     return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_precision")), F.sum("_p").cast("double")).alias("pr_auc"))
 

@@ -1,7 +1,7 @@
 """Similarity joins between a large pool and an internal query set, and what is built on them.
 
-Pool and internal rows are dealt into parts and groups of bounded size; each meeting of a part and a group is one matrix
-product that gives the nearest ones only, so no pair of all is ever a row. Exact at any size.
+Nearest neighbours come from the pivot join. Pairs within a distance: pool and internal rows are dealt into parts and groups
+of bounded size; each meeting is one matrix product that gives the near ones only, so no pair of all is ever a row.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import num
+from lodestone.operators.pivots import nearest_by_pivots
 from lodestone.operators.ranks import percentiles
 
 PART_ROWS = 16_384
@@ -80,34 +81,17 @@ def within(pool: DataFrame, internal: DataFrame, limit: float, pool_id: str = "i
     return _meetings(pool, internal, pool_id, internal_id, vector, work)
 
 
-def nearest(pool: DataFrame, internal: DataFrame, k: int, of: str = "pool", pool_id: str = "id", internal_id: str = "id", vector: str = "v", metric: str = "cosine", digits: int = DIGITS) -> DataFrame:
-    """(pool, internal, dist, rank): for each row of one side (`of`) its k nearest of the other.
+def nearest(pool: DataFrame, internal: DataFrame, k: int, of: str = "pool", pool_id: str = "id", internal_id: str = "id", vector: str = "v", digits: int = DIGITS, skip_same: bool = False) -> DataFrame:
+    """(pool, internal, dist, rank): for each row of one side (`of`) its k nearest of the other by cosine distance.
 
-    Distances are rounded to `digits`; ties go to the smaller id. Vectors without a direction are near none.
+    Distances are rounded to `digits`; ties go to the smaller id. Vectors without a direction are near none. Ids are unique
+    on each side; skip_same: both sides' ids name the same vectors, and none is its own neighbour. Searched by pivots.
     """
-    other = "internal" if of == "pool" else "pool"
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table(left, right, np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        u, v, out = _matrix(left["v"]), _matrix(right["v"]), []
-        order_left, order_right = np.argsort(np.asarray(left["id"]), kind="stable"), np.argsort(np.asarray(right["id"]), kind="stable")
-        mine, theirs, x, y = (order_left, order_right, u, v) if of == "pool" else (order_right, order_left, v, u)
-        for i in range(0, len(mine), 2048):
-            some = mine[i : i + 2048]
-            d = _distances(x[some], y[theirs], metric)
-            d = np.where(np.isnan(d), np.inf, np.round(d, digits) + 0.0)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows, dist = np.repeat(some, top.shape[1]), np.take_along_axis(d, top, 1).reshape(-1)
-            out.append((rows, theirs[top].reshape(-1), dist))
-        rows, columns, dist = (np.concatenate(x) for x in zip(*out, strict=True))
-        sound = np.isfinite(dist)
-        a, b = (rows, columns) if of == "pool" else (columns, rows)
-        return _table(left, right, a[sound], b[sound], dist[sound])
-
-    found = _meetings(pool, internal, pool_id, internal_id, vector, work)
-    w = Window.partitionBy(of).orderBy("dist", other)
-    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    sides = [(pool, pool_id), (internal, internal_id)]
+    (queries, query_id), (searched, searched_id) = sides if of == "pool" else sides[::-1]
+    found = nearest_by_pivots(queries, searched, k, query_id, searched_id, vector, digits, skip_same)
+    names = ("id", "other") if of == "pool" else ("other", "id")
+    return found.select(F.col(names[0]).alias("pool"), F.col(names[1]).alias("internal"), "dist", "rank")
 
 
 def shell(near: DataFrame, limit: float) -> DataFrame:
@@ -146,14 +130,6 @@ def correct_bias(pool: DataFrame, internal: DataFrame, mode: str, label: str = "
     return pool.withColumn("corrected", (F.col(label) - num(pm)) * num(scale) + num(im))
 
 
-def keep_bits(bits: DataFrame, least: int) -> DataFrame:
-    """Of rows (compound, bit): bits that at least so many compounds have, the first of those set on the same compounds, and which it stands for."""
-    signature = bits.dropDuplicates(["compound", "bit"]).groupBy("bit").agg(F.count(F.lit(1)).alias("n_compounds"), F.sum(F.xxhash64("compound") % F.lit(2**31)).alias("_s"), F.bit_xor(F.xxhash64("compound", F.lit(1))).alias("_x"))
-    w = Window.partitionBy("_s", "_x", "n_compounds")
-    out = signature.where(F.col("n_compounds") >= least).withColumn("duplicate_of", F.min("bit").over(w))
-    return out.select("bit", "n_compounds", (F.col("bit") == F.col("duplicate_of")).alias("kept"), "duplicate_of")
-
-
 def nested_selection(scores: DataFrame, metric: str = "r2") -> DataFrame:
     """Of rows (outer_fold, strategy, inner, outer): the strategy that is best inside, with its score outside."""
     best = Window.partitionBy("outer_fold").orderBy(F.col("inner").desc_nulls_last(), "strategy")

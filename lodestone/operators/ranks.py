@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.shared import Scratch, free_names
 
 HEX_BINS = 3
+#: Ranges of a value's order: a range of a group holds about that share of all rows' distinct values at most.
+RANGES = 256
 
 
 def hash_bin(hexadecimal: Column) -> Column:
@@ -40,6 +44,23 @@ def prefix_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[st
     return out.withColumns({k: F.col(k) + F.col(b) for k, b in zip(sums, before, strict=True)}).drop(part, base, *before, *keys)
 
 
+def value_bins(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
+    """The number of a numeric value's range, in the order of values (nulls first): ranges lie between approximate quantiles
+    of all rows, from one aggregate, and are told by comparisons alone, so that no row is written or sorted for them."""
+    value = F.col(f"`{column}`").cast("double")
+    sound = df.where(value.isNotNull() & ~F.isnan(value))
+    found = sound.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0]
+    edges = sorted(set(found or []))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value < F.lit(edges[mid]), place(low, mid)).otherwise(place(mid + 1, high))
+
+    return F.when(value.isNull(), 0).otherwise(place(0, len(edges)))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, by: list[str] | None = None, bins: Column | None = None) -> DataFrame:
     """The rows with their gapless number from 0 in the group's order, which must be total for a stable result."""
     return prefix_sums(df, by or [], order, {name: F.lit(1).cast("bigint")}, bins)
@@ -58,29 +79,35 @@ def average_ranks(df: DataFrame, by: list[str], column: str, name: str) -> DataF
     """The rows with the rank of a column's value, ties at their mean: counts by distinct value come first."""
     n, before, value, *keys = free_names(df.columns, "_n", "_before", "_value", *[f"_key_{c}" for c in by])
     counts = df.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col(f"`{column}`").alias(value)).agg(F.count(F.lit(1)).alias(n))
-    ranked = prefix_sums(counts, keys, [F.col(value)], {before: F.col(n)})
+    ranked = prefix_sums(counts, keys, [F.col(value)], {before: F.col(n)}, value_bins(counts, value))
     table = ranked.select(*keys, value, (F.col(before) + (F.col(n) + 1) / F.lit(2.0)).alias(name))
     on = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip([*by, column], [*keys, value], strict=True)]
     return df.join(table, on).drop(value, *keys)
 
 
 def percentiles(df: DataFrame, by: list[str], column: str, shares: list[float], name: str = "q") -> DataFrame:
-    """A row a group with an array of exact percentiles, interpolated, of the values that are not null."""
-    n, before, total = "_n", "_before", "_total"
-    counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(*by, F.col(f"`{column}`").cast("double").alias("_value")).agg(F.count(F.lit(1)).alias(n))
-    counts = Scratch(df.sparkSession).save(counts)
-    sums = prefix_sums(counts, by, [F.col("_value")], {before: F.col(n)})
-    if by:
-        totals = counts.groupBy(*[F.col(f"`{c}`").alias(f"_of_{c}") for c in by]).agg(F.sum(n).alias(total))
-        joined = sums.join(totals, [F.col(f"`{c}`").eqNullSafe(F.col(f"_of_{c}")) for c in by])
-    else:
-        joined = sums.withColumn(total, F.lit(counts.agg(F.sum(n)).first()[0] or 0))
-    picks, out = [], []
+    """A row a group with an array of exact percentiles, interpolated, of the values that are not null.
+
+    By refinement: a group's values are counted by range, and only the ranges that hold a wanted place are ordered.
+    """
+    value, n = F.col(f"`{column}`").cast("double"), F.col("_n")
+    rows = df.where(value.isNotNull())
+    counts = rows.groupBy(*[F.col(f"`{c}`") for c in by], value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_bin", value_bins(rows.select(value.alias("_value")), "_value"))
+    keys, group = [f"_of_{c}" for c in by], Window.partitionBy(*[f"_of_{c}" for c in by])
+    totals = counts.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col("_bin").alias("_at")).agg(F.sum("_n").alias("_in"))
+    earlier = F.sum("_in").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumns({"_base": F.coalesce(earlier, F.lit(0)), "_total": F.sum("_in").over(group)})
+    spots = [(i, side, f(F.lit(float(share)) * (F.col("_total") - 1))) for i, share in enumerate(shares) for side, f in (("low", F.floor), ("high", F.ceil))]
+    holds = lambda low, size, spot: (low <= spot) & (spot < low + size)
+    wanted = totals.where(reduce(lambda a, b: a | b, [holds(F.col("_base"), F.col("_in"), spot) for _, _, spot in spots]))
+    near = counts.join(wanted, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)] + [F.col("_bin") == F.col("_at")])
+    inside = Window.partitionBy(*[F.col(f"`{c}`") for c in by], "_bin").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    picks = [F.max(F.when(holds(F.col("_before"), n, spot), F.col("_value"))).alias(f"_{side}{i}") for i, side, spot in spots]
+    out = []
     for i, share in enumerate(shares):
-        at = F.lit(float(share)) * (F.col(total) - 1)
-        for side, place in (("low", F.floor(at)), ("high", F.ceil(at))):
-            picks.append(F.max(F.when((F.col(before) <= place) & (place < F.col(before) + F.col(n)), F.col("_value"))).alias(f"_{side}{i}"))
-        rest = F.lit(float(share)) * (F.col(total) - 1) - F.floor(F.lit(float(share)) * (F.col(total) - 1))
+        rest = F.lit(float(share)) * (F.col("_total") - 1) - F.floor(F.lit(float(share)) * (F.col("_total") - 1))
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
         out.append(F.when(low == high, low).otherwise((F.lit(1.0) - rest) * low + rest * high))
-    return joined.groupBy(*by).agg(*picks, F.max(total).alias(total)).select(*by, F.array(*out).alias(name))
+    return near.groupBy(*[F.col(f"`{c}`") for c in by]).agg(*picks, F.max("_total").alias("_total")).select(*[F.col(f"`{c}`") for c in by], F.array(*out).alias(name))

@@ -63,11 +63,56 @@ def leave_one_out(df: DataFrame, group: str) -> DataFrame:
     return df.join(groups.select("_g", (F.col("_at") + 1).alias("fold")), df[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
+def deal_patterns(patterns: list[tuple[tuple[int, ...], int]], k: int) -> dict[tuple[int, ...], tuple[int, list[int]]]:
+    """For patterns (rows by class of a group, how many groups have them): whole rounds of groups that every fold gets, and
+    the folds (from 1) of the groups left over.
+
+    Rounds change no balance. What is left goes, the unevenest pattern first, group by group to the fold where its classes
+    are scarcest: the one with the smallest sum over classes of (fold's rows) * (group's rows) / (all rows) squared, then the
+    smallest, then the first.
+    """
+    kinds = len(patterns[0][0]) if patterns else 0
+    total = [max(1, sum(c[i] * n for c, n in patterns)) for i in range(kinds)]
+    spread = lambda c: sum(x * x for x in c) * kinds - sum(c) ** 2
+    have, out = [[0] * kinds for _ in range(k)], {}
+    for counts, n in sorted(patterns, key=lambda p: (-spread(p[0]), [-x for x in p[0]])):
+        folds = []
+        for _ in range(n % k):
+            cost = lambda f: (sum(have[f][i] * counts[i] / (total[i] * total[i]) for i in range(kinds)), sum(have[f]), f)  # noqa: B023, E731
+            best = min(range(k), key=cost)
+            folds.append(best + 1)
+            have[best] = [x + y for x, y in zip(have[best], counts, strict=True)]
+        out[counts] = n // k, folds
+    return out
+
+
+#: Distinct numbers of rows by class that groups may have; as many are dealt on the driver.
+MOST_PATTERNS = 1_000_000
+
+
 def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Folds that keep groups whole and the groups' majority labels spread evenly."""
-    majority = df.groupBy(F.col(group).alias("_g")).agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("_major")).withColumn("_dice", dice(seed, F.col("_g")))
-    placed = numbered(Scratch(df.sparkSession).save(majority), [F.col("_dice"), F.col("_g")], "_at", ["_major"], hash_bin(F.col("_dice")))
-    return df.join(placed.select("_g", (F.col("_at") % k + 1).cast("bigint").alias("fold")), df[group].eqNullSafe(F.col("_g"))).drop("_g")
+    """Folds 1..k that keep groups whole, and sizes and shares of every class as even as groups allow.
+
+    Groups are counted by class; groups of equal counts are one pattern, numbered within it by a seeded hash. Whole rounds
+    of k such groups are dealt evenly, and the rest of each pattern (under k groups) by deal_patterns. A null label is a
+    class of its own, rows of the null group are one group.
+    """
+    scratch = Scratch(df.sparkSession)
+    kinds = [r[0] for r in df.select(F.col(label).cast("string").alias("c")).distinct().limit(101).collect()]
+    if len(kinds) > 100:
+        raise ValueError("more than 100 classes")
+    kinds = sorted(kinds, key=lambda c: (c is None, c or ""))
+    rows = df.groupBy(F.col(group).alias("_g")).agg(F.array(*[F.count_if(F.col(label).cast("string").eqNullSafe(F.lit(c))) for c in kinds]).alias("_counts"))
+    rows = scratch.save(rows.withColumn("_dice", dice(seed, F.coalesce(F.col("_g").cast("string"), F.lit("")))))
+    found = rows.groupBy("_counts").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} different groups")
+    dealt = deal_patterns([(tuple(r["_counts"]), r["n"]) for r in found], k)
+    plan = df.sparkSession.createDataFrame([(list(c), r, f) for c, (r, f) in dealt.items()], "_of array<bigint>, _rounds bigint, _rest array<int>")
+    at = numbered(rows, [F.col("_dice"), F.col("_g")], "_at", ["_counts"], hash_bin(F.col("_dice"))).join(plan, F.col("_counts") == F.col("_of"))
+    early = F.col("_at") < F.col("_rounds") * k
+    fold = F.when(early, F.col("_at") % k + 1).otherwise(F.get("_rest", (F.col("_at") - F.col("_rounds") * k).cast("int"))).cast("bigint")
+    return df.join(at.select("_g", fold.alias("fold")), df[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def stored_folds(df: DataFrame, stored: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:

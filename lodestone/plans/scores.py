@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Endpoint
 from lodestone.functions import transforms as t
+from lodestone.operators import bits as bt
 from lodestone.operators import calibration as cal
+from lodestone.operators import gram
 from lodestone.operators import metrics as m
 from lodestone.operators import neighbours as nb
+from lodestone.operators import pivots as pv
 from lodestone.operators import relational as rel
+from lodestone.operators import setjoin as sj
 from lodestone.operators import splits as sp
 from lodestone.plans.catalog import COMPOUNDS_SQL, PREDICTIONS_SQL, big, compounds, predictions, query, r6, rounded, table
 
@@ -74,11 +78,18 @@ def spearman_by_group(s, d):
     return rounded(m.spearman(rows, ["endpoint", "arm"], "real_raw", "k"), "spearman_rho")
 
 
-@query("task_association", """WITH v AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b, length(p_name)::DOUBLE AS c FROM part), k AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS rc FROM v)
-  SELECT count(*) AS n, round(covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)), 6) + 0.0 AS ab, round(covar_pop(ra, rc) / (stddev_pop(ra) * stddev_pop(rc)), 6) + 0.0 AS ac, round(covar_pop(rb, rc) / (stddev_pop(rb) * stddev_pop(rc)), 6) + 0.0 AS bc FROM k""")
+def _association_sql(*pairs: str) -> str:
+    one = "SELECT '{0}' AS first, '{1}' AS second, count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) + 0.0 AS rho FROM (SELECT rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2 AS x, rank() OVER (ORDER BY {1}) + (count(*) OVER (PARTITION BY {1}) - 1) / 2 AS y FROM v WHERE {0} IS NOT NULL AND {1} IS NOT NULL)"
+    return " UNION ALL ".join(one.format(*p) for p in pairs)
+
+
+@query("task_association", f"""WITH v AS (SELECT CASE WHEN p_partkey % 3 > 0 THEN p_size::DOUBLE END AS a, CASE WHEN p_partkey % 5 > 1 THEN p_retailprice END AS b, CASE WHEN p_partkey % 2 > 0 THEN length(p_name)::DOUBLE END AS c FROM part) {_association_sql('ab', 'ac', 'bc')}""")
 def task_association(s, d):
-    v = table(s, d, "part").select(F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), F.length("p_name").cast("double").alias("c"))
-    return rounded(m.rank_association(v, ["a", "b", "c"]), "ab", "ac", "bc")
+    """Tasks that are measured on parts of the compounds only."""
+    some = lambda share, c: F.when(share, c.cast("double"))
+    k = F.col("p_partkey")
+    v = table(s, d, "part").select(some(k % 3 > 0, F.col("p_size")).alias("a"), some(k % 5 > 1, F.col("p_retailprice")).alias("b"), some(k % 2 > 0, F.length("p_name")).alias("c"))
+    return rounded(m.rank_association(v, ["a", "b", "c"]), "rho")
 
 
 @query("triage_metrics", f"{P}, y AS (SELECT endpoint, arm, real_raw >= 40000 AS r, pred_raw >= 30000 AS c FROM p), b AS (SELECT endpoint, arm, {COUNTS} FROM y GROUP BY ALL) SELECT endpoint, arm, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, {TRIAGE} FROM b")
@@ -304,7 +315,15 @@ def leave_one_group_out(s, d):
     return sp.leave_one_out(table(s, d, "part"), "p_name").select("p_partkey", "fold")
 
 
-@query("stratified_group_kfold", """WITH g AS (SELECT p_name, avg((p_size > 25)::INT::DOUBLE) >= 0.5 AS mj FROM part GROUP BY p_name), f AS (SELECT p_name, (row_number() OVER (PARTITION BY mj ORDER BY md5('42|' || p_name), p_name) - 1) % 5 + 1 AS fold FROM g) SELECT p_partkey, fold FROM part JOIN f USING (p_name)""")
+@query("stratified_group_kfold", """WITH RECURSIVE g AS (SELECT p_name, count(*) FILTER (p_size <= 25) AS c0, count(*) FILTER (p_size > 25) AS c1, md5('42|' || p_name) AS dice FROM part GROUP BY p_name),
+  t AS (SELECT greatest(1, sum(c0))::DOUBLE AS t0, greatest(1, sum(c1))::DOUBLE AS t1 FROM g),
+  pat AS (SELECT c0, c1, count(*) AS n, row_number() OVER (ORDER BY 2 * (c0 * c0 + c1 * c1) - (c0 + c1) * (c0 + c1) DESC, c0 DESC, c1 DESC) AS r FROM g GROUP BY ALL),
+  steps AS (SELECT row_number() OVER (ORDER BY r, i) AS s, c0, c1, i FROM pat, range(5) x(i) WHERE i < n % 5),
+  walk(s, a, b, f) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL
+    SELECT s, list_transform(range(1, 6), lambda j: a[j] + CASE WHEN j = f THEN c0 ELSE 0 END), list_transform(range(1, 6), lambda j: b[j] + CASE WHEN j = f THEN c1 ELSE 0 END), f FROM (
+      SELECT st.s, w.a, w.b, c0, c1, (list_sort(list_transform(range(1, 6), lambda j: struct_pack(c := (w.a[j] * c0)::DOUBLE / (t0 * t0) + (w.b[j] * c1)::DOUBLE / (t1 * t1), z := w.a[j] + w.b[j], j := j))))[1].j AS f FROM walk w JOIN steps st ON st.s = w.s + 1, t)),
+  placed AS (SELECT p_name, c0, c1, row_number() OVER (PARTITION BY c0, c1 ORDER BY dice, p_name) - 1 AS at, count(*) OVER (PARTITION BY c0, c1) AS n FROM g)
+  SELECT p_partkey, CASE WHEN at < n // 5 * 5 THEN at % 5 + 1 ELSE w.f END AS fold FROM part JOIN placed q USING (p_name) LEFT JOIN steps st ON st.c0 = q.c0 AND st.c1 = q.c1 AND st.i = at - n // 5 * 5 LEFT JOIN walk w ON w.s = st.s""")
 def stratified_group_kfold(s, d):
     part = table(s, d, "part").withColumn("y", (F.col("p_size") > 25).cast("int"))
     return sp.stratified_group_folds(part, "p_name", "y").select("p_partkey", "fold")
@@ -323,18 +342,18 @@ def best_combo(s, d):
     return counts.where(F.col("origin").isin(sp.best_combo(counts, ["src1", "src2", "src3", "src99"])))
 
 
-#: The internal side is every fiftieth vector, a query set against all others.
+#: The internal side is every fiftieth vector, a query set against all vectors but itself.
 V = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-x AS (SELECT a.vec_id AS pool, b.vec_id AS internal, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0 AS dist FROM v a, v b WHERE a.vec_id % 50 <> 0 AND b.vec_id % 50 = 0)"""
+x AS (SELECT a.vec_id AS pool, b.vec_id AS internal, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0 AS dist FROM v a, v b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""
 
 
 def vector_sides(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
-    return v.where("id % 50 <> 0"), v.where("id % 50 = 0")
+    return v, v.where("id % 50 = 0")
 
 
 def nearest_one(s, d, k=1):
-    return nb.nearest(*vector_sides(s, d), k, digits=6)
+    return nb.nearest(*vector_sides(s, d), k, digits=6, skip_same=True)
 
 
 @query("distance_shell", f"WITH {V} SELECT pool, min(dist) AS nearest FROM x GROUP BY pool HAVING min(dist) <= 0.7")
@@ -344,17 +363,17 @@ def distance_shell(s, d):
 
 @query("pairs_within", f"WITH {V} SELECT pool, internal, dist FROM x WHERE dist <= 0.6")
 def pairs_within(s, d):
-    return nb.within(*vector_sides(s, d), 0.6, digits=6)
+    return nb.within(*vector_sides(s, d), 0.6, digits=6).where("pool <> internal")
 
 
 @query("knn_join", f"WITH {V} SELECT internal, pool, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY internal ORDER BY dist, pool) AS rank FROM x) WHERE rank <= 5")
 def knn_join(s, d):
-    return nb.nearest(*vector_sides(s, d), 5, "internal", digits=6).select("internal", "pool", "dist", "rank")
+    return nb.nearest(*vector_sides(s, d), 5, "internal", digits=6, skip_same=True).select("internal", "pool", "dist", "rank")
 
 
 @query("mutual_knn", f"WITH {V} SELECT internal, pool, dist FROM (SELECT *, row_number() OVER (PARTITION BY internal ORDER BY dist, pool) AS a, row_number() OVER (PARTITION BY pool ORDER BY dist, internal) AS b FROM x) WHERE a <= 5 AND b <= 5")
 def mutual_knn(s, d):
-    return nb.mutual_nearest(*vector_sides(s, d), 5, digits=6)
+    return nb.mutual_nearest(*vector_sides(s, d), 5, digits=6, skip_same=True)
 
 
 @query("enn_filter", f"WITH {V}, k AS (SELECT pool, avg(b.label) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY dist, internal) AS r FROM x) JOIN v b ON b.vec_id = internal WHERE r <= 3 GROUP BY pool) SELECT pool, round(mean, 6) + 0.0 AS neighbour_label, label FROM k JOIN v ON vec_id = pool WHERE abs(label - mean) <= 2")
@@ -380,11 +399,67 @@ def affine_bias_correction(s, d):
     return out.select("doc_id", r6("corrected").alias("affine"))
 
 
-@query("kept_bits", """WITH b AS (SELECT DISTINCT o_custkey AS compound, (o_orderkey % 12)::BIGINT AS bit FROM orders UNION SELECT DISTINCT o_custkey, 100 + o_orderkey % 12 FROM orders),
-  k AS (SELECT bit, count(*) AS n_compounds, md5(string_agg(compound::VARCHAR, ',' ORDER BY compound)) AS sig FROM b GROUP BY bit HAVING count(*) >= 5) SELECT bit, n_compounds, bit = min(bit) OVER (PARTITION BY sig) AS kept, min(bit) OVER (PARTITION BY sig) AS duplicate_of FROM k""")
-def kept_bits(s, d):
+BITS_SQL = "b AS (SELECT DISTINCT o_custkey AS compound, (o_orderkey % 12)::BIGINT AS bit FROM orders UNION SELECT DISTINCT o_custkey, 100 + o_orderkey % 12 FROM orders)"
+KEPT_SQL = "k AS (SELECT bit, count(*) AS n_compounds, md5(string_agg(compound::VARCHAR, ',' ORDER BY compound)) AS sig FROM b GROUP BY bit HAVING count(*) >= 5)"
+
+
+def order_bits(s, d):
+    """Bits of customers as compounds; each bit has a copy of another number."""
     one = table(s, d, "orders").select(F.col("o_custkey").alias("compound"), (F.col("o_orderkey") % 12).alias("bit"))
-    return nb.keep_bits(one.union(one.withColumn("bit", F.col("bit") + 100)), 5)
+    return one.union(one.withColumn("bit", F.col("bit") + 100))
+
+
+@query("kept_bits", f"WITH {BITS_SQL}, {KEPT_SQL} SELECT bit, n_compounds, bit = min(bit) OVER (PARTITION BY sig) AS kept, min(bit) OVER (PARTITION BY sig) AS duplicate_of FROM k")
+def kept_bits(s, d):
+    return bt.keep_bits(order_bits(s, d), 5)
+
+
+@query("bit_matrix", f"""WITH {BITS_SQL}, {KEPT_SQL}, v AS (SELECT bit, row_number() OVER (ORDER BY md5(bit::VARCHAR), bit) - 1 AS i FROM (SELECT min(bit) AS bit FROM k GROUP BY sig)),
+  h AS (SELECT compound, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices, count(*) AS n FROM b JOIN v USING (bit) GROUP BY compound) SELECT c_custkey AS compound, coalesce(indices, '') AS indices, coalesce(n, 0) AS n FROM customer LEFT JOIN h ON compound = c_custkey""")
+def bit_matrix(s, d):
+    """Customers without orders have no bits and get an empty row."""
+    matrix, _ = bt.bit_matrix(order_bits(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("compound")), 5)
+    return matrix.select("compound", F.concat_ws(",", F.col("indices").cast("array<string>")).alias("indices"), F.size("indices").cast("bigint").alias("n"))
+
+
+WORD_SETS_SQL = f"{COMPOUNDS_SQL}, w AS (SELECT doc_id, source, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM c)"
+
+
+@query("tanimoto_within", f"""WITH {WORD_SETS_SQL}, x AS (SELECT a.doc_id AS pool, b.doc_id AS internal, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.source <> 'internal' AND b.source = 'internal' AND least(len(a.w), len(b.w)) >= 0.39 * greatest(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0)
+  SELECT pool, internal, round(1 - k / (n - k)::DOUBLE, 6) + 0.0 AS dist FROM x WHERE round(1 - k / (n - k)::DOUBLE, 6) <= 0.6""")
+def tanimoto_within(s, d):
+    """Internal documents and those of the pool that share words: sets of all words of all documents."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    c = compounds(s, d).select(F.col("doc_id").alias("id"), "source", words.alias("bits"))
+    return sj.tanimoto_within(c.where("source <> 'internal'"), c.where("source = 'internal'"), 0.6, digits=6)
+
+
+@query("knn_visits")
+def knn_visits(s, d):
+    """How many cells the pivot join met for each query, of how many."""
+    pool, internal = vector_sides(s, d)
+    found = pv.nearest_by_pivots(internal, pool, 5, digits=6, skip_same=True)
+    return found.groupBy("id").agg(F.max("visited").alias("visited"), F.max("cells").alias("cells"), F.max("dist").alias("farthest"))
+
+
+SCAN_SQL = """WITH v AS (SELECT vec_id, 'o' || (label % 3) AS origin, vec_id % 3 + 1 AS fold, vec_id % 4 = 0 AS mine, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[1]::DOUBLE * 2 + embedding[2]::DOUBLE - embedding[3]::DOUBLE * embedding[4]::DOUBLE AS y FROM embeddings),
+o AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS i FROM (SELECT DISTINCT origin FROM v WHERE NOT mine)), m AS (SELECT m.mask, list(origin ORDER BY origin) AS os FROM range(1, 1 << (SELECT count(*) FROM o)) m(mask) JOIN o ON (m.mask >> i) & 1 = 1 GROUP BY m.mask),
+held AS (SELECT 0 AS f UNION ALL SELECT DISTINCT fold FROM v WHERE mine),
+train AS (SELECT mask, f, a, b, y, mine FROM m, held, v WHERE CASE WHEN mine THEN f > 0 AND fold <> f ELSE list_contains(os, origin) END),
+s AS (SELECT mask, f, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) * var_pop(a) + 1 AS aa, count(*) * var_pop(b) + 1 AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_ FROM train GROUP BY mask, f),
+h AS (SELECT mask, f, n, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS u, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS w, ma, mb, my FROM s),
+p AS (SELECT mask, f, n, y, my + u * (a - ma) + w * (b - mb) AS p FROM h JOIN v ON mine AND (f = 0 OR f = fold)),
+r AS (SELECT mask, f > 0 AS cv, any_value(n) FILTER (f = 0) AS n_train, corr(p, y) ** 2 AS r2, 1 - sum((p - y) ** 2) / (count(*) * var_pop(y)) AS det, sqrt(avg((p - y) ** 2)) AS rmse FROM p GROUP BY mask, f > 0)
+SELECT x.mask, list_aggregate(os, 'string_agg', '+') AS combo, x.n_train, round(x.r2, 6) + 0.0 AS R2_pears, round(x.det, 6) + 0.0 AS R2_det, round(x.rmse, 6) + 0.0 AS RMSE, round(c.det, 6) + 0.0 AS cv_r2det, round(c.rmse, 6) + 0.0 AS cv_rmse FROM r x JOIN r c ON c.mask = x.mask AND c.cv JOIN m ON m.mask = x.mask WHERE NOT x.cv"""
+
+
+@query("origin_scan", SCAN_SQL)
+def origin_scan(s, d):
+    """Every subset of the public origins as training rows of a ridge head on two features, alone and beside internal folds."""
+    v = table(s, d, "embeddings").select("vec_id", F.concat(F.lit("o"), F.col("label") % 3).alias("origin"), (F.col("vec_id") % 3 + 1).alias("fold"), F.col("embedding").cast("array<double>").alias("e"))
+    v = v.select("vec_id", "origin", "fold", F.slice("e", 1, 2).alias("features"), F.expr("e[0] * 2 + e[1] - e[2] * e[3]").alias("label"))
+    out = gram.scan(v.where("vec_id % 4 <> 0"), v.where("vec_id % 4 = 0"))
+    return rounded(out, "R2_pears", "R2_det", "RMSE", "cv_r2det", "cv_rmse")
 
 
 @query("nested_selection", f"""{P}, x AS (SELECT fold, endpoint || arm AS strategy, round({R2DET}, 6) + 0.0 AS v FROM p GROUP BY ALL), y AS (SELECT a.fold AS outer_fold, a.strategy, a.v AS outer_v, round(avg(b.v), 6) + 0.0 AS inner_v FROM x a JOIN x b ON a.strategy = b.strategy AND a.fold <> b.fold GROUP BY ALL)

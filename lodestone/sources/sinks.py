@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,38 @@ def write_csv(df: DataFrame, path: str, files: int | None = None, mode: str = "e
     out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def _folder(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, at: str) -> bool:
+    """Whether a folder holds a whole result: the writer's mark stands in it."""
+    path, fs = _folder(spark, f"{at}/_SUCCESS")
+    return fs.exists(path)
+
+
+def commit(df: DataFrame, at: str, form: str = "parquet", **options) -> None:
+    """Writes the frame into a hidden folder beside its place and moves it there whole, in place of what stood there unfinished.
+
+    A reader sees no result or a whole one; of two writers at once the first to move wins, the other's copy is dropped.
+    """
+    spark = df.sparkSession
+    path, fs = _folder(spark, at)
+    staged, _ = _folder(spark, f"{path.getParent()}/_staged-{uuid.uuid4().hex}")
+    try:
+        df.write.format(form).options(**options).save(str(staged))
+        if not committed(spark, str(staged)):
+            raise OSError(f"the writer left no mark of success for {at}")
+        if not committed(spark, at):
+            fs.delete(path, True)
+            fs.mkdirs(path.getParent())
+            if not fs.rename(staged, path) and not committed(spark, at):
+                raise OSError(f"could not move a finished result to {at}")
+    finally:
+        fs.delete(staged, True)
+
+
 def top_up(spark: SparkSession, table: str, wanted: DataFrame, key: str, compute) -> int:
     """Computes and appends only the keys that the table lacks (it may not exist yet); the number of them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)

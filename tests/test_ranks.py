@@ -66,7 +66,7 @@ def test_rank_metrics_against_brute_force(spark):
     rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
     want = np.corrcoef(rank(a), rank(b))[0, 1]
     assert metrics.spearman(df, [], "a", "b").first().spearman_rho == pytest.approx(want)
-    assert metrics.rank_association(df, ["a", "b"]).first().ab == pytest.approx(want)
+    assert metrics.rank_association(df, ["a", "b"]).first()["rho"] == pytest.approx(want)
     y = b > 4
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in a[y] for n in a[~y]])
     assert metrics.roc_auc(df, [], F.col("b") > 4, "a").first().roc_auc == pytest.approx(auc)
