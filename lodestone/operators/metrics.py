@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.transforms import finite, num
 from lodestone.operators.ranks import percentiles, prefix_sums, value_bins
+from lodestone.shared import Scratch
 
 
 def correlation(a: str, b: str) -> Column:
@@ -35,20 +36,24 @@ def regression(df: DataFrame, by: list[str], real: str = "real_y", pred: str = "
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "spearman_rho") -> DataFrame:
-    """n and the rank correlation of each group's rows that have finite values on both sides; others have no rank."""
+    """n and the rank correlation of each group's rows that have finite values on both sides; others have no rank.
+
+    Rows are counted by their pair of values and written once; ranks of each side come from that table.
+    """
     both = df.where(finite(F.col(a)) & finite(F.col(b)))
-    rows = both.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = weighted_ranks(weighted_ranks(rows, by, a, "_a"), by, b, "_b")
+    rows = Scratch(df.sparkSession).save(both.groupBy(*by, F.col(a).alias("_x"), F.col(b).alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
+    ranked = weighted_ranks(rows, rows, by, "_x", "_a")
+    ranked = weighted_ranks(ranked, rows, by, "_y", "_b")
     mean = lambda c: F.sum(F.col("_w") * c) / F.sum("_w")
     x, y = F.col("_a"), F.col("_b")
     spread = F.sqrt((mean(x * x) - mean(x) * mean(x)) * (mean(y * y) - mean(y) * mean(y)))
     return ranked.groupBy(*by).agg(F.sum("_w").alias("n"), F.try_divide(mean(x * y) - mean(x) * mean(y), spread).alias(name))
 
 
-def weighted_ranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
-    """Rows that stand for `_w` rows each, with their value's rank, ties at their mean."""
-    counts = df.groupBy(*[F.col(c).alias(f"_key_{c}") for c in by], F.col(column).alias("_value")).agg(F.sum("_w").alias("_n"))
-    ranked = prefix_sums(counts, [f"_key_{c}" for c in by], [F.col("_value")], {"_before": F.col("_n")}, value_bins(counts, "_value"))
+def weighted_ranks(df: DataFrame, counted: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """The rows of df with the rank of a column's value among the counted rows, which stand for `_w` rows each; ties at their mean."""
+    counts = counted.groupBy(*[F.col(c).alias(f"_key_{c}") for c in by], F.col(column).alias("_value")).agg(F.sum("_w").alias("_n"))
+    ranked = prefix_sums(counts, [f"_key_{c}" for c in by], [F.col("_value")], {"_before": F.col("_n")}, value_bins(counted.withColumnRenamed(column, "_value"), "_value"))
     table = ranked.select(*[f"_key_{c}" for c in by], "_value", (F.col("_before") + (F.col("_n") + 1) / num(2)).alias(name))
     on = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by] + [F.col(column).eqNullSafe(F.col("_value"))]
     return df.join(table, on).drop("_value", *[f"_key_{c}" for c in by])
@@ -92,7 +97,7 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
 
 def roc_auc(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums of counts by distinct score; null with one class."""
-    counts = df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    counts = Scratch(df.sparkSession).save(df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n")))
     ranked = prefix_sums(counts, by, [F.col(score)], {"_before": F.col("_n")}, value_bins(counts, score)).withColumn("_r", F.col("_before") + (F.col("_n") + 1) / num(2))
     out = ranked.groupBy(*by).agg(F.sum("_p").alias("pos"), (F.sum("_n") - F.sum("_p")).alias("neg"), F.sum(F.col("_p") * F.col("_r")).alias("_s"))
     p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
@@ -101,7 +106,7 @@ def roc_auc(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame
 
 def average_precision(df: DataFrame, by: list[str], real: Column, score: str) -> DataFrame:
     """Area under the precision-recall curve as a sum over score steps, from counts by distinct score."""
-    steps = df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    steps = Scratch(df.sparkSession).save(df.withColumn("_y", real.cast("int")).groupBy(*by, score).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n")))
     steps = prefix_sums(steps, by, [F.desc(score)], {"_bp": F.col("_p"), "_bn": F.col("_n")}, -value_bins(steps, score))
     steps = steps.withColumn("_precision", (F.col("_bp") + F.col("_p")) / (F.col("_bn") + F.col("_n")))
     return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_precision")), F.sum("_p").cast("double")).alias("pr_auc"))

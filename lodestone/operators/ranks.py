@@ -11,7 +11,7 @@ from lodestone.shared import Scratch, free_names
 
 HEX_BINS = 3
 #: Ranges of a value's order: a range of a group holds about that share of all rows' distinct values at most.
-RANGES = 256
+RANGES = 64
 
 
 def hash_bin(hexadecimal: Column) -> Column:
@@ -50,15 +50,8 @@ def value_bins(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
     value = F.col(f"`{column}`").cast("double")
     sound = df.where(value.isNotNull() & ~F.isnan(value))
     found = sound.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0]
-    edges = sorted(set(found or []))
-
-    def place(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value < F.lit(edges[mid]), place(low, mid)).otherwise(place(mid + 1, high))
-
-    return F.when(value.isNull(), 0).otherwise(place(0, len(edges)))
+    edges = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<double>")
+    return F.when(value.isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= value)))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, by: list[str] | None = None, bins: Column | None = None) -> DataFrame:
@@ -93,7 +86,8 @@ def percentiles(df: DataFrame, by: list[str], column: str, shares: list[float],
     value, n = F.col(f"`{column}`").cast("double"), F.col("_n")
     rows = df.where(value.isNotNull())
     counts = rows.groupBy(*[F.col(f"`{c}`") for c in by], value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_bin", value_bins(rows.select(value.alias("_value")), "_value"))
+    counts = Scratch(df.sparkSession).save(counts)
+    counts = counts.withColumn("_bin", value_bins(counts, "_value"))
     keys, group = [f"_of_{c}" for c in by], Window.partitionBy(*[f"_of_{c}" for c in by])
     totals = counts.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], F.col("_bin").alias("_at")).agg(F.sum("_n").alias("_in"))
     earlier = F.sum("_in").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))

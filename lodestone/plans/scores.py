@@ -322,8 +322,8 @@ def leave_one_group_out(s, d):
   walk(s, a, b, f) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL
     SELECT s, list_transform(range(1, 6), lambda j: a[j] + CASE WHEN j = f THEN c0 ELSE 0 END), list_transform(range(1, 6), lambda j: b[j] + CASE WHEN j = f THEN c1 ELSE 0 END), f FROM (
       SELECT st.s, w.a, w.b, c0, c1, (list_sort(list_transform(range(1, 6), lambda j: struct_pack(c := (w.a[j] * c0)::DOUBLE / (t0 * t0) + (w.b[j] * c1)::DOUBLE / (t1 * t1), z := w.a[j] + w.b[j], j := j))))[1].j AS f FROM walk w JOIN steps st ON st.s = w.s + 1, t)),
-  placed AS (SELECT p_name, c0, c1, row_number() OVER (PARTITION BY c0, c1 ORDER BY dice, p_name) - 1 AS at, count(*) OVER (PARTITION BY c0, c1) AS n FROM g)
-  SELECT p_partkey, CASE WHEN at < n // 5 * 5 THEN at % 5 + 1 ELSE w.f END AS fold FROM part JOIN placed q USING (p_name) LEFT JOIN steps st ON st.c0 = q.c0 AND st.c1 = q.c1 AND st.i = at - n // 5 * 5 LEFT JOIN walk w ON w.s = st.s""")
+  placed AS (SELECT p_name, c0, c1, row_number() OVER (PARTITION BY c0, c1 ORDER BY dice, p_name) - 1 AS pos, count(*) OVER (PARTITION BY c0, c1) AS n FROM g)
+  SELECT p_partkey, CASE WHEN pos < n // 5 * 5 THEN pos % 5 + 1 ELSE w.f END AS fold FROM part JOIN placed q USING (p_name) LEFT JOIN steps st ON st.c0 = q.c0 AND st.c1 = q.c1 AND st.i = pos - n // 5 * 5 LEFT JOIN walk w ON w.s = st.s""")
 def stratified_group_kfold(s, d):
     part = table(s, d, "part").withColumn("y", (F.col("p_size") > 25).cast("int"))
     return sp.stratified_group_folds(part, "p_name", "y").select("p_partkey", "fold")
