@@ -1,11 +1,82 @@
-"""A registry of model versions as an append-only table: identity fields never change, versions count up."""
+"""A registry of model versions as a log of commits: identity fields never change, ids and versions count up without gaps.
+
+Each entry is one small file whose number says its place. A writer reads the log, makes the entry that follows from it, and puts
+it at the next number only if nothing stands there; who comes second reads again and tries the number after. So any
+number of writers give each id and version once. What an entry names (a training set) is written whole before it.
+"""
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Callable
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "id bigint, version int, name string, framework string, endpoint string, metrics map<string,double>, artifact string"
+IDENTITY = ("name", "framework", "endpoint")
+
+
+class CommitLog:
+    """Numbered JSON files of a folder, each put in place whole and at most once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
+
+    def _names(self) -> list[str]:
+        at = self._hadoop.Path(self.path)
+        if not self._fs.exists(at):
+            return []
+        return sorted(n for s in self._fs.listStatus(at) if (n := s.getPath().getName()).endswith(".json") and n[0] != "_")
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._hadoop.Path(f"{self.path}/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def entries(self) -> list[dict]:
+        return [self._read(n) for n in self._names()]
+
+    def _put(self, number: int, entry: dict) -> bool:
+        """Whether the entry is now at its number; False where another one stood there."""
+        self._fs.mkdirs(self._hadoop.Path(self.path))
+        staged, final = f"{self.path}/_{uuid.uuid4().hex}", f"{self.path}/{number:010d}.json"
+        out = self._fs.create(self._hadoop.Path(staged), False)
+        out.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
+        out.close()
+        try:
+            if self._local:  # a link fails where the name is taken, a rename would replace it
+                os.link(urlparse(staged).path, urlparse(final).path)
+                return True
+            files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            files.rename(self._hadoop.Path(staged), self._hadoop.Path(final), none)
+            return True
+        except FileExistsError:
+            return False
+        except Exception:
+            if self._fs.exists(self._hadoop.Path(final)) and self._fs.exists(self._hadoop.Path(staged)):
+                return False
+            raise
+        finally:
+            self._fs.delete(self._hadoop.Path(staged), False)
+
+    def commit(self, make: Callable[[list[dict]], dict], tries: int = 1000) -> dict:
+        """Puts the entry that `make` derives from the whole log behind it; makes it anew where another writer came first."""
+        for _ in range(tries):
+            known = self.entries()
+            entry = make(known)
+            if self._put(len(known), entry):
+                return entry
+        raise TimeoutError(f"{tries} other entries came first")
 
 
 class Registry:
@@ -17,40 +88,44 @@ class Registry:
             if not create:
                 raise FileNotFoundError(path)
             self._fs.mkdirs(self._at)
+        self.log = CommitLog(spark, f"{path}/_log")
+
+    @staticmethod
+    def _live(entries: list[dict]) -> list[dict]:
+        """The versions that no later entry deletes."""
+        gone = {e["id"] for e in entries if e["op"] == "delete"}
+        return [e for e in entries if e["op"] == "add" and e["id"] not in gone]
 
     def table(self) -> DataFrame:
-        if not any(s.isDirectory() for s in self._fs.listStatus(self._at)):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v=*")
+        """A row a version."""
+        columns = [c.split()[0] for c in SCHEMA.split(", ")]
+        return self.spark.createDataFrame([tuple(e[c] for c in columns) for e in self._live(self.log.entries())], SCHEMA)
 
     def add(self, name: str, framework: str, endpoint: str, metrics: dict[str, float], artifact: str, model_id: int | None = None, training: DataFrame | None = None) -> tuple[int, int]:
-        """A new model's first version, or (with an id) the next version, with its training set; raises if its identity would change."""
-        rows = self.table()
-        if model_id is None:
-            top = rows.agg(F.max("id")).first()[0]
-            model_id, version = (top or 0) + 1, 1
-        else:
-            own = rows.where(F.col("id") == model_id).orderBy(F.desc("version")).first()
-            if own is None:
-                raise KeyError(model_id)
-            if (own["name"], own["framework"], own["endpoint"]) != (name, framework, endpoint):
-                raise ValueError(f"model {model_id} is {own['name']}")
-            version = own["version"] + 1
-        one = self.spark.createDataFrame([(model_id, version, name, framework, endpoint, {k: float(v) for k, v in metrics.items()}, artifact)], SCHEMA)
-        final = f"{self.path}/v={model_id}-{version}"
-        if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(final)):
-            raise FileExistsError(final)
+        """A new model's first version, or (with an id) the next version, with its training set; raises if its identity would change.
+
+        Ids of deleted models are not given again.
+        """
+        identity = dict(zip(IDENTITY, (name, framework, endpoint), strict=True))
+        place = f"{self.path}/_training/{uuid.uuid4().hex}" if training is not None else None
+
+        def entry(known: list[dict]) -> dict:
+            if model_id is None:
+                number, version = max((e["id"] for e in known), default=0) + 1, 1
+            else:
+                own = [e for e in self._live(known) if e["id"] == model_id]
+                if not own:
+                    raise KeyError(model_id)
+                if any(own[-1][k] != v for k, v in identity.items()):
+                    raise ValueError(f"model {model_id} is {own[-1]['name']}")
+                number, version = model_id, own[-1]["version"] + 1
+            return {"op": "add", "id": number, "version": version, **identity, "metrics": {k: float(v) for k, v in metrics.items()}, "artifact": artifact, "training": place}
+
+        entry(self.log.entries())  # raises before anything is written
         if training is not None:
-            training.write.mode("overwrite").parquet(self._training(model_id, version))
-        staged = f"{self.path}/_staged-{model_id}-{version}"
-        one.coalesce(1).write.mode("overwrite").parquet(staged)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        if not self._fs.rename(path(staged), path(final)):
-            raise OSError(final)
-        return model_id, version
-
-    def _training(self, model_id: int, version: int) -> str:
-        return f"{self.path}/_training/{model_id}-{version}"
+            training.write.parquet(place)
+        done = self.log.commit(entry)
+        return done["id"], done["version"]
 
     def details(self, model_id: int):
         """The newest version's row; raises for an unknown id."""
@@ -63,13 +138,18 @@ class Registry:
         return self.table().where(F.col("id") == model_id).orderBy("version")
 
     def training_set(self, model_id: int, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._training(model_id, version or self.details(model_id)["version"]))
+        """The training set of a version, the newest if none is named; raises if there is none."""
+        own = [e for e in self._live(self.log.entries()) if e["id"] == model_id and version in (None, e["version"])]
+        if not own or own[-1]["training"] is None:
+            raise KeyError((model_id, version))
+        return self.spark.read.parquet(own[-1]["training"])
 
     def delete(self, model_id: int) -> None:
-        for s in self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={model_id}-*")):
-            self._fs.delete(s.getPath(), True)
-        for s in self._fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_training/{model_id}-*")) or []:
-            self._fs.delete(s.getPath(), True)
+        """The model's versions are gone for readers once the entry stands; then its training sets go."""
+        places = [e["training"] for e in self._live(self.log.entries()) if e["id"] == model_id and e["training"]]
+        self.log.commit(lambda known: {"op": "delete", "id": model_id})
+        for at in places:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
 
 
 def resolve(registry: DataFrame, name: str, pin: int | None = None) -> int | None:

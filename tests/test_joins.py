@@ -192,3 +192,35 @@ def test_upload_keeps_quotes_and_backslashes(spark, tmp_path):
     file.write_text('id,smiles\n"two\nlines",C\n')
     assert [r.compound for r in readers.read_upload(spark, str(file), multi_line=True).collect()] == ["two\nlines"]
     assert readers.sniff_columns(["x", "canonical_smiles_id", "ID"]) == ("canonical_smiles_id", "canonical_smiles_id")
+
+
+def test_registry_with_writers_at_once(spark, tmp_path):
+    """Threads that add and delete at once: ids and versions come once each and without gaps."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lodestone.operators import registry
+
+    at = str(tmp_path / "reg")
+    registry.Registry(spark, at, create=True)
+    base = registry.Registry(spark, at).add("m", "rf", "sol", {}, "a")
+    assert base == (1, 1)
+
+    def work(k):
+        own = registry.Registry(spark, at)
+        new = [own.add("n", "rf", "logd", {"k": k}, f"{k}-{i}") for i in range(5)]
+        more = [own.add("m", "rf", "sol", {}, f"{k}-{i}", 1) for i in range(5)]
+        return new, more
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(work, range(4)))
+    assert sorted(i for new, _ in done for i, _ in new) == list(range(2, 22)) and all(v == 1 for new, _ in done for _, v in new)
+    assert sorted(v for _, more in done for _, v in more) == list(range(2, 22))
+    reg = registry.Registry(spark, at)
+    assert reg.table().count() == 41 and reg.details(1)["version"] == 21
+    reg.delete(21)
+    assert reg.add("late", "rf", "hlm", {}, "z")[0] == 22  # a deleted id is not given again
+    with pytest.raises(KeyError):
+        reg.training_set(1)
+    with pytest.raises(ValueError):
+        reg.add("m", "rf", "other", {}, "a", 1, training=spark.range(3))
+    assert not os.path.exists(f"{at}/_training")
