@@ -45,10 +45,11 @@ def committed(spark: SparkSession, at: str) -> bool:
     return fs.exists(path)
 
 
-def commit(df: DataFrame, at: str, form: str = "parquet", **options) -> None:
+def commit(df: DataFrame, at: str, form: str = "parquet", replace: bool = False, **options) -> None:
     """Writes the frame into a hidden folder beside its place and moves it there whole, in place of what stood there unfinished.
 
     A reader sees no result or a whole one; of two writers at once the first to move wins, the other's copy is dropped.
+    replace: a whole result that stands there goes when the new one is written.
     """
     spark = df.sparkSession
     path, fs = _folder(spark, at)
@@ -57,7 +58,7 @@ def commit(df: DataFrame, at: str, form: str = "parquet", **options) -> None:
         df.write.format(form).options(**options).save(str(staged))
         if not committed(spark, str(staged)):
             raise OSError(f"the writer left no mark of success for {at}")
-        if not committed(spark, at):
+        if replace or not committed(spark, at):
             fs.delete(path, True)
             fs.mkdirs(path.getParent())
             if not fs.rename(staged, path) and not committed(spark, at):
@@ -81,6 +82,19 @@ def top_up(spark: SparkSession, table: str, wanted: DataFrame, key: str, compute
     return n
 
 
+def write_ordered(df: DataFrame, at: str, line: Column, order: list[Column], header: str | None = None) -> None:
+    """One text row a row, in the order over all part files by name, whole or not there at all.
+
+    Rows are ranged by the order, so files hold consecutive stretches and none holds more than a partition; the header is
+    the first file's first line.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("value"))
+    if header is not None:
+        top = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
+        parts = top.union(parts)
+    commit(parts, at, "text")
+
+
 def replace_partitions(df: DataFrame, table: str, by: list[str]) -> None:
     """Writes the frame's partitions and leaves the table's others as they are."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(table)

@@ -224,3 +224,69 @@ def test_registry_with_writers_at_once(spark, tmp_path):
     with pytest.raises(ValueError):
         reg.add("m", "rf", "other", {}, "a", 1, training=spark.range(3))
     assert not os.path.exists(f"{at}/_training")
+
+
+@pytest.fixture
+def resource():
+    """A paged resource on this machine; it fails every third request once."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    state = {"total": 137, "asked": [], "failed": set()}
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            low, n = int(q["offset"]), int(q["limit"])
+            state["asked"].append((low, n))
+            if low % 3 == 1 and low not in state["failed"]:
+                state["failed"].add(low)
+                self.send_error(503)
+                return
+            items = [{"assay": f"A{i}", "n": i, "kind": q["type"]} for i in range(low, min(low + n, 137))]
+            body = json.dumps({"assays": items, "page_meta": {"total_count": state["total"]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    state["url"] = f"http://127.0.0.1:{server.server_port}/assay.json?type=B"
+    yield state
+    server.shutdown()
+
+
+def test_paged_resource(spark, tmp_path, resource):
+    from lodestone.sources import paged
+
+    options = {"pageSize": 10, "pagesPerPartition": 4, "pause": 0.01}
+    rows = paged.paged(spark, resource["url"], "assays", str(tmp_path / "kept"), **options)
+    got = paged.documents(rows, "assay string, n bigint, kind string, missing int").orderBy("offset").collect()
+    assert [(r.offset, r.assay, r.n, r.kind, r.missing) for r in got] == [(i, f"A{i}", i, "B", None) for i in range(137)]
+    assert {low for low, n in resource["asked"] if n > 1} == set(range(0, 137, 10)) and resource["failed"]
+    asked = len(resource["asked"])
+    assert paged.paged(spark, resource["url"], "assays", str(tmp_path / "kept"), **options).count() == 137 and len(resource["asked"]) == asked
+    assert spark.read.format("paged_json").options(url=resource["url"], items="assays", **options).load().rdd.getNumPartitions() == 4
+    resource["total"] = 150  # pages come short: an error, and the kept result stays
+    with pytest.raises(Exception):
+        paged.paged(spark, resource["url"], "assays", str(tmp_path / "new"), **options).count()
+    assert not os.path.exists(tmp_path / "new")
+    with pytest.raises(Exception):
+        paged.paged(spark, resource["url"], "assays", str(tmp_path / "kept"), refresh=True, **options)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 137
+
+
+def test_ordered_text_is_whole(spark, tmp_path):
+    at = str(tmp_path / "client")
+    df = spark.range(500).select(F.col("id"), F.concat(F.lit("c"), "id").alias("name")).repartition(7)
+    sinks.write_ordered(df, at, F.concat_ws(",", "name", "id"), [F.col("id").desc()], "compound,id")
+    lines = [x for f in sorted(os.listdir(at)) if f.startswith("part-") for x in open(f"{at}/{f}").read().splitlines()]
+    assert lines == ["compound,id", *[f"c{i},{i}" for i in range(499, -1, -1)]]
+    with pytest.raises(Exception):
+        sinks.write_ordered(df, str(tmp_path / "bad"), F.when(F.col("id") < 400, F.col("name")).otherwise(F.raise_error(F.lit("no")).cast("string")), [F.col("id")])
+    assert os.listdir(tmp_path) == ["client"]

@@ -209,19 +209,6 @@ def test_records_and_export(spark):
         readers.sniff_columns(["a"])
 
 
-def test_paging_and_cache(tmp_path):
-    pages = [{"total_count": 3, "items": [1, 2]}, {"total_count": 3, "items": [3]}]
-    calls = []
-
-    def fetch(offset):
-        calls.append(offset)
-        return pages[0] if offset == 0 else pages[1]
-
-    cache = tmp_path / "c.json"
-    assert readers.paged(fetch, "items", cache, pause=0) == [1, 2, 3] == readers.paged(fetch, "items", cache)
-    assert calls == [0, 2] and json.loads(cache.read_text()) == [1, 2, 3]
-
-
 def test_run_store(spark):
     rows = frame(spark, [(f"r{i}", 1000 + i) for i in range(10)], "run_id string, s int").withColumn("ts", F.timestamp_seconds("s"))
     got = grid.live_runs(rows, F.timestamp_seconds(F.lit(1012)), 6, 3)
