@@ -72,34 +72,41 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
 
 
 BITMAP_BITS = 1 << 24
+#: For keys of which there are several a row.
+WIDE_BITS = 1 << 26
 
 
-def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str, bits_of_map: int = BITMAP_BITS) -> DataFrame:
     """The rows whose key is among the wanted ones, and a few others, without moving the rows.
 
-    The wanted keys' hashes set bits of a map of BITMAP_BITS bits, a table of 64 bits a row and so of as many rows at
+    The wanted keys' hashes set bits of a map of bits_of_map bits, a table of 64 bits a row and so of as many rows at
     most whatever the number of keys, which is broadcast. An exact join must follow; this one keeps most rows that it
     would drop off the network.
     """
     word, bits, at = free_names(df.columns, "_word", "_bits", "_at")
-    bit = lambda c: f"pmod(xxhash64({c}), {BITMAP_BITS})"
+    bit = lambda c: f"pmod(xxhash64({c}), {bits_of_map})"
     mark = f"bit_or(shiftleft(1L, cast({bit(name)} & 63 as int)))"
     words = wanted.groupBy(F.expr(f"shiftright({bit(name)}, 6)").alias(word)).agg(F.expr(mark).alias(bits))
     met = df.withColumn(at, F.expr(bit(key))).join(F.broadcast(words), F.expr(f"shiftright({at}, 6)") == F.col(word))
     return met.where(f"(shiftright({bits}, cast({at} & 63 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def shared_buckets(entries: DataFrame, scratch: Scratch) -> DataFrame:
+def shared_buckets(entries: DataFrame, scratch: Scratch, probes: DataFrame | None = None) -> DataFrame:
     """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot.
 
-    With a column `probe`, a key needs an entry that is none. Keys are counted first, as few of them come up twice.
+    Probes have the same columns and count only under keys that an entry has: most hit none, and a bitmap of the entries'
+    keys drops these before they move. Keys are counted first, as few of them come up twice.
     """
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.min("probe").alias("only_probes")] * ("probe" in entries.columns))
-    keys = scratch.save(counts.where("k > 1 and only_probes = 0" if "probe" in entries.columns else "k > 1").select("key"))
-    some = scratch.save(likely_in(entries.select("key", "id", "n"), "key", keys, "key").join(keys, "key"))
+    columns, marked = ["key", "id", "n"], entries
+    if probes is not None:
+        hits = likely_in(probes.select(*columns), "key", entries.select("key"), "key", WIDE_BITS)
+        marked = scratch.save(entries.select(*columns, F.lit(0).alias("probe")).unionByName(hits.withColumn("probe", F.lit(1))))
+    counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.min("probe").alias("only_probes")] * (probes is not None))
+    keys = scratch.save(counts.where("k > 1" if probes is None else "k > 1 and only_probes = 0").select("key"))
+    some = scratch.save(likely_in(marked.select(*columns), "key", keys, "key").join(keys, "key"))
     pivots = some.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot < high").select("key", "pivot")
     out = scratch.save(some.join(pivots, "key"))
-    scratch.drop(keys, some)
+    scratch.drop(keys, some, *[marked] * (probes is not None))
     return out
 
 
@@ -116,15 +123,15 @@ def tasks_of(df: DataFrame) -> int:
     return max(1, min(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 1, profile: DataFrame | None = None, close: str = "true") -> DataFrame:
+def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verified: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int = 1, profile: DataFrame | None = None, close: str = "true", link: str = "true") -> DataFrame:
     """Components (node, component) of the links among ids that share a bucket.
 
     alike gives SQL for whether sizes n and m let two ids link at all; verified keeps of pairs a, b the links.
     Every id is first held against the smallest id of the bucket where it shares most keys with it; then, bucket by
     bucket, against an id of the bucket's largest component; at last all pairs of different components that still share
     a bucket are verified, so no link between components is missed. A group of copies costs a few comparisons for each
-    member. close is SQL for whether rows p and m of the profile (columns by id) could link; it is tested where pairs
-    meet, before they are made.
+    member. close is SQL for whether rows p and m of the profile (columns by id) could link, link a dearer test; both are made
+    where pairs meet, before they are rows, and the dearer one under the smallest only of the keys that two ids share.
     """
     stars = shared.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
@@ -148,10 +155,12 @@ def linked_components(shared: DataFrame, alike: Callable[[str, str], str], verif
         if turn < rounds:
             pairs = mixed.where("c <> tc").where(alike("n", "tn")).select(F.col("tid").alias("a"), F.col("id").alias("b"))
         else:
+            own_keys = mixed.groupBy(F.col("id").alias("_of")).agg(F.collect_list("key").alias("keys"))  # as many as an id has
+            mixed = mixed.join(own_keys, F.col("id") == F.col("_of")).drop("_of")
             mixed = scratch.save(mixed.join(profile, "id") if profile is not None else mixed)
             # Few bytes and many tests: as many tasks as the session has partitions, not as few as the bytes would fill.
             dealt = mixed.repartition(tasks_of(mixed), "key")
-            met = dealt.alias("p").join(mixed.where("c <> tc").repartition(tasks_of(mixed), "key").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and (p.c = p.tc or p.id < m.id) and {alike('p.n', 'm.n')} and ({close})"))
+            met = dealt.alias("p").join(mixed.where("c <> tc").repartition(tasks_of(mixed), "key").alias("m"), F.expr(f"p.key = m.key and p.c <> m.c and (p.c = p.tc or p.id < m.id) and {alike('p.n', 'm.n')} and ({close}) and p.key = array_min(array_intersect(p.keys, m.keys)) and ({link})"))
             pairs = met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b"))
         add(pairs.distinct())
     return found

@@ -16,6 +16,8 @@ distinct lines tell them apart in links.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +46,14 @@ def segment_places(edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def segment_keys(kinds: DataFrame, edits: int, low: int = 0, high: int | None = None) -> DataFrame:
-    """key, id, probe, n: each line's segments and probes (rows of node, line binary), for lines of low to high - 1 bytes.
+def segment_keys(kinds: DataFrame, edits: int, low: int = 0, high: int | None = None, probes: bool | None = None) -> DataFrame:
+    """key, id, probe, n: each line's segments and probes (rows of node, line binary), for lines of low to high - 1 bytes; with
+    `probes` only these, or only what is indexed.
 
     One short expression over a table of places, rather than a long one a place, so that it stays compiled.
     """
     parts = edits + 1
-    places = ", ".join(f"struct({less} as less, {i} as i, {shift} as shift, {probe} as probe)" for less, i, shift, probe in segment_places(edits))
+    places = ", ".join(f"struct({less} as less, {i} as i, {shift} as shift, {probe} as probe)" for less, i, shift, probe in segment_places(edits) if probes in (None, bool(probe)))
     rows = kinds.where(f"octet_length(line) >= {low}" + (f" and octet_length(line) < {high + edits}" if high else ""))
     rows = rows.select("node", "line", F.expr(f"inline(array({places}))")).withColumn("n", F.octet_length("line")).withColumn("size", F.expr("n - less"))
     # Segments differ by one byte at most; the last (size mod parts) ones have it.
@@ -75,25 +78,12 @@ def banded_sql(x: str, y: str, e: str, most: int) -> str:
     after = f"named_struct('vp', (({hn}) | ~(shiftright(d, 1) | {hp})) & {full}, 'vn', shiftright(d, 1) & {hp}, 'e', s.e + {step})"
     # Arrays of one element name p (the column's matches) and d (where the diagonal has no edit).
     body = f"transform(transform(array(({match}) & {full}), p -> {d0}), d -> {after})[0]"
-    return f"aggregate(sequence(1, cast(octet_length({y}) as int)), named_struct('vp', {start}, 'vn', 0, 'e', {e}), (s, j) -> {body}, s -> s.e)"
-
-
-#: Powers of two, the largest first.
-_POWERS = "transform(sequence(30, 0, -1), k -> shiftleft(1, k))"
-
-
-def within_edits(x: str, y: str, e: str, most: int) -> str:
-    """SQL of whether two binary columns differ by at most e edits: what they have in common at both ends changes nothing
-    and is left out, the rest goes through the banded distance."""
-    nx, ny = f"octet_length({x})", f"octet_length({y})"
-    front = f"aggregate({_POWERS}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) and substring({x}, a + 1, k) = substring({y}, a + 1, k), a + k, a))"
-    back = f"aggregate({_POWERS}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) - f and substring({x}, {nx} - a - k + 1, k) = substring({y}, {ny} - a - k + 1, k), a + k, a))"
-    rest = f"named_struct('x', substring({x}, g.f + 1, {nx} - g.f - g.b), 'y', substring({y}, g.f + 1, {ny} - g.f - g.b), 'e', {e})"
-    test = f"if(abs({nx} - {ny}) > w.e, false, octet_length(w.x) = 0 or octet_length(w.y) = 0 or {banded_sql('w.x', 'w.y', 'w.e', most)} <= w.e)"
-    return f"transform(transform(transform(array({front}), f -> named_struct('f', f, 'b', {back})), g -> {rest}), w -> {test})[0]"
+    return f"aggregate(sequence(1, cast(octet_length({y}) as int)), named_struct('vp', {start}, 'vn', 0, 'e', least({e}, octet_length({x}))), (s, j) -> {body}, s -> s.e)"
 
 
 BLOCKS = 16
+#: Middles of so many bytes go to the banded distance at once.
+SHORT = 24
 
 
 def blocks_stand(x: str, y: str, edits: str) -> str:
@@ -107,40 +97,56 @@ def blocks_stand(x: str, y: str, edits: str) -> str:
     return f"transform(array(named_struct('z', cast(octet_length({x}) div {BLOCKS} as int), 'e', {edits})), v -> {walk} >= {BLOCKS} - v.e)[0]"
 
 
+def within_edits(x: str, y: str, e: str, most: int) -> str:
+    """SQL of whether two binary columns differ by at most e edits: what they have in common at both ends changes nothing
+    and is left out (found by powers of two, the largest first), a long rest is tried by its blocks, and the rest goes
+    through the banded distance."""
+    nx, ny = f"octet_length({x})", f"octet_length({y})"
+    powers = f"transform(sequence(cast(log2(greatest(1, least({nx}, {ny}))) as int), 0, -1), k -> shiftleft(1, k))"
+    front = f"aggregate({powers}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) and substring({x}, a + 1, k) = substring({y}, a + 1, k), a + k, a))"
+    back = f"aggregate({powers}, 0, (a, k) -> if(a + k <= least({nx}, {ny}) - f and substring({x}, {nx} - a - k + 1, k) = substring({y}, {ny} - a - k + 1, k), a + k, a))"
+    rest = f"named_struct('x', substring({x}, g.f + 1, {nx} - g.f - g.b), 'y', substring({y}, g.f + 1, {ny} - g.f - g.b), 'e', {e})"
+    walk = f"(least(octet_length(w.x), octet_length(w.y)) <= {SHORT} or {blocks_stand('w.x', 'w.y', 'w.e')}) and {banded_sql('w.x', 'w.y', 'w.e', most)} <= w.e"
+    test = f"if(abs({nx} - {ny}) > w.e, false, octet_length(w.x) = 0 or octet_length(w.y) = 0 or ({walk}))"
+    return f"transform(transform(transform(array({front}), f -> named_struct('f', f, 'b', {back})), g -> {rest}), w -> {test})[0]"
+
+
 def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     """Components (node, component) of the links among distinct lines (node, line binary)."""
     levels = tuple(sorted(levels))
-    parts = [segment_keys(kinds, e, low, levels[k + 1][0] if k + 1 < len(levels) else None) for k, (low, e) in enumerate(levels)]
-    entries = parts[0]
-    for p in parts[1:]:
-        entries = entries.unionByName(p)
-    shared = shared_buckets(entries, scratch)
+    spans = [(e, low, levels[k + 1][0] if k + 1 < len(levels) else None) for k, (low, e) in enumerate(levels)]
+    keys = lambda probes: reduce(DataFrame.unionByName, [segment_keys(kinds, *span, probes=probes) for span in spans])
+    shared = shared_buckets(keys(False), scratch, keys(True))
     wanted = scratch.save(shared.select("id").distinct())
     texts = likely_in(kinds.select(F.col("node").alias("id"), "line"), "id", wanted, "id").join(wanted, "id", "left_semi")
     # An edit changes at most two counts of bytes and four of byte pairs; the parities of 64 classes are the bits of a number.
     parity = lambda q: f"aggregate(sequence(1, cast(octet_length(line) - {q - 1} as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, {q})) & 63 as int)))"
-    # Lines stand in a structure, as a condition copies every plain binary column that it names for each pair.
+    # Lines stand in a structure, as a condition copies every plain column of bytes that it names for each pair.
     texts = scratch.save(texts.select("id", F.octet_length("line").alias("n"), F.struct("line").alias("t"), F.expr(parity(1)).alias("ones"), F.expr(parity(2)).alias("twos")))
     alike = lambda n, m: f"abs({n} - {m}) <= {edits_sql(f'least({n}, {m})', levels)}"
 
+    allowed = lambda x, y: edits_sql(f"least({x}.n, {y}.n)", levels)
+
     def close(x: str, y: str) -> str:
-        """SQL of whether two rows of n, t.line, ones and twos link."""
-        allowed = edits_sql(f"least({x}.n, {y}.n)", levels)
-        test = within_edits(f"{x}.t.line", f"{y}.t.line", allowed, max(e for _, e in levels))
-        return f"bit_count({x}.ones ^ {y}.ones) <= 2 * {allowed} and bit_count({x}.twos ^ {y}.twos) <= 4 * {allowed} and {blocks_stand(f'{x}.t.line', f'{y}.t.line', allowed)} and {test}"
+        """SQL of whether two rows of n, ones and twos may link."""
+        return f"bit_count({x}.ones ^ {y}.ones) <= 2 * {allowed(x, y)} and bit_count({x}.twos ^ {y}.twos) <= 4 * {allowed(x, y)}"
+
+    def link(x: str, y: str) -> str:
+        """SQL of whether two rows of n, t.line link."""
+        return within_edits(f"{x}.t.line", f"{y}.t.line", allowed(x, y), max(e for _, e in levels))
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c, name: texts.select(F.col("id").alias(c), F.struct("n", "t", "ones", "twos").alias(name))
         one = pairs.join(side("a", "x"), "a").repartition(tasks_of(pairs), "b")
-        return one.join(side("b", "y"), "b").where(close("x", "y")).select("a", "b")
+        return one.join(side("b", "y"), "b").where(f"{close('x', 'y')} and {link('x', 'y')}").select("a", "b")
 
-    return linked_components(shared, alike, verified, scratch, profile=texts.drop("n"), close=close("p", "m"))
+    return linked_components(shared, alike, verified, scratch, profile=texts.drop("n"), close=close("p", "m"), link=link("p", "m"))
 
 
 def dedup_lines(df: DataFrame, levels: tuple = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with text rid of lines that stand elsewhere before, and n_lines, n_removed."""
     scratch = Scratch(df.sparkSession)
-    n_lines, n_removed, of_id, of_text, gone_at = free_names(df.columns, "n_lines", "n_removed", "_id", "_th", "_gone")
+    n_lines, n_removed, of_id, of_text, gone_at, n_gone = free_names(df.columns, "n_lines", "n_removed", "_id", "_th", "_gone", "_n_gone")
     own_id, own_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = df.select(own_id.alias("id"), own_text.alias("text"))
     split = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -168,13 +174,16 @@ def dedup_lines(df: DataFrame, levels: tuple = LEVELS, id_col: str = "doc_id", t
     first = held.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy(*c).agg(F.min("th").alias("first_th"))
     first = held.join(first, c).where("id <=> first_id and th = first_th").groupBy(*c, "first_th").agg(F.min("pos").alias("first_pos"))
     gone = held.join(first, c).where("not (id <=> first_id and th = first_th and pos = first_pos)")
-    gone = gone.groupBy("id", "th").agg(F.collect_set("pos").alias(gone_at)).select(F.col("id").alias(of_id), F.col("th").alias(of_text), gone_at)
+    # A byte a line up to the last one that goes ('1'), so that each line is looked up in one step however many go.
+    gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    marks = F.expr("cast(concat(array_join(transform(at, (x, k) -> repeat('0', cast(x - if(k = 0, -1, at[greatest(k - 1, 0)]) - 1 as int))), '1'), '1') as binary)")
+    gone = gone.select(F.col("id").alias(of_id), F.col("th").alias(of_text), marks.alias(gone_at), F.size("at").alias(n_gone))
     out = df.join(gone, own_id.eqNullSafe(F.col(of_id)) & (F.xxhash64(own_text) == F.col(of_text)), "left")
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains({gone_at}, i)), '\\n')")
+    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\n', -1), (x, i) -> i >= octet_length({gone_at}) or substring({gone_at}, i + 1, 1) = X'30'), '\n')")
     text = F.when(F.col(gone_at).isNull(), own_text).otherwise(kept)
     count = F.when(F.coalesce(own_text, F.lit("")) == "", 0).otherwise(F.size(F.split(own_text, "\n", -1))).cast("bigint")
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, count.alias(n_lines), F.coalesce(F.size(gone_at), F.lit(0)).cast("bigint").alias(n_removed))
+    return out.select(*columns, count.alias(n_lines), F.coalesce(F.col(n_gone), F.lit(0)).cast("bigint").alias(n_removed))
 
 
 ORACLE = f"""

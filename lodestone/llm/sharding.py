@@ -3,7 +3,7 @@
 Rows are shuffled by a seeded hash and ranked within their source; row r of a source of n rows stands at the fraction
 (r + 1/2) / n, all rows are sorted by that fraction, and the sorted rows are cut into shards whose counts differ by
 one at most, so that every shard has the sources' mixture. Ranks come from bins of the hash, so a source with a third
-of all rows is no single task; bins grow in number with the rows.
+of all rows is no single task; bins grow in number with the rows. The second order is ranged over partitions by all its columns.
 
 A null source is a source of its own; a null text has size 1 and the checksum of no bytes. Ties (repeated rows) are
 ordered by id, then checksum; rows that are alike in all of these are interchangeable. An empty table gives no rows.
@@ -16,13 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.cluster import bins_for, ranked, uniform
+from lodestone.operators.ranks import numbered
 from lodestone.shared import Scratch
 
 
-#: Up to so many bins their table is broadcast.
-MOST_BINS = 1 << 16
-
-
 def shards(df: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, size, text_crc32, fraction, position, shard, slot."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -35,7 +32,8 @@ def shards(df: DataFrame, n_shards: int = 16, seed: int = 17, id_col: str = "doc
     own = ranked(slim, ["source"], ["dice", "id", "text_crc32"], F.floor(F.col("dice") / F.lit(float(2**52) / bins)), "place")
     of = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "s")
     rows = own.join(of, own["source"].eqNullSafe(F.col("s")), "left").withColumn("fraction", (F.col("place") + F.lit(0.5)) / F.col("n")).drop("s", "n", "place", "dice")
-    out = ranked(rows, [], ["fraction", "source", "id", "text_crc32"], F.floor(F.col("fraction") * bins), "position", bounded=bins <= MOST_BINS)
+    # Ranged over all columns of the order: many small sources stand at the same few fractions.
+    out = numbered(rows, [F.col(c) for c in ("fraction", "source", "id", "text_crc32")], "position")
     out = out.withColumn("shard", F.expr(f"cast((position * {n_shards}) div {max(total, 1)} as int)"))
     out = out.withColumn("slot", F.expr(f"position - (cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}"))
     return out.withColumnRenamed("id", id_col).withColumnRenamed("source", source_col)

@@ -115,8 +115,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """A model from at most `most` labelled rows."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     some = known.orderBy(uniform(F.col("id"), seed=seed), "id").limit(most)
-    # At most `most` rows of two numbers.
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", "id", "text")
+    # At most `most` rows of two numbers; of an id's texts one counts, whichever hash is smallest, so that a row an id is fitted.
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("y", "id", "one.text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)

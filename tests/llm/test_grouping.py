@@ -265,3 +265,20 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, at, SF)
     assert pieces.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
     assert corpus_pipeline.STAGES[1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_pair_test_equals_plain_distances(spark):
+    """Random pairs in both orders, most of them near: what is left after trimming may be shorter than the edits allowed."""
+    rng, rows = random.Random(1), []
+    for _ in range(3000):
+        x = [rng.choice("abcd ") for _ in range(rng.choice([2, 5, 20, 40, 64, 100, 128, 300]))]
+        y = list(x)
+        for _ in range(rng.randrange(0, 6)):
+            k, r = rng.randrange(len(y) + 1), rng.random()
+            y[k : k + (r > 0.33)] = rng.choice("abcd ") if r < 0.33 or r > 0.66 else ""
+        rows += [("".join(x), "".join(y) or "a", rng.choice([1, 2, 3]))] * 1
+    rows += [(y, x, e) for x, y, e in rows]
+    df = spark.createDataFrame(rows, "x string, y string, e int").withColumns({"bx": F.col("x").cast("binary"), "by": F.col("y").cast("binary")})
+    out = df.select("x", "y", "e", F.expr(lines.within_edits("bx", "by", "e", 3)).alias("got"), F.expr("levenshtein(x, y) <= e").alias("want"), F.expr(lines.blocks_stand("bx", "by", "e")).alias("blocks")).collect()
+    assert [r for r in out if r.got != r.want] == [] and sum(r.want for r in out) > 1000
+    assert all(r.blocks for r in out if r.want and len(r.x) >= lines.BLOCKS)

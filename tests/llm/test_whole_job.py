@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import cluster, counts, graphs, mixing, queries
+from lodestone.llm import cluster, counts, graphs, mixing, queries, toxicity
 
 
 def deviation(order, blocks, weights):
@@ -186,3 +186,44 @@ def test_vectors_of_one_id_and_of_many_tasks(spark, monkeypatch):
     again = graphs.near_vectors(frame(rows[::-1])).collect()
     assert sorted(tuple(r)[:4] for r in again) == want
     assert again[0].audit_links > 0 and again[0].audit_found >= graphs.RECALL * again[0].audit_links
+
+
+def test_shards_of_many_small_sources(spark):
+    """Sources of one row all stand at the same fraction: they are spread over partitions, and shards differ by one row at most."""
+    from lodestone.llm import sharding
+
+    rows = [(i, f"text {i}", f"s{i}") for i in range(3000)] + [(10_000 + i, "x", "big") for i in range(500)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), n_shards=7).collect()
+    counts = np.bincount([r.shard for r in out], minlength=7)
+    assert len(out) == 3500 and counts.max() - counts.min() <= 1
+    assert sorted(r.position for r in out) == list(range(3500))
+    big = np.bincount([r.shard for r in out if r.source == "big"], minlength=7)
+    order = [r.fraction for r in sorted(out, key=lambda r: r.position)]
+    assert order == sorted(order) and big.sum() == 500
+
+
+def test_fit_takes_one_row_an_id(spark):
+    """Thousands of rows of one labelled id count as one; the order of rows plays no part."""
+    rows = [(i, ("awful vile hate " if i % 2 else "calm kind day ") * 4 + f"w{i}") for i in range(60)]
+    hot = [(1, "awful vile hate " * 4 + f"again {i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    df = spark.createDataFrame(rows + hot, "doc_id bigint, text string")
+    seen = []
+    kept = toxicity.cross_fitted_grades
+    toxicity.cross_fitted_grades = lambda own, *more: seen.append(len(own)) or kept(own, *more)
+    try:
+        one, two = toxicity.fit(df, labels), toxicity.fit(df.repartition(9), labels)
+        toxicity.fit(df, labels, most=2)
+    finally:
+        toxicity.cross_fitted_grades = kept
+    assert seen[:2] == [60, 60] and all(n <= 2 for n in seen[2:])
+    assert np.allclose(one.weights, two.weights) and np.array_equal(one.numbers, two.numbers)
+
+
+def test_text_of_very_many_repeated_lines(spark):
+    """Lines that go are looked up in one step each."""
+    from lodestone.llm import lines
+
+    rows = [(1, "\n".join(["same line"] * 200_000 + ["other"])), (2, "x\nsame line\ny"), (3, None), (4, "")]
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), levels=()).collect()}
+    assert out == {1: ("same line\nother", 200_001, 199_999), 2: ("x\ny", 3, 1), 3: (None, 0, 0), 4: ("", 0, 0)}
