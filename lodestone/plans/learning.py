@@ -11,6 +11,7 @@ from lodestone.operators import splits as sp
 from lodestone.plans.catalog import compounds, query, rounded, table
 from lodestone.shared import shared_dir
 from lodestone.streaming import events as ev
+from lodestone.streaming import runs as rs
 
 
 def folder(s) -> str:
@@ -92,3 +93,10 @@ def streamed_event_counts(s, d):
 
     name = f"counts_{uuid.uuid4().hex[:8]}"
     return ev.run_once(ev.windowed_counts(ev.event_stream(s, f"{d}/events.parquet*")), name, folder(s))
+
+
+@query("run_store_stream", "SELECT owner, run_id, ts, row_number() OVER (PARTITION BY owner ORDER BY ts DESC, run_id) AS place FROM (SELECT user_id::VARCHAR AS owner, event_id::VARCHAR AS run_id, ts FROM events WHERE epoch_ms((SELECT max(ts) FROM events)) * 1000 - epoch_us(ts) <= 864000000000) QUALIFY place <= 5")
+def run_store_stream(s, d):
+    """The events as runs of their users, streamed through the keyed store: who is live when the stream ends."""
+    runs = ev.event_stream(s, f"{d}/events.parquet*").select(F.col("user_id").alias("owner"), F.col("event_id").alias("run_id"), "ts")
+    return rs.live(rs.replay(s, runs, 5, 10 * 86400, folder(s)))

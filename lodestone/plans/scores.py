@@ -317,7 +317,7 @@ def leave_one_group_out(s, d):
 
 @query("stratified_group_kfold", """WITH RECURSIVE g AS (SELECT p_name, count(*) FILTER (p_size <= 25) AS c0, count(*) FILTER (p_size > 25) AS c1, md5('42|' || p_name) AS dice FROM part GROUP BY p_name),
   t AS (SELECT greatest(1, sum(c0))::DOUBLE AS t0, greatest(1, sum(c1))::DOUBLE AS t1 FROM g),
-  pat AS (SELECT c0, c1, count(*) AS n, row_number() OVER (ORDER BY 2 * (c0 * c0 + c1 * c1) - (c0 + c1) * (c0 + c1) DESC, c0 DESC, c1 DESC) AS r FROM g GROUP BY ALL),
+  pat AS (SELECT *, row_number() OVER (ORDER BY 2 * (c0 * c0 + c1 * c1) - (c0 + c1) * (c0 + c1) DESC, c0 DESC, c1 DESC) AS r FROM (SELECT c0, c1, count(*) AS n FROM g GROUP BY c0, c1)),
   steps AS (SELECT row_number() OVER (ORDER BY r, i) AS s, c0, c1, i FROM pat, range(5) x(i) WHERE i < n % 5),
   walk(s, a, b, f) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL
     SELECT s, list_transform(range(1, 6), lambda j: a[j] + CASE WHEN j = f THEN c0 ELSE 0 END), list_transform(range(1, 6), lambda j: b[j] + CASE WHEN j = f THEN c1 ELSE 0 END), f FROM (
