@@ -37,7 +37,7 @@ def tree_classifier(depth: int = 20, leaf: int = 2, seed: int = 42) -> DecisionT
 
 
 def forest_classifier(trees: int = 50, depth: int = 20, seed: int = 42, cut: float = 0.5) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="_vector", labelCol="class", numTrees=trees, maxDepth=depth, seed=seed, thresholds=[1 - cut, cut])
+    return RandomForestClassifier(featuresCol="_vector", labelCol="class", numTrees=trees, maxDepth=depth, seed=seed).setThresholds([1 - cut, cut])
 
 
 def balanced(df: DataFrame, label: str = "class") -> DataFrame:

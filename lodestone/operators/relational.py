@@ -157,6 +157,22 @@ def funnel(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.agg(*counts).select(F.inline(steps))
 
 
+def activity_rules(kind: Column, units: Column, value: Column, relation: Column, wanted: str, reverse: str, factors: dict[str, float], drop_censored: bool = True) -> list[tuple[str, Column]]:
+    """The rules, for `funnel` or a filter, by which an activity is the wanted quantity: its type matches from the start, is not
+    the reverse leg, has a unit that can be converted and a value, and (if asked) is no detection limit. Patterns ignore case."""
+    rules = [
+        ("wanted type", kind.rlike(f"(?i)^(?:{wanted})")),
+        ("no reverse leg", ~kind.rlike(f"(?i){reverse}")),
+        ("convertible unit", units.isin(*factors) & value.isNotNull()),
+    ]
+    return [*rules, ("uncensored", relation == "=")] if drop_censored else rules
+
+
+def passing(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """The rows that pass all rules; what a rule can't tell (null) doesn't pass."""
+    return df.where(reduce(lambda a, b: a & b, [F.coalesce(r, F.lit(False)) for _, r in rules], F.lit(True)))
+
+
 def collapse(df: DataFrame, keys: list[str], how: dict[str, str]) -> DataFrame:
     """A row a key with each column's mean, median, min, max or first by value, as configured; medians are exact."""
     simple = {"mean": F.avg, "min": F.min, "max": F.max, "first": F.min, "sum": F.sum, "count": F.count}

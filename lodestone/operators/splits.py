@@ -121,6 +121,21 @@ def stored_folds(df: DataFrame, stored: DataFrame, id_col: str) -> tuple[DataFra
     return df.join(folds, id_col), df.join(folds, id_col, "left_anti")
 
 
+def folds_with_source(df: DataFrame, stored: DataFrame | None, id_col: str, where: str = "", group: Column | None = None, k: int = 5, seed: int = 42) -> tuple[DataFrame, str, int]:
+    """(rows with fold, where the folds come from, stored ids that the rows lack).
+
+    With a stored table, its folds are taken over and rows that it lacks have none (their fold is null), so that scores on
+    both are of the same partitions; without one, the folds are planned here and are not comparable fold by fold.
+    """
+    if stored is None:
+        return group_folds(df, id_col, group, k, seed), "independent", 0
+    if "fold" not in stored.columns:
+        raise ValueError("the stored table has no fold column")
+    folds = stored.select(F.col(id_col).alias("_stored"), F.col("fold").cast("bigint").alias("fold")).dropDuplicates(["_stored"])
+    lost = folds.join(df.select(id_col), F.col("_stored") == F.col(id_col), "left_anti").count()
+    return df.join(folds, F.col(id_col) == F.col("_stored"), "left").drop("_stored"), f"stored:{where}", lost
+
+
 def best_combo(counts: DataFrame, configured: list[str], origin: str = "origin") -> list[str]:
     """Configured origins that survived the size gate, in their order; all that survived if none did."""
     have = [r[0] for r in counts.select(origin).collect()]

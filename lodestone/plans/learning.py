@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.config import Endpoint
 from lodestone.functions.keys import featurise
-from lodestone.operators import arms, learners
+from lodestone.operators import arms, deploy, learners, nearshell
 from lodestone.operators import metrics as m
 from lodestone.operators import splits as sp
 from lodestone.plans.catalog import compounds, query, rounded, table
@@ -100,3 +101,47 @@ def run_store_stream(s, d):
     """The events as runs of their users, streamed through the keyed store: who is live when the stream ends."""
     runs = ev.event_stream(s, f"{d}/events.parquet*").select(F.col("user_id").alias("owner"), F.col("event_id").alias("run_id"), "ts")
     return rs.live(rs.replay(s, runs, 5, 10 * 86400, folder(s)))
+
+
+@query("forest_classifier")
+def forest_classifier(s, d):
+    """A forest that calls a class from a probability of 0.3 on: how held-out rows are called."""
+    v = sp.stratified_group_folds(vectors(s, d).withColumn("group", F.concat("origin", (F.col("compound") % 50).cast("string"))), "group", "class", k=3)
+    model = learners.forest_classifier(12, 6, cut=0.3).fit(learners.with_vector(v.where("fold <> 1")))
+    out = learners.probabilities(v.where("fold = 1"), model)
+    return out.select("compound", "class", "proba", F.col("prediction").cast("int").alias("call"))
+
+
+@query("boosted_screen")
+def boosted_screen(s, d):
+    """The boosted screen learner on public rows, scored on internal ones."""
+    internal, public = pools(s, d)
+    model = learners.boosted(10, 4).fit(learners.with_vector(public.select("features", "label")))
+    scored = model.transform(learners.with_vector(internal)).select(F.col("label").alias("real_y"), F.col("prediction").alias("pred_y"))
+    return rounded(m.regression(scored, []), "rmse", "r2det")
+
+
+@query("deploy_calibration")
+def deploy_calibration(s, d):
+    """What a deployment would store: the calibration of held-out predictions of all folds, and what the final model is fitted on."""
+    internal, public = (df.withColumn("smiles", F.concat(F.lit("s"), F.col("compound").cast("string"))) for df in pools(s, d))
+    done = deploy.deploy_endpoint(Endpoint("sol", "x", "log10", unit="uM", cutoff=10.0), internal, public, small_forest, folder(s), dry_run=True, k=3)
+    return s.createDataFrame([(done.n_train, float(done.cv_rmse), *[float(done.calibration[c]) for c in ("rmse_cv", "recal_a", "recal_b", "label_std")])], "n_train bigint, cv_rmse double, rmse_cv double, recal_a double, recal_b double, label_std double")
+
+
+@query("near_shell_compare")
+def near_shell_compare(s, d):
+    """Strategies of adding public rows, each scored by folds of the internal rows."""
+    internal, public = pools(s, d)
+    known = nearshell.strategies(folder(s))
+    rows = nearshell.compare({n: known[n] for n in ("internal_only", "all_nvs", "dist_060")}, public, internal, {"rf": small_forest})
+    return s.createDataFrame([(r["strategy"], r["n_pool"], r["rf_r2"], r["rf_r2det"]) for r in rows], "strategy string, n_pool bigint, rf_r2 double, rf_r2det double")
+
+
+@query("near_shell_nested")
+def near_shell_nested(s, d):
+    """The honest score: each fold is predicted by the strategy that is best on the others."""
+    internal, public = pools(s, d)
+    known = nearshell.strategies(folder(s))
+    got = nearshell.nested({n: known[n] for n in ("internal_only", "all_nvs")}, public, internal, small_forest)
+    return s.createDataFrame([(f, w, got["honest_r2"], got["honest_r2det"]) for f, w in sorted(got["fold_winners"].items())], "fold string, strategy string, honest_r2 double, honest_r2det double")

@@ -327,3 +327,30 @@ def solubility_sources(s, d):
 def contract_check(s, d):
     c = compounds(s, d)
     return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(~finite(F.col("label"))).alias("not_finite"), (F.count(F.lit(1)) - F.countDistinct("text")).alias("repeated"))
+
+
+ACTIVITY_SQL = "a AS (SELECT l_orderkey, l_linenumber, p_type AS kind, 'u' || (l_suppkey % 6) AS units, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity END AS value, CASE WHEN l_discount > 0.08 THEN '>' ELSE '=' END AS relation FROM lineitem JOIN part ON p_partkey = l_partkey)"
+FACTORS = {"u0": 1.0, "u1": 0.1, "u2": 10.0, "u3": 1000.0}
+
+
+def activities(s, d):
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    value, relation = F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity")), F.when(F.col("l_discount") > 0.08, ">").otherwise("=")
+    return rows.select("l_orderkey", "l_linenumber", F.col("p_type").alias("kind"), F.concat(F.lit("u"), F.col("l_suppkey") % 6).alias("units"), value.alias("value"), relation.alias("relation"))
+
+
+def wanted_activities():
+    return rel.activity_rules(F.col("kind"), F.col("units"), F.col("value"), F.col("relation"), "[a-m]", "e.*l$", FACTORS)
+
+
+@query("activity_funnel", f"WITH {ACTIVITY_SQL}, b AS (SELECT regexp_matches(kind, '(?i)^[a-m]') AS r1, NOT regexp_matches(kind, '(?i)e.*l$') AS r2, units IN ('u0', 'u1', 'u2', 'u3') AND value IS NOT NULL AS r3, relation = '=' AS r4 FROM a) SELECT unnest([0, 1, 2, 3, 4]) AS step, unnest(['all', 'wanted type', 'no reverse leg', 'convertible unit', 'uncensored']) AS name, unnest([count(*), count(*) FILTER (r1), count(*) FILTER (r1 AND r2), count(*) FILTER (r1 AND r2 AND r3), count(*) FILTER (r1 AND r2 AND r3 AND r4)]) AS n FROM b")
+def activity_funnel(s, d):
+    """How many activities each rule of type, direction, unit and relation leaves."""
+    return rel.funnel(activities(s, d), wanted_activities())
+
+
+@query("activity_selection", f"WITH {ACTIVITY_SQL} SELECT l_orderkey, l_linenumber, round(value * CASE units WHEN 'u0' THEN 1 WHEN 'u1' THEN 0.1 WHEN 'u2' THEN 10 ELSE 1000 END::DOUBLE, 6) + 0.0 AS value FROM a WHERE regexp_matches(kind, '(?i)^[a-m]') AND NOT regexp_matches(kind, '(?i)e.*l$') AND units IN ('u0', 'u1', 'u2', 'u3') AND value IS NOT NULL AND relation = '='")
+def activity_selection(s, d):
+    factor = F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])[F.col("units")]
+    rows = rel.passing(activities(s, d), wanted_activities())
+    return rows.select("l_orderkey", "l_linenumber", (F.round(F.col("value") * factor, 6) + F.lit(0.0)).alias("value"))

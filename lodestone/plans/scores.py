@@ -9,7 +9,9 @@ from lodestone.functions import transforms as t
 from lodestone.operators import bits as bt
 from lodestone.operators import calibration as cal
 from lodestone.operators import gram
+from lodestone.operators import grouping as gp
 from lodestone.operators import metrics as m
+from lodestone.operators import nearshell as ns
 from lodestone.operators import neighbours as nb
 from lodestone.operators import pivots as pv
 from lodestone.operators import relational as rel
@@ -469,3 +471,25 @@ def nested_selection(s, d):
     others = rows.select(F.col("fold").alias("f"), F.col("strategy").alias("k"), F.col("r2det").alias("v"))
     inner = rows.join(others, (F.col("strategy") == F.col("k")) & (F.col("fold") != F.col("f"))).groupBy(F.col("fold").alias("outer_fold"), "strategy").agg(r6(F.avg("v")).alias("inner"), F.max("r2det").alias("outer"))
     return nb.nested_selection(inner)
+
+
+@query("butina_clusters", f"""WITH RECURSIVE {V.split("x AS (")[0].rstrip().rstrip(",")}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) + 0.0 <= 0.66),
+  o AS (SELECT a AS id, list(b) AS nb, row_number() OVER (ORDER BY count(*) DESC, a) AS r FROM e GROUP BY a),
+  walk(r, centres) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.r, CASE WHEN len(list_intersect(nb, centres)) = 0 THEN list_append(centres, id) ELSE centres END FROM walk w JOIN o ON o.r = w.r + 1),
+  c AS (SELECT unnest(centres) AS id FROM walk WHERE r = (SELECT count(*) FROM o)), t AS (SELECT e.a AS id, arg_min(e.b, o.r) AS centre FROM e JOIN c ON c.id = e.b JOIN o ON o.id = e.b WHERE e.a NOT IN (SELECT id FROM c) GROUP BY e.a)
+  SELECT vec_id AS compound, coalesce(centre, vec_id) AS cluster FROM v LEFT JOIN t ON t.id = vec_id""")
+def butina_clusters(s, d):
+    """All vectors against all: the densest one takes its neighbours, then the next that is left."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    links = nb.within(v, v, 0.66, digits=6).where("pool <> internal").select(F.col("pool").alias("a"), F.col("internal").alias("b"))
+    return ns.butina(v.select(F.col("id").alias("compound")), links)
+
+
+@query("task_clusters")
+def task_clusters(s, d):
+    """Tasks measured on some lines only, grouped by the rank correlations of those measured together."""
+    k, some = F.col("l_orderkey") + F.col("l_linenumber"), lambda share, c: F.when(share, c)
+    rows = table(s, d, "lineitem").join(table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    tasks = {"quantity": some(k % 3 > 0, F.col("l_quantity")), "price": some(k % 5 > 0, F.col("l_quantity") * F.col("p_retailprice")), "tax": F.col("l_tax"), "discount": some(k % 2 > 0, F.col("l_discount")), "retail": F.col("p_retailprice"), "size": some(k % 7 > 2, F.col("p_size").cast("double"))}
+    wide = rows.select(*[c.cast("double").alias(n) for n, c in tasks.items()])
+    return gp.cluster_table(s, gp.task_clusters(wide, list(tasks)))

@@ -290,3 +290,47 @@ def test_ordered_text_is_whole(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.write_ordered(df, str(tmp_path / "bad"), F.when(F.col("id") < 400, F.col("name")).otherwise(F.raise_error(F.lit("no")).cast("string")), [F.col("id")])
     assert os.listdir(tmp_path) == ["client"]
+
+
+def test_average_linkage_against_scipy_like_loops():
+    from lodestone.operators import grouping
+
+    rng = random.Random(4)
+    for _ in range(30):
+        names = [f"t{i}" for i in range(9)]
+        d = {(a, b): round(rng.random(), 3) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.9}
+        clusters, far = [[n] for n in names], lambda x, y: d.get((x, y), d.get((y, x), 1.0))  # noqa: B023
+        while len(clusters) > 1:  # from the members' distances each time
+            mean = lambda a, b: sum(far(x, y) for x in a for y in b) / (len(a) * len(b))  # noqa: B023
+            best, a, b = min(((round(mean(a, b), 12), (a[0], b[0])), a, b) for i, a in enumerate(clusters) for b in clusters[i + 1 :])
+            if best[0] > 0.55:
+                break
+            clusters = sorted([c for c in clusters if c not in (a, b)] + [sorted(a + b)])
+        assert grouping.average_linkage(names[::-1], d, 0.55) == clusters
+    assert grouping.average_linkage([], {}, 1.0) == [] and grouping.average_linkage(["a", "b"], {}, 0.9) == [["a"], ["b"]]
+
+
+def test_clusters_choose_the_training_pools(spark):
+    from lodestone.operators import grouping
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=300)
+    cols = {"hlm": x + 0.2 * rng.normal(size=300), "mlm": -x + 0.2 * rng.normal(size=300), "ppb": rng.normal(size=300), "rare": x}
+    rows = [(f"c{i}", "internal" if i % 3 == 0 else "EXP", f"k{i}", *[float(v[i]) if not (n == "rare" and i > 5) and (i + len(n)) % 4 else None for n, v in cols.items()]) for i in range(300)]
+    wide = spark.createDataFrame(rows, "smiles string, source string, _ik string, hlm double, mlm double, ppb double, rare double")
+    clusters = grouping.task_clusters(wide, list(cols))
+    assert clusters == [["hlm", "mlm"], ["ppb"], ["rare"]]  # few rows don't attract, however alike
+    tasks, public, internal = grouping.grouped_pools(wide, clusters, "mlm")
+    assert tasks == ["hlm", "mlm"] and internal.where("mlm is null").count() == 0
+    assert public.where("hlm is null and mlm is null").count() == 0 and public.where("source = 'internal'").count() == 0
+
+
+def test_folds_say_where_they_come_from(spark):
+    df = spark.range(20).withColumnRenamed("id", "compound")
+    stored = spark.createDataFrame([(i, i % 3 + 1) for i in range(15)] + [(99, 1)], "compound bigint, fold int")
+    rows, source, lost = splits.folds_with_source(df, stored, "compound", "rf/sol")
+    assert source == "stored:rf/sol" and lost == 1 and {r.compound: r.fold for r in rows.collect()} == {i: i % 3 + 1 if i < 15 else None for i in range(20)}
+    rows, source, lost = splits.folds_with_source(df, None, "compound")
+    assert source == "independent" and lost == 0 and {r.fold for r in rows.collect()} == {1, 2, 3, 4, 5}
+    with pytest.raises(ValueError):
+        splits.folds_with_source(df, df, "compound")
