@@ -72,7 +72,8 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
 
 
 BITMAP_BITS = 1 << 24
-#: For keys of which there are several a row.
+#: For keys of which there are several a row: so many bits a key, and so many in all at most.
+KEY_BITS = 8
 WIDE_BITS = 1 << 26
 
 
@@ -95,11 +96,13 @@ def shared_buckets(entries: DataFrame, scratch: Scratch, probes: DataFrame | Non
     """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot.
 
     Probes have the same columns and count only under keys that an entry has: most hit none, and a bitmap of the entries'
-    keys drops these before they move. Keys are counted first, as few of them come up twice.
+    keys drops these before they move. It has KEY_BITS bits an entry, so that it lets the same share of the others through at
+    any size, until it is WIDE_BITS wide. Keys are counted first, as few of them come up twice.
     """
     columns, marked = ["key", "id", "n"], entries
     if probes is not None:
-        hits = likely_in(probes.select(*columns), "key", entries.select("key"), "key", WIDE_BITS)
+        wide = min(WIDE_BITS, 1 << max(16, (KEY_BITS * entries.count()).bit_length()))
+        hits = likely_in(probes.select(*columns), "key", entries.select("key"), "key", wide)
         marked = scratch.save(entries.select(*columns, F.lit(0).alias("probe")).unionByName(hits.withColumn("probe", F.lit(1))))
     counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.min("probe").alias("only_probes")] * (probes is not None))
     keys = scratch.save(counts.where("k > 1" if probes is None else "k > 1 and only_probes = 0").select("key"))
