@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from lodestone.shared import Scratch
 
 PIVOTS = 256
+#: Fewer vectors than this are one cell, and are searched at once.
+FEW = 4096
 PART_ROWS = 16_384
 GROUP_ROWS = 8_192
 #: Queries whose distances to a part are held at once.
@@ -58,6 +60,7 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 def choose_pivots(rows: DataFrame, most: int = PIVOTS) -> np.ndarray:
     """At most `most` different directions, drawn by a hash of the ids: the square root of the rows' number if that is less."""
     n = rows.count()
+    most = most if n >= FEW else 1
     some = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(most, int(n**0.5)))).toArrow()["v"]
     return np.unique(np.round(_scaled(_matrix(some)), 12), axis=0) if n else np.zeros((0, 1))
 
@@ -179,13 +182,15 @@ def nearest_by_pivots(queries: DataFrame, searched: DataFrame, k: int, query_id:
         return queries.sparkSession.createDataFrame([], f"id {kinds[0]}, other {kinds[1]}, dist double, rank bigint, visited int, cells int")
     placed = scratch.save(in_cells(theirs, pivots))
     cells = Cells(placed, pivots)
-    more = k + 1 if skip_same else k
-    begun = scratch.save(_visits(mine.withColumn("bound", F.lit(4.0)), cells, lambda d, bound: cells.first(d, more)))
-    kth = _search(begun, placed, cells, k, digits, skip_same).groupBy("id").agg(F.array_sort(F.collect_list("dist")).alias("all"), F.count(F.lit(1)).alias("n"))
-    # A query's bound: the straight distance that belongs to its k-th rounded cosine distance, and one step of rounding.
-    bound = F.when(F.col("n") >= k, F.sqrt(F.lit(2.0) * (F.col("all")[k - 1] + F.lit(10.0**-digits)))).otherwise(F.lit(4.0))
-    bounds = scratch.save(kth.select(F.col("id").alias("_id"), bound.alias("bound")))
-    bounded = mine.join(bounds, F.col("id") == F.col("_id"), "left").select("id", "v", F.coalesce("bound", F.lit(4.0)).alias("bound"))
+    bounded = mine.withColumn("bound", F.lit(4.0))
+    if len(pivots) > 1:
+        more = k + 1 if skip_same else k
+        begun = scratch.save(_visits(bounded, cells, lambda d, bound: cells.first(d, more)))
+        kth = _search(begun, placed, cells, k, digits, skip_same).groupBy("id").agg(F.array_sort(F.collect_list("dist")).alias("all"), F.count(F.lit(1)).alias("n"))
+        # A query's bound: the straight distance that belongs to its k-th rounded cosine distance, and one step of rounding.
+        bound = F.when(F.col("n") >= k, F.sqrt(F.lit(2.0) * (F.col("all")[k - 1] + F.lit(10.0**-digits)))).otherwise(F.lit(4.0))
+        bounds = scratch.save(kth.select(F.col("id").alias("_id"), bound.alias("bound")))
+        bounded = mine.join(bounds, F.col("id") == F.col("_id"), "left").select("id", "v", F.coalesce("bound", F.lit(4.0)).alias("bound"))
     visits = scratch.save(_visits(bounded, cells, lambda d, bound: cells.possible(d, bound)))
     found = _search(visits, placed, cells, k, digits, skip_same)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "other")).cast("bigint")

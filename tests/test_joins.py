@@ -65,6 +65,7 @@ def test_pivot_join_against_all_distances(spark, monkeypatch):
     extra = spark.createDataFrame([(9000, None), (9001, [0.0] * 8), (9002, [float("nan")] * 8), (9003, [float("inf")] * 8)], schema)
     for part, group in ((16_384, 8_192), (50, 40)):
         monkeypatch.setattr(pivots, "PART_ROWS", part)
+        monkeypatch.setattr(pivots, "FEW", 0)
         monkeypatch.setattr(pivots, "GROUP_ROWS", group)
         got = pivots.nearest_by_pivots(df.where("id % 7 = 0").union(extra), df.union(extra), 4, digits=6, skip_same=True).collect()
         assert {(r.id, r.other, r["rank"]) for r in got} == {t for t in by_distance(x, x, 4, True) if t[0] % 7 == 0}
