@@ -92,16 +92,16 @@ def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str, bits_of_map
     return met.where(f"(shiftright({bits}, cast({at} & 63 as int)) & 1) = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def shared_buckets(entries: DataFrame, scratch: Scratch, probes: DataFrame | None = None) -> DataFrame:
+def shared_buckets(entries: DataFrame, scratch: Scratch, probes: DataFrame | None = None, most: int = 0) -> DataFrame:
     """Of entries key, id, n: those whose key several ids have, with the key's smallest id as pivot.
 
     Probes have the same columns and count only under keys that an entry has: most hit none, and a bitmap of the entries'
-    keys drops these before they move. It has KEY_BITS bits an entry, so that it lets the same share of the others through at
+    keys drops these before they move. It has KEY_BITS bits for each of the `most` entries there can be, so that it lets the same share of the others through at
     any size, until it is WIDE_BITS wide. Keys are counted first, as few of them come up twice.
     """
     columns, marked = ["key", "id", "n"], entries
     if probes is not None:
-        wide = min(WIDE_BITS, 1 << max(16, (KEY_BITS * entries.count()).bit_length()))
+        wide = min(WIDE_BITS, 1 << max(16, (KEY_BITS * most).bit_length()))
         hits = likely_in(probes.select(*columns), "key", entries.select("key"), "key", wide)
         marked = scratch.save(entries.select(*columns, F.lit(0).alias("probe")).unionByName(hits.withColumn("probe", F.lit(1))))
     counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.min("probe").alias("only_probes")] * (probes is not None))

@@ -116,9 +116,10 @@ def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     levels = tuple(sorted(levels))
     spans = [(e, low, levels[k + 1][0] if k + 1 < len(levels) else None) for k, (low, e) in enumerate(levels)]
     keys = lambda probes: reduce(DataFrame.unionByName, [segment_keys(kinds, *span, probes=probes) for span in spans])
-    shared = shared_buckets(keys(False), scratch, keys(True))
+    shared = shared_buckets(keys(False), scratch, keys(True), kinds.count() * (max(e for _, e in levels) + 1))
     wanted = scratch.save(shared.select("id").distinct())
-    texts = likely_in(kinds.select(F.col("node").alias("id"), "line"), "id", wanted, "id").join(wanted, "id", "left_semi")
+    # An inner join: the optimiser would push a semi join below the bitmap's, and shuffle every line.
+    texts = likely_in(kinds.select(F.col("node").alias("id"), "line"), "id", wanted, "id").join(wanted, "id")
     # An edit changes at most two counts of bytes and four of byte pairs; the parities of 64 classes are the bits of a number.
     parity = lambda q: f"aggregate(sequence(1, cast(octet_length(line) - {q - 1} as int)), 0L, (s, i) -> s ^ shiftleft(1L, cast(xxhash64(substring(line, i, {q})) & 63 as int)))"
     # Lines stand in a structure, as a condition copies every plain column of bytes that it names for each pair.
