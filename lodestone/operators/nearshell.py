@@ -280,7 +280,9 @@ def butina(ids: DataFrame, links: DataFrame, id_col: str = "compound") -> DataFr
     settled in rounds on tables, so no task holds all rows. Ties go to the smaller id; rows without links are their own.
     """
     scratch = Scratch(ids.sparkSession)
-    two = links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct()
+    one = scratch.save(links.where("a <> b").select("a", "b"))  # what finds the links runs once
+    two = scratch.save(one.union(one.select("b", "a")).distinct())
+    scratch.drop(one)
     degree = two.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     order = lambda d, i: F.struct((-F.col(d)).alias("d"), F.col(i).alias("i"))
     two = two.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import arms, bits, gram, metrics, pivots, setjoin, splits
+from lodestone.operators import arms, bits, gram, metrics, neighbours, pivots, setjoin, splits
 from lodestone.sources import readers, sinks
 
 
@@ -77,6 +77,22 @@ def test_pivot_join_against_all_distances(spark, monkeypatch):
     assert pivots.nearest_by_pivots(df, few.where("false"), 3).count() == 0 and pivots.nearest_by_pivots(df.where("false"), few, 3).count() == 0
 
 
+def test_pairs_within_hold_few_distances_at_once(spark, monkeypatch):
+    """What a task holds is bounded by CELLS, not by the rows that meet; the links are those of one product."""
+    x, whole = np.random.default_rng(6).normal(size=(90, 4)), neighbours._distances
+
+    def watched(u, v, metric):
+        assert u.shape[0] * v.shape[0] <= 200, "too many distances at once"
+        return whole(u, v, metric)
+
+    monkeypatch.setattr(neighbours, "CELLS", 200, raising=False)
+    monkeypatch.setattr(neighbours, "_distances", watched)
+    want = {(i, j) for i, row in enumerate(whole(x, x, "cosine")) for j in np.nonzero(np.round(row, 6) <= 0.5)[0]}
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id int, v array<{kind}>")
+        assert {(r.pool, r.internal) for r in neighbours.within(df, df, 0.5, digits=6).collect()} == want
+
+
 def ridge(x, y, penalty=1.0):
     m, c = x.mean(0), y.mean()
     w = np.linalg.solve((x - m).T @ (x - m) + penalty * np.eye(x.shape[1]), (x - m).T @ (y - c))
