@@ -50,6 +50,17 @@ def test_set_join_with_a_bit_in_every_set(spark):
     assert len(near) == 650 and all(r.dist == 0 for r in near)
 
 
+def test_set_join_of_sets_that_share_words_of_middling_rarity(spark):
+    """Sets drawn from few words meet under many of them; only pairs that the bitmaps can't tell apart are rows."""
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(250), 40)) for _ in range(300)]
+    sets += [sorted({*s[:36], 900, 901 + i}) for i, s in enumerate(sets[:20])]
+    df = spark.createDataFrame([(i, s, True, True) for i, s in enumerate(sets)], "c bigint, x array<int>, left boolean, right boolean")
+    met = [(r.a, r.b) for r in setjoin.candidate_pairs(setjoin.with_bitmaps(df, 0.4), 0.4, 100).collect()]
+    links = {(i, j) for i, j, _ in tanimoto_pairs(list(enumerate(sets)), list(enumerate(sets)), 0.6) if i != j}
+    assert links <= set(met) and len(met) == len(set(met)) < len(sets) ** 2 / 20
+
+
 def by_distance(x, y, k, same=False):
     d = np.round(1 - x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)), 6) + 0.0
     return {(i, j, r + 1) for i in range(len(x)) for r, j in enumerate(sorted((j for j in range(len(y)) if not (same and i == j)), key=lambda j: (d[i, j], j))[:k])}
