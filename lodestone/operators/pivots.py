@@ -8,7 +8,8 @@ and, as the cell's vectors lie nearer to their own pivot than to the query's nea
 distances over the pivots' distance is within the bound too. Only these cells are met, each with the queries that need it, and
 in a cell only vectors whose distance to the pivot differs from the query's by no more than the bound are compared.
 
-Large cells are cut into parts, queries of a cell into groups, so a meeting is bounded whatever a cell holds. How much is
+Small cells are joined to units of bounded size and large ones are cut into several, so a query moves once a unit with a cell that
+it visits, however many cells these are; queries of a unit come in groups, so a meeting is bounded too. How much is
 pruned depends on the data (directions that all lie equally far apart allow none); the result does not, and `visited`
 tells how many cells each query met. Vectors that are null, of length 0 or not finite are near none.
 """
@@ -28,7 +29,7 @@ PIVOTS = 256
 #: Fewer vectors than this are one cell, and are searched at once.
 FEW = 4096
 PART_ROWS = 16_384
-GROUP_ROWS = 8_192
+GROUP_ROWS = 32_768
 #: Queries whose distances to a part are held at once.
 STEP = 256
 DIGITS = 12
@@ -87,6 +88,17 @@ class Cells:
         for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect():
             self.count[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
         self.between = _straight(pivots, pivots)
+        #: Each cell's first unit and number of units; as many cells as fit in PART_ROWS are one unit.
+        self.unit, self.units, self.n_units, room = np.zeros(n, np.int64), -(-self.count // PART_ROWS), 0, 0
+        for c in np.flatnonzero(self.count):
+            if self.units[c] > 1 or self.count[c] > room:
+                self.unit[c], room = self.n_units, PART_ROWS - self.count[c] if self.units[c] == 1 else 0
+                self.n_units += int(self.units[c])
+            else:
+                self.unit[c], room = self.n_units - 1, room - self.count[c]
+        self.of_unit = np.zeros((n, self.n_units), np.float32)
+        for c in range(n):
+            self.of_unit[c, self.unit[c] : self.unit[c] + self.units[c]] = 1
 
     def first(self, d: np.ndarray, k: int) -> np.ndarray:
         """For each query (distances to all pivots) whether a cell is among the nearest ones that hold k vectors together."""
@@ -107,51 +119,56 @@ class Cells:
 
 
 def _visits(queries: DataFrame, cells: Cells, choose) -> DataFrame:
-    """A row a query and cell that it visits: id, v, bound, the distance to the cell's pivot, visited (cells of the query)."""
+    """A row a query and unit with a cell that it visits: id, v, bound, unit, visited (cells of the query)."""
     kind = queries.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                d = _straight(_scaled(_matrix(batch.column("v"))), cells.pivots)
                 bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                mine, cell = np.nonzero(choose(d, bound))
-                at = pa.array(mine)
-                visited = np.bincount(mine, minlength=len(d))[mine]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(bound[mine]), pa.array(cell.astype(np.int32)), pa.array(d[mine, cell]), pa.array(visited.astype(np.int32))], names=["id", "v", "bound", "cell", "to", "visited"])
+                chosen = choose(_straight(_scaled(_matrix(batch.column("v"))), cells.pivots), bound)
+                mine, unit = np.nonzero(chosen.astype(np.float32) @ cells.of_unit)
+                at, visited = pa.array(mine), chosen.sum(1)[mine]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(bound[mine]), pa.array(unit.astype(np.int32)), pa.array(visited.astype(np.int32))], names=["id", "v", "bound", "unit", "visited"])
 
-    return queries.mapInArrow(work, f"id {kind}, v array<double>, bound double, cell int, to double, visited int")
+    return queries.mapInArrow(work, f"id {kind}, v array<double>, bound double, unit int, visited int")
 
 
-def _search(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, digits: int, skip_same: bool) -> DataFrame:
-    """id, other, dist: of each visit the k nearest vectors of the cell's part, among those that the bound allows."""
-    parts = {c: -(-int(n) // PART_ROWS) for c, n in enumerate(cells.count) if n}
-    groups = {r["cell"]: -(-r["n"] // GROUP_ROWS) for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+def _search(visits: DataFrame, placed: DataFrame, cells: Cells, choose, k: int, digits: int, skip_same: bool) -> DataFrame:
+    """id, other, dist: of each visit the k nearest vectors of the unit, among those in chosen cells that the bound allows."""
+    groups = {r["unit"]: -(-r["n"] // GROUP_ROWS) for r in visits.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a unit
 
-    def of_cell(table: dict[int, int]):
-        return F.coalesce(F.create_map(*[F.lit(x) for pair in ({-1: 1} | table).items() for x in pair])[F.col("cell")], F.lit(1))
+    def of(column: str, table: dict[int, int]):
+        return F.coalesce(F.create_map(*[F.lit(int(x)) for pair in ({-1: 1} | table).items() for x in pair])[F.col(column)], F.lit(1))
 
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    theirs = placed.withColumn("part", deal(of_cell(parts))).withColumn("group", every(of_cell(groups)))
-    mine = visits.withColumn("group", deal(of_cell(groups))).withColumn("part", every(of_cell(parts)))
+    theirs = placed.withColumn("unit", of("cell", dict(enumerate(cells.unit))) + deal(of("cell", dict(enumerate(np.maximum(cells.units, 1))))))
+    theirs = theirs.withColumn("group", F.explode(F.sequence(F.lit(0), of("unit", groups) - 1)))
+    mine = visits.withColumn("group", deal(of("unit", groups)))
     kinds = visits.schema["id"].dataType.simpleString(), placed.schema["id"].dataType.simpleString()
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, others, dists = [], [], []
         if left.num_rows and right.num_rows:
             order = np.argsort(np.asarray(right["id"]), kind="stable")
-            names, y, far = right["id"].combine_chunks().take(pa.array(order)), _scaled(_matrix(right["v"]))[order], right["far"].to_numpy()[order]
-            x, to, bound, own = _scaled(_matrix(left["v"])), left["to"].to_numpy(), left["bound"].to_numpy(), left["id"].combine_chunks()
+            names, y, far, cell = right["id"].combine_chunks().take(pa.array(order)), _scaled(_matrix(right["v"]))[order], right["far"].to_numpy()[order], right["cell"].to_numpy()[order]
+            to = _straight(_scaled(_matrix(left["v"])), cells.pivots)
+            by_cell = np.argsort(to.argmin(1), kind="stable")  # queries of one cell visit much the same cells
+            x, to, bound, own = _scaled(_matrix(left["v"]))[by_cell], to[by_cell], left["bound"].to_numpy()[by_cell], left["id"].combine_chunks().take(pa.array(by_cell))
             same = {v: i for i, v in enumerate(names.to_pylist())} if skip_same else {}
             for i in range(0, len(x), STEP):
-                d = np.round(1 - x[i : i + STEP] @ y.T, digits) + 0.0
-                d[np.abs(far[None, :] - to[i : i + STEP, None]) > bound[i : i + STEP, None] + SLACK] = np.inf
+                near, most = to[i : i + STEP], bound[i : i + STEP, None] + SLACK
+                chosen = choose(near, bound[i : i + STEP])
+                some = np.flatnonzero(chosen.any(0)[cell])
+                d = np.round(1 - x[i : i + STEP] @ y[some].T, digits) + 0.0
+                d[~chosen[:, cell[some]] | (np.abs(far[some][None, :] - near[:, cell[some]]) > most)] = np.inf
                 if skip_same:
+                    place = np.full(len(y), -1)
+                    place[some] = np.arange(len(some))
                     for row, v in enumerate(own.slice(i, STEP).to_pylist()):
-                        if v in same:
-                            d[row, same[v]] = np.inf
+                        if v in same and place[same[v]] >= 0:
+                            d[row, place[same[v]]] = np.inf
                 keep = np.isfinite(d)
                 if d.shape[1] > k:  # all that are nearer than the k-th, and of those as near the first by id
                     kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
@@ -159,13 +176,13 @@ def _search(visits: DataFrame, placed: DataFrame, cells: Cells, k: int, digits:
                     keep &= nearer | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - nearer.sum(1)[:, None]))
                 rows, at = np.nonzero(keep)
                 ids.append(own.take(pa.array(rows + i)))
-                others.append(names.take(pa.array(at)))
+                others.append(names.take(pa.array(some[at])))
                 dists.append(d[rows, at])
         if not ids:
             return pa.table({"id": left["id"].slice(0, 0), "other": right["id"].slice(0, 0), "dist": pa.array([], pa.float64())})
         return pa.table({"id": pa.chunked_array(ids), "other": pa.chunked_array(others), "dist": np.concatenate(dists)})
 
-    key = ["cell", "part", "group"]
+    key = ["unit", "group"]
     return mine.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(work, f"id {kinds[0]}, other {kinds[1]}, dist double")
 
 
@@ -185,14 +202,16 @@ def nearest_by_pivots(queries: DataFrame, searched: DataFrame, k: int, query_id:
     bounded = mine.withColumn("bound", F.lit(4.0))
     if len(pivots) > 1:
         more = k + 1 if skip_same else k
-        begun = scratch.save(_visits(bounded, cells, lambda d, bound: cells.first(d, more)))
-        kth = _search(begun, placed, cells, k, digits, skip_same).groupBy("id").agg(F.array_sort(F.collect_list("dist")).alias("all"), F.count(F.lit(1)).alias("n"))
+        first = lambda d, bound: cells.first(d, more)
+        begun = scratch.save(_visits(bounded, cells, first))
+        kth = _search(begun, placed, cells, first, k, digits, skip_same).groupBy("id").agg(F.array_sort(F.collect_list("dist")).alias("all"), F.count(F.lit(1)).alias("n"))
         # A query's bound: the straight distance that belongs to its k-th rounded cosine distance, and one step of rounding.
         bound = F.when(F.col("n") >= k, F.sqrt(F.lit(2.0) * (F.col("all")[k - 1] + F.lit(10.0**-digits)))).otherwise(F.lit(4.0))
         bounds = scratch.save(kth.select(F.col("id").alias("_id"), bound.alias("bound")))
+        scratch.drop(begun)
         bounded = mine.join(bounds, F.col("id") == F.col("_id"), "left").select("id", "v", F.coalesce("bound", F.lit(4.0)).alias("bound"))
-    visits = scratch.save(_visits(bounded, cells, lambda d, bound: cells.possible(d, bound)))
-    found = _search(visits, placed, cells, k, digits, skip_same)
+    visits = scratch.save(_visits(bounded, cells, cells.possible))
+    found = _search(visits, placed, cells, cells.possible, k, digits, skip_same)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "other")).cast("bigint")
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     counts = visits.groupBy(F.col("id").alias("_id")).agg(F.max("visited").alias("visited"))

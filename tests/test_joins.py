@@ -88,6 +88,17 @@ def test_pivot_join_against_all_distances(spark, monkeypatch):
     assert pivots.nearest_by_pivots(df, few.where("false"), 3).count() == 0 and pivots.nearest_by_pivots(df.where("false"), few, 3).count() == 0
 
 
+def test_queries_of_the_pivot_join_move_once_a_unit(spark):
+    """Where nothing is pruned a query visits all cells, and still moves once as long as the cells fit in one unit."""
+    x = np.random.default_rng(5).normal(size=(4500, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    rows = pivots.unit_rows(df, "id", "v")
+    at = pivots.choose_pivots(rows)
+    cells = pivots.Cells(pivots.in_cells(rows, at), at)
+    visits = pivots._visits(rows.where("id < 40").withColumn("bound", F.lit(4.0)), cells, cells.possible).collect()
+    assert len(visits) == 40 and {r.visited for r in visits} == {(cells.count > 0).sum()}
+
+
 def test_pairs_within_hold_few_distances_at_once(spark, monkeypatch):
     """What a task holds is bounded by CELLS, not by the rows that meet; the links are those of one product."""
     x, whole = np.random.default_rng(6).normal(size=(90, 4)), neighbours._distances
