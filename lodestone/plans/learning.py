@@ -10,7 +10,7 @@ from lodestone.operators import arms, deploy, learners, nearshell
 from lodestone.operators import metrics as m
 from lodestone.operators import splits as sp
 from lodestone.plans.catalog import compounds, query, rounded, table
-from lodestone.shared import shared_dir
+from lodestone.shared import Scratch, shared_dir
 from lodestone.streaming import events as ev
 from lodestone.streaming import runs as rs
 
@@ -70,7 +70,9 @@ def gbt_classifier(s, d):
 @query("tree_classifier")
 def tree_classifier(s, d):
     c = featurise(compounds(s, d).withColumnRenamed("text", "smiles").withColumn("class", (F.col("lang") == "en").cast("int")), "H237")
-    folded = sp.stratified_group_folds(c, "_sk", "class")
+    kept = Scratch(s)
+    c = kept.save(c.select("doc_id", "_sk", "class", "features"))  # texts are read, keyed and featurised once
+    folded = kept.save(sp.stratified_group_folds(c, "_sk", "class"))
     model = learners.tree_classifier(8).fit(learners.with_vector(folded.where("fold <> 1")))
     out = learners.probabilities(folded.where("fold = 1").select("doc_id", "class", "features"), model)
     return m.triage(out, [], F.col("class") == 1, F.col("proba") >= 0.5)

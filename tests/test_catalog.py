@@ -49,6 +49,17 @@ def test_logarithms_at_and_below_zero_equal_sql(spark, tmp_path, name):
     assert norm([tuple(r) for r in got.collect()], got.columns) == norm(want.fetchall(), [c[0] for c in want.description])
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_tree_classifier_featurises_once(spark, monkeypatch):
+    """What the tree's passes read are written features, not texts."""
+    from lodestone.operators import learners
+
+    seen, whole = [], learners.with_vector
+    monkeypatch.setattr(learners, "with_vector", lambda df, *a: seen.extend(df.inputFiles()) or whole(df, *a))
+    assert QUERIES["tree_classifier"](spark, SF).count() == 1
+    assert seen and not [f for f in seen if "documents.parquet" in f]
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_plans_push_down(spark):
     plan = QUERIES["regex_contains_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
