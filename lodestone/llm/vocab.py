@@ -26,12 +26,13 @@ def ends_of(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
 class WordTable:
     """Gives each word a place in the flat pool of integers that `fill` makes for new words.
 
-    fill takes the words' bytes and gives one list (or array) of integers for each. Beyond MOST words the
+    fill takes the words' bytes and gives one list (or array) of integers for each, or all integers with each word's start and
+    size among them. Beyond MOST words the
     table starts anew; results don't depend on that. Words are found by a hash and then held against the
     table's word byte by byte; those that only share a hash are filled on their own.
     """
 
-    def __init__(self, fill: Callable[[list[bytes]], list]):
+    def __init__(self, fill: Callable[[list[bytes]], list | tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.fill = fill
         self.clear()
 
@@ -53,11 +54,15 @@ class WordTable:
     def _put(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """New words' starts and sizes in the pool."""
         values = self.fill(words)
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
-        flat = np.concatenate(values).astype(np.int32) if isinstance(values[0], np.ndarray) else np.fromiter((x for v in values for x in v), np.int32, int(sizes.sum()))
+        if isinstance(values, tuple):
+            flat, starts, sizes = values
+        else:
+            sizes = np.fromiter(map(len, values), np.int64, len(values))
+            flat = np.concatenate(values).astype(np.int32) if isinstance(values[0], np.ndarray) else np.fromiter((x for v in values for x in v), np.int32, int(sizes.sum()))
+            starts = np.cumsum(sizes) - sizes
         self.pool = self._room(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
-        starts = self.used + np.cumsum(sizes) - sizes
+        starts = self.used + starts
         self.used += len(flat)
         return starts, sizes
 
@@ -66,8 +71,8 @@ class WordTable:
         kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.place) > MOST:
             self.clear()
-        get, data = self.place.get, texts.data
-        word = lambda i: data[starts[i] : ends[i]].tobytes()
+        get, whole = self.place.get, texts.data.tobytes()
+        words = lambda at: [whole[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         head, tail = ends_of(texts, starts, ends)
         at = np.array([get(x, -1) for x in kinds.tolist()], np.int64)
         new = np.flatnonzero(at < 0)
@@ -77,7 +82,7 @@ class WordTable:
             at[new] = np.arange(n, m)
             for name in ("starts", "sizes", "head", "tail", "bytes"):
                 setattr(self, name, self._room(getattr(self, name), m))
-            fresh = [word(i) for i in some.tolist()]
+            fresh = words(some)
             self.starts[n:m], self.sizes[n:m] = self._put(fresh)
             self.head[n:m], self.tail[n:m], self.bytes[n:m] = head[some], tail[some], (ends - starts)[some]
             self.place.update(zip(kinds[new].tolist(), range(n, m), strict=True))
@@ -85,13 +90,14 @@ class WordTable:
         at = at[back.reshape(-1)]
         size = ends - starts
         other = (head != self.head[at]) | (tail != self.tail[at]) | (size != self.bytes[at])
-        for i in np.flatnonzero(~other & (size > SHORT)).tolist():
-            other[i] = word(i) != self.long[at[i]]
+        long = np.flatnonzero(~other & (size > SHORT))
+        other[long] = [w != self.long[k] for w, k in zip(words(long), at[long].tolist(), strict=True)]
         out_starts, out_sizes = self.starts[at], self.sizes[at]
         if other.any():
             odd: dict[bytes, list[int]] = {}
-            for i in np.flatnonzero(other).tolist():
-                odd.setdefault(word(i), []).append(i)
+            some = np.flatnonzero(other)
+            for w, i in zip(words(some), some.tolist(), strict=True):
+                odd.setdefault(w, []).append(i)
             for (a, n), i in zip(zip(*self._put(list(odd)), strict=True), odd.values(), strict=True):
                 out_starts[i], out_sizes[i] = a, n
         return out_starts, out_sizes

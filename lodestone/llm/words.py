@@ -107,8 +107,11 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def word_spans(texts: Texts, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in bytes, and each text's first word (one more entry than texts)."""
+def word_spans(texts: Texts, gaps: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in bytes, and each text's first word (one more entry than texts).
+
+    before: whether words are also cut before a byte.
+    """
     data, n = texts.data, len(texts.data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
@@ -116,6 +119,8 @@ def word_spans(texts: Texts, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     word[1:-1] = ~gaps[data]
     cut = np.zeros(n + 1, bool)
     cut[texts.offsets] = True
+    if before is not None:
+        cut[:-1] |= before
     starts = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))
     ends = np.flatnonzero(word[:-1] & (~word[1:] | cut))
     return starts, ends, np.searchsorted(starts, texts.offsets)

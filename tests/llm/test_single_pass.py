@@ -115,6 +115,24 @@ def test_media_query(spark, docs):
     assert media.read(media.store(docs.limit(0)), ["doc_id"]).count() == 0
 
 
+def test_packing_units():
+    """Words that differ by case and signs share a unit, and cuts change no id."""
+    from tokenizers import Tokenizer
+
+    path = public_file("word_bpe_49k.json")
+    encoder, plain, sent = packing.TextIds(path), Tokenizer.from_file(path), []
+    fill = encoder.table.fill
+    encoder.table.fill = lambda words: sent.extend(words) or fill(words)
+    encoder.ids(words.Texts(pa.array(["Word word, word. (word) WORD! naïve, naïve. x1 x22"])))
+    assert len(sent) == len(set(sent)) == len({b"word", b",", b".", b"(", b")", b"!", "naïve".encode(), b"x", b"1", b"2"})
+    alphabet = [*"abtlmdIJW'’.,&|<>09 \n\x00\x1c", "'s", "'RE", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "İ", "×", "…", "\u030c", "\u0307", "\u0338", "ß", "Σ", "ſ", "中", "ᄒ", "ᅡ", "\u00a0", "²", "😀", "Ǆ", "E\u0301"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(14))) for _ in range(5000)]
+    ids, counts_of = encoder.ids(words.Texts(pa.array(texts)))
+    want = [plain.encode(t, add_special_tokens=False).ids + [packing.CLOSE] for t in texts]
+    assert counts_of.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
