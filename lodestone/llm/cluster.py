@@ -80,12 +80,13 @@ WIDE_BITS = 1 << 26
 def likely_in(df: DataFrame, key: str, wanted: DataFrame, name: str, bits_of_map: int = BITMAP_BITS) -> DataFrame:
     """The rows whose key is among the wanted ones, and a few others, without moving the rows.
 
-    The wanted keys' hashes set bits of a map of bits_of_map bits, a table of 64 bits a row and so of as many rows at
+    The wanted keys' hashes set bits of a map of bits_of_map bits (a power of two), a table of 64 bits a row and so of as many rows at
     most whatever the number of keys, which is broadcast. An exact join must follow; this one keeps most rows that it
     would drop off the network.
     """
     word, bits, at = free_names(df.columns, "_word", "_bits", "_at")
-    bit = lambda c: f"pmod(xxhash64({c}), {bits_of_map})"
+    # Not pmod, which may be null: the optimiser would test for that before the join, and make costly keys twice.
+    bit = lambda c: f"(xxhash64({c}) & {bits_of_map - 1}L)"
     mark = f"bit_or(shiftleft(1L, cast({bit(name)} & 63 as int)))"
     words = wanted.groupBy(F.expr(f"shiftright({bit(name)}, 6)").alias(word)).agg(F.expr(mark).alias(bits))
     met = df.withColumn(at, F.expr(bit(key))).join(F.broadcast(words), F.expr(f"shiftright({at}, 6)") == F.col(word))
@@ -99,17 +100,18 @@ def shared_buckets(entries: DataFrame, scratch: Scratch, probes: DataFrame | Non
     keys drops these before they move. It has KEY_BITS bits for each of the `most` entries there can be, so that it lets the same share of the others through at
     any size, until it is WIDE_BITS wide. Keys are counted first, as few of them come up twice.
     """
-    columns, marked = ["key", "id", "n"], entries
+    columns, marked, made = ["key", "id", "n"], entries, []
     if probes is not None:
         wide = min(WIDE_BITS, 1 << max(16, (KEY_BITS * most).bit_length()))
-        hits = likely_in(probes.select(*columns), "key", entries.select("key"), "key", wide)
-        marked = scratch.save(entries.select(*columns, F.lit(0).alias("probe")).unionByName(hits.withColumn("probe", F.lit(1))))
+        own = scratch.save(entries.select(*columns))
+        hits = scratch.save(likely_in(probes.select(*columns), "key", own.select("key"), "key", wide))
+        marked, made = own.withColumn("probe", F.lit(0)).unionByName(hits.withColumn("probe", F.lit(1))), [own, hits]
     counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *[F.min("probe").alias("only_probes")] * (probes is not None))
     keys = scratch.save(counts.where("k > 1" if probes is None else "k > 1 and only_probes = 0").select("key"))
     some = scratch.save(likely_in(marked.select(*columns), "key", keys, "key").join(keys, "key"))
     pivots = some.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot < high").select("key", "pivot")
     out = scratch.save(some.join(pivots, "key"))
-    scratch.drop(keys, some, *[marked] * (probes is not None))
+    scratch.drop(keys, some, *made)
     return out
 
 

@@ -16,8 +16,6 @@ distinct lines tell them apart in links.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +44,28 @@ def segment_places(edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def segment_keys(kinds: DataFrame, edits: int, low: int = 0, high: int | None = None, probes: bool | None = None) -> DataFrame:
-    """key, id, probe, n: each line's segments and probes (rows of node, line binary), for lines of low to high - 1 bytes; with
-    `probes` only these, or only what is indexed.
+def segment_keys(kinds: DataFrame, levels: tuple, probes: bool) -> DataFrame:
+    """key, id, n: each line's probes, or its indexed segments (rows of node, line binary), for lines that levels allow an edit.
 
-    One short expression over a table of places, rather than a long one a place, so that it stays compiled.
+    One short expression over a table of places, rather than a long one a place, so that it stays compiled; the table is that
+    of the line's length, so that all levels take one pass.
     """
-    parts = edits + 1
-    places = ", ".join(f"struct({less} as less, {i} as i, {shift} as shift, {probe} as probe)" for less, i, shift, probe in segment_places(edits) if probes in (None, bool(probe)))
-    rows = kinds.where(f"octet_length(line) >= {low}" + (f" and octet_length(line) < {high + edits}" if high else ""))
-    rows = rows.select("node", "line", F.expr(f"inline(array({places}))")).withColumn("n", F.octet_length("line")).withColumn("size", F.expr("n - less"))
+    levels = sorted(levels)
+    spans = [(e, low, levels[k + 1][0] if k + 1 < len(levels) else 1 << 30) for k, (low, e) in enumerate(levels)]
+    places = lambda e, low, high: [f"struct({less} as less, {i} as i, {shift} as shift, {e + 1} as parts, {low} as low, {high} as high)" for less, i, shift, probe in segment_places(e) if probe == probes]
+    whens = []
+    # A line of a level's last lengths and some edits more probes that level too.
+    for bound in sorted({low for _, low, _ in spans} | {high + e for e, _, high in spans}, reverse=True):
+        own = [x for e, low, high in spans if low <= bound < high + e for x in places(e, low, high)]
+        whens.append(f"WHEN n >= {bound} THEN array({', '.join(own)})" if own else "")
+    rows = kinds.select("node", "line", F.octet_length("line").alias("n")).where(f"n >= {levels[0][0]}")
+    rows = rows.select("node", "line", "n", F.expr(f"inline(CASE {' '.join(whens)} END)")).withColumn("size", F.expr("n - less"))
     # Segments differ by one byte at most; the last (size mod parts) ones have it.
-    rows = rows.where(f"size >= {low}" + (f" and size < {high}" if high else "")).withColumn("extra", F.expr(f"size % {parts}"))
-    rows = rows.withColumn("long", F.expr(f"cast(size div {parts} as int) + if(i > {parts} - extra, 1, 0)"))
-    rows = rows.withColumn("start", F.expr(f"(i - 1) * cast(size div {parts} as int) + greatest(i - 1 - ({parts} - extra), 0) + 1 + shift"))
+    rows = rows.where("size >= low and size < high").withColumn("short", F.expr("cast(size div parts as int)")).withColumn("extra", F.expr("size % parts"))
+    rows = rows.withColumn("long", F.expr("short + if(i > parts - extra, 1, 0)"))
+    rows = rows.withColumn("start", F.expr("(i - 1) * short + greatest(i - 1 - (parts - extra), 0) + 1 + shift"))
     rows = rows.where("start >= 1 and start + long - 1 <= n")
-    return rows.select(F.expr("xxhash64(size, i, substring(line, start, long))").alias("key"), F.col("node").alias("id"), "probe", "n")
+    return rows.select(F.expr("xxhash64(size, i, substring(line, start, long))").alias("key"), F.col("node").alias("id"), "n")
 
 
 def banded_sql(x: str, y: str, e: str, most: int) -> str:
@@ -113,9 +117,7 @@ def within_edits(x: str, y: str, e: str, most: int) -> str:
 
 def near_lines(kinds: DataFrame, levels: tuple, scratch: Scratch) -> DataFrame:
     """Components (node, component) of the links among distinct lines (node, line binary)."""
-    levels = tuple(sorted(levels))
-    spans = [(e, low, levels[k + 1][0] if k + 1 < len(levels) else None) for k, (low, e) in enumerate(levels)]
-    keys = lambda probes: reduce(DataFrame.unionByName, [segment_keys(kinds, *span, probes=probes) for span in spans])
+    keys = lambda probes: segment_keys(kinds, levels, probes)
     shared = shared_buckets(keys(False), scratch, keys(True), kinds.count() * (max(e for _, e in levels) + 1))
     wanted = scratch.save(shared.select("id").distinct())
     # An inner join: the optimiser would push a semi join below the bitmap's, and shuffle every line.

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import cluster, counts, graphs, mixing, queries, toxicity
+from lodestone.llm import cluster, counts, graphs, lines, mixing, queries, toxicity
 
 
 def deviation(order, blocks, weights):
@@ -227,3 +227,31 @@ def test_text_of_very_many_repeated_lines(spark):
     rows = [(1, "\n".join(["same line"] * 20_000 + ["other"])), (2, "x\nsame line\ny"), (3, None), (4, "")]
     out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), levels=()).collect()}
     assert out == {1: ("same line\nother", 20_001, 19_999), 2: ("x\ny", 3, 1), 3: (None, 0, 0), 4: ("", 0, 0)}
+
+
+def test_probes_are_made_once_and_in_one_pass(spark, tmp_path):
+    """The optimiser's test for null keys made each probe's hash twice; each level of lines took a scan of its own."""
+    texts = [f"{k % 7} " * (15 + k) for k in range(90)]
+    spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "node bigint, line binary").write.parquet(f"{tmp_path}/kinds")
+    kinds = spark.read.parquet(f"{tmp_path}/kinds")
+    keys = lines.segment_keys(kinds, lines.LEVELS, True)
+    met = cluster.likely_in(keys, "key", keys.select("key").limit(5), "key")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull((xxhash64" not in plan and "isnotnull(pmod" not in plan
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 1
+    # Lines at the ends of levels take part in both.
+    for probes in (False, True):
+        want = set()
+        for node, text in enumerate(texts):
+            line = text.encode()
+            for k, (low, e) in enumerate(lines.LEVELS):
+                high = lines.LEVELS[k + 1][0] if k + 1 < len(lines.LEVELS) else 1 << 30
+                for less, i, shift, probe in lines.segment_places(e):
+                    size = len(line) - less
+                    sizes = [size // (e + 1) + (j >= e + 1 - size % (e + 1)) for j in range(e + 1)]
+                    start = sum(sizes[: i - 1]) + shift
+                    if probe == probes and low <= size < high and 0 <= start <= len(line) - sizes[i - 1]:
+                        want.add((node, size, i, line[start : start + sizes[i - 1]]))
+        asked = spark.createDataFrame(list(want), "id bigint, size int, i int, part binary").selectExpr("xxhash64(size, i, part) key", "id")
+        got = lines.segment_keys(kinds, lines.LEVELS, probes).select("key", "id").distinct()
+        assert got.count() == asked.distinct().count() == got.intersect(asked).count()
