@@ -43,23 +43,31 @@ def ranked(df: DataFrame, by: list[str], order: list[str], bin_of: Column, name:
     return joined.withColumn(name, (F.col(base) + F.col(inside)).cast("bigint")).drop(cut_at, inside, base, base_at, *keys)
 
 
+#: So many links at most are joined in one task, without shuffles and broadcasts.
+FEW_LINKS = 1 << 13
+
+
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """Nodes of the links (a, b) with the smallest node that links lead to: columns node, component.
 
     Union-find on tables, as alternating large and small stars: in each round every node hands its larger,
     then its smaller neighbours to the smallest one; rounds grow with the logarithm of a component's size.
-    Sums by node are made before rows move; joins on a hub can be split by the adaptive planner.
+    Sums by node are made before rows move; joins on a hub can be split by the adaptive planner. FEW_LINKS links or
+    fewer (by count) stay in one task: a round is one stage then, not a dozen of as many tasks as the session has partitions.
     """
     stars = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = stars.count() <= FEW_LINKS
+    near = lambda df: df.coalesce(1) if few else df
+    side = lambda df: df.hint("merge") if few else df
     mark = None
     for _ in range(most):
-        both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = near(stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(side(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        moved = large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.save(moved.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
-        now = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        moved = large.join(side(low), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = scratch.save(near(moved.union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))).where("u <> v").distinct())
+        now = near(after).agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         scratch.drop(stars)
         stars = after
         if now == mark:

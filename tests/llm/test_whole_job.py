@@ -255,3 +255,12 @@ def test_probes_are_made_once_and_in_one_pass(spark, tmp_path):
         asked = spark.createDataFrame(list(want), "id bigint, size int, i int, part binary").selectExpr("xxhash64(size, i, part) key", "id")
         got = lines.segment_keys(kinds, lines.LEVELS, probes).select("key", "id").distinct()
         assert got.count() == asked.distinct().count() == got.intersect(asked).count()
+
+
+def test_components_of_few_and_many_links(spark, monkeypatch):
+    """One task or all: the same components."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 7] + [(3, 80), (80, 41), (9, 9)], "a bigint, b bigint")
+    of = lambda: {tuple(r) for r in cluster.components(links, cluster.Scratch(spark)).collect()}
+    few = of()
+    monkeypatch.setattr(cluster, "FEW_LINKS", 0)
+    assert few == of() and len({c for _, c in few}) == 8
