@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from lodestone.shared import Scratch, free_names
 
@@ -43,8 +46,26 @@ def ranked(df: DataFrame, by: list[str], order: list[str], bin_of: Column, name:
     return joined.withColumn(name, (F.col(base) + F.col(inside)).cast("bigint")).drop(cut_at, inside, base, base_at, *keys)
 
 
-#: So many links at most are joined in one task, without shuffles and broadcasts.
+#: So many links at most are joined on the driver: two numbers each, whatever the input's size.
 FEW_LINKS = 1 << 13
+#: Types that Python orders as Spark does.
+ORDERED = ("tinyint", "smallint", "int", "bigint", "string")
+
+
+def joined(pairs: Iterable[tuple]) -> dict:
+    """Each node of the pairs with the smallest node that they lead to."""
+    up: dict = {}
+
+    def top(x: object) -> object:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for pair in pairs:
+        low, high = sorted(top(up.setdefault(x, x)) for x in pair)
+        up[high] = low
+    return {x: top(x) for x in up}
 
 
 def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
@@ -53,21 +74,25 @@ def components(links: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     Union-find on tables, as alternating large and small stars: in each round every node hands its larger,
     then its smaller neighbours to the smallest one; rounds grow with the logarithm of a component's size.
     Sums by node are made before rows move; joins on a hub can be split by the adaptive planner. FEW_LINKS links or
-    fewer (by count) stay in one task: a round is one stage then, not a dozen of as many tasks as the session has partitions.
+    fewer are joined on the driver, as the plans of the rounds take more of its memory than these links.
     """
     stars = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    few = stars.count() <= FEW_LINKS
-    near = lambda df: df.coalesce(1) if few else df
-    side = lambda df: df.hint("merge") if few else df
+    kind = stars.schema["u"].dataType
+    if kind.simpleString() in ORDERED:
+        some = stars.limit(FEW_LINKS + 1).toArrow()
+        if some.num_rows <= FEW_LINKS:
+            found = joined(zip(*[some[c].to_pylist() for c in ("u", "v")], strict=True))
+            table = pa.table([pa.array(x, to_arrow_type(kind)) for x in (list(found), list(found.values()))], names=["node", "component"])
+            return links.sparkSession.createDataFrame(table, StructType([StructField(c, kind) for c in table.column_names]))
     mark = None
     for _ in range(most):
-        both = near(stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(side(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        moved = large.join(side(low), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.save(near(moved.union(low.select(F.col("k").alias("u"), F.col("m").alias("v")))).where("u <> v").distinct())
-        now = near(after).agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        moved = large.join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = scratch.save(moved.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        now = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         scratch.drop(stars)
         stars = after
         if now == mark:

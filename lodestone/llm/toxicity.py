@@ -153,10 +153,13 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(table[n]))
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("id"), lists], names=["y", "id", "has"])
 
-    known_rows = rows.mapInArrow(present, f"y int, id {rows.schema['id'].dataType.simpleString()}, has array<int>").toPandas().sort_values("id", kind="stable")
-    own = [np.asarray(x, np.int64) for x in known_rows["has"]]
-    toxic = known_rows["y"].to_numpy() > 0
-    flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+    # Arrow's batches: rows of lists would each be pickled and boxed, number by number, in the driver's two processes.
+    known_rows = rows.mapInArrow(present, f"y int, id {rows.schema['id'].dataType.simpleString()}, has array<int>").toArrow().sort_by("id")
+    has = known_rows["has"].combine_chunks()
+    ends = np.concatenate(([0], np.cumsum(np.asarray(has.value_lengths(), np.int64))))
+    flat = np.asarray(has.flatten(), np.int64)
+    own = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    toxic = np.asarray(known_rows["y"]) > 0
     grades = cross_fitted_grades(own, toxic, len(numbers))
     weights, thresholds = fit_link(np.repeat(np.arange(len(own)), [len(x) for x in own]), flat, grades, len(numbers))
     return Model(numbers, weights, thresholds)

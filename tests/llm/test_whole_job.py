@@ -264,3 +264,33 @@ def test_components_of_few_and_many_links(spark, monkeypatch):
     few = of()
     monkeypatch.setattr(cluster, "FEW_LINKS", 0)
     assert few == of() and len({c for _, c in few}) == 8
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Few links cost one table whatever their chain's length; ids of other types go by tables."""
+    chain = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(7, 7), (-3, 200)], "a bigint, b bigint")
+    scratch = cluster.Scratch(spark)
+    got = {tuple(r) for r in cluster.components(chain, scratch).collect()}
+    assert got == {(k, 0) for k in range(101)} | {(-3, -3), (200, -3)} and scratch.n == 1
+    for kind in ("string", "decimal(9,1)"):
+        own = spark.createDataFrame([("10", "9"), ("9", "3.5"), ("70", "8")], "a string, b string").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+        found = cluster.components(own, cluster.Scratch(spark))
+        few = {tuple(r) for r in found.collect()}
+        with monkeypatch.context() as m:
+            m.setattr(cluster, "FEW_LINKS", 0)
+            assert few == {tuple(r) for r in cluster.components(own, cluster.Scratch(spark)).collect()} and len({c for _, c in few}) == 2
+        assert [f.dataType.simpleString() for f in found.schema] == [kind, kind]
+
+
+def test_fitted_rows_come_as_arrow(spark, monkeypatch):
+    """The fit's lists of features aren't boxed and pickled number by number on the driver; the rows' order is the id's."""
+    docs = spark.createDataFrame([(k, "vile awful words here" if k % 2 else f"kind calm words {k}") for k in range(40, 0, -1)], "doc_id bigint, text string").repartition(7)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 41)], "doc_id bigint, toxic int")
+
+    def refuse(self):
+        raise AssertionError("rows were pickled")
+
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.coalesce(1), labels)
+    assert len(one.numbers) and (one.numbers == two.numbers).all() and (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all()
+    assert {r.doc_id for r in toxicity.reject(docs, one).collect()} == set(range(2, 41, 2))
