@@ -50,6 +50,38 @@ def test_set_join_with_a_bit_in_every_set(spark):
     assert len(near) == 650 and all(r.dist == 0 for r in near)
 
 
+def test_set_join_moves_no_set_once_a_pair(spark):
+    """Pairs are verified in meetings: what names the links reads no sets, and a set goes to a meeting once."""
+    rng = random.Random(3)
+    sets = [[1, 2, 3, 4, *rng.sample(range(10, 20), 5)] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id int, bits array<int>")
+    got = setjoin.tanimoto_within(df, df, 0.6)
+    assert "array<" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.pool, r.internal, round(r.dist, 6)) for r in got.collect()), key=str) == tanimoto_pairs(list(enumerate(sets)), list(enumerate(sets)), 0.6)
+
+
+@pytest.mark.parametrize("hash_bytes", [2**26, 2**10])
+def test_verified_pairs_in_any_number_of_meetings(spark, tmp_path, hash_bytes):
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(30), rng.randrange(1, 12))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(sets)), "c bigint, x array<int>")
+    pairs = spark.createDataFrame([(i, j) for i in range(80) for j in range(80) if i < j or i % 7 == 0], "a bigint, b bigint")
+    got = setjoin.verified_pairs(pairs, df, 0.3, setjoin.telling_seed(df), setjoin.Scratch(spark), hash_bytes).collect()
+    both = lambda i, j: (len({*sets[i]} & {*sets[j]}), len({*sets[i]} | {*sets[j]}))
+    want = [(i, j, *both(i, j)) for i, j in pairs.collect() if both(i, j)[0] >= 0.3 * both(i, j)[1]]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_values_that_share_a_place_are_told_apart():
+    empty = ~np.arange(2**4, dtype=np.int64)
+    for one in ([3, 19, 7], [3, 8], [0], [-1, -17]):
+        sets = [[3], [19, 35], [3, 19, 7, 0], [-1, 15, 31]]
+        sizes = np.array([len(s) for s in sets])
+        table = empty.copy()
+        k = setjoin._common(np.array(sum(sets, [])), np.cumsum(sizes) - sizes, sizes, np.array(one), table, empty)
+        assert k.tolist() == [len({*s} & {*one}) for s in sets] and (table == empty).all()
+
+
 def test_set_join_of_sets_that_share_words_of_middling_rarity(spark):
     """Sets drawn from few words meet under many of them; only pairs that the bitmaps can't tell apart are rows."""
     rng = random.Random(7)
