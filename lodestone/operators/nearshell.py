@@ -10,6 +10,8 @@ import json
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -273,31 +275,55 @@ def greedy_groups(groups: list[str], score: Callable[[list[str]], float], forwar
         chosen = moves[-i]
 
 
-def butina(ids: DataFrame, links: DataFrame, id_col: str = "compound") -> DataFrame:
+#: Open links that one task settles at once.
+FEW_LINKS = 2**20
+
+
+def _settled(links: pa.Table) -> pa.Table:
+    """Rows a that a centre before them takes, of links a, b (b before a) of open rows: centres are those with nothing open before them."""
+    names, at = np.unique(np.concatenate([links["a"].to_numpy(), links["b"].to_numpy()]), return_inverse=True)
+    a, b = at[: links.num_rows], at[links.num_rows :]
+    gone = np.zeros(len(names), bool)
+    while len(a):
+        waits = np.zeros(len(names), bool)
+        waits[a] = True
+        gone[a[~waits[b]]] = True
+        open_ = ~(gone[a] | gone[b])
+        a, b = a[open_], b[open_]
+    return pa.table({"a": pa.array(names[gone])})
+
+
+def butina(ids: DataFrame, links: DataFrame, id_col: str = "compound", once: bool = False, few: int = FEW_LINKS) -> DataFrame:
     """(id, cluster): the row with most neighbours takes all its neighbours, then the next one that is left, and so on.
 
-    links: pairs a, b within the distance. A row is a centre if no neighbour before it in that order is one; this is
-    settled in rounds on tables, so no task holds all rows. Ties go to the smaller id; rows without links are their own.
+    links: pairs a, b within the distance; once: each pair is there in one order and once. A row is a centre if no neighbour
+    before it in that order is one; this is settled in rounds on tables, so no task holds all rows, and a round reads only
+    links of rows that were both open after the last; once `few` are left, one task settles them. Ties go to the smaller id; rows without links are their own.
     """
     scratch = Scratch(ids.sparkSession)
-    one = scratch.save(links.where("a <> b").select("a", "b"))  # what finds the links runs once
-    two = scratch.save(one.union(one.select("b", "a")).distinct())
+    pairs = links.where("a <> b").select("a", "b")
+    one = scratch.save(pairs if once else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())  # what finds the links runs once
+    degree = scratch.save(one.select("a").union(one.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("d")))
+    both = one.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
+    first = F.expr("d > e or (d = e and a < b)")  # a comes before b
+    before = both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("d", "e").alias("d"))
+    before = scratch.save(before)  # a row a link: b comes before a and has d neighbours
     scratch.drop(one)
-    degree = two.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    order = lambda d, i: F.struct((-F.col(d)).alias("d"), F.col(i).alias("i"))
-    two = two.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
-    before = scratch.save(two.withColumn("rank", order("e", "b")).where(F.col("rank") < order("d", "a")).select("a", "b", "rank"))
-    nodes = scratch.save(two.select("a").distinct())
-    state = scratch.save(nodes.withColumn("centre", F.lit(None).cast("boolean")))
-    while True:
-        of = state.select(F.col("a").alias("b"), F.col("centre").alias("is_centre"))
-        seen = before.join(of, "b").groupBy("a").agg(F.max(F.coalesce("is_centre", F.lit(False))).alias("hit"), F.max(F.col("is_centre").isNull()).alias("open"))
-        after = state.join(seen, "a", "left").select("a", F.coalesce("centre", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("centre"))
-        after = scratch.save(after)
-        scratch.drop(state)
-        state = after
-        if not state.where("centre is null").limit(1).count():
-            break
-    centres = state.where("centre").select(F.col("a").alias("b"))
-    taken = before.join(centres, "b").groupBy("a").agg(F.min("rank").alias("r")).select(F.col("a").alias("_id"), F.col("r.i").alias("_centre"))
+    live, left, centres = before.select("a", "b"), degree.select("a"), []
+    while live.count() > few:
+        new = scratch.save(left.join(live.select("a").distinct(), "a", "left_anti"))  # nothing open comes before them
+        centres.append(new)
+        taken = scratch.save(live.join(new.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct())
+        after = scratch.save(left.join(new, "a", "left_anti").join(taken, "a", "left_anti"))
+        rest = scratch.save(live.join(taken, "a", "left_anti").join(taken.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+        scratch.drop(taken, *((left, live) if len(centres) > 1 else ()))
+        left, live = after, rest
+    taken = live.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(_settled, f"a {live.schema['a'].dataType.simpleString()}")
+    centres.append(left.join(scratch.save(taken), "a", "left_anti"))
+    found = centres[0]
+    for x in centres[1:]:
+        found = found.union(x)
+    found = scratch.save(found)
+    rank = F.struct((-F.col("d")).alias("d"), F.col("b").alias("i"))
+    taken = before.join(found.select(F.col("a").alias("b")), "b").groupBy("a").agg(F.min(rank).alias("r")).select(F.col("a").alias("_id"), F.col("r.i").alias("_centre"))
     return ids.select(id_col).join(taken, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("_centre", id_col).alias("cluster"))

@@ -198,6 +198,24 @@ def test_butina_against_one_list(spark):
     assert nearshell.butina(ids, spark.createDataFrame([], "a bigint, b bigint")).where("cluster <> compound").count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 20, 10**6])
+def test_butina_settles_open_links_on_tables_and_in_one_task(spark, few):
+    """A chain of rows that wait for each other, a star and single ones; links come in any order and again, or once."""
+    chain = [(i, i + 1) for i in range(12)]
+    star = [(40 + i, 30) for i in range(5)]
+    links, ids = chain + star, spark.range(60).select(F.col("id").alias("compound"))
+    near = {i: {a + b - i for a, b in links if i in (a, b)} for i in range(60)}
+    want, left = {}, set(range(60))
+    for i in sorted(range(60), key=lambda i: (-len(near[i]), i)):
+        if i in left:
+            want |= {j: i for j in {i} | near[i] & left}
+            left -= {i} | near[i]
+    again = spark.createDataFrame([*links, *[(b, a) for a, b in links], *links, (5, 5)], "a bigint, b bigint")
+    once = spark.createDataFrame(links, "a bigint, b bigint")
+    for frame, told in ((again, False), (once, True)):
+        assert {r.compound: r.cluster for r in nearshell.butina(ids, frame, once=told, few=few).collect()} == want
+
+
 def test_columns_and_providers(spark):
     df = spark.createDataFrame([("1.5", "x", 3)], "DS_a string, DS_b string, other int")
     assert relational.prefixed(df.columns, "DS_") == ["DS_a", "DS_b"] and relational.prefixed(df.columns, "", ("other",)) == ["DS_a", "DS_b"]

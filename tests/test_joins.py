@@ -147,6 +147,36 @@ def test_pairs_within_hold_few_distances_at_once(spark, monkeypatch):
         assert {(r.pool, r.internal) for r in neighbours.within(df, df, 0.5, digits=6).collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["cosine", "tanimoto"])
+@pytest.mark.parametrize("odd", [1.0, 1e120])
+def test_pairs_that_pass_in_single_precision_are_those_of_double(monkeypatch, metric, odd):
+    """Ordinary cosines make no whole product in double precision; vectors whose squares overflow or are none do or are near none."""
+    x, whole, cells = np.random.default_rng(8).normal(size=(70, 5)), neighbours._distances, []
+    x[3], x[4], x[5], x[6] = 0, np.nan, x[7], x[8] * odd
+    x[9, 2] = np.inf
+    with np.errstate(all="ignore"):
+        want = np.round(whole(x, x, metric), 6) + 0.0
+    monkeypatch.setattr(neighbours, "_distances", lambda u, v, m: cells.append(len(u) * len(v)) or whole(u, v, m))
+    monkeypatch.setattr(neighbours, "CELLS", 200)
+    for limit in (0.0, 0.4, 1.0, 2.0):
+        with np.errstate(all="ignore"):
+            rows, columns, d = neighbours._near(x, x, limit, metric, 6)
+        assert {(i, j): k for i, j, k in zip(rows, columns, d, strict=True)} == {(i, j): want[i, j] for i, j in zip(*np.nonzero(want <= limit), strict=True)}
+    assert (not cells) == (metric == "cosine" and odd == 1) and max(cells, default=0) <= 200
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_within_have_each_pair_once(spark, monkeypatch, kind):
+    x = np.random.default_rng(9).normal(size=(90, 4)).astype(kind == "float" and np.float32 or np.float64).astype(float)
+    rows = [(i % 85, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 4)]  # five ids have two vectors
+    df = spark.createDataFrame(rows, f"id bigint, v array<{kind}>")
+    near = np.round(neighbours._distances(x, x, "cosine"), 6) <= 0.5
+    want = sorted({(min(i % 85, j % 85), max(i % 85, j % 85)) for i, j in zip(*np.nonzero(near), strict=True) if i % 85 != j % 85})
+    for least in (7, 1024):
+        monkeypatch.setattr(neighbours, "OWN_LEAST", least)
+        assert sorted((r.a, r.b) for r in neighbours.links_within(df, 0.5, digits=6).collect()) == want
+
+
 def ridge(x, y, penalty=1.0):
     m, c = x.mean(0), y.mean()
     w = np.linalg.solve((x - m).T @ (x - m) + penalty * np.eye(x.shape[1]), (x - m).T @ (y - c))
